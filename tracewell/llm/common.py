@@ -42,3 +42,9 @@ def crc_id(column: str = "doc_id") -> Column:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(spark) -> None:
+    """Bounds the texts that one Arrow batch carries to Python, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -2,11 +2,17 @@
 
 from tracewell.llm.decontamination import OP4_SQL, op4_decontamination
 from tracewell.llm.mixing import OP3_SQL, op3_mixing
+from tracewell.llm.near_duplicates import op10_near_duplicates
 from tracewell.llm.sharding import op1_sharding
+from tracewell.llm.token_counts import op6_token_counts
+from tracewell.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op7_url_filter": op7_url_filter,
+    "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
