@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
 from tracewell.llm.decontamination import OP4_SQL, op4_decontamination
+from tracewell.llm.language_id import op8_language_id
 from tracewell.llm.mixing import OP3_SQL, op3_mixing
 from tracewell.llm.near_duplicates import op10_near_duplicates
 from tracewell.llm.sharding import op1_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
+    "op8_language_id": op8_language_id,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
