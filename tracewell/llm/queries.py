@@ -4,14 +4,18 @@ from tracewell.llm.decontamination import OP4_SQL, op4_decontamination
 from tracewell.llm.language_id import op8_language_id
 from tracewell.llm.mixing import OP3_SQL, op3_mixing
 from tracewell.llm.near_duplicates import op10_near_duplicates
+from tracewell.llm.quality_classifier import op2_quality_classifier
+from tracewell.llm.quality_rules import op5_quality_rules
 from tracewell.llm.sharding import op1_sharding
 from tracewell.llm.token_counts import op6_token_counts
 from tracewell.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
