@@ -1,7 +1,9 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+import corpus_pipeline
 from tracewell.llm.decontamination import OP4_SQL, op4_decontamination
 from tracewell.llm.language_id import op8_language_id
+from tracewell.llm.lm_scoring import op9_lm_scoring
 from tracewell.llm.mixing import OP3_SQL, op3_mixing
 from tracewell.llm.near_duplicates import op10_near_duplicates
 from tracewell.llm.quality_classifier import op2_quality_classifier
@@ -19,6 +21,8 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
