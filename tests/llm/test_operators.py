@@ -1,0 +1,455 @@
+"""Each training-data operator against a brute-force version, on ordinary and on odd tables."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.llm import decontamination, gated_lm, language_id, lm_scoring, mixing, near_duplicates, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from tracewell.llm.common import crc_id
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+_LONG = " ".join(f"word{i % 977}" for i in range(60_000))
+ODD = [
+    (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "en", "a", 10),
+    (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "en", "a", 10),
+    (2, None, None, None, None),
+    (3, "", "de", "b", 0),
+    (None, "no id here and some more words", None, "a", 5),
+    (None, None, None, None, None),
+    (4, " \t\n ", "fr", "c", 4),
+    (5, "one", "en", "c", 3),
+    (6, "Élan Été über straße ÉLAN. *** ### <x> | $5", "fr", None, 9),
+    (7, "same line\nsame line\nsame line\n\n\nother", "en", "b", 9),
+    (8, _LONG, "en", "c", len(_LONG)),
+    (9, "a b c d e a b c d e a b c d e", "en", "b", 29),
+    (10, "x" * 30_000, "en", "b", 30_000),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def words(text, pattern=r"[^\x20\x09-\x0D]+"):
+    return re.findall(pattern, text or "")
+
+
+# sharding
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 17, 1000, 1025])
+def test_shards_are_computable_and_even(spark, n):
+    got = sharding.shard_rows(spark.range(n).select(F.col("id").alias("doc_id")), 7, 3).collect()
+    assert sorted(r.row_number for r in got) == list(range(n))
+    assert all((r.shard, r.slot) == sharding.locate(r.row_number, n, 7, 3) for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert not by or n < 7 or max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_shards_do_not_depend_on_layout_or_columns(spark, odd, none):
+    clash = odd.withColumn("shard", F.lit("x")).withColumn("slot", F.lit(1)).withColumn("bucket", F.lit(2))
+    a = sharding.shard_rows(clash.repartition(5, "source"), 4).collect()
+    b = sharding.shard_rows(clash.coalesce(1), 4).collect()
+    key = lambda r: (str(r.doc_id), str(r.text)[:50], r.shard, r.slot)
+    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == len(ODD)
+    assert sharding.shard_rows(none, 4).count() == 0
+
+
+# quality classifier
+
+
+def test_trees_match_a_walk_one_by_one():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 5))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
+    m = quality_classifier.fit_trees(x, y, trees=30)
+
+    def walk(row):
+        total = m.base
+        for at in m.roots:
+            while not m.leaf[at]:
+                at = m.left[at] + (row[m.feature[at]] > m.threshold[at])
+            total += m.value[at]
+        return 1 / (1 + math.exp(-total))
+
+    got = m.score(x)
+    assert np.allclose(got, [walk(r) for r in x])
+    assert ((got > 0.5) == y).mean() > 0.95
+
+
+def test_quality_on_held_out_and_odd(spark, sf, odd, none):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r.doc_id: r for r in quality_classifier.op2_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    held = [d for d in known if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert all(got[d].held_out for d in held)
+    assert np.mean([got[d].predicted == known[d] for d in held]) > 0.9
+    model = quality_classifier.learn_quality(odd.withColumn("score", F.lit("x")), spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (9, None)], "doc_id long, quality int"))
+    rows = quality_classifier.score_quality(odd.withColumn("score", F.lit("x")), model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    empty = quality_classifier.learn_quality(none, labels.limit(0))
+    assert {r.score for r in quality_classifier.score_quality(odd, empty).collect()} == {0.5}
+    assert quality_classifier.score_quality(none, empty).count() == 0
+
+
+# mixing
+
+
+def _targets(sizes, weights=(5, 2, 1)):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        free = [s for s in order if s not in capped]
+        t = {s: left * w[s] / sum(w[x] for x in free) for s in free} | {s: 3 * sizes[s] for s in capped}
+        over = {s for s in free if t[s] > 3 * sizes[s]}
+        if not over:
+            return t
+        capped |= over
+
+
+@pytest.mark.parametrize("table", ["odd", "real"])
+def test_mix_meets_targets(request, table):
+    docs = request.getfixturevalue(table)
+    mixed = mixing.mix_sources(docs.withColumn("size", F.lit("x")), mixing.word_count(F.col("text")), mixing.text_quality(F.col("text"))).collect()
+    assert len(mixed) == docs.count()
+    sizes, taken, largest = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in mixed:
+        assert r["size"] == len(words(r.text)) and 0 <= r.times <= 3
+        sizes[r.source] += r["size"]
+        taken[r.source] += r["size"] * r.times
+        copies = sum(x.text == r.text and x.doc_id == r.doc_id and x.source == r.source for x in mixed) if table == "odd" else 1
+        largest[r.source] = max(largest[r.source], r["size"] * copies)
+    want = _targets(sizes)
+    for r in mixed:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], abs_tol=1e-6)
+        assert abs(taken[r.source] - r.target) <= largest[r.source] / 2 + 1e-6
+
+
+def test_mix_repeats_and_agrees(spark, odd, none):
+    args = (mixing.word_count(F.col("text")), mixing.text_quality(F.col("text")))
+    a, b = (sorted((str(r.doc_id), str(r.text)[:40], r.times) for r in mixing.mix_sources(d, *args).collect()) for d in (odd, odd.repartition(6)))
+    assert a == b
+    mixed = mixing.mix_sources(odd, *args)
+    kept = mixing.take_mix(mixed)
+    assert kept.columns == odd.columns and kept.count() == sum(t for *_, t in a)
+    assert mixing.mix_sources(none, *args).count() == 0
+
+
+# decontamination
+
+_W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _ascii_words(text):
+    return re.findall(_W, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _brute_hits(docs, items):
+    out = []
+    for text in docs:
+        ws, hit, found = _ascii_words(text), set(), set()
+        for item, t in items:
+            iw = _ascii_words(t)
+            m = min(10, len(iw))
+            grams = {tuple(iw[i : i + m]) for i in range(len(iw) - m + 1)} if m else set()
+            for i in range(len(ws) - m + 1) if m else ():
+                if tuple(ws[i : i + m]) in grams:
+                    hit |= set(range(i, i + m))
+                    found.add(str(item))
+        out.append((text, len(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+def test_contamination_matches_brute_force(spark, odd, none, sf):
+    items = [(3, "eta THETA, iota"), (20, "Alpha beta gamma delta epsilon zeta eta theta iota kappa nothing"), (4, None), (5, ""), (100, "one"), (7, "b c d e a b c d e a"), (7, "b c d e a b c d e a"), (8, "élan été"), (9, "word5 word6 word7")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [d[1] for d in ODD]
+    got = decontamination.mark_contamination(odd.withColumn("hit_spans", F.lit(1)).withColumn("w", F.lit(2)), bench).select("text", decontamination.covered(F.col("hit_spans")), "hit_items").collect()
+    assert sorted(((a, b, c) for a, b, c in got), key=str) == _brute_hits(texts, items)
+    clean = decontamination.drop_contaminated(odd, bench)
+    assert clean.columns == odd.columns and clean.count() == sum(n == 0 for _, n, _ in _brute_hits(texts, items))
+    cut = {r.doc_id: r.text for r in decontamination.remove_spans(odd, bench).filter("doc_id in (1, 3, 5, 7)").collect()}
+    assert cut[1].split() == ["lambda"] and cut[5] == "" and cut[7] == ODD[9][1]
+    assert decontamination.mark_contamination(none, bench).count() == 0
+    assert decontamination.mark_contamination(odd, bench.limit(0)).filter("size(hit_spans) > 0").count() == 0
+
+
+def test_contamination_query_digest(spark, sf):
+    rows = decontamination.op4_decontamination(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for r in rows[:60]:
+        ((_, n, found),) = _brute_hits([texts[r.doc_id]], items)
+        assert (r.n_hit, r.n_items, r.items_sha256) == (n, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+        assert r.n_words == len(_ascii_words(texts[r.doc_id])) and r.contaminated == (n > 0)
+
+
+# quality rules
+
+
+def _statistics(text):
+    ws, seen, dup = words(text), set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    rep = {j for i in range(len(ws) - 4) if grams[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+    n = len(ws)
+    return n, sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(rep), n < 10 or 100 * len(rep) > 20 * n
+
+
+@pytest.mark.parametrize("table", ["odd", "real"])
+def test_statistics_match_brute_force(request, table):
+    docs = request.getfixturevalue(table)
+    for r in quality_rules.with_statistics(docs.withColumn("n_words", F.lit("x"))).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == _statistics(r.text), r.doc_id
+
+
+def test_ratio_matches_brute_force(spark, odd, none):
+    import xxhash
+
+    def grams(text):
+        ws, half = words(text), quality_rules.BUCKETS // 2
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+        two = [xxhash.xxh64_intdigest(b.encode(), a) for a, b in zip(one, ws[1:], strict=False)]
+        return [signed(h) % half for h in one] + [signed(h) % half + half for h in two]
+
+    trusted = spark.createDataFrame([(1,), (7,), (7,), (None,)], "doc_id long")
+    raw, good = collections.Counter(), collections.Counter()
+    for d, text, *_ in ODD:
+        raw.update(grams(text))
+        good.update(grams(text) if d in (1, 7) else [])
+    r, t, s = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS * quality_rules.PRIOR
+    ratio = lambda b: math.log((good[b] + 1) / (t + s)) - math.log((raw[b] + 1) / (r + s))
+    rows = quality_rules.apply_quality_rules(odd.withColumn("ratio", F.lit("x")).withColumn("bucket", F.lit(1)), trusted).collect()
+    assert len(rows) == len(ODD)
+    for row in rows:
+        g = grams(row.text)
+        assert math.isclose(row.ratio, sum(map(ratio, g)) / len(g) if g else 0.0, abs_tol=1e-9)
+        assert row.kept == (not row.base_failed and row.ratio >= quality_rules.LEAST_RATIO)
+    assert {x.ratio for x in quality_rules.apply_quality_rules(odd, trusted.limit(0)).collect()} == {0.0}
+    assert quality_rules.apply_quality_rules(none, trusted).count() == 0
+
+
+# token counts
+
+
+def test_token_counts_equal_the_library(spark, odd, none):
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    texts = ["", None, " ", "  ", "   a", "a  ", "\n\n a\n", "▁▁ ▁x", "a▁b", "a" * 25, "😀é漢字ひらがな", "<s></s><unk>", "<0x0A>", "\x00a\x01", "x" * 5000, "ab" * 3000]
+    texts += ["".join(rng.choice("aehinorst 0123 -_=ßü€\n▁") for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    assert token_counts.count_tokens(texts, path) == [len(model.encode(t or "")) for t in texts]
+    rows = token_counts.with_token_counts(odd.withColumn("n_tokens", F.lit("x")), path).collect()
+    assert len(rows) == len(ODD) and all(r.n_tokens == len(model.encode(r.text or "")) for r in rows)
+    assert token_counts.with_token_counts(none, path).count() == 0
+
+
+# url filter
+
+
+def _judge(url, rules, listed):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    key = re.sub(r"^(www|m)\.", "", host) + " " + re.sub(r"/+$", "", path)
+    return host, path, None, "block" if key in listed else "allow"
+
+
+def test_urls_match_brute_force(spark, sf):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y", "http://www.example.com/en/", "https://com/", "http://x.net/es/1#f", "http://x.net/fr", "http://netx/fr/", "x://y://z.net/fr/", "http://www.spam.org/a/", "http://spam.org/a", "http://spam.org/b", "http://a.b.c.d.e.com/", "http://example.com?q=/en/", "ftp://exAmple.com/en/é"] * 2
+    rules = [*url_filter.RULES, ("d.e.com", "", "block")]
+    listed = ["spam.org /a", "x y"]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, key int")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(k,) for k in listed], "key string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == _judge(r.url, rules, listed), r.url
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([], "key string")).count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    bloom = url_filter.bloom_filter(keys)
+    assert url_filter.may_be_listed(keys, bloom).count() == 3000
+    others = spark.range(20000).select(F.concat(F.lit("other"), "id").alias("key"))
+    assert url_filter.may_be_listed(others, bloom).count() < 200
+
+
+# language
+
+
+def test_languages(spark, odd, none):
+    d = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = language_id.op8_language_id(spark, d).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
+    model = language_id.learn_languages(spark.read.parquet(f"{d}/documents.parquet"))
+    rows = language_id.identify_languages(odd.withColumn("score", F.lit("x")), model).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) and 0 <= r.score <= 1
+    assert {r.lang_pred for r in language_id.identify_languages(odd, language_id.learn_languages(none)).collect()} == {"und"}
+
+
+# language model
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in gated_lm.new_model(np.ones(130)).items()}
+    texts = [np.r_[rng.integers(2, 130, rng.integers(0, 9)), 0] for _ in range(7)]
+    n = sum(map(len, texts))
+    adam = {"step": 0, "m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(v) for k, v in p.items()}}
+    gated_lm.train({k: v.copy() for k, v in p.items()}, texts, adam, 0.0, 3, 50)
+    for k, at in (("embed", (texts[0][0], 3)), ("bx", (5,)), ("ug", (3, 7)), ("uc", (2, 9)), ("wc", (4, 1)), ("ww", (0, 3, 5)), ("wx", (2, 40))):
+        ends = []
+        for step in (1e-4, -1e-4):
+            q = {a: b.copy() for a, b in p.items()}
+            q[k][at] += step
+            ends.append(-gated_lm.score(q, texts, 3, 50).sum() * math.log(10) / n)
+        assert math.isclose((ends[0] - ends[1]) / 2e-4, adam["m"][k][at] * 10, rel_tol=0.05, abs_tol=1e-6), k
+
+
+def test_state_is_carried_and_lanes_do_not_matter():
+    p = gated_lm.new_model(1 / np.arange(1, 131), 3)
+    rng = np.random.default_rng(2)
+    texts = [np.r_[rng.integers(2, 130, n), 0] for n in (0, 1, 5, 200, 33, 64, 7)]
+    alone = np.array([gated_lm.score(p, [t], 1, 1000)[0] for t in texts])
+    assert np.allclose(gated_lm.score(p, texts, 3, 8), alone, rtol=1e-4) and np.allclose(gated_lm.score(p, texts, 99, 32), alone, rtol=1e-4)
+    assert np.isclose(np.exp(gated_lm._log_softmax(np.ones((1, 5)))).sum(), 1)
+
+
+@pytest.mark.parametrize("head", [3, 1 << 17])
+def test_base_scores_match_brute_force(spark, odd, none, head):
+    held = crc_id() % 7 == 2
+    vocabulary, counts = lm_scoring.learn_vocabulary(odd.filter(~held), head)
+    model = lm_scoring.train_model(odd.filter(~held), vocabulary)
+    got = lm_scoring.score_documents(odd.withColumn("base", F.lit("x")), vocabulary, counts, model).collect()
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    c = collections.Counter(w for d, t, *_ in ODD if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for w in split(t))
+    n, v = sum(c.values()), len(c)
+    assert (vocabulary.n, vocabulary.v) == (n, v)
+    want = sorted((str(d), len(split(t)), sum(w in c for w in split(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 5)) for d, t, *_ in ODD)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
+    nothing, counts = lm_scoring.learn_vocabulary(none)
+    assert lm_scoring.score_documents(odd, nothing, counts, lm_scoring.train_model(none, nothing)).count() == len(ODD)
+
+
+def test_model_beats_counts(spark):
+    rows = [r for r in lm_scoring.op9_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+# near duplicates
+
+
+def _fingerprint(text):
+    import xxhash
+
+    ws = (text or "").encode().lower().split()
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + 4]), 42) for i in range(max(1, len(ws) - 3))]
+    return sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64))
+
+
+def _components(rows):
+    fps = sorted({f for _, f in rows})
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    ids = collections.defaultdict(list)
+    for d, f in rows:
+        ids[find(f)].append(d)
+    return {f: min((d for d in ids[find(f)] if d is not None), default=None) for f in fps}
+
+
+@pytest.mark.parametrize("table", ["odd", "real"])
+def test_classes_match_brute_force(request, table):
+    docs = request.getfixturevalue(table)
+    rows = [(r.doc_id, _fingerprint(r.text)) for r in docs.collect()]
+    want = _components(rows)
+    got = near_duplicates.near_duplicate_classes(docs.withColumn("fp", F.lit("x"))).collect()
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == sorted(((d, f, want[f]) for d, f in rows), key=str)
+    kept = near_duplicates.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len({want[f] if want[f] is not None else ("none", f) for _, f in rows})
+
+
+@pytest.mark.parametrize("n", [10, 1 << 23, 1 << 27, 1 << 40])
+def test_every_ring_finds_all_links(spark, n):
+    rng = random.Random(n)
+    fps = set()
+    for _ in range(150):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 10)):
+            y = x
+            for k in rng.sample(range(64), rng.randrange(6)):
+                y ^= 1 << k
+            fps.add(y)
+    signed = {(f - (1 << 64) if f >> 63 else f): f for f in fps}
+    links = near_duplicates.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long"), n)
+    root = {r.node: r.root for r in near_duplicates.connected_components(links).collect()}
+    want = _components([(s, f) for s, f in signed.items()])
+    a, b = collections.defaultdict(set), collections.defaultdict(set)
+    for s, f in signed.items():
+        a[want[f]].add(s)
+        b[root.get(s, s)].add(s)
+    assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values()))
+
+
+def test_no_documents(none):
+    assert near_duplicates.near_duplicate_classes(none).count() == 0 and near_duplicates.drop_near_duplicates(none).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    order = list(range(300))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "u long, v long")
+    rows = near_duplicates.connected_components(links).collect()
+    assert {r.root for r in rows} == {0} and len(rows) == 299
