@@ -19,6 +19,7 @@ def get_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -56,3 +57,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives executors this package, once a context, so that Python tasks can import it wherever they run."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tracewell_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = f"{tempfile.mkdtemp(prefix='tracewell-')}/tracewell.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, str(path.relative_to(package.parent)))
+    context.addPyFile(target)  # the driver serves it to every executor
+    context._tracewell_shipped = True
