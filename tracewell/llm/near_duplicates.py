@@ -216,7 +216,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")]
     kept = materialize(rows.groupBy(*group).agg(F.min(F.struct(ranked.alias("r"), "copies")).alias("b")).select(F.col("b.r.row_key").alias("__tw_h"), F.col("b.copies").alias("__tw_n")), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = docs.withColumn("__tw_h", row_hash(docs)).join(broadcast_if_small(kept, 100_000), "__tw_h")
+    # as many rows as documents stay: joined by shuffle at every size
+    chosen = docs.withColumn("__tw_h", row_hash(docs)).join(kept.hint("shuffle_merge"), "__tw_h")
     if not kept.filter("__tw_n > 1").limit(1).count():
         return chosen.select(columns)
     once = chosen.filter("__tw_n > 1").dropDuplicates(["__tw_h"])
