@@ -40,6 +40,11 @@ def _events(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", us.alias("us"))
 
 
+def _cents(events) -> DataFrame:
+    """Values as whole cents: their sums are exact in any order."""
+    return events.select("user_id", "us", F.rint(F.col("value") * 100).alias("value"))
+
+
 def _mean_reference(cells):
     return signals.vector(signals.population_mean(cells), "mean")
 
@@ -288,13 +293,13 @@ def burst_sessions(spark, sf_dir):
 
 
 @_query("""WITH $EVENTS, o AS (SELECT event_id AS onset_id, user_id, us AS onset FROM e WHERE event_type = 'purchase')
-SELECT onset_id, floor((e.us - onset) / 3600000000.0)::BIGINT AS bin, round(avg(value), 6) AS mean, count(*)::BIGINT AS n
+SELECT onset_id, floor((e.us - onset) / 3600000000.0)::BIGINT AS bin, avg(round_even(value * 100, 0)) AS mean, count(*)::BIGINT AS n
 FROM o JOIN e ON e.user_id = o.user_id AND e.us >= onset - 21600000000 AND e.us < onset + 43200000000 GROUP BY ALL""")
 def bout_windows(spark, sf_dir):
     e = _events(spark, sf_dir)
     onsets = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("onset_id"), "user_id", F.col("us").alias("onset"))
-    met = ev.event_windows(onsets, e.select("user_id", "us", "value"), _KEY, "onset", "us", 21_600_000_000, 43_200_000_000)
-    return met.groupBy("onset_id", F.floor(F.col("offset") / 3600000000.0).alias("bin")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    met = ev.event_windows(onsets, _cents(e), _KEY, "onset", "us", 21_600_000_000, 43_200_000_000)
+    return met.groupBy("onset_id", F.floor(F.col("offset") / 3600000000.0).alias("bin")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 @_query("""WITH $EVENTS, iv AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'a' ELSE 'b' END AS kind, us // 1000000 AS s, us // 1000000 + 60 + floor(value)::BIGINT * 30 AS t FROM e),
@@ -312,16 +317,16 @@ def interval_overlap(spark, sf_dir):
 
 
 @_query("""WITH $EVENTS, o AS (SELECT user_id, us AS onset, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS epoch FROM e WHERE event_type = 'purchase'),
-w AS (SELECT epoch, floor((e.us - onset) / 3600000000.0)::BIGINT AS hour, value FROM o JOIN e ON e.user_id = o.user_id AND e.us >= onset - 21600000000 AND e.us < onset + 43200000000),
+w AS (SELECT epoch, floor((e.us - onset) / 3600000000.0)::BIGINT AS hour, round_even(value * 100, 0) AS value FROM o JOIN e ON e.user_id = o.user_id AND e.us >= onset - 21600000000 AND e.us < onset + 43200000000),
 b AS (SELECT epoch, avg(value) AS b FROM w WHERE hour < 0 GROUP BY epoch)
-SELECT epoch, hour, round(avg(value) - coalesce(any_value(b), 0), 6) AS mean FROM w LEFT JOIN b USING (epoch) GROUP BY epoch, hour""")
+SELECT epoch, hour, avg(value) - coalesce(any_value(b), 0) AS mean FROM w LEFT JOIN b USING (epoch) GROUP BY epoch, hour""")
 def trial_mean_by_epoch(spark, sf_dir):
     e = _events(spark, sf_dir)
     epoch = F.when(F.pmod("event_id", F.lit(2)) == 0, "even").otherwise("odd")
     onsets = e.filter("event_type = 'purchase'").select("user_id", F.col("us").alias("onset"), epoch.alias("epoch"))
-    met = ev.event_windows(onsets, e.select("user_id", "us", "value"), _KEY, "onset", "us", 21_600_000_000, 43_200_000_000)
+    met = ev.event_windows(onsets, _cents(e), _KEY, "onset", "us", 21_600_000_000, 43_200_000_000)
     trials = met.select("epoch", F.floor(F.col("offset") / 3600000000.0).alias("hour"), "value")
-    return ev.epoch_means(trials, "epoch", "hour", "value", 0).withColumn("mean", F.round("mean", 6))
+    return ev.epoch_means(trials, "epoch", "hour", "value", 0)
 
 
 @_query("""WITH y AS (SELECT l_returnflag || l_linestatus AS a, l_linenumber AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
@@ -357,18 +362,18 @@ def cluster_sizes(spark, sf_dir):
 def _points(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem")
     z, y, x = F.pmod("l_suppkey", F.lit(12)) + 0.5, F.pmod("l_partkey", F.lit(30)) * 1.0, F.col("l_quantity") / 2
-    return li.select(z.alias("z"), y.alias("y"), x.alias("x"), F.col("l_discount").alias("v"), F.pmod("l_orderkey", F.lit(5)).alias("animal"))
+    return li.select(z.alias("z"), y.alias("y"), x.alias("x"), F.rint(F.col("l_discount") * 100).alias("v"), F.pmod("l_orderkey", F.lit(5)).alias("animal"))
 
 
-@_query("""WITH p AS (SELECT round_even(l_suppkey % 12 + 0.5, 0)::INT AS z, round_even((l_partkey % 30)::DOUBLE, 0)::INT AS y, round_even(l_quantity / 2, 0)::INT AS x, l_discount AS v FROM lineitem),
+@_query("""WITH p AS (SELECT round_even(l_suppkey % 12 + 0.5, 0)::INT AS z, round_even((l_partkey % 30)::DOUBLE, 0)::INT AS y, round_even(l_quantity / 2, 0)::INT AS x, round_even(l_discount * 100, 0) AS v FROM lineitem),
 s AS (SELECT z, y, x, sum(v) AS s, count(*) AS n FROM p WHERE z > 0 AND z < 12 AND y > 0 AND y < 29 AND x > 0 AND x < 25 GROUP BY ALL),
 wz AS (SELECT vz AS z, y, x, sum(s) AS s, sum(n) AS n FROM (SELECT *, unnest(range(greatest(z - 1, 0), least(z, 12) + 1)) AS vz FROM s) GROUP BY vz, y, x),
 wy AS (SELECT z, vy AS y, x, sum(s) AS s, sum(n) AS n FROM (SELECT *, unnest(range(greatest(y - 2, 0), least(y + 1, 29) + 1)) AS vy FROM wz) GROUP BY z, vy, x),
 w AS (SELECT z, y, vx AS x, sum(s) AS s, sum(n) AS n FROM (SELECT *, unnest(range(greatest(x - 2, 0), least(x + 1, 25) + 1)) AS vx FROM wy) GROUP BY z, y, vx)
-SELECT z::INT AS z, y::INT AS y, x::INT AS x, n::BIGINT AS n, round(s / n, 6) AS mean FROM w WHERE n >= 10""")
+SELECT z::INT AS z, y::INT AS y, x::INT AS x, n::BIGINT AS n, s / n AS mean FROM w WHERE n >= 10""")
 def box_support_map(spark, sf_dir):
-    boxes = voxels.box_map(_points(spark, sf_dir), ["z", "y", "x"], "v", (1, 2, 2), (13, 30, 26), 10)
-    return boxes.withColumn("mean", F.round("mean", 6))
+    """Values are whole numbers, so sums are exact and means need no rounding."""
+    return voxels.box_map(_points(spark, sf_dir), ["z", "y", "x"], "v", (1, 2, 2), (13, 30, 26), 10)
 
 
 @_query("""WITH d AS (SELECT DISTINCT l_orderkey % 5 AS animal, (l_suppkey % 12)::INT AS z, (l_partkey % 30)::INT AS y FROM lineitem WHERE l_quantity < 4),

@@ -35,7 +35,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(row, values) of a text matrix split at white space; for matrices of a few rows, in one file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\n")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\n")).alias("row", "line"))
     return lines.select("row", F.split(F.trim("line"), r"\s+").cast("array<double>").alias("values"))
 
 
