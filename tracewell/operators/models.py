@@ -64,16 +64,17 @@ def ridge_one_lag(cells: DataFrame, cell: str, x: str, y: str, strength: float =
     return fitted.select(cell, "weight", "intercept", (1 - F.try_divide(rest, F.col("vy"))).alias("r2"))
 
 
-def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], outcome: str) -> DataFrame:
+def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str] | str, outcome: str) -> DataFrame:
     """(keys, n, r2, aic, llf, separated, params): one logistic fit a group; null metrics where it has one outcome only.
 
-    A group is one animal's event bins under one model spec: bounded by an experiment's length.
+    ``features`` are columns, or one array column. A group is one animal's event bins under one model spec: bounded by an experiment's length.
     """
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(table: pa.Table) -> pa.Table:
         y = table.column(outcome).to_numpy().astype(float)
-        x = np.column_stack([np.ones(len(y)), *[table.column(f).to_numpy().astype(float) for f in features]])
+        design = np.array(table.column("__x").to_pylist(), float).reshape(len(y), -1)
+        x = np.column_stack([np.ones(len(y)), design])
         got = numeric.logistic_fit(x, y) if 0 < y.sum() < len(y) else None
         out = {k: table.column(k)[:1] for k in keys}
         out |= {"n": pa.array([len(y)], pa.int64())}
@@ -81,7 +82,9 @@ def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str],
         out |= {"separated": pa.array([bool(got and got["separated"])]), "params": pa.array([got["params"].tolist() if got else None], pa.list_(pa.float64()))}
         return pa.table(out)
 
-    used = rows.select(*keys, *features, F.col(outcome).cast("double").alias(outcome)).dropna(subset=[*features, outcome])
+    packed = F.col(features) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
+    used = rows.select(*keys, packed.cast("array<double>").alias("__x"), F.col(outcome).cast("double").alias(outcome))
+    used = used.filter(F.col(outcome).isNotNull() & ~F.exists("__x", lambda v: v.isNull()))
     return used.groupBy(*keys).applyInArrow(fit, f"{kinds}, n long, r2 double, aic double, llf double, separated boolean, params array<double>")
 
 

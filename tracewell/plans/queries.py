@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import events as ev
 from tracewell.operators import models, populations, signals, voxels
+from tracewell.plans import jobs
 
 QUERIES, ORACLES = {}, {}
 
@@ -470,3 +471,49 @@ def fa_clusters(spark, sf_dir):
 @_query()
 def ward_clusters(spark, sf_dir):
     return models.ward_groups(signals.zscore(_cells(spark, sf_dir)), "label", "cell_id", k=3)
+
+
+def _fits(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    states = {"normal": (0, 32), "hypoxia": (32, 64)}
+    return jobs.swim_fits(cells, "cell_id", _mean_reference(cells), states, lags=(2, 4, 6, 8), least=0.1)
+
+
+@_query()
+def swim_fit_states(spark, sf_dir):
+    return _fits(spark, sf_dir)
+
+
+@_query()
+def beta_ratio_map(spark, sf_dir):
+    """Ratio map of the fits, with the first three coordinates of each cell as its place."""
+    at = _cells(spark, sf_dir).select("cell_id", *[((F.col("trace")[i] + 1) * 20).alias(a) for i, a in enumerate("zxy")])
+    return jobs.ratio_map(jobs.beta_ratios(_fits(spark, sf_dir), "cell_id", "normal", "hypoxia"), at, ["cell_id"], (40, 40, 40), least=3)
+
+
+@_query()
+def behaviour_model_runs(spark, sf_dir):
+    """Four lag specs, three runs, every user in both conditions."""
+    bins = _events(spark, sf_dir).withColumns(
+        {"o2": F.col("value") / 500, "swim": (F.col("value") > 60).cast("double"), "y": F.col("event_type") == "purchase", "condition": F.when(F.col("us") % 2 == 0, "normal").otherwise("hypoxia")}
+    )
+    specs = [{"o2": 2}, {"swim": 2}, {"o2": 2, "swim": 2}, {"o2": 4, "swim": 3}]
+    rows = jobs.lag_specs(bins, _KEY, _ORDER, {"o2": "o2", "swim": "swim"}, specs)
+    return jobs.behaviour_runs(rows, "user_id", "condition", "y", 3, identity=["event_id"])
+
+
+@_query()
+def pop_mean_p_values(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    scored = signals.rank_correlation(cells, _mean_reference(cells)).withColumn("r", F.get("r", F.lit(0)))
+    return scored.withColumn("p", signals.spearman_p("r", F.size("trace").cast("long"))).select("cell_id", "r", "p")
+
+
+@_query()
+def baseline_clusters(spark, sf_dir):
+    return jobs.baseline_clusters(_cells(spark, sf_dir), "cell_id", 64, k=8, loading=0.8, least_cells=3, assign=0.2)
+
+
+@_query()
+def baseline_subclusters(spark, sf_dir):
+    return jobs.subclusters(_cells(spark, sf_dir), "label", "cell_id", 3)
