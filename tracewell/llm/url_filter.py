@@ -101,7 +101,8 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     listed = pages.filter(host.rlike(_SPAM)).select(canonical(host, path).alias("key"))
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    fixed = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])
+    rules = spark.range(1).select(F.inline(fixed))
     return judge_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
