@@ -135,7 +135,12 @@ def _gram(cells: DataFrame, trace: str, weight: str, frames: int) -> np.ndarray:
 
 
 def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 15, trace: str = "trace") -> DataFrame:
-    """(cell, loadings, noise): maximum-likelihood factors of cells (features) over frames (samples), varimax-rotated.
+    """(cell, loadings, noise) of ``factor_model``."""
+    return factor_model(cells, cell, frames, k, rounds, trace)[0]
+
+
+def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 15, trace: str = "trace") -> tuple[DataFrame, np.ndarray]:
+    """((cell, loadings, noise), scores [k x frames]): maximum-likelihood factors of cells (features) over frames (samples), varimax-rotated.
 
     Traces are standardised on the way. Each round needs the frames x frames matrix of noise-scaled products only; loadings are solved cell by cell. The
     rotation is found on a bounded sample of cells, then applied to all. Signs: the largest loading is positive.
@@ -172,12 +177,22 @@ def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: in
     rotated = np.array([r.loadings for r in some]).reshape(-1, k) @ turn
     turn = turn * np.where(rotated[np.abs(rotated).argmax(0), np.arange(k)] < 0, -1, 1) if len(some) else turn
     columns = F.array(*[sum((F.get("loadings", F.lit(j)) * float(turn[j, i]) for j in range(k)), F.lit(0.0)) for i in range(k)])
-    return fitted.select(cell, columns.alias("loadings"), "noise")
+    return fitted.select(cell, columns.alias("loadings"), "noise"), turn.T @ scores
+
 
+def noise_ratios(scores: np.ndarray, cutoff: float = 0.06, order: int = 5) -> np.ndarray:
+    """The share of each score's energy that a low-pass removes."""
+    low = numeric.zero_phase_low_pass(scores, cutoff, order)
+    return 1 - np.square(low).sum(1) / np.square(scores).sum(1)
 
-def loading_labels(loadings: DataFrame, cell: str, floor: float = 0.2) -> DataFrame:
-    """Adds label: the place of the largest absolute loading, -place - 1 if it is negative, null below ``floor``."""
-    top = F.array_max(F.transform("loadings", lambda x, i: F.struct(F.abs(x).alias("a"), (-i).alias("i"), x.alias("x"))))
+
+def loading_labels(loadings: DataFrame, cell: str, floor: float = 0.2, keep: Sequence[int] | None = None) -> DataFrame:
+    """Adds label: the place of the largest absolute loading, -place - 1 if it is negative, null below ``floor``.
+
+    With ``keep`` only those places count; places stay those of the whole array.
+    """
+    picked = F.col("loadings") if keep is None else F.transform("loadings", lambda x, i: F.when(i.isin(list(keep)), x).otherwise(F.lit(0.0)))
+    top = F.array_max(F.transform(picked, lambda x, i: F.struct(F.abs(x).alias("a"), (-i).alias("i"), x.alias("x"))))
     at = loadings.withColumn("__t", top)
     place = -F.col("__t.i")
     return at.withColumn("label", F.when(F.col("__t.a") >= floor, F.when(F.col("__t.x") >= 0, place).otherwise(-place - 1))).drop("__t")

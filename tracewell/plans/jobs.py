@@ -126,3 +126,40 @@ def subclusters(cells: DataFrame, cluster: str, cell: str, k: int, assign: float
     before = Window.partitionBy(F.lit(0)).orderBy(cluster).rowsBetween(Window.unboundedPreceding, -1)  # one row a cluster
     offsets = sizes.select(cluster, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     return inner.join(F.broadcast(offsets), cluster).select(cluster, cell, (F.col("sub") + F.col("__o")).cast("int").alias("sub"))
+
+
+def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100, share: float = 0.05, settled: float = 0.9, noisy: float = 0.3, floor: float = 0.2, rounds: int = 10, factor_rounds: int = 15, trace: str = "trace") -> DataFrame:
+    """(cell, label): factor labels, refined until no cluster of at least ``share`` of the cells splits further.
+
+    Such a cluster (at most 1 / share of them at a time) is factored again over its own cells; members with a positive
+    new label move to new ids after the current largest. A cluster that keeps over ``settled`` of its members is done.
+    Factors whose scores lose ``noisy`` of their energy to a low-pass do not count. Every round is a written table.
+    """
+    loads, scores = models.factor_model(cells, cell, frames, k, factor_rounds, trace)
+    quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
+    labels = models.loading_labels(loads, cell, floor, quiet).select(cell, "label")
+    labels, done, most = materialize(labels, "labels"), set(), k
+    for _ in range(rounds):
+        counts = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cluster
+        total = sum(counts.values())
+        big = sorted(x for x, n in counts.items() if x is not None and n >= share * total and x not in done)
+        if not big:
+            break
+        top = max(x for x in counts if x is not None) + 1
+        changes, found = None, []
+        for x in big:
+            members = cells.join(labels.filter(F.col("label") == x).select(cell), cell)
+            parts = min(most, max(1, counts[x] // 1000))
+            inner, scores = models.factor_model(members, cell, frames, parts, factor_rounds, trace)
+            quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
+            moved = models.loading_labels(inner, cell, floor, quiet).filter("label >= 0").select(cell, (F.col("label") + top).alias("new"))
+            moved = materialize(moved, "moved")
+            n = moved.count()
+            found.append(parts)
+            top += parts
+            if counts[x] - n > settled * counts[x] or n > settled * counts[x]:
+                done |= {x} | {top - parts + i for i in range(parts)}
+            changes = moved if changes is None else changes.unionByName(moved)
+        labels = materialize(labels.join(changes, cell, "left").select(cell, F.coalesce("new", "label").alias("label")), "labels")
+        most = max(int(np.mean(found)) + 5, 20)
+    return labels

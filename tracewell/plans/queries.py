@@ -517,3 +517,8 @@ def baseline_clusters(spark, sf_dir):
 @_query()
 def baseline_subclusters(spark, sf_dir):
     return jobs.subclusters(_cells(spark, sf_dir), "label", "cell_id", 3)
+
+
+@_query()
+def hierarchical_clusters(spark, sf_dir):
+    return jobs.hierarchical_labels(_cells(spark, sf_dir), "cell_id", 64, k=4, share=0.2, noisy=0.99, rounds=2, factor_rounds=3)
