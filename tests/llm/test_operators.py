@@ -189,6 +189,8 @@ def test_contamination_matches_brute_force(spark, odd, none, sf):
     texts = [d[1] for d in ODD]
     got = decontamination.mark_contamination(odd.withColumn("hit_spans", F.lit(1)).withColumn("w", F.lit(2)), bench).select("text", decontamination.covered(F.col("hit_spans")), "hit_items").collect()
     assert sorted(((a, b, c) for a, b, c in got), key=str) == _brute_hits(texts, items)
+    by_filter = decontamination.mark_contamination(odd, bench, max_broadcast_windows=3).select("text", decontamination.covered(F.col("hit_spans")), "hit_items").collect()
+    assert sorted(((a, b, c) for a, b, c in by_filter), key=str) == _brute_hits(texts, items)
     clean = decontamination.drop_contaminated(odd, bench)
     assert clean.columns == odd.columns and clean.count() == sum(n == 0 for _, n, _ in _brute_hits(texts, items))
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(odd, bench).filter("doc_id in (1, 3, 5, 7)").collect()}

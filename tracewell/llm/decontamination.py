@@ -1,6 +1,7 @@
 """Benchmark decontamination: exact windows of benchmark words found in training texts.
 
-The benchmark's windows form a hashed set that is broadcast (its size is checked; a larger set is joined by shuffle).
+The benchmark's windows form a hashed set that is broadcast. Its size is checked: of a larger set only a Bloom filter
+is broadcast, and the text windows that pass it meet the set by shuffle.
 Texts are scanned once: every window start becomes one narrow row of ten words, whose hash probes the set; the words
 themselves are compared after a hit. Results are kept by text, so copies are judged once and identically.
 """
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import ascii_lower
+from tracewell.llm.url_filter import bloom_filter, may_be_listed
 from tracewell.session import broadcast_if_small, materialize
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Blocks of the Bloom filter for large benchmarks: 80 MB, about 13 bits a window for 20 million windows.
+_FILTER_BLOCKS = 1 << 20
 
 
 def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -45,7 +49,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("m", "h", "w").agg(F.collect_set("item").alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 1_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 200_000) -> DataFrame:
     """(k1, k2, hits, items) for every text with a hit: text key, sorted [start, end) word spans, sorted item ids."""
     known = materialize(benchmark_windows(benchmark, window), "windows")
     lengths = [r.m for r in known.select("m").distinct().orderBy("m").collect()] or [window]  # at most ``window`` values
@@ -62,7 +66,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_b
         rows = rows.filter(F.col(names[most - 1]).isNotNull()).withColumns({"m": F.lit(most), "h": _key([F.col(n) for n in names])})
     else:
         rows = rows.withColumn("p", F.explode(F.array(*probes))).withColumns({"m": F.col("p.m"), "h": F.col("p.h")})
-    hits = rows.join(broadcast_if_small(known.withColumnRenamed("m", "km"), max_broadcast_windows), "h").filter(F.col("m") == F.col("km"))
+    target = known.withColumnRenamed("m", "km")
+    if known.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows:
+        target = F.broadcast(target)
+    else:
+        bloom = bloom_filter(known.select(F.hex("h").alias("key")), _FILTER_BLOCKS)
+        rows = may_be_listed(rows.withColumn("key", F.hex("h")), bloom, blocks=_FILTER_BLOCKS).drop("key")
+    hits = rows.join(target, "h").filter(F.col("m") == F.col("km"))
     spelled = F.when(F.lit(False), F.lit(""))
     for m in lengths:
         spelled = spelled.when((F.col("m") == m) & F.col(names[m - 1]).isNotNull(), F.concat_ws(" ", *names[:m]))
@@ -87,13 +97,13 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, start, grown, lambda s: s["n"])
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 200_000) -> DataFrame:
     """Adds hit_spans (array<struct<pos, end>>, word positions) and hit_items (array<string>), both empty where clean.
 
     ``docs`` needs a text column; null and empty texts are clean, and so is everything if the benchmark has no words.
     Existing columns of the added names are replaced; repeated rows are judged alike.
     """
-    found = materialize(find_hits(docs, benchmark, window), "hits").select(F.col("k1").alias("__tw_k1"), F.col("k2").alias("__tw_k2"), F.col("hits").alias("hit_spans"), F.col("items").alias("hit_items"))
+    found = materialize(find_hits(docs, benchmark, window, max_broadcast_windows), "hits").select(F.col("k1").alias("__tw_k1"), F.col("k2").alias("__tw_k2"), F.col("hits").alias("hit_spans"), F.col("items").alias("hit_items"))
     k1, k2 = _text_key(F.col("text"))
     keyed = docs.drop("hit_spans", "hit_items").withColumns({"__tw_k1": k1, "__tw_k2": k2})
     joined = keyed.join(broadcast_if_small(found, 100_000), ["__tw_k1", "__tw_k2"], "left").drop("__tw_k1", "__tw_k2")

@@ -35,8 +35,8 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.lit(" "), F.regexp_replace(path, r"/+$", ""))
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS))
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
 def _masks(key: Column) -> list[Column]:
@@ -47,16 +47,16 @@ def _masks(key: Column) -> list[Column]:
     return [reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.floor(a / 64) == w, b).otherwise(F.lit(0).cast("bigint")) for a, b in zip(at, bit, strict=True)]) for w in range(4)]
 
 
-def bloom_filter(keys: DataFrame) -> DataFrame:
+def bloom_filter(keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(block, w0..w3) of a table with a string column ``key``."""
-    masked = keys.select(_block(F.col("key")).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
+    masked = keys.select(_block(F.col("key"), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
     return masked.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
-def may_be_listed(rows: DataFrame, bloom: DataFrame, key: str = "key") -> DataFrame:
+def may_be_listed(rows: DataFrame, bloom: DataFrame, key: str = "key", blocks: int = BLOCKS) -> DataFrame:
     """The rows whose key may be in the filter: all that are, and few others."""
     named = bloom.select(F.col("block").alias("__tw_block"), *[F.col(f"w{i}").alias(f"__tw_w{i}") for i in range(4)])
-    masked = rows.withColumns({"__tw_block": _block(F.col(key))} | {f"__tw_m{i}": m for i, m in enumerate(_masks(F.col(key)))})
+    masked = rows.withColumns({"__tw_block": _block(F.col(key), blocks)} | {f"__tw_m{i}": m for i, m in enumerate(_masks(F.col(key)))})
     hit = reduce(lambda x, y: x & y, [F.col(f"__tw_w{i}").bitwiseAND(F.col(f"__tw_m{i}")) == F.col(f"__tw_m{i}") for i in range(4)])
     return masked.join(F.broadcast(named), "__tw_block").filter(hit).drop("__tw_block", *[f"__tw_{x}{i}" for x in "wm" for i in range(4)])
 
