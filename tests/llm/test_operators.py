@@ -379,6 +379,16 @@ def test_model_beats_counts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+@pytest.mark.parametrize("texts", [60, 2100])
+def test_every_training_token_reaches_the_model(spark, monkeypatch, texts):
+    docs = spark.range(texts).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(999)), lambda x: F.concat(F.lit("w"), (x * (F.col("id") + 1)) % 301))).alias("text"))
+    seen, averaged = [], lm_scoring._averaged
+    monkeypatch.setattr(lm_scoring, "_averaged", lambda parts: seen.append(parts.filter("k = 0").agg(F.sum("weight")).first()[0]) or averaged(parts))
+    vocabulary, _ = lm_scoring.learn_vocabulary(docs)
+    lm_scoring.train_model(docs, vocabulary)
+    assert vocabulary.n == texts * 1000 == sum(seen) and min(seen) > vocabulary.n / 6
+
+
 # near duplicates
 
 

@@ -22,8 +22,7 @@ from tracewell.session import materialize
 #: Words whose counts are broadcast (a few MB); the rest is joined.
 HEAD = 1 << 17
 MODEL_WORDS = 48 * 48 - 2
-#: The recurrent model is trained on this share of the training documents, and on all of them while these have few tokens.
-SHARE, FEW_TOKENS = 1 / 16, 2_000_000
+#: The training documents are cut evenly into so many rounds; copies of the model are averaged after each.
 ROUNDS = 3
 _TASK_TOKENS = 500_000
 _BLOCK_TOKENS = 2_000_000
@@ -103,8 +102,8 @@ def _averaged(parts: DataFrame) -> DataFrame:
 def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
     """Data-parallel training: in each round every task trains a copy on its texts, then the copies are averaged.
 
-    The sample of texts is chosen by a hash and grows with the corpus; each round of a large sample takes its own third.
-    Without training texts the model stays at the start.
+    All rounds together go through every training document once, whatever the size of the corpus; a hash deals the
+    documents to rounds and tasks. Without training texts the model stays at the start.
     """
     spark = training.sparkSession
     small_batches(spark)
@@ -115,22 +114,16 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
     model = gated_lm.new_model(counts, seed)
     if not vocabulary.n:
         return model
-    share = min(1.0, max(SHARE, FEW_TOKENS / vocabulary.n))
-    # few tokens are gone through more than once
-    tokens = vocabulary.n * share
-    passes = int(min(2, max(1, FEW_TOKENS // tokens)))
-    thirds = tokens > 2 * FEW_TOKENS
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = training.select("doc_id", "text").withColumn("place", place).filter(F.col("place") < share)
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)).alias("place")
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [shared.value.encode(t)[0].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            ids = [shared.value.encode(t)[0].astype(np.int16).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(ids, pa.binary())], ["place", "ids"])
 
-    dealt = max(1, round(tokens / _TASK_TOKENS))
-    encoded = materialize(sample.mapInArrow(encode, "place double, ids binary"), "training_ids")
+    dealt = max(1, round(vocabulary.n / ROUNDS / _TASK_TOKENS))
+    encoded = materialize(training.select(place, "text").mapInArrow(encode, "place long, ids binary"), "training_ids")
     flat = gated_lm.flatten(model)
     for i in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
@@ -142,12 +135,10 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
             adam, weight, held = None, 0, []
 
             def step(adam):
-                for _ in range(passes):
-                    adam = gated_lm.train(p, held, adam, count=max(32, min(256, sum(map(len, held)) // 8000)))
-                return adam
+                return gated_lm.train(p, held, adam, count=max(32, min(256, sum(map(len, held)) // 4000)))
 
             for b in batches:
-                held += [np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]
+                held += [np.frombuffer(x, np.int16) for x in b.column("ids").to_pylist()]
                 size = sum(map(len, held))
                 if size >= _TASK_TOKENS:
                     adam, weight, held[:] = step(adam), weight + size, []
@@ -161,8 +152,8 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
                 task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int64()), pa.array([float(weight)] * n), pa.array(pieces, pa.binary())], ["k", "task", "weight", "piece"])
 
-        own = encoded.filter(F.pmod(F.xxhash64("place"), F.lit(ROUNDS)) == i) if thirds else encoded
-        parts = own.repartition(max(1, dealt // ROUNDS) if thirds else dealt, F.xxhash64("place")).mapInArrow(fit, "k int, task long, weight double, piece binary")
+        own = encoded.filter(F.pmod("place", F.lit(ROUNDS)) == i)
+        parts = own.repartition(dealt, F.xxhash64("place")).mapInArrow(fit, "k int, task long, weight double, piece binary")
         pieces = _averaged(materialize(parts, "parameters")).orderBy("k").collect()  # one model: about 0.5 MB
         if pieces:
             flat = np.concatenate([np.frombuffer(r.piece, np.float32) for r in pieces])
