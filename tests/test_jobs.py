@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.operators import models
+from tracewell.operators import models, signals
 from tracewell.plans import jobs
 from tracewell.plans.queries import QUERIES
 
@@ -73,3 +73,15 @@ def test_subcluster_numbers_run_on_over_clusters(spark, sf):
         spans.setdefault(r.label, set()).add(r.sub)
     ordered = [sorted(spans[k]) for k in sorted(spans)]
     assert sum(ordered, []) == list(range(1, sum(map(len, ordered)) + 1))
+
+
+def test_ward_labels_every_cell_of_a_group_above_its_sample(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2, 32))
+    rows = [(i, "hot" if i < 500 else "small", (base[i % 2] + 0.2 * rng.normal(size=32)).tolist()) for i in range(530)]
+    table = spark.createDataFrame(rows, "cell_id long, label string, trace array<double>")
+    got = models.ward_groups(signals.zscore(table), "label", "cell_id", most=100, k=2).collect()
+    assert sorted(r.cell_id for r in got) == list(range(530)) and {r.label for r in got if r.cell_id >= 500} == {"small"}
+    for label in ("hot", "small"):
+        even, odd = ({r.sub for r in got if r.label == label and r.cell_id % 2 == k} for k in (0, 1))
+        assert len(even) == len(odd) == 1 and even | odd == {1, 2}

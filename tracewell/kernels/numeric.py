@@ -166,23 +166,38 @@ def varimax(loadings: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> np.nd
 def ward_labels(points: np.ndarray, k: int) -> np.ndarray:
     """Labels 1..k of Ward's clustering, merging the nearest pair (least growth of the sum of squares) until k are left.
 
-    Nearest-neighbour distances are kept per cluster, so each merge costs one pass over the clusters that remain.
+    Distances are one n x n matrix by the Gram identity. Each cluster keeps its nearest neighbour, so a merge costs a
+    pass over one row, and a row is searched again only when its neighbour has gone or moved away.
     """
     n = len(points)
-    d = np.square(points[:, None] - points[None]).sum(2)
+    points = points - points.mean(0)
+    d = points @ points.T
+    square = np.diag(d).copy()
+    d *= -2
+    d += square[:, None]
+    d += square
+    np.maximum(d, 0, out=d)
     np.fill_diagonal(d, np.inf)
     size, alive, member = np.ones(n), np.ones(n, bool), np.arange(n)
+    near = d.argmin(1) if n else np.zeros(0, int)
+    least = d[np.arange(n), near]
     for _ in range(n - max(1, k)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        total = size[i] + size[j] + size
+        i = int(least.argmin())
+        i, j = min(i, int(near[i])), max(i, int(near[i]))
         with np.errstate(invalid="ignore"):
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
-        d[i, :], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j, :], d[:, j] = np.inf, np.inf
-        d[i, ~alive], d[~alive, i] = np.inf, np.inf
+            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        new[~alive] = np.inf
+        new[[i, j]] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
         member[member == j] = i
+        least[j] = np.inf
+        closer = (new < least) | ((new == least) & (i < near))
+        stale = np.flatnonzero(alive & ~closer & ((near == i) | (near == j)))
+        near[closer], least[closer] = i, new[closer]
+        for row in {i, *stale.tolist()}:
+            near[row] = d[row].argmin()
+            least[row] = d[row, near[row]]
     return np.unique(member, return_inverse=True)[1] + 1

@@ -10,11 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.kernels import numeric
+from tracewell.operators import populations
 from tracewell.session import materialize
 
 LAGS = tuple(range(6, 61, 2))
@@ -201,22 +202,40 @@ def loading_labels(loadings: DataFrame, cell: str, floor: float = 0.2, keep: Seq
 def ward_groups(cells: DataFrame, group: str, cell: str, trace: str = "z", most: int = 9000, k: int | None = None) -> DataFrame:
     """(group, cell, sub): Ward clusters on the rows of each group's rank-correlation matrix.
 
-    A group gives at most ``most`` evenly spaced cells to the clustering, whose cost is quadratic; all its cells are
-    then assigned to the best-correlated cluster mean by ``populations.assign_templates`` if it was larger.
+    A group gives at most ``most`` cells, chosen by a hash, to the clustering, whose cost is quadratic. If it is larger,
+    all its cells then take the sub-cluster whose mean over those has the best rank correlation, wherever they lie.
     """
-    sampled = cells.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    step = F.floor(F.col("__n") / most) + 1
-    some = sampled.filter(F.pmod(F.xxhash64(cell), step) == 0).select(group, cell, trace)
-    kinds = f"{group} {cells.schema[group].dataType.simpleString()}, {cell} {cells.schema[cell].dataType.simpleString()}, sub int"
+    sizes = cells.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).collect()  # the large groups
+    step, is_large = F.lit(1), F.lit(False)
+    for r in sizes:
+        mine = F.col(group).eqNullSafe(F.lit(r[0]))
+        step, is_large = F.when(mine, r.n // most + 1).otherwise(step), is_large | mine
+    cells = cells.select(group, cell, trace)
+    if sizes:
+        cells = materialize(cells, "grouped")
+    kind = {c: cells.schema[c].dataType.simpleString() for c in (group, cell, trace)}
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.sort_by(cell)
-        x = np.array(table.column(trace).to_pylist(), float)
-        near = np.nan_to_num(numeric.rank_correlations(x, x))
-        count = k or int(min(10, 2 * (len(x) // 1000 + 1)))
-        return pa.table({group: table.column(group), cell: table.column(cell), "sub": pa.array(numeric.ward_labels(near, min(count, len(x))), pa.int32())})
-
-    return some.groupBy(group).applyInArrow(cluster, kinds)
+        ranks = numeric.average_ranks(np.array(table.column(trace).to_pylist(), float))
+        ranks -= ranks.mean(1, keepdims=True)
+        ranks /= np.maximum(np.sqrt(np.square(ranks).sum(1, keepdims=True)), 1e-12)
+        count = k or int(min(10, 2 * (len(ranks) // 1000 + 1)))
+        sub = numeric.ward_labels(ranks @ ranks.T, min(count, len(ranks)))
+        return pa.table({group: table.column(group), cell: table.column(cell), trace: table.column(trace), "sub": pa.array(sub, pa.int32())})
+
+    some = cells.filter(F.pmod(F.xxhash64(cell), step) == 0)
+    found = some.groupBy(group).applyInArrow(cluster, f"{group} {kind[group]}, {cell} {kind[cell]}, {trace} {kind[trace]}, sub int")
+    if not sizes:
+        return found.select(group, cell, "sub")
+    found = materialize(found, "ward")
+    whole = found.filter(~is_large).select(group, cell, "sub")
+    for r in sizes:
+        mine = F.col(group).eqNullSafe(F.lit(r[0]))
+        labels, traces = populations.templates(populations.label_means(found.filter(mine), "sub", trace), "sub")
+        joined = populations.assign_templates(cells.filter(mine), labels, traces, -1.0, trace, "sub")
+        whole = whole.unionByName(joined.select(group, cell, F.col("sub").cast("int")))
+    return whole
 
 
 def stimulus_offsets(channel: DataFrame, key: str, position: str, value: str, edges: Sequence[float], levels: Sequence[float], step: int = 1) -> DataFrame:
