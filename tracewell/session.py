@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,13 +28,16 @@ def get_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (local tests) a temporary folder is made and kept in the setting.
+    Where none is named, a local session gets a temporary folder, kept in the setting; on a cluster that is an error,
+    as each machine would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         base = context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
             base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -51,12 +55,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hints a broadcast when ``df`` (cheap to read: a table or a materialised result) has at most ``max_rows``
-    rows. Beyond that no hint is given and the join shuffles, with AQE free to split skewed keys."""
-    from pyspark.sql import functions as F
+#: What one broadcast may hold, by ``row_bytes``.
+BROADCAST_BYTES = 64 << 20
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its text form (strings, arrays and structs at their own length) and 16 a column."""
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))), F.lit(0)) + 16 for c in df.columns]
+    return sum(sizes, F.lit(16)).cast("bigint")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast when ``df`` (cheap to read: a table or a materialised result) has at most ``max_rows`` rows of
+    ``max_bytes`` together. Beyond that a sort-merge join is asked for, whose skewed keys AQE can split."""
+    head = df.limit(max_rows + 1).select(row_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if head[0] <= max_rows and (head[1] or 0) <= max_bytes else df.hint("shuffle_merge")
 
 
 def ship_package(spark: SparkSession) -> None:
