@@ -39,149 +39,205 @@ def new_model(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     }
 
 
-def lanes(texts: list[np.ndarray], count: int) -> list[list[int]]:
-    """Deals texts onto lanes, the longest first, each to the lane with least so far."""
+def lanes(sizes: np.ndarray, count: int) -> list[list[int]]:
+    """Deals texts onto lanes, the longest first, each to the lane with least so far; the longest lane comes first."""
     import heapq
 
-    count = max(1, min(count, len(texts)))
+    count = max(1, min(count, len(sizes)))
     heap = [(0, i) for i in range(count)]
     dealt: list[list[int]] = [[] for _ in range(count)]
-    for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+    for i in np.argsort(-sizes, kind="stable").tolist():
         size, lane = heapq.heappop(heap)
         dealt[lane].append(i)
-        heapq.heappush(heap, (size + len(texts[i]), lane))
-    return sorted(dealt, key=lambda d: -sum(len(texts[i]) for i in d))
+        heapq.heappush(heap, (size + int(sizes[i]), lane))
+    return sorted(dealt, key=lambda d: -int(sizes[d].sum()))
 
 
 def windows(texts: list[np.ndarray], count: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, targets, fresh, text index) of each window, [steps, lanes]; lanes that have ended fall away."""
-    dealt = lanes(texts, count)
-    target = [np.concatenate([texts[i] for i in d]) if d else np.zeros(0, np.int32) for d in dealt]
-    owner = [np.repeat(np.array(d, np.int64), [len(texts[i]) for i in d]) for d in dealt]
-    for at in range(0, len(target[0]) if target else 0, width):
-        live = sum(len(t) > at for t in target)
-        steps = min(width, len(target[0]) - at)
-        y = np.full((steps, live), -1, np.int64)
-        x = np.zeros((steps, live), np.int64)
-        who = np.full((steps, live), -1, np.int64)
-        for j in range(live):
-            part = target[j][at : at + steps]
-            y[: len(part), j] = part
-            who[: len(part), j] = owner[j][at : at + steps]
-            before = target[j][at - 1 : at - 1 + len(part)] if at else np.r_[np.int64(END), part[:-1]]
-            x[: len(part), j] = before
-        # a document's last target is the end, so the end as input means a fresh start
-        yield x, y, x == END, who
-
-
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-a))
-
-
-def _forward(p: dict, h: np.ndarray, xw: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    out = np.empty((len(xw), len(h), HIDDEN), np.float32)
+    """(inputs, targets, fresh, text index) of each window, [steps, lanes]; lanes that have ended fall away.
+
+    Targets beyond a lane's end are -1. All lanes lie in one flat array, so their number and the longest text's
+    length cost no padding.
+    """
+    if not texts:
+        return
+    sizes = np.array([len(t) for t in texts], np.int64)
+    dealt = lanes(sizes, count)
+    order = np.concatenate([np.array(d, np.int64) for d in dealt])
+    target = np.concatenate([texts[i] for i in order]).astype(np.int64)
+    owner = np.repeat(order, sizes[order])
+    length = np.array([sizes[d].sum() for d in dealt])
+    start = np.cumsum(length) - length
+    before = np.r_[np.int64(END), target[:-1]]  # a text's last target is the end, so every lane starts after one
+    for at in range(0, int(length[0]), width):
+        live = int(np.searchsorted(-length, -at, "left"))
+        steps = min(width, int(length[0]) - at)
+        place = start[:live] + at + np.arange(steps)[:, None]
+        inside = np.arange(at, at + steps)[:, None] < length[:live]
+        place = np.where(inside, place, 0)
+        x = np.where(inside, before[place], END)
+        # the end as input means a fresh start
+        yield x, np.where(inside, target[place], -1), x == END, owner[place]
+
+
+def _forward(p: dict, h: np.ndarray, xw: np.ndarray, fresh: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States after every step. With ``keep``, what the way back needs goes there."""
+    out = np.empty((*xw.shape[:2], HIDDEN), xw.dtype)
+    stay = (~fresh).astype(xw.dtype)[:, :, None]
+    if keep is not None:
+        keep |= {k: np.empty_like(out) for k in ("hp", "z", "r", "c")} | {"stay": stay}
+    xg, xc, ug, uc = -xw[:, :, : 2 * HIDDEN], xw[:, :, 2 * HIDDEN :], -p["ug"], p["uc"]
     for t in range(len(xw)):
-        hp = np.where(fresh[t][:, None], np.float32(0), h)
-        gates = _sigmoid(xw[t][:, : 2 * HIDDEN] + hp @ p["ug"])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        c = np.tanh(xw[t][:, 2 * HIDDEN :] + (r * hp) @ p["uc"])
-        h = hp + z * (c - hp)
-        out[t] = h
+        hp = h * stay[t]
+        gates = hp @ ug
+        gates += xg[t]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        r = np.multiply(gates[:, HIDDEN:], hp)
+        c = r @ uc
+        c += xc[t]
+        np.tanh(c, out=c)
+        step = c - hp
+        step *= gates[:, :HIDDEN]
+        h = np.add(hp, step, out=out[t])
         if keep is not None:
-            keep.append((hp, z, r, c, fresh[t]))
-    return out, h
+            keep["hp"][t], keep["z"][t], keep["r"][t], keep["c"][t] = hp, gates[:, :HIDDEN], gates[:, HIDDEN:], c
+    return out, h.copy()
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
+def _softmax_terms(a: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of the chosen column of each row, all probabilities); ``a`` is overwritten by the latter."""
+    at = np.arange(len(a)) * a.shape[1] + chosen
+    if len(a):
+        a -= a.max()  # of all rows: far cheaper than row by row
+    low = np.flatnonzero(a.max(1) < -60) if len(a) and a.min() < -60 else ()
+    if len(low):  # rows whose terms would vanish
+        a[low] -= a[low].max(1, keepdims=True)
+    picked = a.ravel().take(at).astype(np.float64)
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], a.dtype)
+    a /= total[:, None]
+    return picked - np.log(total), a
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    wide = np.ones((len(h), HIDDEN + 1), h.dtype)
+    wide[:, :HIDDEN] = h
+    return wide
 
 
 def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target; with ``grad``, adds the loss's gradients there and returns that to h."""
-    rows = np.arange(len(y))
+    """Natural log probability of each target; with ``grad``, adds the loss's gradients there and returns that to h.
+
+    Targets are put in the order of their classes, so the words of a class are one slice; biases are a last weight row
+    that meets a column of ones.
+    """
+    order = np.argsort((y // CLASS).astype(np.int16), kind="stable")
+    h, y = _with_ones(h.take(order, 0)), y.take(order)
     kind = y // CLASS
-    first = _log_softmax(h @ p["wc"] + p["bc"])
-    logp = first[rows, kind].astype(np.float64)
-    dh = None
-    if grad is not None:
-        d = np.exp(first)
-        d[rows, kind] -= 1
-        grad["wc"] += h.T @ d
-        grad["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    ends = np.flatnonzero(np.r_[np.diff(kind[order]) != 0, True]) + 1 if len(order) else []
-    start = 0
-    for end in ends:
-        at = order[start:end]
-        k = kind[at[0]]
-        second = _log_softmax(h[at] @ p["ww"][k] + p["bw"][k])
-        word = y[at] - k * CLASS
-        logp[at] += second[np.arange(len(at)), word]
-        if grad is not None:
-            d = np.exp(second)
-            d[np.arange(len(at)), word] -= 1
-            grad["ww"][k] += h[at].T @ d
-            grad["bw"][k] += d.sum(0)
-            dh[at] += d @ p["ww"][k].T
-        start = end
-    return logp, dh
+    word = y - kind * CLASS
+    starts = np.flatnonzero(np.r_[True, np.diff(kind) != 0]) if len(y) else np.zeros(0, np.int64)
+    parts = [(int(kind[s]), slice(int(s), int(e))) for s, e in zip(starts, np.r_[starts[1:], len(y)], strict=True)]
+    wc, ww = np.vstack([p["wc"], p["bc"]]), np.concatenate([p["ww"], p["bw"][:, None]], 1)
+    first, d1 = _softmax_terms(h @ wc, kind)
+    inner = np.empty((len(y), CLASS), h.dtype)
+    for k, at in parts:
+        np.matmul(h[at], ww[k], out=inner[at])
+    second, d2 = _softmax_terms(inner, word)
+    logp = np.empty(len(y))
+    logp[order] = first + second
+    if grad is None:
+        return logp, None
+    rows = np.arange(len(y)) * CLASS
+    d1.reshape(-1)[np.arange(len(y)) * d1.shape[1] + kind] -= 1
+    d2.reshape(-1)[rows + word] -= 1
+    g = h.T @ d1
+    grad["wc"] += g[:HIDDEN]
+    grad["bc"] += g[HIDDEN]
+    dh = d1 @ p["wc"].T
+    for k, at in parts:
+        g = h[at].T @ d2[at]
+        grad["ww"][k] += g[:HIDDEN]
+        grad["bw"][k] += g[HIDDEN]
+        dh[at] += d2[at] @ p["ww"][k].T
+    back = np.empty_like(dh)
+    back[order] = dh
+    return logp, back
+
+
+def _backward(p: dict, keep: dict, d_out: np.ndarray, grad: dict) -> np.ndarray:
+    """Gradients of the recurrent weights, and those of the steps' inputs [steps x lanes, 3 x HIDDEN]."""
+    hp, z, r, c, stay = (keep[k] for k in ("hp", "z", "r", "c", "stay"))
+    rest = 1 - z
+    to_c, to_z, to_r, carried = z * (1 - c * c), (c - hp) * z * rest, hp * r * (1 - r), rest * stay
+    dxw = np.empty((*d_out.shape[:2], 3 * HIDDEN), d_out.dtype)
+    dh = np.zeros_like(d_out[0])
+    uc, ug = np.ascontiguousarray(p["uc"].T), np.ascontiguousarray(p["ug"].T)
+    for t in range(len(d_out) - 1, -1, -1):
+        dh += d_out[t]
+        dc = dh * to_c[t]
+        drh = dc @ uc
+        row = dxw[t]
+        np.multiply(dh, to_z[t], out=row[:, :HIDDEN])
+        np.multiply(drh, to_r[t], out=row[:, HIDDEN : 2 * HIDDEN])
+        row[:, 2 * HIDDEN :] = dc
+        drh *= r[t]
+        drh += row[:, : 2 * HIDDEN] @ ug
+        drh *= stay[t]
+        dh *= carried[t]
+        dh += drh
+    flat = dxw.reshape(-1, 3 * HIDDEN)
+    grad["uc"] += (r * hp).reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
+    grad["ug"] += hp.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
+    return flat
 
 
 def train(p: dict[str, np.ndarray], texts: list[np.ndarray], adam: dict | None = None, rate: float = 4e-3, count: int = 256, width: int = 20) -> dict:
     """One pass of truncated backpropagation over the texts, in place; returns the optimiser's state."""
     adam = adam or {"step": 0, "m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(v) for k, v in p.items()}}
-    h = np.zeros((0, HIDDEN), np.float32)
+    kind = p["embed"].dtype
+    h = np.zeros((0, HIDDEN), kind)
     for x, y, fresh, _ in windows(texts, count, width):
-        h = h[: x.shape[1]] if len(h) else np.zeros((x.shape[1], HIDDEN), np.float32)
+        h = h[: x.shape[1]] if len(h) else np.zeros((x.shape[1], HIDDEN), kind)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        rows: list = []
-        e = p["embed"][x]
-        out, h = _forward(p, h, e @ p["wx"] + p["bx"], fresh, rows)
-        known = y >= 0
-        _, dk = log_probabilities(p, out[known], y[known], grad)
+        keep: dict = {}
+        inputs, size = x.ravel(), len(p["embed"])
+        table = p["embed"] @ p["wx"] + p["bx"]
+        out, h = _forward(p, h, table.take(inputs, 0).reshape(*x.shape, -1), fresh, keep)
+        at = np.flatnonzero(y.ravel() >= 0)
+        _, dk = log_probabilities(p, out.reshape(-1, HIDDEN).take(at, 0), y.ravel().take(at), grad)
         d_out = np.zeros_like(out)
-        d_out[known] = dk
-        dh = np.zeros_like(h)
-        dxw = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            hp, z, r, c, new = rows[t]
-            dh = dh + d_out[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ p["uc"].T
-            dg = np.concatenate([dh * (c - hp) * z * (1 - z), drh * hp * r * (1 - r)], 1)
-            grad["uc"] += (r * hp).T @ dc
-            grad["ug"] += hp.T @ dg
-            dxw[t, :, : 2 * HIDDEN], dxw[t, :, 2 * HIDDEN :] = dg, dc
-            dh = np.where(new[:, None], np.float32(0), dh * (1 - z) + drh * r + dg @ p["ug"].T)
-        flat = dxw.reshape(-1, 3 * HIDDEN)
-        grad["wx"] += e.reshape(-1, EMBED).T @ flat
-        grad["bx"] += flat.sum(0)
-        np.add.at(grad["embed"], x.ravel(), flat @ p["wx"].T)
-        scale = np.float32(1 / max(1, known.sum()))
+        d_out.reshape(-1, HIDDEN)[at] = dk
+        flat = _backward(p, keep, d_out, grad)
+        grad["wx"] += p["embed"].take(inputs, 0).T @ flat
+        grad["bx"] += np.ones(len(flat), kind) @ flat
+        for j, row in enumerate(p["wx"] @ flat.T):
+            grad["embed"][:, j] += np.bincount(inputs, row, size)
+        scale = kind.type(1 / max(1, len(at)))
         adam["step"] += 1
         slow, fast = 1 - 0.9 ** adam["step"], 1 - 0.999 ** adam["step"]
         for k, g in grad.items():
-            g = np.clip(g * scale, -0.1, 0.1)
+            g *= scale
+            np.clip(g, -0.1, 0.1, out=g)
             m, v = adam["m"][k], adam["v"][k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            p[k] -= np.float32(rate / slow) * m / (np.sqrt(v / np.float32(fast)) + np.float32(1e-8))
+            m += kind.type(0.1) * (g - m)
+            v += kind.type(0.001) * (g * g - v)
+            p[k] -= kind.type(rate / slow) * m / (np.sqrt(v / kind.type(fast)) + kind.type(1e-8))
     return adam
 
 
-def score(p: dict[str, np.ndarray], texts: list[np.ndarray], count: int = 256, width: int = 32) -> np.ndarray:
+def score(p: dict[str, np.ndarray], texts: list[np.ndarray], count: int = 1024, width: int = 32) -> np.ndarray:
     """Log10 probability of each text, whose last id is the end."""
     total = np.zeros(len(texts))
     table = p["embed"] @ p["wx"] + p["bx"]
-    h = np.zeros((0, HIDDEN), np.float32)
+    h = np.zeros((0, HIDDEN), table.dtype)
     for x, y, fresh, who in windows(texts, count, width):
-        h = h[: x.shape[1]] if len(h) else np.zeros((x.shape[1], HIDDEN), np.float32)
-        out, h = _forward(p, h, table[x], fresh)
-        known = y >= 0
-        logp, _ = log_probabilities(p, out[known], y[known])
-        total += np.bincount(who[known], logp, len(total))
+        h = h[: x.shape[1]] if len(h) else np.zeros((x.shape[1], HIDDEN), table.dtype)
+        out, h = _forward(p, h, table.take(x.ravel(), 0).reshape(*x.shape, -1), fresh)
+        at = np.flatnonzero(y.ravel() >= 0)
+        logp, _ = log_probabilities(p, out.reshape(-1, HIDDEN).take(at, 0), y.ravel().take(at))
+        total += np.bincount(who.ravel().take(at), logp, len(total))
     return total / np.log(10)
 
 

@@ -2,7 +2,8 @@
 
 Words split three ways. The commonest have ids of the recurrent model; the model predicts all others as one id, whose
 probability is shared among them as the counts say. Counts of the commonest ``HEAD`` words are broadcast; rarer ones,
-whose number grows with the corpus, meet their counts in a shuffled join.
+whose number grows with the corpus, meet their counts in a shuffled join. Texts are encoded once, for training and
+scoring alike.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import gated_lm
@@ -24,7 +26,8 @@ HEAD = 1 << 17
 MODEL_WORDS = 48 * 48 - 2
 #: The training documents are cut evenly into so many rounds; copies of the model are averaged after each.
 ROUNDS = 3
-_TASK_TOKENS = 500_000
+#: What a task trains on in a round, on average. Long enough that the longest texts do not leave most lanes empty.
+_TASK_TOKENS = 2_000_000
 _BLOCK_TOKENS = 2_000_000
 
 
@@ -38,9 +41,6 @@ class Vocabulary:
     words: list[str]
     counts: np.ndarray
 
-    def __post_init__(self):
-        self.place = {w.encode(): i for i, w in enumerate(self.words)}
-
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.n + self.v + 1.0))
 
@@ -48,12 +48,32 @@ class Vocabulary:
         """What the counts leave for words without a model id, those never seen included."""
         return 1 - (self.counts[:MODEL_WORDS] + 1.0).sum() / (self.n + self.v + 1.0) - (self.ends + 1.0) / (self.n + self.v + 1.0)
 
-    def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(model ids with the end, places in the head, words outside the head)."""
-        words = (text or b"").lower().split()
-        places = np.array([self.place.get(w, -1) for w in words], np.int64)
-        ids = np.where((places >= 0) & (places < MODEL_WORDS), places + 2, gated_lm.OTHER)
-        return np.r_[ids, gated_lm.END].astype(np.int32), places[places >= 0], [words[i] for i in np.flatnonzero(places < 0)] if len(words) else []
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, float, float, int, pa.Array]]:
+        """(model ids with the end, base log10 without rare words, what the model's score adds for words without an id,
+        known tokens, rare words) of each text; null texts have the end only.
+
+        Rare are the words outside the head, whose part of both scores follows by join.
+        """
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        flat = split.flatten()
+        full = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False))  # empty pieces stand at the ends
+        flat, owner = flat.take(pa.array(full)), owner[full]
+        place = pc.fill_null(pc.index_in(flat, pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False)
+        modelled = (place >= 0) & (place < MODEL_WORDS)
+        head = np.append(self.base(self.counts), 0.0)  # the last for place -1
+        total = lambda w: np.bincount(owner, w, len(texts))
+        end = float(self.base(np.array(self.ends)))
+        # words without a model id take their part of the probability of that id
+        base, more = total(head[place]) + end, total(np.where(modelled, 0.0, head[place] - np.log10(self.other_share())))
+        known = total(place >= 0).astype(np.int64) + (self.ends > 0)
+        ends = np.searchsorted(owner, np.arange(len(texts)), "right")
+        ids = np.insert(np.where(modelled, place + 2, gated_lm.OTHER).astype(np.int16), ends, gated_lm.END)
+        cut = np.cumsum(np.bincount(owner, minlength=len(texts)) + 1)[:-1]
+        rare = np.flatnonzero(place < 0)
+        at = np.r_[0, np.searchsorted(owner[rare], np.arange(len(texts)), "right")]
+        words = flat.take(pa.array(rare))
+        return [(x, *y, words[at[i] : at[i + 1]]) for i, (x, *y) in enumerate(zip(np.split(ids, cut), base.tolist(), more.tolist(), known.tolist(), strict=True))]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -99,14 +119,42 @@ def _averaged(parts: DataFrame) -> DataFrame:
             return parts
 
 
-def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, training: Column | None = None, seed: int = 0) -> DataFrame:
+    """A written table with a row a document: uid, doc_id, training, place (a hash that deals documents), n_tokens, n_known,
+    base, more, ids (two bytes a token) and rare (words outside the head).
+
+    ``docs`` needs doc_id and text; other columns are used by ``training`` (all rows where not given) only.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "training", "place", "n_tokens", "n_known", "base", "more", "ids", "rare"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = shared.value.encode(b.column("text"))
+            if not found:
+                continue
+            ids, base, more, known, rare = zip(*found, strict=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.concat_arrays(rare))
+            made = [pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(more), pa.array([x.tobytes() for x in ids], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("training"), b.column("place"), *made], names)
+
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
+    marked = docs.select("doc_id", F.coalesce(F.lit(True) if training is None else training, F.lit(False)).alias("training"), place.alias("place"), "text")
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kinds = f"doc_id {kind}, training boolean, place long, n_tokens long, n_known long, base double, more double, ids binary, rare array<string>"
+    return materialize(marked.mapInArrow(work, kinds).withColumn("uid", F.monotonically_increasing_id()), "encoded")
+
+
+def train_model(encoded: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
     """Data-parallel training: in each round every task trains a copy on its texts, then the copies are averaged.
 
     All rounds together go through every training document once, whatever the size of the corpus; a hash deals the
-    documents to rounds and tasks. Without training texts the model stays at the start.
+    documents to rounds and tasks, and orders them in a task, so that reruns train the same model. Without training
+    texts the model stays at the start.
     """
-    spark = training.sparkSession
-    small_batches(spark)
+    spark = encoded.sparkSession
     counts = np.zeros(MODEL_WORDS + 2)
     counts[gated_lm.END] = vocabulary.ends
     counts[2 : 2 + len(vocabulary.counts[:MODEL_WORDS])] = vocabulary.counts[:MODEL_WORDS]
@@ -114,16 +162,7 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
     model = gated_lm.new_model(counts, seed)
     if not vocabulary.n:
         return model
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)).alias("place")
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [shared.value.encode(t)[0].astype(np.int16).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(ids, pa.binary())], ["place", "ids"])
-
     dealt = max(1, round(vocabulary.n / ROUNDS / _TASK_TOKENS))
-    encoded = materialize(training.select(place, "text").mapInArrow(encode, "place long, ids binary"), "training_ids")
     flat = gated_lm.flatten(model)
     for i in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
@@ -132,19 +171,20 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
             from pyspark import TaskContext
 
             p = gated_lm.restore({k: np.empty(s) for k, s in model_shape.items()}, start.value)
-            adam, weight, held = None, 0, []
+            adam, weight, held, size = None, 0, [], 0
 
             def step(adam):
-                return gated_lm.train(p, held, adam, count=max(32, min(256, sum(map(len, held)) // 4000)))
+                return gated_lm.train(p, held, adam, count=max(32, min(256, size // 4000)))
 
             for b in batches:
-                held += [np.frombuffer(x, np.int16) for x in b.column("ids").to_pylist()]
-                size = sum(map(len, held))
-                if size >= _TASK_TOKENS:
-                    adam, weight, held[:] = step(adam), weight + size, []
+                new = [np.frombuffer(x, np.int16) for x in b.column("ids").to_pylist()]
+                held += new
+                size += sum(map(len, new))
+                if size >= 2 * _TASK_TOKENS:
+                    adam, weight = step(adam), weight + size
+                    held[:], size = [], 0
             if held:
-                weight += sum(map(len, held))
-                adam = step(adam)
+                adam, weight = step(adam), weight + size
             if weight:
                 out = gated_lm.flatten(p)
                 pieces = [out[at : at + 16384].tobytes() for at in range(0, len(out), 16384)]
@@ -152,67 +192,62 @@ def train_model(training: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> d
                 task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int64()), pa.array([float(weight)] * n), pa.array(pieces, pa.binary())], ["k", "task", "weight", "piece"])
 
-        own = encoded.filter(F.pmod("place", F.lit(ROUNDS)) == i)
-        parts = own.repartition(dealt, F.xxhash64("place")).mapInArrow(fit, "k int, task long, weight double, piece binary")
+        own = encoded.filter(F.col("training") & (F.pmod("place", F.lit(ROUNDS)) == i)).select("place", "ids")
+        dealt_out = own.repartition(dealt, F.xxhash64("place")).sortWithinPartitions("place", "ids")
+        parts = dealt_out.mapInArrow(fit, "k int, task long, weight double, piece binary")
         pieces = _averaged(materialize(parts, "parameters")).orderBy("k").collect()  # one model: about 0.5 MB
         if pieces:
             flat = np.concatenate([np.frombuffer(r.piece, np.float32) for r in pieces])
     return gated_lm.restore(model, flat)
 
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every document, in log10; null texts have the end only.
+def score_documents(encoded: DataFrame, vocabulary: Vocabulary, counts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, training, n_tokens, n_known, base_score, score) of every encoded document, in log10.
 
-    Repeated rows and ids stay rows of their own. Base scores add-one smooth the counts; scores are the model's.
+    Null texts have the end only. Repeated rows and ids stay rows of their own. Base scores add-one smooth the counts;
+    scores are the model's. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast((vocabulary, model))
-    names = ["doc_id", "n_tokens", "n_known", "base", "lm", "rare"]
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    names = ["uid", "doc_id", "training", "n_tokens", "n_known", "base", "more", "ids"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = shared.value
-        head, end = vocabulary.base(vocabulary.counts), float(vocabulary.base(np.array(vocabulary.ends)))
-        share = np.log10(vocabulary.other_share())
-
-        def scored(ids: pa.ChunkedArray, found: list) -> Iterator[pa.RecordBatch]:
-            base = np.array([head[p].sum() + end for _, p, _ in found])
-            known = [len(p) + (vocabulary.ends > 0) for _, p, _ in found]
-            lm = gated_lm.score(model, [x for x, _, _ in found])
-            # words without a model id take their part of the probability of that id; for the rare it follows by join
-            lm += [head[p[p >= MODEL_WORDS]].sum() - share * ((p >= MODEL_WORDS).sum() + len(r)) for _, p, r in found]
-            rare = pa.array([[w.decode() for w in r] for _, _, r in found], pa.list_(pa.string()))
-            yield from pa.table([ids, pa.array([len(x) for x, _, _ in found], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lm), rare], names).to_batches(2000)
-
-        ids, found, tokens = [], [], 0
+        def scored(held: list) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            lm = gated_lm.score(shared.value, [np.frombuffer(x, np.int16) for x in table.column("ids").to_pylist()])
+            yield from table.drop_columns("ids").append_column("lm", pa.array(lm)).to_batches(2000)
+
+        held, tokens = [], 0
         for b in batches:
-            ids.append(b.column("doc_id"))
-            for t in b.column("text").cast(pa.binary()).to_pylist():
-                found.append(vocabulary.encode(t))
-                tokens += len(found[-1][0])
+            held.append(b)
+            tokens += pc.sum(b.column("n_tokens")).as_py() or 0
             if tokens >= _BLOCK_TOKENS:
-                yield from scored(pa.chunked_array(ids), found)
-                ids, found, tokens = [], [], 0
-        if found:
-            yield from scored(pa.chunked_array(ids), found)
-
-    kinds = f"doc_id {kind}, n_tokens long, n_known long, base double, lm double, rare array<string>"
-    table = docs.select("doc_id", "text").mapInArrow(work, kinds).withColumn("uid", F.monotonically_increasing_id())
-    table = materialize(table, "scored")  # fixes uid
-    rare = table.select("uid", F.explode("rare").alias("word"))
+                yield from scored(held)
+                held, tokens = [], 0
+        if held:
+            yield from scored(held)
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    table = encoded.select(names).mapInArrow(work, f"uid long, doc_id {kind}, training boolean, n_tokens long, n_known long, base double, more double, lm double")
+    rare = encoded.select("uid", F.explode("rare").alias("word"))
     met = rare.join(counts.filter("not head").select("word", "c"), "word", "left").select("uid", F.col("c").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("c", F.lit(0)) + 1.0) / (vocabulary.n + vocabulary.v + 1.0)).alias("p"))
     sums = met.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("p").alias("p"))
-    joined = table.drop("rare").join(sums, "uid", "left")
-    more = F.coalesce("p", F.lit(0.0))
-    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("lm") + more).alias("score"))
+    joined = table.join(sums, "uid", "left")
+    rest = F.coalesce("p", F.lit(0.0))
+    return joined.select(
+        "doc_id", "training", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + rest).alias("base_score"), (F.col("lm") + F.col("more") + rest).alias("score")
+    )
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Every document's score by counts and by a model of the documents whose checksum is not 2 mod 7.
+
+    Null and empty texts consist of the end alone, repeated rows are scored alike, and an empty table gives an empty
+    result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_id() % 7 == 2
-    training = docs.filter(~held_out)
-    vocabulary, counts = learn_vocabulary(training)
-    model = train_model(training, vocabulary)
-    scored = score_documents(docs, vocabulary, counts, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
+    vocabulary, counts = learn_vocabulary(docs.filter(~held_out))
+    encoded = encode_documents(docs, vocabulary, ~held_out)
+    scored = score_documents(encoded, vocabulary, counts, train_model(encoded, vocabulary))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
