@@ -61,7 +61,7 @@ def test_baseline_clusters_and_refinement_find_groups(spark):
     got = jobs.baseline_clusters(rows, "cell_id", 64, k=2, loading=0.6, least_cells=5).collect()
     groups = [{r.label for r in got if r.cell_id % 2 == k} for k in (0, 1)]
     assert all(len(g) == 1 for g in groups) and groups[0] != groups[1] and None not in groups[0]
-    refined = jobs.hierarchical_labels(rows, "cell_id", 64, k=2, share=0.2, noisy=2.0, rounds=2, factor_rounds=5).collect()
+    refined = jobs.hierarchical_labels(rows, "cell_id", 64, k=2, share=0.2, noisy=2.0, factor_rounds=5).collect()
     assert len(refined) == 40 and all(len({r.label for r in refined if r.cell_id % 2 == k}) <= 2 for k in (0, 1))
     assert (models.noise_ratios(np.stack([np.sin(np.arange(300) / 40), (-1.0) ** np.arange(300)])) > [-1, 0.9]).all()
 

@@ -132,6 +132,49 @@ def zero_phase_low_pass(x: np.ndarray, cutoff: float, order: int = 5) -> np.ndar
     return wide[:, pad : pad + x.shape[1]]
 
 
+def causal_low_pass(x: np.ndarray, cutoff: float, order: int = 5) -> np.ndarray:
+    """Forward low-pass of each row from rest."""
+    b, a = butterworth_low(order, cutoff)
+    return _filtered(b, a, x, np.zeros((len(x), order)))
+
+
+def band_sections(order: int, low: float, high: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(b, a) of a digital band-pass as ``order`` second-order sections; edges are shares of the Nyquist frequency."""
+    lo, hi = 4 * math.tan(math.pi * low / 2), 4 * math.tan(math.pi * high / 2)
+    width, centre = hi - lo, lo * hi
+    around = width / 2 * np.exp(1j * math.pi * (2 * np.arange(order) + 1 + order) / (2 * order))
+    root = np.sqrt(around**2 - centre)
+    poles = np.concatenate([around + root, around - root])
+    digital = (4 + poles) / (4 - poles)
+    gain = float(np.real((width * 4) ** order / np.prod(4 - poles)))
+    pairs = [np.array([p, np.conj(p)]) for p in digital[digital.imag > 1e-12]]
+    real = np.sort(np.real(digital[np.abs(digital.imag) <= 1e-12]))
+    pairs += [real[i : i + 2] for i in range(0, len(real), 2)]
+    zeros, sections = [1.0] * order + [-1.0] * order, []
+    for pair in sorted(pairs, key=lambda p: abs(1 - np.abs(p).max())):  # the nearest to the circle chooses first and comes last
+        mine = sorted(zeros, key=lambda z: abs(z - pair[0]))[:2]
+        for z in mine:
+            zeros.remove(z)
+        sections.append((np.poly(mine), np.real(np.poly(pair))))
+    sections.reverse()
+    return [(sections[0][0] * gain, sections[0][1]), *sections[1:]]
+
+
+def zero_phase_band_pass(x: np.ndarray, low: float, high: float, order: int = 5) -> np.ndarray:
+    """Forward and backward band-pass of each row without padding; every pass starts as if settled at its first value."""
+    parts = band_sections(order, low, high)
+    for _ in range(2):
+        scale = 1.0  # of a constant input, after the sections before
+        first = x[:, 0].copy()
+        for b, a in parts:
+            companion = np.eye(2) - np.column_stack([-a[1:], np.eye(2)[:, :1]])
+            settled = np.linalg.solve(companion, b[1:] - a[1:] * b[0])
+            x = _filtered(b, a, x, np.outer(first * scale, settled))
+            scale *= b.sum() / a.sum()
+        x = x[:, ::-1]
+    return x
+
+
 def sliding_rank(x: np.ndarray, size: int, percentile: float, step: int = 1) -> np.ndarray:
     """Rank filter of every step-th value, mirrored at the ends, made as long as ``x`` by straight lines."""
     taken = x[::step]

@@ -102,3 +102,62 @@ def epoch_means(trials: DataFrame, epoch: str, offset: str, value: str, baseline
     means = trials.groupBy(epoch, offset).agg(F.avg(value).alias("mean"))
     early = trials.filter(F.col(offset) < baseline_until).groupBy(epoch).agg(F.avg(value).alias("__base"))
     return means.join(F.broadcast(early), epoch, "left").withColumn("mean", F.col("mean") - F.coalesce("__base", F.lit(0.0))).drop("__base")
+
+
+def run_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, state: Column) -> DataFrame:
+    """(keys, run, state, span): the time from the first to the last row of each run of equal state."""
+    w = _over(keys, order)
+    marked = df.withColumn("state", state)
+    changed = F.when(F.lag("state").over(w).eqNullSafe(F.col("state")) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    numbered = marked.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w))
+    return numbered.groupBy(*keys, "run").agg(F.first("state").alias("state"), (F.max(time) - F.min(time)).alias("span"))
+
+
+def swim_trials(turns: DataFrame, keys: Sequence[str], position: str, normal: tuple[float, float], hypoxia: tuple[float, float], least_gap: float = 10, drop_last: int = 2) -> DataFrame:
+    """(keys, trial, start, end, epoch) from the on and off turns of a signal.
+
+    A trial begins at an onset after which the next one is more than ``least_gap`` from this one's end, or at the last;
+    it ends at the last end before the next trial. Turns before the first onset count for nothing. The last trials,
+    whose windows may be cut, are left out. Epoch: 1 strictly inside ``normal``, 2 inside ``hypoxia``, else 0.
+    """
+    w = _over(keys, [position])
+    ons = turns.withColumns({"__off": F.lead(position).over(w), "__next": F.lead(position, 2).over(w)}).filter("turn = 'on'")
+    kept = F.when(F.col("__next").isNull() | (F.col("__next") - F.col("__off") > least_gap), 1).otherwise(0)
+    numbered = ons.withColumn("__k", kept).withColumn("trial", F.sum("__k").over(w)).filter("trial > 0")
+    trials = numbered.groupBy(*keys, "trial").agg(F.min(position).alias("start"), F.max("__off").alias("end"))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trial")))
+    kept_trials = trials.withColumn("__r", last).filter(F.col("__r") > drop_last).drop("__r")
+    inside = lambda at: (F.col("start") > at[0]) & (F.col("start") < at[1])
+    return kept_trials.withColumn("epoch", F.when(inside(normal), 1).when(inside(hypoxia), 2).otherwise(0))
+
+
+def burst_bouts(df: DataFrame, keys: Sequence[str], position: str, value: str, block: int = 6000, width: float = 1e-5, top: float = 0.1, multiplier: float = 2.5, gap: float = 600) -> DataFrame:
+    """(keys, bout, start, end): bursts of swimming in a filtered signal with positions 0, 1, 2, ...
+
+    Peaks up to each block's end are counted in bins of ``width`` up to ``top``; the first fullest bin is the mode, and
+    the floor is the last bin before it with less than 1/200 of its count (else 0). Peaks above mode + multiplier x (mode -
+    floor) are bursts; a bout ends where the next burst is more than ``gap`` away, and bouts of one burst are dropped.
+    Positions after the last whole block take its threshold and are not counted.
+    """
+    w = _over(keys, [position])
+    n = F.max(position).over(Window.partitionBy(*keys)) + 1
+    steps = df.withColumns({"__1": F.lead(value, 1).over(w), "__2": F.lead(value, 2).over(w), "__n": n})
+    # a block's threshold reaches one sample into the next, which overwrites all but the last
+    blocks = F.greatest(F.ceil((F.col("__n") - block) / block), F.lit(1)) - 1
+    peaks = steps.filter((F.col("__1") > F.col(value)) & (F.col("__2") < F.col("__1")))
+    peaks = peaks.withColumn("__b", F.least(F.floor(F.col(position) / block), blocks)).select(*keys, position, value, "__b")
+    bins = F.least(F.floor(F.col(value) / width), F.lit(round(top / width) - 1)).cast("int")  # the last bin holds its upper end
+    whole = F.col(position) < (F.col("__b") + 1) * block
+    counted = peaks.filter((F.col(value) >= 0) & (F.col(value) <= top) & whole).groupBy(*keys, "__b", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    per_bin = Window.partitionBy(*keys, "bin").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    seen = peaks.select(*keys, "__b").distinct().join(counted.select(*keys, "bin").distinct(), list(keys)).join(counted, [*keys, "__b", "bin"], "left").fillna(0, ["n"])
+    seen = seen.withColumn("n", F.sum("n").over(per_bin)).filter("n > 0")
+    each = Window.partitionBy(*keys, "__b")
+    modes = seen.withColumn("__m", F.max(F.struct("n", (-F.col("bin")).alias("b"))).over(each)).withColumns({"mode": -F.col("__m.b"), "__most": F.col("__m.n")})
+    high = modes.filter((F.col("bin") < F.col("mode")) & (F.col("n") >= F.col("__most") / 200))
+    # bins right below the mode that all have enough; the one below them is the floor
+    joined = high.withColumn("__r", F.row_number().over(each.orderBy(F.desc("bin")))).filter(F.col("mode") - F.col("bin") == F.col("__r"))
+    floors = joined.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    levels = modes.select(*keys, "__b", "mode").distinct().join(floors, [*keys, "__b"], "left").withColumn("floor", F.greatest(F.col("mode") - 1 - F.coalesce("__c", F.lit(0)), F.lit(0)))
+    high_peaks = peaks.join(levels, [*keys, "__b"]).filter(F.col(value) > burst_threshold(F.col("mode") * width, F.col("floor") * width, multiplier))
+    return sessions(high_peaks.select(*keys, position), keys, position, position, gap).select(*keys, F.col("session").alias("bout"), "start", "end")

@@ -6,11 +6,12 @@ Python function on an expression that holds a lambda.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,13 +90,8 @@ def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str]
     return used.groupBy(*keys).applyInArrow(fit, f"{kinds}, n long, r2 double, aic double, llf double, separated boolean, params array<double>")
 
 
-def keep_outcomes(rows: DataFrame, outcome: Column, seed: int) -> DataFrame:
-    """All positive rows and the negatives whose normal draw exceeds 0.5, about 31 in 100."""
-    return rows.filter(outcome | (F.randn(seed) > 0.5))
-
-
-def low_pass(cells: DataFrame, cutoff: float = 0.06, order: int = 5, trace: str = "trace", name: str = "low") -> DataFrame:
-    """Adds the zero-phase low-pass of each array, all rows of a batch with equal length at once."""
+def _filtered(cells: DataFrame, trace: str, name: str, body) -> DataFrame:
+    """Adds ``body`` of each array, all rows of a batch with equal length at once."""
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -103,7 +99,7 @@ def low_pass(cells: DataFrame, cutoff: float = 0.06, order: int = 5, trace: str
             out: list = [None] * len(rows)
             for n in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == n]
-                values = numeric.zero_phase_low_pass(np.stack([rows[i] for i in at]), cutoff, order) if n > 1 else [rows[i] for i in at]
+                values = body(np.stack([rows[i] for i in at])) if n > 1 else [rows[i] for i in at]
                 for i, v in zip(at, values, strict=True):
                     out[i] = v.tolist()
             yield pa.array(out, pa.list_(pa.float64()))
@@ -111,41 +107,154 @@ def low_pass(cells: DataFrame, cutoff: float = 0.06, order: int = 5, trace: str
     return cells.withColumn(name, F.arrow_udf(work, T.ArrayType(T.DoubleType()))(trace))
 
 
+def low_pass(cells: DataFrame, cutoff: float = 0.06, order: int = 5, trace: str = "trace", name: str = "low") -> DataFrame:
+    """Adds the zero-phase low-pass of each array."""
+    return _filtered(cells, trace, name, lambda x: numeric.zero_phase_low_pass(x, cutoff, order))
+
+
+def causal_low_pass(cells: DataFrame, cutoff: float, order: int = 5, trace: str = "trace", name: str = "low") -> DataFrame:
+    """Adds the forward-only low-pass of each array, from rest."""
+    return _filtered(cells, trace, name, lambda x: numeric.causal_low_pass(x, cutoff, order))
+
+
+def band_pass(cells: DataFrame, low: float, high: float, order: int = 5, trace: str = "trace", name: str = "band") -> DataFrame:
+    """Adds the zero-phase band-pass of each array (shares of the Nyquist frequency), in second-order sections, unpadded."""
+    return _filtered(cells, trace, name, lambda x: numeric.zero_phase_band_pass(x, low, high, order))
+
+
 def _standard(rows: list, frames: int) -> np.ndarray:
     x = np.array(rows, float).reshape(-1, frames)
     x = x - x.mean(1, keepdims=True)
     return x / np.maximum(x.std(1, keepdims=True), 1e-12)
 
 
-def _gram(cells: DataFrame, trace: str, weight: str, frames: int) -> np.ndarray:
-    """Sum of z z' / weight over cells (z: standardised): each task adds up its own cells, and one frames x frames matrix a task is met."""
+def _summed(rows: DataFrame, columns: Sequence[str], work, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all tasks of the array that ``work`` makes of a task's batches.
+
+    Arrays travel in pieces of 32 KB, each of which one executor sums over the tasks; one array reaches the driver.
+    """
+    piece = 1 << 12
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.asarray(work(batches), float).ravel()
+        cuts = [flat[at : at + piece].tobytes() for at in range(0, len(flat), piece)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.binary())], ["i", "cut"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x) for x in table.column("cut").to_pylist()], axis=0)
+        return pa.table({"i": table.column("i")[:1], "cut": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "i int, cut binary"
+    got = sorted((r.i, bytes(r.cut)) for r in rows.select(*columns).mapInArrow(parts, kind).groupBy("i").applyInArrow(add, kind).collect())
+    return np.concatenate([np.frombuffer(p) for _, p in got]).reshape(shape) if got else np.zeros(shape)
+
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((frames, frames))
+def _scaled_products(cells: DataFrame, trace: str, weight: str, q: np.ndarray) -> np.ndarray:
+    """Sum of z (z'q) / weight over cells (z: standardised): frames x columns of q, never frames x frames."""
+    shared = cells.sparkSession.sparkContext.broadcast(q)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(shared.value.shape)
         for b in batches:
-            x = _standard(b.column(0).to_pylist(), frames)
-            total += (x / b.column(1).to_numpy()[:, None]).T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(frames), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
+            x = _standard(b.column(0).to_pylist(), len(total))
+            total += (x / b.column(1).to_numpy()[:, None]).T @ (x @ shared.value)
+        return total
+
+    return _summed(cells, [trace, weight], work, q.shape)
 
-    parts = cells.select(trace, weight).mapInArrow(work, "i int, row array<double>")
-    sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # frames squared
-    out = np.zeros((frames, frames))
-    for r in sums:
-        out[r.i, r.j] = r.v
-    return out
 
+def _leading(cells: DataFrame, trace: str, weight: str, frames: int, k: int, start: np.ndarray | None, passes: int, tol: float = 1e-7) -> np.ndarray:
+    """An orthonormal basis (frames x k) of the leading eigenvectors of the sum of z z' / weight, the largest first.
+
+    Subspace iteration with eight spare directions; each pass over the cells is one product with the basis. It ends when the
+    leading directions stand still, or after ``passes``.
+    """
+    wide = min(frames, k + 8)
+    q = np.random.default_rng(0).normal(size=(frames, wide)) if start is None else start
+    q, before = np.linalg.qr(q)[0], None
+    for _ in range(passes):
+        y = _scaled_products(cells, trace, weight, q)
+        values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        order = np.argsort(values)[::-1]
+        ritz, q = q @ turn[:, order], np.linalg.qr(y @ turn[:, order])[0]
+        if before is not None and np.linalg.svd(ritz[:, :k].T @ before[:, :k])[1].min() > 1 - tol:
+            return ritz
+        before = ritz
+        if wide == frames:
+            return ritz  # all directions: exact at once
+    return before
+
+
+def principal_components(cells: DataFrame, cell: str, frames: int, k: int = 20, trace: str = "trace", passes: int = 15) -> DataFrame:
+    """(cell, scores, explained): scores on the first k principal components of the frames over all cells, and the share
+    of each cell's own sum of squares that they and the mean trace reproduce. k is at most the number of frames."""
+    k = min(k, frames)
+    n = cells.count()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(frames)
+        for b in batches:
+            out += np.array(b.column(0).to_pylist(), float).reshape(-1, frames).sum(0)
+        return out
+
+    mean = _summed(cells, [trace], total, (frames,)) / max(1, n)
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(frames, min(frames, k + 8))))[0]
+    before = None
+    for _ in range(passes):
+        shared = cells.sparkSession.sparkContext.broadcast((q, mean))
+
+        def product(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
+            basis, middle = shared.value
+            out = np.zeros(basis.shape)
+            for b in batches:
+                x = np.array(b.column(0).to_pylist(), float).reshape(-1, frames) - middle
+                out += x.T @ (x @ basis)
+            return out
+
+        y = _summed(cells, [trace], product, q.shape)
+        values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        ritz = q @ turn[:, np.argsort(values)[::-1]]
+        settled = q.shape[1] == frames or (before is not None and np.linalg.svd(ritz[:, :k].T @ before[:, :k])[1].min() > 1 - 1e-7)
+        before, q = ritz, np.linalg.qr(y)[0]
+        if settled:
+            break
+    axes = before[:, :k]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(k)] < 0, -1, 1)
+    shared = cells.sparkSession.sparkContext.broadcast((axes, mean))
+    kind = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("explained", T.DoubleType())])
 
-def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 15, trace: str = "trace") -> DataFrame:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            basis, middle = shared.value
+            x = np.array(batch.to_pylist(), float).reshape(-1, len(middle))
+            scores = (x - middle) @ basis
+            rest = np.square(scores @ basis.T + middle - x).sum(1)
+            explained = 1 - rest / np.maximum(np.square(x).sum(1), np.finfo(float).eps)
+            yield pa.StructArray.from_arrays([pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(explained)], ["scores", "explained"])
+
+    return cells.select(cell, F.arrow_udf(work, kind)(trace).alias("f")).select(cell, "f.*")
+
+
+#: How far (one less a canonical correlation) scores may still turn in a round.
+_SETTLED = 1e-5
+#: Most factors whose rotation is found from their fourth moments, taken in one pass.
+_MOMENTS = 32
+
+
+def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 40, trace: str = "trace") -> DataFrame:
     """(cell, loadings, noise) of ``factor_model``."""
     return factor_model(cells, cell, frames, k, rounds, trace)[0]
 
 
-def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 15, trace: str = "trace") -> tuple[DataFrame, np.ndarray]:
+def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 40, trace: str = "trace") -> tuple[DataFrame, np.ndarray]:
     """((cell, loadings, noise), scores [k x frames]): maximum-likelihood factors of cells (features) over frames (samples), varimax-rotated.
 
-    Traces are standardised on the way. Each round needs the frames x frames matrix of noise-scaled products only; loadings are solved cell by cell. The
-    rotation is found on a bounded sample of cells, then applied to all. Signs: the largest loading is positive.
+    Traces are standardised on the way. Rounds alternate between the leading directions of the noise-scaled cells, which
+    need products with a frames x k basis only, and each cell's own noise, until the scores stand still; if they do not
+    within ``rounds``, a warning says how far they still moved. Rotation and signs (the largest loading is positive)
+    come from sums over all cells. k is at most the number of frames.
     """
+    k = min(k, frames)
     start = cells.withColumn("noise", F.lit(1.0))
     kind = T.StructType([T.StructField("loadings", T.ArrayType(T.DoubleType())), T.StructField("noise", T.DoubleType())])
 
@@ -162,25 +271,158 @@ def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int =
 
         return F.arrow_udf(work, kind)
 
-    scores = None
-    for _ in range(rounds):
-        gram = _gram(start, trace, "noise", frames) / frames
-        values, vectors = np.linalg.eigh(gram)
-        new = vectors[:, np.argsort(values)[::-1][:k]].T * np.sqrt(frames)  # orthogonal scores of unit variance
-        moved = scores is None or np.abs(np.abs(np.linalg.svd(new @ scores.T / frames)[1]) - 1).max() > 1e-6
+    scores, basis, moved = None, None, 1.0
+    for i in range(rounds):
+        basis = _leading(start, trace, "noise", frames, k, basis, 12 if i == 0 else 2)
+        new = basis[:, :k].T * np.sqrt(frames)  # orthogonal scores of unit variance
+        moved = 1.0 if scores is None else float(np.abs(np.linalg.svd(new @ scores.T / frames)[1] - 1).max())
         scores = new
         start = cells.withColumn("__f", loader(scores)(trace)).withColumn("noise", F.col("__f.noise")).drop("__f")
-        if not moved:
+        if moved < _SETTLED:
             break
+    if moved >= _SETTLED:
+        warnings.warn(f"factors still moved by {moved:.1e} after {rounds} rounds", stacklevel=2)
     fitted = materialize(cells.select(cell, loader(scores)(trace).alias("f")).select(cell, "f.*"), "loadings")
-    some = fitted.orderBy(F.xxhash64(cell), cell).limit(5000).select("loadings").collect()
-    turn = numeric.varimax(np.array([r.loadings for r in some]).reshape(-1, k)) if len(some) >= k else np.eye(k)
-    rotated = np.array([r.loadings for r in some]).reshape(-1, k) @ turn
-    turn = turn * np.where(rotated[np.abs(rotated).argmax(0), np.arange(k)] < 0, -1, 1) if len(some) else turn
+    turn = _varimax(fitted, k)
     columns = F.array(*[sum((F.get("loadings", F.lit(j)) * float(turn[j, i]) for j in range(k)), F.lit(0.0)) for i in range(k)])
     return fitted.select(cell, columns.alias("loadings"), "noise"), turn.T @ scores
 
 
+def _varimax(fitted: DataFrame, k: int, rounds: int = 100, tol: float = 1e-9) -> np.ndarray:
+    """The rotation (k x k) of all cells' loadings that maximises the variance of their squares, the largest positive.
+
+    One pass sums products of pairs of loadings, and the fourth moments that every step needs if k is at most
+    ``_MOMENTS``; with more factors each step is a pass whose sums are k x k. Loadings stay where they are.
+    """
+    iu, ju = np.triu_indices(k)
+    m = len(iu) if k <= _MOMENTS else 0
+
+    def loads(b: pa.RecordBatch) -> np.ndarray:
+        return np.array(b.column(0).to_pylist(), float).reshape(-1, k)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        count, cross, fourth = 0, np.zeros((k, k)), np.zeros((m, m))
+        for b in batches:
+            x = loads(b)
+            count, cross = count + len(x), cross + x.T @ x
+            if m:
+                pairs = x[:, iu] * x[:, ju]
+                fourth += pairs.T @ pairs
+        return np.concatenate([[count], cross.ravel(), fourth.ravel()])
+
+    sums = _summed(fitted, ["loadings"], moments, (1 + k * k + m * m,))
+    n, cross, fourth = sums[0], sums[1 : 1 + k * k].reshape(k, k), sums[1 + k * k :].reshape(m, m)
+    place = np.zeros((k, k), int)
+    place[iu, ju] = place[ju, iu] = np.arange(len(iu))
+    twice = np.where(iu == ju, 1, 2)
+
+    def cubes(turn: np.ndarray) -> np.ndarray:
+        """Sum of each loading times the cube of each rotated one."""
+        if m:
+            return np.stack([(fourth @ (twice * t[iu] * t[ju]))[place] @ t for t in turn.T], 1)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            out = np.zeros((k, k))
+            for b in batches:
+                x = loads(b)
+                out += x.T @ (x @ turn) ** 3
+            return out
+
+        return _summed(fitted, ["loadings"], work, (k, k))
+
+    turn, before = np.eye(k), 0.0
+    for _ in range(rounds if k > 1 and n >= k else 0):
+        spread = np.diag(turn.T @ cross @ turn) / n
+        u, s, v = np.linalg.svd(cubes(turn) - cross @ turn * spread)
+        turn = u @ v
+        if s.sum() <= before * (1 + tol):
+            break
+        before = s.sum()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.zeros(k), np.zeros(k)
+        for b in batches:
+            y = loads(b) @ turn
+            low, high = np.minimum(low, y.min(0, initial=0)), np.maximum(high, y.max(0, initial=0))
+        yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64()))], ["low", "high"])
+
+    parts = fitted.select("loadings").mapInArrow(ends, "low array<double>, high array<double>")
+    # one row a task, of 2 k numbers
+    got = parts.agg(*[f(F.get(c, F.lit(i))) for i in range(k) for c, f in (("low", F.min), ("high", F.max))]).first()
+    low, high = np.array(got[0::2], float), np.array(got[1::2], float)
+    return turn * np.where(-low > high, -1, 1)
+
+
+def least_squares_scores(loadings: DataFrame, cells: DataFrame, cell: str, frames: int, k: int, trace: str = "trace") -> np.ndarray:
+    """Scores (k x frames) that best rebuild the traces from the cells' loadings, by the normal equations."""
+    both = cells.select(cell, trace).join(loadings.select(cell, "loadings"), cell)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((k, k + frames))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), float).reshape(-1, k)
+            out[:, :k] += x.T @ x
+            out[:, k:] += x.T @ np.array(b.column(1).to_pylist(), float).reshape(-1, frames)
+        return out
+
+    sums = _summed(both, ["loadings", trace], work, (k, k + frames))
+    return np.linalg.lstsq(sums[:, :k], sums[:, k:], rcond=None)[0]
+
+
+def least_squares_loadings(cells: DataFrame, cell: str, scores: np.ndarray, trace: str = "trace") -> DataFrame:
+    """(cell, loadings) that best rebuild each trace from given scores (k x frames); every cell where it lies."""
+    shared = cells.sparkSession.sparkContext.broadcast(np.linalg.pinv(scores.T))
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = np.array(batch.to_pylist(), float).reshape(len(batch), -1)
+            yield pa.array((x @ shared.value.T).tolist(), pa.list_(pa.float64()))
+
+    return cells.select(cell, F.arrow_udf(work, T.ArrayType(T.DoubleType()))(trace).alias("loadings"))
+
+
+def cluster_labels(loadings: DataFrame, cell: str, k: int, least_cells: int = 100, least_weight: float = 0.2, large: float = 0.9) -> DataFrame:
+    """(cell, label): clusters of signed factors, the largest first.
+
+    Every factor gives a positive and a negative column, cut below ``least_weight``. Columns with at most ``least_cells``
+    cells go; three times, cells take their strongest column (the first on ties) and columns won by at most
+    ``least_cells`` go. Columns are then put in the order of their sizes. If the first holds more than ``large`` of all
+    cells and more than half of them also have another column, those move to that one. All cells are 0 without a column.
+    """
+    count = F.count(F.lit(1))
+
+    def signed(c: int) -> Column:
+        x = F.get("loadings", F.lit(c % k))
+        return F.when((x > 0) == F.lit(c < k), F.when(F.abs(x) >= least_weight, F.abs(x)).otherwise(0.0)).otherwise(0.0)
+
+    wide = materialize(loadings.select(cell, F.array(*[signed(c) for c in range(2 * k)]).alias("w")), "signed")
+    sums = wide.agg(count.alias("n"), *[F.sum((F.get("w", F.lit(c)) > 0).cast("long")).alias(f"c{c}") for c in range(2 * k)]).first()
+    columns = [c for c in range(2 * k) if (sums[f"c{c}"] or 0) > least_cells]
+
+    def strongest(columns: Sequence[int]) -> Column:
+        return F.array_max(F.array(*[F.struct(F.get("w", F.lit(c)).alias("a"), F.lit(-i).alias("i")) for i, c in enumerate(columns)]))["i"] * -1
+
+    def sizes(columns: Sequence[int]) -> dict[int, int]:
+        return {r.at: r.n for r in wide.groupBy(strongest(columns).alias("at")).agg(count.alias("n")).collect()}  # a row a column
+
+    for _ in range(3):
+        if columns:
+            won = sizes(columns)
+            columns = [c for i, c in enumerate(columns) if won.get(i, 0) > least_cells]
+    if not columns:
+        return wide.select(cell, F.lit(0).alias("label"))
+    won = sizes(columns)
+    columns = [columns[i] for i in sorted(range(len(columns)), key=lambda i: (-won.get(i, 0), i))]
+    label = strongest(columns)
+    if len(columns) > 1:
+        most = max(sizes(columns))
+        other = (label == 0) & F.exists(F.array(*[F.get("w", F.lit(c)) for c in columns[1:]]), lambda x: x > 0)
+        share = wide.agg(F.avg((label == 0).cast("double")).alias("first"), F.avg(other.cast("double")).alias("other")).first()
+        if share.first > large and share.other > 0.5:
+            label = F.when(other, strongest(columns[1:]) + most).otherwise(label)
+    return wide.select(cell, label.cast("int").alias("label"))
+
+
 def noise_ratios(scores: np.ndarray, cutoff: float = 0.06, order: int = 5) -> np.ndarray:
     """The share of each score's energy that a low-pass removes."""
     low = numeric.zero_phase_low_pass(scores, cutoff, order)
@@ -241,15 +483,52 @@ def ward_groups(cells: DataFrame, group: str, cell: str, trace: str = "z", most:
 def stimulus_offsets(channel: DataFrame, key: str, position: str, value: str, edges: Sequence[float], levels: Sequence[float], step: int = 1) -> DataFrame:
     """(key, offset, mae, matched): how well a cyclic sequence of epochs explains each channel at every offset.
 
-    ``edges`` are cumulative durations: the level at a phase is that of the epoch whose edge first exceeds it. The
-    grid of offsets is a handful of numbers, so it is an array on each row, not a join.
+    ``edges`` are cumulative durations: the level at a phase is that of the epoch whose edge first exceeds it. Samples
+    are summed by their own phase against each of the few levels first; only those sums, one a key and phase, meet
+    the offsets.
     """
     total = int(edges[-1])
-    level: Column = F.lit(float(levels[-1]))
-    phase = F.pmod(F.col(position) + F.col("offset"), F.lit(total))
-    for e, v in reversed(list(zip(edges[:-1], levels[:-1], strict=True))):
-        level = F.when(phase < e, F.lit(float(v))).otherwise(level)
-    spread = channel.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))))
-    off = F.abs(F.col(value) - level)
     close = 0.02 * (max(levels) - min(levels))
-    return spread.groupBy(key, "offset").agg(F.avg(off).alias("mae"), F.avg((off <= close + 1e-5 * F.abs(level)).cast("double")).alias("matched"))
+    own = F.pmod(F.col(position), F.lit(total)).cast("int").alias("__p")
+    sums = []
+    for j, v in enumerate(levels):
+        off = F.abs(F.col(value) - float(v))
+        sums += [F.sum(off).alias(f"__a{j}"), F.sum((off <= close + 1e-5 * abs(float(v))).cast("long")).alias(f"__m{j}")]
+    by_phase = channel.groupBy(key, own).agg(F.count(F.col(value)).alias("__n"), *sums)
+    spread = by_phase.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))))
+    phase = F.pmod(F.col("__p") + F.col("offset"), F.lit(total))
+    epoch: Column = F.lit(len(levels) - 1)
+    for j in range(len(levels) - 2, -1, -1):
+        epoch = F.when(phase < edges[j], F.lit(j)).otherwise(epoch)
+    at = spread.withColumn("__e", epoch)
+    pick = lambda x: F.coalesce(*[F.when(F.col("__e") == j, F.col(f"__{x}{j}")) for j in range(len(levels))])
+    n = F.sum("__n")
+    return at.groupBy(key, "offset").agg(F.try_divide(F.sum(pick("a")), n).alias("mae"), F.try_divide(F.sum(pick("m")), n.cast("double")).alias("matched"))
+
+
+def best_offsets(offsets: DataFrame, keys: Sequence[str], spread: float, least_match: float = 0.8, most_error: float = 0.1) -> DataFrame:
+    """(keys, offset, mae, matched, direct_match): the offset with the least error, the first one on ties.
+
+    A direct match has at least ``least_match`` of its samples near the level, and an error of at most ``most_error`` of the
+    levels' spread.
+    """
+    best = offsets.groupBy(*keys).agg(F.min(F.struct("mae", "offset", "matched")).alias("b"))
+    return best.select(*keys, "b.offset", "b.mae", "b.matched", ((F.col("b.matched") >= least_match) & (F.col("b.mae") <= most_error * spread)).alias("direct_match"))
+
+
+def choose_channels(matches: DataFrame, fields: Sequence[str], field: str = "field", channel: str = "channel") -> DataFrame:
+    """(field, channel, direct_match, mae): one channel a field, in the order of ``fields``.
+
+    Direct matches come first, then the least error, then the channel's name; a channel is given away once, unless all
+    are taken. One pass a field, of which there are a handful.
+    """
+    chosen: DataFrame | None = None
+    order = Window.partitionBy(field).orderBy(F.desc("__free"), F.desc("direct_match"), "mae", channel)
+    for name in fields:
+        own = matches.filter(F.col(field) == name).withColumn("__free", F.lit(True))
+        if chosen is not None:
+            taken = chosen.select(F.col(channel).alias("__taken")).distinct()
+            own = own.join(F.broadcast(taken), F.col(channel) == F.col("__taken"), "left").withColumn("__free", F.col("__taken").isNull()).drop("__taken")
+        first = own.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(field, channel, "direct_match", "mae")
+        chosen = first if chosen is None else chosen.unionByName(first)
+    return chosen

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.kernels import numeric
 from tracewell.operators.signals import let, rank_correlation, to_frames
 
 
@@ -97,3 +98,74 @@ def bin_counts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """(keys, label, n, rank): group sizes, the largest first, ties by label."""
     counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), label)))
+
+
+# filters on fitted cells
+
+
+def active_cells(cells: DataFrame, p: str = "p", mean: float = 20, std: float = 2, variation: float = 0.05, most_p: float = 0.001) -> DataFrame:
+    """Cells whose mean, std and their ratio exceed their floors and whose p-value is below ``most_p``."""
+    return cells.filter((F.col("mean") > mean) & (F.col("std") > std) & (F.try_divide("std", "mean") > variation) & (F.col(p) < most_p))
+
+
+def significant(df: DataFrame, p: str, most: float = 0.05) -> DataFrame:
+    return df.filter(finite(p) < most)
+
+
+def on_grid(df: DataFrame, unit: str, axes: dict[str, Sequence], value: str) -> DataFrame:
+    """(unit, axes, value) for every unit and every combination of the axes' values, null where ``df`` has no row."""
+    grid = df.select(unit).distinct()
+    for name, values in axes.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return grid.join(df.groupBy(unit, *axes).agg(F.first(value).alias(value)), [unit, *axes], "left")
+
+
+def summarise_runs(fits: DataFrame, keys: Sequence[str], values: Sequence[str] = ("r2", "aic")) -> DataFrame:
+    """(keys, fits, <value>_n, <value>_mean, <value>_std, <value>_median) over the runs' finite values; null keys are groups."""
+    made = []
+    for v in values:
+        x = finite(v)
+        made += [F.count(x).alias(f"{v}_n"), F.avg(x).alias(f"{v}_mean"), F.stddev_pop(x).alias(f"{v}_std"), F.median(x).alias(f"{v}_median")]
+    return fits.groupBy(*keys).agg(F.count(F.lit(1)).alias("fits"), *made)
+
+
+def two_way_anova(df: DataFrame, a: str, b: str, value: str, condition: str | None = None) -> DataFrame:
+    """(condition, term, sum_sq, df, f, p): additive two-way ANOVA, type II, on the means of (condition, a, b).
+
+    One table a condition and one of all conditions' means, named ``combined``. Cells may be missing: each term's sum is
+    what the fit without it leaves more than the full fit. Only the means, one a combination of levels, reach the driver.
+    """
+    spark = df.sparkSession
+    keys = [condition, a, b] if condition else [a, b]
+    means = df.groupBy(*keys).agg(F.avg(finite(value)).alias("m")).filter("m is not null").collect()
+    tables: dict[str, list[tuple]] = {}
+    for r in means:
+        if condition:
+            tables.setdefault(str(r[condition]), []).append((r[a], r[b], r.m))
+    both: dict[tuple, list[float]] = {}
+    for r in means:
+        both.setdefault((r[a], r[b]), []).append(r.m)
+    tables["combined"] = [(*k, float(np.mean(v))) for k, v in both.items()]
+
+    def dummies(levels: list) -> np.ndarray:
+        names = sorted(set(levels), key=str)
+        return np.array([[float(x == n) for n in names[1:]] for x in levels]).reshape(len(levels), max(0, len(names) - 1))
+
+    rows = []
+    for name, table in sorted(tables.items()):
+        y, one = np.array([m for *_, m in table]), np.ones((len(table), 1))
+        parts = {"a": dummies([x for x, *_ in table]), "b": dummies([x for _, x, _ in table])}
+
+        def left(*terms: str, y=y, one=one, parts=parts) -> float:
+            x = np.concatenate([one, *[parts[t] for t in terms]], 1)
+            return float(np.square(y - x @ np.linalg.lstsq(x, y, rcond=None)[0]).sum())
+
+        full = left("a", "b")
+        free = len(y) - 1 - parts["a"].shape[1] - parts["b"].shape[1]
+        for term, other in (("a", "b"), ("b", "a")):
+            k = parts[term].shape[1]
+            ss = left(other) - full
+            f = (ss / k) / (full / free) if k and free > 0 and full > 0 else None
+            rows.append((name, term, ss, float(k), f, None if f is None else numeric.f_p(f, k, free)))
+        rows.append((name, "error", full, float(free), None, None))
+    return spark.createDataFrame(rows, "condition string, term string, sum_sq double, df double, f double, p double")

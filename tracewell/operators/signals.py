@@ -74,10 +74,6 @@ def delta_f(fluorescence: Column, baseline: Column) -> Column:
     return F.zip_with(fluorescence, baseline, lambda f, b: F.try_divide(f, b) - 1)
 
 
-def above_background(signal: Column, background: Column) -> Column:
-    return F.greatest(signal - background, F.lit(0.0))
-
-
 def population_mean(cells: DataFrame, trace: str = "trace") -> DataFrame:
     """(frame, mean) over all cells; sums are made in each task, so one row a frame and task is shuffled."""
     return to_frames(cells, trace, "value").groupBy("frame").agg(F.avg("value").alias("mean"))
@@ -86,17 +82,6 @@ def population_mean(cells: DataFrame, trace: str = "trace") -> DataFrame:
 # ranks and rank correlation
 
 
-def average_rank(value: str, keys: Sequence[str]) -> Column:
-    """Rank among the rows of equal keys; ties share the mean of their places."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(_over(keys, [value])) + (ties - 1) / 2.0
-
-
-def safe_correlation(x: str, y: str) -> Column:
-    """Pearson correlation as an aggregate; null, not an error, where a side is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def rank_correlation(cells: DataFrame, references: np.ndarray, trace: str = "trace", name: str = "r") -> DataFrame:
     """Adds the array of Spearman correlations with each reference row; null where undefined.
 
@@ -121,6 +106,21 @@ def rank_correlation(cells: DataFrame, references: np.ndarray, trace: str = "tra
     return cells.withColumn(name, F.arrow_udf(work, T.ArrayType(T.DoubleType()))(trace))
 
 
+def paired_rank_correlation(rows: DataFrame, left: str, right: str, name: str = "r") -> DataFrame:
+    """Adds the Spearman correlation of two arrays of each row; null where undefined or of unequal lengths."""
+
+    def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+                known = x and y and len(x) == len(y)
+                r = float(numeric.rank_correlations(np.array([x], float), np.array([y], float))[0, 0]) if known else np.nan
+                out.append(r if np.isfinite(r) else None)
+            yield pa.array(out, pa.float64())
+
+    return rows.withColumn(name, F.arrow_udf(work, T.DoubleType())(left, right))
+
+
 def vector(frames: DataFrame, value: str) -> np.ndarray:
     """A frame-indexed column as numpy; its length is the number of frames, not of cells."""
     return np.array([r[0] for r in frames.orderBy("frame").select(value).collect()], float)
@@ -211,15 +211,19 @@ def bin_means(frames: DataFrame, keys: Sequence[str], position: str, value: str,
     return binned.groupBy(*keys, "bin").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == width).drop("__n")
 
 
-def interpolate_curve(df: DataFrame, time: str, curve: DataFrame, origin: int = 1, name: str = "curve") -> DataFrame:
-    """Adds the linear value of a curve with knots (sec, value) at whole seconds from ``origin``, clamped at its ends.
+def interpolate_curve(df: DataFrame, time: str, curve: DataFrame, name: str = "curve", clamp: bool = True) -> DataFrame:
+    """Adds the linear value of a curve with knots (sec, value) at whole seconds.
 
+    Times beyond its ends take the end's value, or are left out without ``clamp`` (the last knot's time included).
     An equality join on the second before; the curve is one short table, its segments carry the next value.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("sec")  # the curve only: one row a second
     knots = curve.select("sec", F.col("value").alias("__v"), F.lead("value").over(w).alias("__next"))
     ends = curve.agg(F.min("sec").alias("__lo"), F.max("sec").alias("__hi"))
-    held = df.crossJoin(F.broadcast(ends)).withColumn("__t", F.greatest(F.least(F.col(time), F.col("__hi").cast("double")), F.col("__lo").cast("double")))
+    held = df.crossJoin(F.broadcast(ends))  # one row
+    if not clamp:
+        held = held.filter((F.col(time) >= F.col("__lo")) & (F.col(time) < F.col("__hi")))
+    held = held.withColumn("__t", F.greatest(F.least(F.col(time), F.col("__hi").cast("double")), F.col("__lo").cast("double")))
     met = held.withColumn("sec", F.floor("__t").cast("int")).join(F.broadcast(knots), "sec", "left")
     value = F.col("__v") + (F.coalesce("__next", "__v") - F.col("__v")) * (F.col("__t") - F.col("sec"))
     return met.withColumn(name, value).drop("__lo", "__hi", "__t", "sec", "__v", "__next")
@@ -244,3 +248,116 @@ def swim_power(df: DataFrame, keys: Sequence[str], value: str, percentile: float
     """Adds threshold (the key's percentile, linear) and power, sqrt of what exceeds it."""
     levels = df.groupBy(*keys).agg(F.percentile(value, percentile).alias("threshold"))
     return df.join(levels, list(keys)).withColumn("power", F.sqrt(F.greatest(F.col(value) - F.col("threshold"), F.lit(0.0))))
+
+
+# differences, steps and turns
+
+
+def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "diff") -> DataFrame:
+    """Adds the value less its predecessor's; null on the first row."""
+    return df.withColumn(name, F.col(value) - F.lag(value).over(_over(keys, order)))
+
+
+def least_step(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
+    """(keys, least_step): the least distance of neighbouring positions."""
+    return first_difference(df, keys, order, position, "__d").groupBy(*keys).agg(F.min("__d").alias("least_step"))
+
+
+def turns(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """The rows before a change, with turn: ``on`` from 0 to a positive value, ``off`` from a positive value to 0."""
+    after = F.lead(value).over(_over(keys, order))
+    turn = F.when((F.col(value) == 0) & (after > 0), "on").when((F.col(value) > 0) & (after == 0), "off")
+    return df.withColumn("turn", turn).filter("turn is not null")
+
+
+def exclude_places(df: DataFrame, keys: Sequence[str], order: Sequence[str], places: DataFrame) -> DataFrame:
+    """The rows whose place in their signal, from 0, is not listed in ``places`` (keys, place)."""
+    placed = df.withColumn("place", F.row_number().over(_over(keys, order)) - 1)
+    return placed.join(places, [*keys, "place"], "left_anti").drop("place")
+
+
+def pair_times(cells: DataFrame, times: DataFrame, recording: str, trace: str = "trace", sec: str = "sec") -> DataFrame:
+    """Cells with the time stamps of their recording (one array a recording), both cut to the shorter one's length."""
+    n = F.least(F.size(trace), F.size(sec))
+    joined = cells.join(times.select(recording, sec), recording).withColumn("__n", n)
+    return joined.withColumns({trace: F.slice(trace, F.lit(1), F.col("__n")), sec: F.slice(sec, F.lit(1), F.col("__n"))}).drop("__n")
+
+
+def within(cells: DataFrame, start: float, end: float, trace: str = "trace", sec: str = "sec") -> DataFrame:
+    """Traces and times of the frames with start < time < end."""
+    both = F.filter(F.arrays_zip(F.col(trace).alias("v"), F.col(sec).alias("t")), lambda x: (x["t"] > start) & (x["t"] < end))
+    held = cells.withColumn("__b", both)
+    return held.withColumns({trace: F.col("__b.v"), sec: F.col("__b.t")}).drop("__b")
+
+
+# robust means and distributions
+
+
+def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(keys, trimmed_mean): the mean of the values strictly between two percentiles."""
+    ends = df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("__p"))
+    inside = df.join(ends, list(keys)).filter((F.col(value) > F.col("__p")[0]) & (F.col(value) < F.col("__p")[1]))
+    return inside.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"))
+
+
+def normalise_by_window(df: DataFrame, keys: Sequence[str], position: str, value: str, start: float, end: float, name: str = "normal") -> DataFrame:
+    """Adds the value over the key's mean within [start, end); null where that has no rows or is 0."""
+    inside = (F.col(position) >= start) & (F.col(position) < end)
+    means = df.groupBy(*keys).agg(F.avg(F.when(inside, F.col(value))).alias("__m"))
+    return df.join(means, list(keys)).withColumn(name, F.try_divide(value, "__m")).drop("__m")
+
+
+def ecdf_grid(df: DataFrame, keys: Sequence[str], value: str, points: int = 50) -> DataFrame:
+    """(keys, i, x, ecdf): the share of values at most x, on an even grid from the key's least value to its largest.
+
+    Each value is counted at the first grid point that is not below it, and the counts of ``points`` rows are summed
+    up; values never meet the whole grid.
+    """
+    ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    at = lambda i: F.col("__lo") + (F.col("__hi") - F.col("__lo")) * i / (points - 1)
+    guess = F.coalesce(F.ceil(F.try_divide((F.col(value) - F.col("__lo")) * (points - 1), F.col("__hi") - F.col("__lo"))), F.lit(0))
+    met = df.join(ends, list(keys)).withColumn("__g", F.least(guess, F.lit(points - 1)))
+    first = F.when((F.col("__g") > 0) & (at(F.col("__g") - 1) >= F.col(value)), F.col("__g") - 1).when((F.col("__g") < points - 1) & (at(F.col("__g")) < F.col(value)), F.col("__g") + 1).otherwise(F.col("__g"))
+    counts = met.filter(F.col(value).isNotNull()).groupBy(*keys, first.cast("int").alias("i")).agg(F.count(F.lit(1)).alias("__n"))
+    grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at(F.col("i")))
+    w = Window.partitionBy(*keys)
+    seen = F.sum(F.coalesce("__n", F.lit(0))).over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return grid.join(counts, [*keys, "i"], "left").select(*keys, "i", "x", (seen / F.sum("__n").over(w)).alias("ecdf"))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], bins: int = 4096, few: int = 10_000) -> list[float | None]:
+    """Linear quantiles of a whole column, without gathering it: counted histograms narrow down to the values at a rank.
+
+    Each pass counts at most ``bins`` bins and goes on between the least and the largest value of the bin that holds
+    the rank, until ``few`` rows, or copies of one value, are left.
+    """
+    values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+
+    def ranked(rank: int) -> float:
+        lo, hi, below, inside = least, most, 0, n
+        while lo < hi:
+            held = values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            if inside <= few:
+                return held.orderBy("v").limit(rank - below + 1).agg(F.max("v")).first()[0]
+            place = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+            for r in held.groupBy(place.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+                if below + r.n > rank:
+                    lo, hi, inside = r.lo, r.hi, r.n
+                    break
+                below += r.n
+        return lo
+
+    found: dict[int, float] = {}
+    out: list[float | None] = []
+    for share in shares:
+        if not n:
+            out.append(None)
+            continue
+        at = share * (n - 1)
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        for k in (low, high):
+            if k not in found:
+                found[k] = ranked(k)
+        out.append(found[low] + (found[high] - found[low]) * (at - low))
+    return out

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.signals import exact_quantiles
+
 
 def box_map(points: DataFrame, axes: Sequence[str], value: str, radius: Sequence[int], size: Sequence[int], least: int = 10) -> DataFrame:
     """(axes, n, mean): mean value of the points within a half-open box [c - r, c + r) of each voxel, if n >= least.
@@ -61,10 +63,22 @@ def weighted_centroid(points: DataFrame, keys: Sequence[str], axes: Sequence[str
 
 
 def normalise_intensity(df: DataFrame, value: str, low: float, high: float, name: str = "normal") -> DataFrame:
-    """Adds the value clipped to its high percentile, less its low one, floored at 0, over the maximum that leaves."""
-    levels = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("__lo"), F.col("p")[1].alias("__hi"))
-    clipped = F.greatest(F.least(F.col(value), F.col("__hi")) - F.col("__lo"), F.lit(0.0))
-    return df.crossJoin(F.broadcast(levels)).withColumn(name, F.try_divide(clipped, F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
+    """Adds the value clipped to its high percentile, less its low one, floored at 0, over the maximum that leaves.
+
+    ``df`` is read several times: the percentiles come from counted histograms, not from a gathered column.
+    """
+    lo, hi = exact_quantiles(df, value, [low, high])
+    if lo is None or hi is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    clipped = F.greatest(F.least(F.col(value), F.lit(hi)) - F.lit(lo), F.lit(0.0))
+    return df.withColumn(name, F.try_divide(clipped, F.lit(hi - lo)))
+
+
+def inside_volume(df: DataFrame, axes: Sequence[str], size: Sequence[int]) -> DataFrame:
+    """The points strictly between 0 and size - 1 on every axis, before any rounding."""
+    for a, n in zip(axes, size, strict=True):
+        df = df.filter((F.col(a) > 0) & (F.col(a) < n - 1))
+    return df
 
 
 def z_panels(cells: DataFrame, z: str, depth: int = 3) -> DataFrame:

@@ -91,10 +91,34 @@ def behaviour_runs(rows: DataFrame, fish: str, condition: str, outcome: str, run
     return models.logistic_fits(kept, ["spec_idx", "spec_label", "run_idx", fish, condition], "x", outcome)
 
 
-def select_bouts(bouts: DataFrame, minutes: Column, gap: Column, oxygen: Column) -> DataFrame:
-    """Bouts of the two conditions: onset in 5-20 min (normal) or 30-40 min (hypoxia), gap over 3 s, low oxygen change."""
-    condition = F.when((minutes > 5) & (minutes < 20), "normal").when((minutes > 30) & (minutes < 40), "hypoxia")
-    return bouts.withColumn("condition", condition).filter(F.col("condition").isNotNull() & (gap > 3) & (oxygen < 0.01))
+def oxygen_correlations(cells: DataFrame, times: DataFrame, curve: DataFrame, cell: str, recording: str, start: float, end: float, clamp: bool = True, trace: str = "trace") -> DataFrame:
+    """Adds r and p, the rank correlation of each trace with the oxygen curve at the frames with start < time < end.
+
+    ``times`` has one array ``sec`` a recording; traces and times are cut to the shorter. The curve (sec, value) is linear
+    between whole seconds; beyond its ends it takes the end's value, or those frames are left out without ``clamp``. One
+    curve a recording is worked out, as long as its frames, and travels to its cells.
+    """
+    longest = cells.groupBy(recording).agg(F.max(F.size(trace)).alias("__n"))
+    frames = times.join(longest, recording).select(recording, F.posexplode(F.slice("sec", F.lit(1), F.col("__n"))).alias("frame", "__t"))
+    met = signals.interpolate_curve(frames.filter((F.col("__t") > start) & (F.col("__t") < end)), "__t", curve, "__o", clamp)
+    oxygen = materialize(met.groupBy(recording).agg(F.sort_array(F.collect_list(F.struct("frame", "__o"))).alias("__f")).select(recording, "__f.frame", "__f.__o"), "oxygen")
+    joined = cells.join(oxygen, recording)
+    held = F.filter(F.transform("frame", lambda i: F.get(trace, i)), lambda v: v.isNotNull())
+    cut = materialize(joined.withColumn("__v", held).withColumn("__o", F.slice("__o", F.lit(1), F.size("__v"))), "paired")
+    scored = signals.paired_rank_correlation(cut, "__v", "__o", "r").withColumn("p", signals.spearman_p("r", F.size("__v").cast("long")))
+    return scored.withColumnRenamed("__v", "inside").drop("frame", "__o")
+
+
+def oxygen_reference_bins(cells: DataFrame, times: DataFrame, curve: DataFrame, cell: str, recording: str, start: float, end: float, trace: str = "trace") -> DataFrame:
+    """(cell, r, rs, best_r, best): each cell's rank correlations with the mean z-scored trace of every bin of oxygen
+    correlation that has cells, the largest of them, and its place."""
+    scored = materialize(oxygen_correlations(cells, times, curve, cell, recording, start, end, trace=trace).select(cell, "r", "inside"), "scored")
+    z = signals.zscore(scored, "inside").withColumn("bin", populations.reference_bin(F.col("r")))
+    labels, traces = populations.templates(populations.label_means(z.filter("bin is not null"), "bin"), "bin")
+    if not labels:
+        return scored.select(cell, "r", F.array().cast("array<double>").alias("rs"), F.lit(None).cast("double").alias("best_r"), F.lit(None).cast("int").alias("best"))
+    matched = signals.rank_correlation(scored, traces, "inside", "rs")
+    return matched.select(cell, "r", "rs", F.array_max("rs").alias("best_r"), (F.array_position("rs", F.array_max("rs")) - 1).cast("int").alias("best"))
 
 
 def guard_edges(bouts: DataFrame, keys: Sequence[str], start: str, end: str, before: float, after: float, length: float) -> DataFrame:
@@ -128,13 +152,16 @@ def subclusters(cells: DataFrame, cluster: str, cell: str, k: int, assign: float
     return inner.join(F.broadcast(offsets), cluster).select(cluster, cell, (F.col("sub") + F.col("__o")).cast("int").alias("sub"))
 
 
-def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100, share: float = 0.05, settled: float = 0.9, noisy: float = 0.3, floor: float = 0.2, rounds: int = 10, factor_rounds: int = 15, trace: str = "trace") -> DataFrame:
-    """(cell, label): factor labels, refined until no cluster of at least ``share`` of the cells splits further.
+def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100, share: float = 0.05, settled: float = 0.9, noisy: float = 0.3, floor: float = 0.2, rounds: int = 100, factor_rounds: int = 40, trace: str = "trace") -> DataFrame:
+    """(cell, label): factor labels, refined until every cluster has under ``share`` of the cells or is settled.
 
-    Such a cluster (at most 1 / share of them at a time) is factored again over its own cells; members with a positive
-    new label move to new ids after the current largest. A cluster that keeps over ``settled`` of its members is done.
-    Factors whose scores lose ``noisy`` of their energy to a low-pass do not count. Every round is a written table.
+    A larger cluster (at most 1 / share of them at a time) is factored again over its own cells; members with a positive
+    new label move to new ids after the current largest. It is settled, with its parts, if over ``settled`` of its members
+    stay or over that share moves. Factors whose scores lose ``noisy`` of their energy to a low-pass do not count. Every
+    round splits or settles each large cluster, so the loop ends; one that does not within ``rounds`` is an error.
+    Every round is a written table.
     """
+    k = min(k, frames)
     loads, scores = models.factor_model(cells, cell, frames, k, factor_rounds, trace)
     quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
     labels = models.loading_labels(loads, cell, floor, quiet).select(cell, "label")
@@ -144,12 +171,12 @@ def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100,
         total = sum(counts.values())
         big = sorted(x for x, n in counts.items() if x is not None and n >= share * total and x not in done)
         if not big:
-            break
+            return labels
         top = max(x for x in counts if x is not None) + 1
         changes, found = None, []
         for x in big:
-            members = cells.join(labels.filter(F.col("label") == x).select(cell), cell)
-            parts = min(most, max(1, counts[x] // 1000))
+            members = materialize(cells.join(labels.filter(F.col("label") == x).select(cell), cell), "members")
+            parts = min(most, frames, max(1, counts[x] // 1000))
             inner, scores = models.factor_model(members, cell, frames, parts, factor_rounds, trace)
             quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
             moved = models.loading_labels(inner, cell, floor, quiet).filter("label >= 0").select(cell, (F.col("label") + top).alias("new"))
@@ -162,4 +189,4 @@ def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100,
             changes = moved if changes is None else changes.unionByName(moved)
         labels = materialize(labels.join(changes, cell, "left").select(cell, F.coalesce("new", "label").alias("label")), "labels")
         most = max(int(np.mean(found)) + 5, 20)
-    return labels
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
