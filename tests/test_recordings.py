@@ -188,3 +188,37 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     assert "strategy=broadcast" in plan(spark.range(9).join(broadcast_if_small(wide, 100), "id"))
     assert "strategy=broadcast" not in plan(spark.range(9).join(broadcast_if_small(wide, 100, 10_000), "id"))
     assert "strategy=broadcast" not in plan(spark.range(9).join(broadcast_if_small(wide, 10), "id"))
+
+
+def test_jobs_over_a_catalog(spark, tmp_path):
+    from tracewell.__main__ import main
+    from tracewell.plans import recording_jobs
+
+    rng = np.random.default_rng(8)
+    lines = ["recording_id,cohort,dir,save_root,registration_root"]
+    for k in range(2):
+        root = tmp_path / f"rec{k}"
+        lines.append(f"{k},a,d,{root},None")
+        swim = np.abs(rng.normal(size=330))
+        traces = [np.convolve(np.sqrt(np.maximum(swim - np.percentile(swim[:320], 70), 0)), [0, 1, 0.5])[:320] + 0.05 * rng.normal(size=320) for _ in range(6)]
+        spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(traces)], "cell int, trace array<double>").write.parquet(str(root / "cells.parquet"))
+        flags = [(0, True, None, None), (1, False, False, None), (2, False, True, False), (3, False, True, True), (4, False, True, True), (5, False, True, True)]
+        spark.createDataFrame(flags, "cell int, invalid boolean, explained boolean, active boolean").write.parquet(str(root / "flags.parquet"))
+        spark.createDataFrame([(i, 10.0 * i, float(s)) for i, s in enumerate(swim)], "frame int, sec double, swim double").write.parquet(str(root / "frames.parquet"))
+    (tmp_path / "list.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "o2.csv").write_text("sec,value\n" + "\n".join(f"{t},{math.sin(t / 300)}" for t in range(1, 3301)) + "\n")
+    catalog, out = str(tmp_path / "list.csv"), str(tmp_path / "fits")
+    states = {"normoxia": (600.0, 1200.0), "hypoxia": (1800.0, 2400.0)}
+    assert recording_jobs.swim_fit_job(spark, catalog, out, 0, 0, states=states, lags=(2, 4)) == [0]
+    assert recording_jobs.swim_fit_job(spark, catalog, out, states=states, lags=(2, 4)) == [1]  # 0 is finished
+    assert recording_jobs.swim_fit_job(spark, catalog, out, states=states, lags=(2, 4)) == []
+    fits = spark.read.parquet(out).collect()
+    assert {(r.recording_id, r.cell, r.state) for r in fits} == {(k, c, s) for k in (0, 1) for c in (3, 4, 5) for s in states}
+    assert all(r.r2 > 0.8 for r in fits if not r.skipped) and not all(r.skipped for r in fits)
+    assert main(["oxygen", "--catalog", catalog, "--out", str(tmp_path / "ox"), "--oxygen-file", str(tmp_path / "o2.csv"), "--max-index", "0"]) == [0]
+    assert sorted(r.cell for r in spark.read.parquet(str(tmp_path / "ox")).collect()) == [1, 2, 3, 4, 5]
+    cells = spark.createDataFrame([(i, rng.normal(size=20).tolist()) for i in range(30)], "cell int, trace array<double>")
+    loads, scores = models.factor_model(materialize(cells, "few"), "cell", 20, 2)
+    recording_jobs.save_factors(loads, scores, str(tmp_path / "model"))
+    again, same = recording_jobs.load_factors(spark, str(tmp_path / "model"))
+    assert np.allclose(same, scores) and sorted(map(tuple, again.collect())) == sorted(map(tuple, loads.collect()))
