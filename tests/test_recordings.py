@@ -222,3 +222,63 @@ def test_jobs_over_a_catalog(spark, tmp_path):
     recording_jobs.save_factors(loads, scores, str(tmp_path / "model"))
     again, same = recording_jobs.load_factors(spark, str(tmp_path / "model"))
     assert np.allclose(same, scores) and sorted(map(tuple, again.collect())) == sorted(map(tuple, loads.collect()))
+
+
+def test_triggers_and_swim_by_frame(spark):
+    rng = np.random.default_rng(1)
+    cam = np.where(np.arange(200) % 23 < 3, 5.0, 0.0)
+    swim, back = rng.normal(size=200), rng.normal(size=200)
+    samples = spark.createDataFrame([(0, i, float(c), float(s), float(b)) for i, (c, s, b) in enumerate(zip(cam, swim, back, strict=True))], "k int, i int, cam double, s double, b double")
+    triggers = jobs.camera_triggers(samples, ["k"], "i", "cam")
+    at = [i for i in range(1, 200) if cam[i - 1] < 3.8 < cam[i]]
+    assert [(r.frame, r.sample_idx) for r in triggers.orderBy("frame").collect()] == list(enumerate(at))
+    above = np.maximum(swim - back, 0)
+    want = [sum(above[t - n] for n in range(23) if t >= n) for t in at]
+    got = jobs.swim_by_frame(samples, triggers, "k", "i", "s", "b").orderBy("frame").collect()
+    assert np.allclose([r.swim for r in got], want)
+
+
+def test_bout_bins(spark):
+    values = np.random.default_rng(2).normal(size=400)
+    samples = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)], "k int, i int, v double")
+    spans = [(5, 8), (90, 95), (150, 160), (200, 210), (260, 270), (380, 390)]
+    bouts = spark.createDataFrame([(0, j, s, e) for j, (s, e) in enumerate(spans)], "k int, bout int, start int, end int")
+    got = {(r.bout, r.bin): r for r in jobs.bout_bins(bouts, samples, "k", "i", ["v"], 7, 20, 30).collect()}
+    kept = [j for j, (s, _) in enumerate(spans) if s > 40 and s + 60 < 400][:-1]
+    assert {j for j, _ in got} == set(kept) and {b for _, b in got} == set(range(7))
+    for j in kept:
+        s, e = spans[j]
+        for b in range(7):
+            r = got[j, b]
+            assert math.isclose(r.v, values[s - 20 + 7 * b : s - 13 + 7 * b].mean()) and (r.duration, r.gap_before, r.gap_after) == (e - s, s - spans[j - 1][1], spans[j + 1][0] - e)
+
+
+def test_files(spark, tmp_path):
+    from tracewell.sources import files, sinks
+
+    files.register(spark)
+    x = np.arange(60, dtype=np.float32).reshape(12, 5)
+    np.savez(tmp_path / "a.npz", x=x, y=x[:, 0])
+    np.savez_compressed(tmp_path / "b.npz", x=x)
+    np.save(tmp_path / "c.npy", x)
+    for name, key in (("a.npz", "x"), ("b.npz", "x"), ("c.npy", "x")):
+        rows = spark.read.format("npy").option("path", str(tmp_path / name)).option("key", key).option("rows", 5).load().orderBy("row").collect()
+        assert [r["values"] for r in rows] == x.tolist()
+    rows = spark.read.format("npy").option("path", str(tmp_path / "a.npz")).option("key", "y").load().orderBy("row").collect()
+    assert [r["values"] for r in rows] == x[:, :1].tolist()
+    (tmp_path / "cam.xml").write_text("<r><action a='3' z=\"9\"/><info a=\"1\" b='two words'/>\n<info b=\"2\"/></r>")
+    assert {r.name: r.value for r in files.read_camera_info(spark, str(tmp_path / "cam.xml")).collect()} == {"a": "3", "b": "2", "z": "9"}
+    assert files.find_file("c.npy", ["/nowhere", str(tmp_path)]) == str(tmp_path / "c.npy")
+    with pytest.raises(FileNotFoundError):
+        files.find_file("d.npy", [str(tmp_path)])
+    channels = spark.createDataFrame([("swim1", 0, 1.0), ("visualInput1", 0, 2.0), ("visualInput3", 0, 3.0), ("swim3", 0, 4.0)], "channel string, sample_idx int, value double")
+    named = files.rename_channels(channels, {"gain": "visualInput3", "velocity": "visualInput3"})
+    assert sorted((r.signal, r.value) for r in named.collect()) == [("camTicks", 2.0), ("gain_trace", 3.0), ("swim1", 1.0), ("velocity_trace", 3.0)]
+    sinks.write_runs(channels, str(tmp_path / "runs"))
+    assert spark.read.json(str(tmp_path / "runs")).count() == 4
+    totals = sinks.cohort_totals(spark.createDataFrame([("a", 0, 5, True), ("a", 0, 6, False), ("b", 1, 7, True)], "cohort string, recording_id int, bytes long, present boolean"))
+    assert sorted(map(tuple, totals.collect())) == [("a", 1, 11, 1), ("b", 1, 7, 0)]
+    sinks.write_report(totals, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report"), header=True).count() == 2
+    sinks.write_markdown(totals, str(tmp_path / "md"), "Cohorts")
+    assert "".join(p.read_text() for p in (tmp_path / "md").glob("part-*")) == "# Cohorts\n\n| cohort | recordings | bytes | incomplete |\n|---|---|---|---|\n| a | 1 | 11 | 1 |\n| b | 1 | 7 | 0 |\n"

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import models, populations, signals, voxels
+from tracewell.operators import events, models, populations, signals, voxels
 from tracewell.session import materialize
 
 #: The share of negatives kept: that of a standard normal above 0.5.
@@ -121,6 +121,43 @@ def oxygen_reference_bins(cells: DataFrame, times: DataFrame, curve: DataFrame,
     return matched.select(cell, "r", "rs", F.array_max("rs").alias("best_r"), (F.array_position("rs", F.array_max("rs")) - 1).cast("int").alias("best"))
 
 
+def camera_triggers(samples: DataFrame, keys: Sequence[str], position: str, value: str, level: float = 3.8) -> DataFrame:
+    """(keys, frame, sample_idx): the samples at which the camera's channel rises through the level, numbered from 0."""
+    edges = signals.rising_edges(samples, keys, [position], value, level)
+    return edges.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(position)) - 1).alias("frame"), F.col(position).alias("sample_idx"))
+
+
+def swim_by_frame(samples: DataFrame, triggers: DataFrame, key: str, position: str, signal: str, background: str) -> DataFrame:
+    """(key, frame, swim): the signal above its background, at least 0, summed over the last samples up to each trigger, as
+    many as the least distance of two triggers. Positions count up by one."""
+    widths = signals.least_step(triggers, [key], ["sample_idx"], "sample_idx").withColumnRenamed("least_step", "__w")
+    above = samples.select(key, position, F.greatest(F.col(signal) - F.col(background), F.lit(0.0)).alias("__a"))
+    w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    total = materialize(above.withColumn("__s", F.sum("__a").over(w)).select(key, position, "__s"), "running")
+    ends = triggers.join(widths, key)
+    upto = ends.join(total.select(key, F.col(position).alias("sample_idx"), F.col("__s").alias("__hi")), [key, "sample_idx"], "left")
+    below = total.select(key, (F.col(position)).alias("__from"), F.col("__s").alias("__lo"))
+    met = upto.withColumn("__from", F.col("sample_idx") - F.col("__w")).join(below, [key, "__from"], "left")
+    return met.select(key, "frame", (F.col("__hi") - F.coalesce("__lo", F.lit(0.0))).alias("swim"))
+
+
+def bout_bins(bouts: DataFrame, samples: DataFrame, key: str, position: str, values: Sequence[str], width: int, before: int, after: int) -> DataFrame:
+    """(key, bout, bin, <value> means, duration, gap_before, gap_after) in bins of ``width`` samples around each onset.
+
+    Bins count from the window's start. Bouts keep twice the window's room on both sides and the last of them is left out;
+    gaps are from the previous end and to the next onset of all bouts. A last partial bin is dropped.
+    """
+    w = Window.partitionBy(key).orderBy("start")
+    vectors = bouts.withColumns({"duration": F.col("end") - F.col("start"), "gap_before": F.col("start") - F.lag("end").over(w), "gap_after": F.lead("start").over(w) - F.col("end")})
+    last = samples.groupBy(key).agg((F.max(position) + 1).alias("__n"))
+    roomy = vectors.join(last, key).filter((F.col("start") - 2 * before > 0) & (F.col("start") + 2 * after < F.col("__n")))
+    kept = roomy.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("start")))).filter("__k > 1").drop("__k", "__n")
+    met = events.event_windows(kept, samples, [key], "start", position, before, after)
+    place = F.floor((F.col("offset") + before) / width).cast("int")
+    binned = met.groupBy(key, "bout", place.alias("bin")).agg(F.count(F.lit(1)).alias("__c"), *[F.avg(v).alias(v) for v in values], *[F.first(v).alias(v) for v in ("duration", "gap_before", "gap_after")])
+    return binned.filter(F.col("__c") == width).drop("__c")
+
+
 def guard_edges(bouts: DataFrame, keys: Sequence[str], start: str, end: str, before: float, after: float, length: float) -> DataFrame:
     """Bouts with room for two windows on either side, without the last one that qualifies."""
     roomy = bouts.filter((F.col(start) - 2 * before > 0) & (F.col(end) + 2 * after < length))

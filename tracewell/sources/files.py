@@ -4,6 +4,7 @@ and interleaved channel files. Array and channel files are Python data sources,
 from __future__ import annotations
 
 import re
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,35 @@ def read_epochs(spark: SparkSession, path: str, row_tag: str = "epoch") -> DataF
     return long.join(F.broadcast(whole), "field").select("epoch_idx", "field", "value")
 
 
+def read_camera_info(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value): the attributes of the ``info`` elements and then of the ``action`` elements; later ones win."""
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"))
+    tags = text.select(F.posexplode(F.concat(*[F.regexp_extract_all("xml", F.lit(rf"<{t}\b[^>]*>"), F.lit(0)) for t in ("info", "action")])).alias("at", "tag"))
+    pairs = tags.select("at", F.posexplode(F.regexp_extract_all("tag", F.lit(r'([\w:.-]+)\s*=\s*("[^"]*"|\'[^\']*\')'), F.lit(0))).alias("k", "pair"))
+    split = pairs.select("at", "k", F.regexp_extract("pair", r"^([\w:.-]+)", 1).alias("name"), F.regexp_extract("pair", r"=\s*[\"'](.*)[\"']$", 1).alias("value"))
+    return split.groupBy("name").agg(F.max_by("value", F.struct("at", "k")).alias("value"))
+
+
+def find_file(name: str, folders: list[str]) -> str:
+    """The first of ``folders`` that has ``name``, joined to it."""
+    import os
+
+    for folder in folders:
+        if os.path.exists(found := os.path.join(folder, name)):
+            return found
+    raise FileNotFoundError(f"no {name!r} in {', '.join(folders)}")
+
+
+def rename_channels(channels: DataFrame, aliases: dict[str, str], channel: str = "channel") -> DataFrame:
+    """Rows of the swim channels, the camera and grating channels and the aliased ones, under the names of what they show.
+
+    ``aliases`` maps a field (gain, velocity, ...) to the channel that carries it; a channel may serve two fields.
+    """
+    names = [("swim1", "swim1"), ("swim2", "swim2"), ("visualInput1", "camTicks"), ("visualInput2", "gratingVel"), *[(c, f"{f}_trace") for f, c in aliases.items()]]
+    shown = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for c, n in names]), lambda x: x["c"] == F.col(channel))
+    return channels.withColumn("__s", F.explode(shown)).withColumn("signal", F.col("__s.n")).drop("__s")
+
+
 def _file_order():
     from pyspark.sql import Window
 
@@ -80,19 +110,32 @@ class _NpyReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.key, self.block = options["path"], options.get("key"), int(options.get("rows", 2048))
 
-    def _array(self) -> np.ndarray:
+    def _opened(self):
+        """(file at the first value, shape, dtype): of an .npz bundle only the wanted member is opened."""
         if self.path.endswith(".npz"):
-            with np.load(self.path, allow_pickle=False) as bundle:
-                return bundle[self.key]
-        return np.load(self.path, mmap_mode="r", allow_pickle=False)
+            source = zipfile.ZipFile(self.path).open(f"{self.key}.npy")
+        else:
+            source = open(self.path, "rb")  # noqa: SIM115
+        version = np.lib.format.read_magic(source)
+        header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, by_column, kind = header(source)
+        if kind.hasobject or by_column and len(shape) > 1:
+            raise ValueError(f"{self.path}: pickled and column-major arrays are not read")
+        return source, shape, kind
 
     def partitions(self) -> list[_Block]:
-        n = len(self._array())
+        source, shape, _ = self._opened()
+        source.close()
+        n = shape[0] if shape else 0
         return [_Block(a, min(n, a + self.block)) for a in range(0, n, self.block)] or [_Block(0, 0)]
 
     def read(self, part: _Block) -> Iterator[pa.RecordBatch]:
-        rows = np.asarray(self._array()[part.start : part.stop], float)
-        rows = rows.reshape(len(rows), -1)
+        source, shape, kind = self._opened()
+        width = int(np.prod(shape[1:], dtype=np.int64)) if shape else 0
+        with source:  # only this block's rows are held; a compressed member is unpacked up to them
+            source.seek(part.start * width * kind.itemsize, 1)
+            raw = source.read((part.stop - part.start) * width * kind.itemsize)
+        rows = np.frombuffer(raw, kind).astype(float).reshape(part.stop - part.start, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(part.start, part.stop), pa.int64()), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["row", "values"])
 
 

@@ -20,6 +20,15 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a report: a row a cohort
 
 
+def write_markdown(df: DataFrame, path: str, title: str) -> None:
+    """A report of a few rows as one Markdown table, written by Spark as text."""
+    cells = lambda columns: F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(f"# {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}",)], "value string")
+    rows = df.select(cells([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    both = head.withColumn("at", F.lit(0)).unionByName(rows.withColumn("at", F.lit(1)))
+    both.repartition(1).sortWithinPartitions("at", "value").select("value").write.mode("overwrite").text(path)
+
+
 def cohort_totals(files: DataFrame) -> DataFrame:
     """(cohort, recordings, bytes, incomplete) from (cohort, recording_id, bytes, present) rows."""
     per = files.groupBy("cohort", "recording_id").agg(F.sum("bytes").alias("bytes"), F.bool_and("present").alias("whole"))
