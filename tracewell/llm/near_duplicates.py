@@ -25,6 +25,12 @@ SHINGLE = 4
 #: need longer keys to keep chance candidates few; each entry is exact at any size.
 _RINGS = ((1 << 21, 5, 2), (1 << 25, 9, 4), (1 << 29, 13, 6), (1 << 63, 17, 8))
 _PAIRS = 1 << 20
+#: Fingerprints of one key that are paired in one task. Runs above it are cut into blocks, whose pairs are dealt out.
+RUN = 1 << 15
+#: Fingerprints of a class beyond which its id is broadcast.
+_MANY = 1000
+#: Key rows a task makes, on average.
+_TASK_KEYS = 2_000_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -93,8 +99,12 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
+#: What a row of a run does: meets the plain rows before it; meets every plain row; is only met.
+PLAIN, MEETS, MET = 0, 1, 2
+
+
 def _links(widths: list[int], chain: int):
-    """Reads (key, fp, variant) sorted by key; yields stars of the fingerprints that are within the distance."""
+    """Reads (key, part, fp, role) sorted by key, part and role; yields stars of the fingerprints within the distance."""
     m = len(widths)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -112,17 +122,17 @@ def _links(widths: list[int], chain: int):
         at = np.flatnonzero(keep)
         return at[np.bitwise_count(diff[at]) <= DISTANCE]
 
-    def runs(key: np.ndarray, fp: np.ndarray, variant: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole runs of equal keys: plain rows meet the plain rows before them, variants meet all plain rows."""
+    def runs(key: np.ndarray, part: np.ndarray, fp: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole runs of equal key and part, in blocks of about _PAIRS pairs; one row's partners are never cut."""
         if not len(key):
             return
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        run = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-        plain = np.bincount(run, ~variant, minlength=len(begin)).astype(np.int64)
-        partners = np.where(variant, plain[run], np.arange(len(key)) - begin[run])
+        new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        begin, run = np.flatnonzero(new), np.cumsum(new) - 1
+        base = np.bincount(run, role != MEETS, minlength=len(begin)).astype(np.int64)  # these stand first in a run
+        partners = np.where(role == MEETS, base[run], np.where(role == PLAIN, np.arange(len(key)) - begin[run], 0))
         upto = np.cumsum(partners)
         at = 0
-        while at < len(key):  # blocks of about _PAIRS pairs; one row's partners are never cut
+        while at < len(key):
             past = upto[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(upto, past + _PAIRS, "right")))
             n = partners[at:stop]
@@ -138,45 +148,78 @@ def _links(widths: list[int], chain: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            last = held[-1][0]
-            if len(held) < 32 or not len(last) or last[0] == last[-1]:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            key, part = held[-1][:2]
+            if len(held) < 32 or not len(key) or (key[0] == key[-1] and part[0] == part[-1]):
                 continue
-            key, fp, variant = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last run may go on
-            yield from runs(key[:cut], fp[:cut], variant[:cut])
-            held = [(key[cut:], fp[cut:], variant[cut:])]
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero((rows[0] != key[-1]) | (rows[1] != part[-1]))[-1]) + 1  # the last run may go on
+            yield from runs(*(x[:cut] for x in rows))
+            held = [tuple(x[cut:] for x in rows)]
         if held:
             yield from runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return work
 
 
-def link_fingerprints(distinct: DataFrame, n: int) -> DataFrame:
-    """Links (u, v) that connect all fingerprints within the distance; ``distinct`` has each fp once."""
+def _in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Cuts the runs of ``heavy`` (key, blocks) into blocks of fingerprints; every pair of blocks becomes a part.
+
+    In the part of blocks i < j, the rows of i are met by those of j; in that of i alone, rows meet the ones before
+    them. One-bit variants go to every block alone.
+    """
+    hot = rows.join(broadcast_if_small(heavy.withColumnRenamed("key", "__k"), 1_000_000), F.col("key") == F.col("__k"), "left").drop("__k")
+    mine, every = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    part = lambda i, j: (i * F.col("blocks") + j).cast("int")
+    pairs = F.transform(
+        every,
+        lambda j: F.struct(
+            part(F.least(mine, j), F.greatest(mine, j)).alias("part"),
+            F.when(mine == j, PLAIN).when(mine < j, MET).otherwise(MEETS).alias("role"),
+        ),
+    )
+    alone = F.transform(every, lambda i: F.struct(part(i, i).alias("part"), F.lit(MEETS).alias("role")))
+    own = F.array(F.struct(F.lit(0).alias("part"), F.col("role")))
+    spread = F.when(F.col("blocks").isNull(), own).when(F.col("role") == MEETS, alone).otherwise(pairs)
+    return hot.withColumn("b", F.explode(spread)).select("key", "b.part", "fp", "b.role")
+
+
+def link_fingerprints(distinct: DataFrame, n: int, run: int = RUN) -> DataFrame:
+    """Links (u, v) that connect all fingerprints within the distance; ``distinct`` (written) has each fp once.
+
+    ``n`` chooses the ring, any of which is exact. Keys with more than ``run`` fingerprints are counted first and cut into blocks, so no task holds more than two
+    blocks of them and their variants.
+    """
     widths, chain = ring(n)
     exact, variants = _chain_keys(F.col("fp"), widths, chain)
-    keys = F.concat(F.transform(exact, lambda k: F.struct(k.alias("key"), F.lit(False).alias("variant"))), F.transform(variants, lambda k: F.struct(k.alias("key"), F.lit(True).alias("variant"))))
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.key", "fp", "k.variant")
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "variant")
-    return dealt.mapInArrow(_links(widths, chain), "u long, v long")
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() * 5 * len(widths) // _TASK_KEYS)
+    dealt = distinct.select("fp").repartition(tasks, "fp")  # a few files would make a few tasks of many keys
+    heavy = dealt.select(F.explode(exact).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run)
+    heavy = materialize(heavy.select("key", F.ceil(F.col("n") / run).cast("int").alias("blocks")), "heavy_keys")
+    keys = F.concat(F.transform(exact, lambda k: F.struct(k.alias("key"), F.lit(PLAIN).alias("role"))), F.transform(variants, lambda k: F.struct(k.alias("key"), F.lit(MEETS).alias("role"))))
+    rows = dealt.select("fp", F.explode(keys).alias("k")).select("k.key", F.lit(0).alias("part"), "fp", "k.role")
+    if heavy.limit(1).count():
+        rows = _in_blocks(rows, heavy)
+    # roles by (is MEETS): those that are met stand first
+    met = rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", F.col("role") == MEETS)
+    return met.mapInArrow(_links(widths, chain), "u long, v long")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable, for every node with a link, by alternating large and small stars.
 
     Each round relinks all larger neighbours of a node, then all smaller ones, to its least neighbour; the rounds
-    grow with the logarithm of the number of nodes. Minimums are pre-aggregated; a node with very many neighbours is
-    met in joins that AQE can split. Every round is a written table.
+    grow with the logarithm of the number of nodes. Minimums are pre-aggregated and written before they are joined, so
+    AQE can split a node with very many neighbours. Every round is a written table.
     """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         own = least.select("u", F.col("m").alias("v"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).distinct()
         edges = materialize(small, "small")
@@ -200,10 +243,14 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     table = materialize(docs.select("doc_id", row_hash(docs).alias("row_key"), _fingerprints("text").alias("fp")), "fingerprints")
     distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = connected_components(link_fingerprints(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "classes")
-    return table.join(broadcast_if_small(classes, 100_000), "fp").select("doc_id", "row_key", "fp", "component_id")
+    rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("least"), F.count(F.lit(1)).alias("n")), "ids")
+    # classes of many fingerprints, which are few, are met by broadcast: no task gets one whole
+    many = ids.filter(F.col("n") > _MANY).select("root", F.col("least").alias("component_id"))
+    hot = rooted.join(broadcast_if_small(many.withColumnRenamed("root", "__r"), 1_000_000), F.col("root") == F.col("__r"), "left")
+    rest = hot.filter("__r is null").drop("component_id").join(ids.filter(F.col("n") <= _MANY).select("root", F.col("least").alias("component_id")), "root")
+    classes = hot.filter("__r is not null").select("fp", "component_id").unionByName(rest.select("fp", "component_id"))
+    return table.join(broadcast_if_small(materialize(classes, "classes"), 100_000), "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,5 +274,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the least id of its class; texts without words are one class, with fingerprint 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicate_classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
