@@ -282,3 +282,25 @@ def test_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "report"), header=True).count() == 2
     sinks.write_markdown(totals, str(tmp_path / "md"), "Cohorts")
     assert "".join(p.read_text() for p in (tmp_path / "md").glob("part-*")) == "# Cohorts\n\n| cohort | recordings | bytes | incomplete |\n|---|---|---|---|\n| a | 1 | 11 | 1 |\n| b | 1 | 7 | 0 |\n"
+
+
+def test_large_groups_are_fitted_by_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, n in (("hot", 400), (None, 300), ("flat", 250), ("split", 260), ("small", 60)):
+        k = 3 if g == "hot" else 2
+        for _ in range(n):
+            x = rng.normal(size=k)
+            y = 1.0 if g == "flat" else float(x[0] > 0) if g == "split" else float(rng.random() < 1 / (1 + np.exp(-x.sum() - 0.3)))
+            rows.append((g, x.tolist(), y))
+    rows += [("hot", None, 1.0), ("hot", [1.0, None, 2.0], 0.0), ("hot", [1.0, 1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, "g string, x array<double>, y double").filter("x is not null").repartition(3)
+    one = {r.g: r for r in models.logistic_fits(df, ["g"], "x", "y").collect()}
+    two = {r.g: r for r in models.logistic_fits(df, ["g"], "x", "y", most=100).collect()}
+    assert one.keys() == two.keys() == {"hot", None, "flat", "split", "small"}
+    for g, a in one.items():
+        b = two[g]
+        assert (a.n, a.separated) == (b.n, b.separated) and (a.params is None) == (b.params is None)
+        if a.params is not None and not a.separated:
+            assert np.allclose(a.params, b.params, atol=1e-6) and all(math.isclose(a[c], b[c], rel_tol=1e-6, abs_tol=1e-8) for c in ("r2", "aic", "llf"))
+    assert one["flat"].params is None and two["flat"].n == 250

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,19 @@ def ridge_one_lag(cells: DataFrame, cell: str, x: str, y: str, strength: float =
     return fitted.select(cell, "weight", "intercept", (1 - F.try_divide(rest, F.col("vy"))).alias("r2"))
 
 
-def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str] | str, outcome: str) -> DataFrame:
+#: Rows of one group that are fitted in one task; larger groups are fitted by sums over all tasks.
+FIT_ROWS = 200_000
+
+
+def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str] | str, outcome: str, most: int = FIT_ROWS) -> DataFrame:
     """(keys, n, r2, aic, llf, separated, params): one logistic fit a group; null metrics where it has one outcome only.
 
-    ``features`` are columns, or one array column. A group is one animal's event bins under one model spec: bounded by an experiment's length.
+    ``features`` are columns, or one array column of equal length within a group. Groups of up to ``most`` rows are
+    fitted where they are gathered; a larger one, of which there are few, is fitted by the same steps, each a sum over
+    its rows wherever they lie. Rows with a null outcome or feature are left out.
     """
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, n long, r2 double, aic double, llf double, separated boolean, params array<double>"
 
     def fit(table: pa.Table) -> pa.Table:
         y = table.column(outcome).to_numpy().astype(float)
@@ -86,8 +94,84 @@ def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str]
 
     packed = F.col(features) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
     used = rows.select(*keys, packed.cast("array<double>").alias("__x"), F.col(outcome).cast("double").alias(outcome))
-    used = used.filter(F.col(outcome).isNotNull() & ~F.exists("__x", lambda v: v.isNull()))
-    return used.groupBy(*keys).applyInArrow(fit, f"{kinds}, n long, r2 double, aic double, llf double, separated boolean, params array<double>")
+    used = materialize(used.filter(F.col(outcome).isNotNull() & ~F.exists("__x", lambda v: v.isNull())), "fit_rows")
+    groups = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("y"), F.max(F.size("__x")).alias("k"))
+    large = groups.filter(F.col("n") > most).collect()  # at most one in ``most`` rows
+    if not large:
+        return used.groupBy(*keys).applyInArrow(fit, schema)
+    numbered = rows.sparkSession.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(large)], f"{kinds}, __g int")
+    same = [F.col(f"u.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    met = used.alias("u").join(F.broadcast(numbered).alias("g"), reduce(lambda x, y: x & y, same), "left").select("u.*", "__g")
+    whole = met.filter("__g is null").drop("__g").groupBy(*keys).applyInArrow(fit, schema)
+    spread = materialize(met.filter("__g is not null").select("__g", "__x", F.col(outcome).alias("__y")), "large_groups")
+    fitted = [(*[r[k] for k in keys], *f) for r, f in zip(large, _large_fits(spread, [(r.n, r.y, r.k) for r in large]), strict=True)]
+    return whole.unionByName(rows.sparkSession.createDataFrame(fitted, schema))
+
+
+def _large_fits(spread: DataFrame, groups: list[tuple[int, float, int]], rounds: int = 100, tol: float = 1e-6) -> list[tuple]:
+    """(n, r2, aic, llf, separated, params) of groups (rows, sum of outcomes, features) by reweighted least squares.
+
+    A step is a pass in which every task sums the weighted products of its rows by group; k x k systems are solved here.
+    """
+    width = 1 + max(k for *_, k in groups)
+    beta = np.zeros((len(groups), width))
+    live = np.array([0 < y < n for n, y, _ in groups])
+    separated = np.zeros(len(groups), bool)
+
+    def passed(beta: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """By group: X'WX, X'Wz, log-likelihood, rows that are not yet separated."""
+        shared = spread.sparkSession.sparkContext.broadcast((beta, live))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            beta, live = shared.value
+            out = np.zeros((len(beta), width * width + width + 2))
+            for b in batches:
+                of, outcomes = b.column(0).to_numpy(), b.column(2).to_numpy()
+                lists = b.column(1)
+                flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                for g in np.unique(of):
+                    if not live[g]:
+                        continue
+                    at = np.flatnonzero(of == g)
+                    k = int(ends[at[0] + 1] - ends[at[0]])
+                    x = np.zeros((len(at), width))
+                    x[:, 0] = 1
+                    x[:, 1 : 1 + k] = flat[ends[at][:, None] + np.arange(k)]
+                    y = outcomes[at]
+                    eta = np.clip(x @ beta[g], -30, 30)
+                    p = 1 / (1 + np.exp(-eta))
+                    w = np.maximum(p * (1 - p), 1e-12)
+                    out[g, : width * width] += ((x * w[:, None]).T @ x).ravel()
+                    out[g, width * width : -2] += x.T @ (w * eta + y - p)
+                    q = np.clip(p, 1e-15, 1 - 1e-15)
+                    out[g, -2] += np.sum(y * np.log(q) + (1 - y) * np.log1p(-q))
+                    out[g, -1] += np.sum(np.abs(p - y) >= 1e-6)
+            return out
+
+        return _summed(spread, ["__g", "__x", "__y"], work, (len(beta), width * width + width + 2))
+
+    usable = live.copy()
+    for _ in range(rounds):
+        if not live.any():
+            break
+        sums = passed(beta, live)
+        for g in np.flatnonzero(live):
+            if sums[g, -1] == 0:
+                separated[g], live[g] = True, False
+                continue
+            new = np.linalg.lstsq(sums[g, : width * width].reshape(width, width), sums[g, width * width : -2], rcond=None)[0]
+            live[g] = np.max(np.abs(new - beta[g])) >= tol
+            beta[g] = new
+    last = passed(beta, usable)
+    out = []
+    for g, (n, y, k) in enumerate(groups):
+        if not usable[g]:
+            out.append((n, None, None, None, False, None))
+            continue
+        m, llf = y / n, float(last[g, -2])
+        null = n * (m * np.log(m) + (1 - m) * np.log(1 - m))
+        out.append((n, float(1 - np.exp(min(0.0, 2 * (null - llf) / n))), 2 * (k + 1) - 2 * llf, llf, bool(separated[g]), beta[g, : k + 1].tolist()))
+    return out
 
 
 def _filtered(cells: DataFrame, trace: str, name: str, body) -> DataFrame:
