@@ -8,7 +8,7 @@ from tracewell.llm.mixing import OP3_SQL, op3_mixing
 from tracewell.llm.near_duplicates import op10_near_duplicates
 from tracewell.llm.quality_classifier import op2_quality_classifier
 from tracewell.llm.quality_rules import op5_quality_rules
-from tracewell.llm.sharding import op1_sharding
+from tracewell.llm.sharding import OP1_SQL, op1_sharding
 from tracewell.llm.token_counts import op6_token_counts
 from tracewell.llm.url_filter import OP7_SQL, op7_url_filter
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}

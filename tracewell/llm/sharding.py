@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import row_hash
+from tracewell.llm.common import row_digest
 
 _PRIME = 2_147_483_647
 _ROUNDS = 6
@@ -83,15 +83,18 @@ def with_position(df: DataFrame, n_rows: int, seed: int = 0, number: str = "row_
 
 
 def number_rows(docs: DataFrame, n_rows: int, name: str = "row_number") -> DataFrame:
-    """Adds contiguous global row numbers from 0, in the order of (bucket, content hash).
+    """Adds contiguous global row numbers from 0, in the order of the rows' digests.
 
-    Rows spread over hash buckets of their whole content, so neither a common id nor a common text makes a bucket
-    large; bucket sizes are counted first, and their running sum is each bucket's offset. Only the numbering
-    window moves the rows, once. Rows that are equal in every column get consecutive numbers in either order.
+    Ranges of the digest's first 32 bits are the buckets, so neither a common id nor a common text makes one large;
+    bucket sizes are counted first, and their running sum is each bucket's offset. Only the numbering window moves the
+    rows, once. Rows that are equal in every column get consecutive numbers in either order; other rows are told
+    apart by 128 bits, so reruns agree at any size.
     """
     rows = docs.drop(name)
     buckets = max(_MIN_BUCKETS, -(-n_rows // _BUCKET_ROWS))
-    hashed = rows.withColumn("__tw_h", row_hash(rows)).withColumn("__tw_b", F.pmod(F.xxhash64("__tw_h"), F.lit(buckets)))
+    hashed = rows.withColumn("__tw_h", row_digest(rows))
+    first = F.conv(F.hex(F.substring("__tw_h", 1, 4)), 16, 10).cast("bigint")
+    hashed = hashed.withColumn("__tw_b", F.shiftright(first * buckets, 32))
     sizes = hashed.groupBy("__tw_b").agg(F.count(F.lit(1)).alias("__tw_n"))
     before = F.sum("__tw_n").over(Window.orderBy("__tw_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__tw_b", F.coalesce(before, F.lit(0)).alias("__tw_before"))
@@ -128,3 +131,28 @@ def op1_sharding(spark, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "row_number",
     )
+
+
+def _sql(n_shards: int = 40, seed: int = 0) -> str:
+    """The query in SQL: numbers by digest, then the permutation's rounds written out, walked until inside."""
+    mults, adds = _keys(seed)
+    rounds = []
+    for i in range(_ROUNDS):
+        side, other, size = ("l", "r", "lft") if i % 2 == 0 else ("r", "l", "rgt")
+        rounds.append(f"(({other}{i} * {mults[i]} + {adds[i]}) % {_PRIME}) AS t{i}, ({side}{i} + t{i} * (t{i} + 1) % {_PRIME}) % {size} AS {side}{i + 1}, {other}{i} AS {other}{i + 1}")
+    once = "x // rgt AS l0, x % rgt AS r0, " + ", ".join(rounds) + f", l{_ROUNDS} * rgt + r{_ROUNDS} AS y"
+    return f"""
+WITH RECURSIVE c AS (SELECT count(*)::BIGINT AS n FROM documents),
+s AS (SELECT n, lft, greatest(1, (n + lft - 1) // lft)::BIGINT AS rgt FROM (SELECT n, greatest(1, floor(sqrt(greatest(n - 1, 0)))::BIGINT + 1) AS lft FROM c)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY md5(coalesce(md5(doc_id::VARCHAR), '-') || coalesce(md5(text), '-'))) - 1 AS row_number FROM documents),
+w AS (SELECT row_number, y, 0 AS walked FROM (SELECT row_number, {once} FROM (SELECT row_number, row_number AS x, lft, rgt FROM d, s))
+  UNION ALL SELECT row_number, y, walked FROM (SELECT row_number, walked, {once} FROM (SELECT row_number, w.y AS x, lft, rgt, walked + 1 AS walked FROM w, s WHERE w.y >= s.n))),
+p AS (SELECT row_number, y FROM w, s WHERE y < s.n),
+t AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda v, b: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i) AS v FROM (SELECT unnest(range(256)) AS i))),
+k AS (SELECT row_number, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda v, x: xor(v >> 8, t[(xor(v, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, t)
+SELECT doc_id, (octet_length(encode(text)) + 16)::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (y % {n_shards})::INT AS shard, (y // {n_shards})::BIGINT AS slot, NULL::INT AS grown_shard, row_number::BIGINT AS row_number
+FROM d JOIN p USING (row_number) JOIN k USING (row_number)
+"""
+
+
+OP1_SQL = _sql()
