@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.common import crc_id, small_batches
+from tracewell.session import broadcast_if_small, materialize
 
 #: Hashed n-grams; the presence of one text takes BUCKETS / 8 bytes.
 BUCKETS = 1 << 15
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _BLOCK = 64
+_MOST_LANDMARKS = 1024
 
 
 def _letters() -> np.ndarray:
@@ -86,7 +88,7 @@ class KernelModel:
 
 
 def fit_kernel(grams: list[np.ndarray], langs: list[str], n_landmarks: int = 96, ridge: float = 1e-3) -> KernelModel:
-    """Fits on n-gram sets; landmarks are dealt evenly over the languages."""
+    """Fits on n-gram sets; landmarks are dealt evenly over the languages, one each at least up to ``_MOST_LANDMARKS``."""
     languages = sorted(set(langs))
     if not languages:
         empty = np.zeros((0, 0), np.float32)
@@ -94,7 +96,7 @@ def fit_kernel(grams: list[np.ndarray], langs: list[str], n_landmarks: int = 96,
     by = {x: [i for i, y in enumerate(langs) if y == x] for x in languages}
     # the texts with most n-grams say most about a language; take turns among them
     turns = [sorted(v, key=lambda i: (-min(len(grams[i]), 400), i)) for v in by.values()]
-    marks = [t[k] for k in range(max(map(len, turns))) for t in turns if k < len(t)][: max(n_landmarks, len(languages))]
+    marks = [t[k] for k in range(max(map(len, turns))) for t in turns if k < len(t)][: max(n_landmarks, min(len(languages), _MOST_LANDMARKS))]
     active = np.unique(np.concatenate([grams[i] for i in marks]))
     column = np.full(BUCKETS, -1)
     column[active] = np.arange(len(active))
@@ -128,25 +130,31 @@ def _presence(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def learn_languages(docs: DataFrame, per_language: int = 300, max_languages: int = 200) -> KernelModel:
-    """Fits on at most ``per_language`` texts of each of the ``max_languages`` commonest values of ``lang``.
+def learn_languages(docs: DataFrame, per_language: int = 300, max_rows: int = 30_000) -> KernelModel:
+    """Fits on at most ``per_language`` texts of every value of ``lang``, fewer where that exceeds ``max_rows`` in all,
+    one at least.
 
     Texts are chosen by a hash of id and text, so reruns choose the same. Only presence bits (4 KB a text) reach the
-    driver, so very long texts cost it no more than short ones.
+    driver, so very long texts cost it no more than short ones. Rows with a null text or lang teach nothing; a table
+    without others gives a model that knows no language. Other columns may have any name.
     """
     small_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(per_language, max_rows // max(1, sizes.count())))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    few = labelled.withColumn("share", share).join(F.broadcast(sizes), "lang").filter(F.col("share") * F.col("n") < 2 * per_language)
+    few = labelled.withColumn("share", share).join(broadcast_if_small(sizes, 100_000), "lang").filter(F.col("share") * F.col("n") < 2 * each + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id"))
-    sample = few.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", _presence("text").alias("bits"))
+    sample = few.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", _presence("text").alias("bits"))
     rows = sample.filter("bits is not null").orderBy("lang", "bits").collect()
     return fit_kernel([np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))) for r in rows], [r.lang for r in rows])
 
 
 def identify_languages(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """Adds lang_pred (``und`` for null texts, texts without a letter, or a model that learned nothing) and score."""
+    """Adds lang_pred (``und`` for null texts, texts without a letter, or a model that learned nothing) and score.
+
+    Existing columns of these names are replaced; equal texts are judged alike; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x landmarks at most
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -162,6 +170,7 @@ def identify_languages(docs: DataFrame, model: KernelModel) -> DataFrame:
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose checksum is not 1 mod 3; null texts are ``und``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = crc_id() % 3 == 1
     model = learn_languages(docs.filter(~held_out))
