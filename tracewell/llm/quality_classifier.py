@@ -153,7 +153,8 @@ def _statistics(texts: pa.Array) -> pa.Array:
 def learn_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> BoostedTrees:
     """Fits on at most ``max_rows`` labelled documents, the same ones at every run (chosen by hashes).
 
-    Ids with several labels count as good if their mean is at least 0.5. Null labels are left out.
+    Ids with several labels count as good if their mean is at least 0.5. Null labels and ids are left out; null texts count
+    as empty. Without any labelled document every score will be 0.5. Only doc_id and text are read.
     """
     small_batches(docs.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
@@ -165,7 +166,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
 
 def score_quality(docs: DataFrame, model: BoostedTrees, name: str = "score") -> DataFrame:
-    """Adds the probability that a document is good; an existing column of that name is replaced."""
+    """Adds the probability that a document is good; an existing column of that name is replaced.
+
+    Null texts are scored as empty ones, equal texts alike, whole texts at any length; an empty table gives an empty
+    result.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred KB at most, by trees and depth
 
@@ -188,6 +193,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Every document's score by trees fitted on the labels of four fifths of the ids; null ids count as the empty text, which is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = learn_quality(docs, training_labels(labels))

@@ -21,8 +21,8 @@ from tracewell.llm.common import small_batches
 
 _MARK = "▁"
 _NONE = np.iinfo(np.int32).max
-#: Pre-tokens whose counts a worker keeps; beyond it starts anew.
-_KEPT = 400_000
+#: Pre-tokens whose counts a worker keeps; beyond it starts anew. Longer ones are not kept, so some 50 MB are the most.
+_KEPT, _KEPT_CHARS = 400_000, 32
 
 
 class PieceMerges:
@@ -122,13 +122,18 @@ def count_tokens(texts: list[str | None], model_file: str) -> list[int]:
         part = new[at : at + (1 << 14)]
         known.update(zip(part, merges.count(part).tolist(), strict=True))
     alone = merges.alone
-    return [sum(map(known.__getitem__, f)) + (sum(map(t.count, alone)) if t else 0) for f, t in zip(found, texts, strict=True)]
+    counts = [sum(map(known.__getitem__, f)) + (sum(map(t.count, alone)) if t else 0) for f, t in zip(found, texts, strict=True)]
+    for p in new:
+        if len(p) > _KEPT_CHARS:
+            del known[p]
+    return counts
 
 
 def with_token_counts(docs: DataFrame, model_file: str, name: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of ``text``; an existing column of that name is replaced.
 
-    ``model_file`` must be readable on every executor (an installed vocabulary). Null texts count as empty.
+    ``model_file`` must be readable on every executor (an installed vocabulary). Null texts count as empty, equal texts alike,
+    whole texts at any length; an empty table gives an empty result. Other columns may have any name.
     """
     small_batches(docs.sparkSession)
 
@@ -141,6 +146,7 @@ def with_token_counts(docs: DataFrame, model_file: str, name: str = "n_tokens")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The tokens of every document; null and empty texts have 0 bytes and 0 tokens."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
