@@ -1,9 +1,9 @@
 """Benchmark decontamination: exact windows of benchmark words found in training texts.
 
-The benchmark's windows form a hashed set that is broadcast. Its size is checked: of a larger set only a Bloom filter
-is broadcast, and the text windows that pass it meet the set by shuffle.
-Texts are scanned once: every window start becomes one narrow row of ten words, whose hash probes the set; the words
-themselves are compared after a hit. Results are kept by text, so copies are judged once and identically.
+The hashes of the benchmark's windows form a set that is broadcast. Its size is checked: of a larger set only a Bloom
+filter is broadcast, and the text windows that pass it meet the set by shuffle.
+Texts are scanned once: every window start becomes one narrow row (place, hash), which probes the set; the words
+themselves are compared only where a hash hits. Results are kept by text, so copies are judged once and identically.
 """
 
 from __future__ import annotations
@@ -11,81 +11,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ascii_lower
-from tracewell.llm.url_filter import bloom_filter, may_be_listed
+from tracewell.llm.common import ascii_lower, text_key, with_window_hashes, with_words
+from tracewell.llm.url_filter import bloom_filter, filter_blocks, may_be_listed
 from tracewell.session import broadcast_if_small, materialize
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Blocks of the Bloom filter for large benchmarks: 80 MB, about 13 bits a window for 20 million windows.
-_FILTER_BLOCKS = 1 << 20
 
 
-def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
+def _words(df: DataFrame, name: str) -> DataFrame:
     """Adds the lower-cased words of ``text``; null texts have none."""
-    parts = F.col(name)
-    head, tail = F.when(F.element_at(parts, 1) == "", 1).otherwise(0), F.when((F.element_at(parts, -1) == "") & (F.size(parts) > 1), 1).otherwise(0)
-    split = df.withColumn(name, F.split(F.coalesce(ascii_lower(text), F.lit("")), _SEPARATOR))
-    return split.withColumn(name, F.slice(parts, head + 1, F.size(parts) - head - tail))
+    return with_words(df, name, ascii_lower(F.col("text")), _SEPARATOR)
 
 
-def _key(words: list[Column]) -> Column:
-    return F.xxhash64(*words)
+def _spelled(m: int):
+    return lambda h, i: F.struct(h.alias("h"), F.array_join(F.slice("words", i + 1, F.lit(m)), " ").alias("w"))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: length m, hash h, words w (joined by spaces) and the item_ids (as text) that hold them.
+def _placed(m: int):
+    return lambda h, i: F.struct(i.alias("pos"), F.lit(m).alias("m"), h.alias("h"))
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
+    """(a written table of item (id as text), m, h, w (words joined by spaces): one row an item and distinct window; the lengths m).
 
     An item of fewer words than ``window``, but not none, is one window. Items without an id count no item.
     """
-    items = with_words(benchmark.select("item_id", "text"), F.col("text"), "words").filter(F.size("words") > 0)
-    items = items.withColumn("m", F.least(F.lit(window), F.size("words")))
-    starts = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("m") + 1)))
-    spans = starts.select(F.col("item_id").cast("string").alias("item"), "m", F.slice("words", F.col("i"), F.col("m")).alias("ws"))
-    hashed = F.when(F.lit(False), F.lit(0).cast("bigint"))
-    for m in range(1, window + 1):
-        hashed = hashed.when(F.col("m") == m, _key([F.get("ws", F.lit(j)) for j in range(m)]))
-    found = spans.withColumn("h", hashed).withColumn("w", F.array_join("ws", " "))
-    return found.groupBy("m", "h", "w").agg(F.collect_set("item").alias("items"))
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 200_000) -> DataFrame:
+    items = _words(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), "words").filter(F.size("words") > 0)
+    items = materialize(items.select("item", "words", F.least(F.lit(window), F.size("words")).alias("m")), "items")
+    lengths = sorted(r.m for r in items.select("m").distinct().collect())  # at most ``window`` values
+    rows = items.select("item", "m", F.lit(0).cast("bigint").alias("h"), F.lit("").alias("w")).limit(0)
+    for m in lengths:
+        hashed = with_window_hashes(items.filter(F.col("m") == m), "words", [m])
+        pairs = F.transform(f"__tw_h{m}", _spelled(m))
+        rows = rows.unionByName(hashed.select("item", "m", F.explode(pairs).alias("p")).select("item", "m", "p.h", "p.w"))
+    return materialize(rows.distinct(), "windows"), lengths
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 500_000) -> DataFrame:
     """(k1, k2, hits, items) for every text with a hit: text key, sorted [start, end) word spans, sorted item ids."""
-    known = materialize(benchmark_windows(benchmark, window), "windows")
-    lengths = [r.m for r in known.select("m").distinct().orderBy("m").collect()] or [window]  # at most ``window`` values
-    texts = with_words(docs.select(*_text_key(F.col("text")), "text"), F.col("text"), "words").select("k1", "k2", "words")
-    most = lengths[-1]
-    ahead = [F.col("words")] + [F.slice("words", F.lit(j + 1), F.greatest(F.size("words") - j, F.lit(0))) for j in range(1, most)]
-    zipped = F.arrays_zip(*[a.alias(f"w{j}") for j, a in enumerate(ahead)])
-    names = [f"w{j}" for j in range(most)]
-    zipped = zipped.cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")
-    # the outer form: the inner one would have Catalyst split each text a second time to skip empty ones
-    rows = texts.select("k1", "k2", F.posexplode_outer(zipped).alias("pos", "z")).select("k1", "k2", "pos", *[F.col(f"z.{n}").alias(n) for n in names])
-    probes = [F.struct(F.lit(m).alias("m"), _key([F.col(n) for n in names[:m]]).alias("h")) for m in lengths]
-    if len(lengths) == 1:
-        rows = rows.filter(F.col(names[most - 1]).isNotNull()).withColumns({"m": F.lit(most), "h": _key([F.col(n) for n in names])})
+    windows, lengths = benchmark_windows(benchmark, window)
+    known = materialize(windows.select(F.xxhash64("m", "h").alias("key")).distinct(), "known")
+    texts = docs.select(*[c.alias(n) for n, c in zip(("k1", "k2"), text_key(), strict=True)], "text")
+    hashed = with_window_hashes(_words(texts, "words"), "words", lengths or [window])
+    # the outer forms: the inner ones would have Catalyst split each text a second time to skip empty ones
+    if len(lengths) > 1:
+        every = F.concat(*[F.transform(f"__tw_h{m}", _placed(m)) for m in lengths])
+        rows = hashed.select("k1", "k2", F.explode_outer(every).alias("s")).select("k1", "k2", "s.*")
     else:
-        rows = rows.withColumn("p", F.explode(F.array(*probes))).withColumns({"m": F.col("p.m"), "h": F.col("p.h")})
-    target = known.withColumnRenamed("m", "km")
-    if known.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows:
-        target = F.broadcast(target)
+        m = lengths[0] if lengths else window
+        rows = hashed.select("k1", "k2", F.posexplode_outer(f"__tw_h{m}").alias("pos", "h")).withColumn("m", F.lit(m))
+    rows = rows.filter("h is not null").withColumn("key", F.xxhash64("m", "h"))
+    few = known.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows  # of 8 bytes each
+    if few:
+        rows = rows.join(F.broadcast(known), "key")
     else:
-        bloom = bloom_filter(known.select(F.hex("h").alias("key")), _FILTER_BLOCKS)
-        rows = may_be_listed(rows.withColumn("key", F.hex("h")), bloom, blocks=_FILTER_BLOCKS).drop("key")
-    hits = rows.join(target, "h").filter(F.col("m") == F.col("km"))
-    spelled = F.when(F.lit(False), F.lit(""))
-    for m in lengths:
-        spelled = spelled.when((F.col("m") == m) & F.col(names[m - 1]).isNotNull(), F.concat_ws(" ", *names[:m]))
-    hits = hits.filter(spelled == F.col("w"))
-    by_text = hits.groupBy("k1", "k2").agg(
+        blocks = filter_blocks(known.count())
+        rows = may_be_listed(rows.withColumn("text_key", F.hex("key")), bloom_filter(known.select(F.hex("key").alias("key")), blocks), "text_key", blocks)
+        rows = rows.drop("text_key").join(known.hint("shuffle_merge"), "key")
+    places = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("pos", "m", "h"))).alias("at"))
+    places = materialize(places, "candidates")
+    # where a hash hit, the words decide
+    again = _words(texts.join(broadcast_if_small(places, 100_000), ["k1", "k2"]), "words")
+    spelled = F.transform("at", lambda s: F.struct(s["pos"].alias("pos"), s["m"].alias("m"), s["h"].alias("h"), F.array_join(F.slice("words", s["pos"] + 1, s["m"]), " ").alias("w")))
+    found = again.select("k1", "k2", F.explode(spelled).alias("s")).select("k1", "k2", "s.*").distinct()
+    met = found.join(broadcast_if_small(windows, 500_000), ["m", "h", "w"])
+    return met.groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("m")).alias("end")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.collect_set("item")).alias("items"),
     )
-    return by_text
-
-
-def _text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
 def covered(hits: Column) -> Column:
@@ -97,45 +91,58 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, start, grown, lambda s: s["n"])
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 200_000) -> DataFrame:
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, max_broadcast_windows: int = 500_000) -> DataFrame:
+    """Adds __tw_spans and __tw_items."""
+    found = materialize(find_hits(docs, benchmark, window, max_broadcast_windows), "hits")
+    found = found.select(F.col("k1").alias("__tw_k1"), F.col("k2").alias("__tw_k2"), F.col("hits").alias("__tw_spans"), F.col("items").alias("__tw_items"))
+    k1, k2 = text_key()
+    joined = docs.withColumns({"__tw_k1": k1, "__tw_k2": k2}).join(broadcast_if_small(found, 100_000), ["__tw_k1", "__tw_k2"], "left").drop("__tw_k1", "__tw_k2")
+    return joined.withColumns(
+        {"__tw_spans": F.coalesce("__tw_spans", F.array().cast("array<struct<pos:int,end:int>>")), "__tw_items": F.coalesce("__tw_items", F.array().cast("array<string>"))}
+    )
+
+
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = 500_000) -> DataFrame:
     """Adds hit_spans (array<struct<pos, end>>, word positions) and hit_items (array<string>), both empty where clean.
 
     ``docs`` needs a text column; null and empty texts are clean, and so is everything if the benchmark has no words.
-    Existing columns of the added names are replaced; repeated rows are judged alike.
+    Existing columns of the added names are replaced; repeated rows are judged alike; an empty table gives an empty
+    result.
     """
-    found = materialize(find_hits(docs, benchmark, window, max_broadcast_windows), "hits").select(F.col("k1").alias("__tw_k1"), F.col("k2").alias("__tw_k2"), F.col("hits").alias("hit_spans"), F.col("items").alias("hit_items"))
-    k1, k2 = _text_key(F.col("text"))
-    keyed = docs.drop("hit_spans", "hit_items").withColumns({"__tw_k1": k1, "__tw_k2": k2})
-    joined = keyed.join(broadcast_if_small(found, 100_000), ["__tw_k1", "__tw_k2"], "left").drop("__tw_k1", "__tw_k2")
-    return joined.withColumns(
-        {"hit_spans": F.coalesce("hit_spans", F.array().cast("array<struct<pos:int,end:int>>")), "hit_items": F.coalesce("hit_items", F.array().cast("array<string>"))}
-    )
+    marked = _marked(docs.drop("hit_spans", "hit_items"), benchmark, window, max_broadcast_windows)
+    return marked.withColumnsRenamed({"__tw_spans": "hit_spans", "__tw_items": "hit_items"})
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Only the documents without a hit, with their own columns."""
-    return mark_contamination(docs, benchmark, window).filter(F.size("hit_spans") == 0).select([F.col(f"`{c}`") for c in docs.columns])
+    """Only the documents without a hit, with their own columns, whatever their names; null and empty texts stay.
+
+    An empty table gives an empty result, an empty benchmark drops nothing.
+    """
+    return _marked(docs, benchmark, window).filter(F.size("__tw_spans") == 0).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All documents, with the hit words cut out of the texts; what stands between words stays as it is."""
-    marked = mark_contamination(docs, benchmark, window)
+    """All documents, with the hit words cut out of the texts; what stands between words stays as it is.
+
+    Null and empty texts and the other columns, whatever their names, are untouched; an empty table gives an empty result.
+    """
+    marked = _marked(docs, benchmark, window)
     pieces = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    marked = marked.withColumn("__tw_p", F.when(F.size("hit_spans") > 0, pieces)).withColumn("__tw_f", F.when(F.element_at("__tw_p", 1).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0))
+    marked = marked.withColumn("__tw_p", F.when(F.size("__tw_spans") > 0, pieces)).withColumn("__tw_f", F.when(F.element_at("__tw_p", 1).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0))
 
     def stays(_: Column, i: Column) -> Column:
         at = i - F.col("__tw_f")  # words have even places, counted from the first word
-        return (F.pmod(at, F.lit(2)) != 0) | ~F.exists("hit_spans", lambda s: (s["pos"] * 2 <= at) & (at < s["end"] * 2))
+        return (F.pmod(at, F.lit(2)) != 0) | ~F.exists("__tw_spans", lambda s: (s["pos"] * 2 <= at) & (at < s["end"] * 2))
 
     cut = F.array_join(F.filter("__tw_p", stays), "")
-    return marked.withColumn("text", F.when(F.size("hit_spans") > 0, cut).otherwise(F.col("text"))).select([F.col(f"`{c}`") for c in docs.columns])
+    return marked.withColumn("text", F.when(F.size("__tw_spans") > 0, cut).otherwise(F.col("text"))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    """The digest of every document's hits; null and empty texts have no words and no hits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     marked = mark_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    counted = with_words(marked, F.col("text"), "__tw_w")
-    return counted.select(
+    return _words(marked, "__tw_w").select(
         "doc_id",
         F.size("__tw_w").cast("bigint").alias("n_words"),
         covered(F.col("hit_spans")).alias("n_hit"),
