@@ -24,7 +24,7 @@ SHINGLE = 4
 #: (segments, segments of the chain that are joined on), for up to so many distinct fingerprints. More fingerprints
 #: need longer keys to keep chance candidates few; each entry is exact at any size.
 _RINGS = ((1 << 21, 5, 2), (1 << 25, 9, 4), (1 << 29, 13, 6), (1 << 63, 17, 8))
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 #: Fingerprints of one key that are paired in one task. Runs above it are cut into blocks, whose pairs are dealt out.
 RUN = 1 << 15
 #: Fingerprints of a class beyond which its id is broadcast.
@@ -265,8 +265,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")]
     kept = materialize(rows.groupBy(*group).agg(F.min(F.struct(ranked.alias("r"), "copies")).alias("b")).select(F.col("b.r.row_key").alias("__tw_h"), F.col("b.copies").alias("__tw_n")), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    # as many rows as documents stay: joined by shuffle at every size
-    chosen = docs.withColumn("__tw_h", row_hash(docs)).join(kept.hint("shuffle_merge"), "__tw_h")
+    # as many rows as documents stay: joined by shuffle at every size, against hash tables of keys, so texts are not sorted
+    chosen = docs.withColumn("__tw_h", row_hash(docs)).join(kept.hint("shuffle_hash"), "__tw_h")
     if not kept.filter("__tw_n > 1").limit(1).count():
         return chosen.select(columns)
     once = chosen.filter("__tw_n > 1").dropDuplicates(["__tw_h"])
