@@ -10,22 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACE
+from tracewell.llm.common import let, with_words
 from tracewell.session import broadcast_if_small, materialize
 
-#: Steps into which a source's keys are cut; one step of each source is sorted, the others are only summed.
-KEY_STEPS = 1024
+#: A key's logarithm as a whole number of 48 bits: order-preserving, cut into steps by its upper bits.
+_CODE_BITS = 48
+#: Bits of one step: each pass sums 4,096 steps a source and goes on inside the one where the budget ends.
+_STEP_BITS = 12
+#: Rows of one source's last step that are sorted; a step with more is cut again.
+SORTED_ROWS = 50_000
 
+#: ASCII signs and digits.
+_SIGNS = r"[\x21-\x40\x5B-\x60\x7B-\x7E]"
 
-def text_quality(text: Column) -> Column:
-    """A document's sampling weight: the share of its characters that are no ASCII signs or digits, 0.05 at least."""
-    plain = F.char_length(F.regexp_replace(text, r"[\x21-\x40\x5B-\x60\x7B-\x7E]", ""))
-    return F.coalesce(F.greatest(F.lit(0.05), F.try_divide(plain.cast("double"), F.char_length(text).cast("double"))), F.lit(0.05))
 
+def text_quality(words: Column, text: Column) -> Column:
+    """A document's sampling weight from 0.02 to 1: (share of characters that are no ASCII signs or digits) ** 6 times
+    (1.25 x distinct words / words, 1 at most) ** 2. Texts without words weigh 0.02.
+
+    Prose is near 0.85; tables, symbol lines and repeated lines are at 0.3 and below.
+    """
+    plain = F.char_length(text) - F.regexp_count(text, F.lit(_SIGNS))
+    share = F.try_divide(plain.cast("double"), F.char_length(text).cast("double"))
+    variety = F.least(F.lit(1.0), F.try_divide(1.25 * F.size(F.array_distinct(words)), F.size(words).cast("double")))
+    weight = let(F.struct(share.alias("s"), variety.alias("v")), lambda x: x["s"] * x["s"] * x["s"] * x["s"] * x["s"] * x["s"] * x["v"] * x["v"])
+    return F.when(F.size(words) > 0, F.greatest(F.lit(0.02), weight)).otherwise(F.lit(0.02))
 
-def word_count(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return (F.size(parts) - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) - F.when((F.element_at(parts, -1) == "") & (F.size(parts) > 1), 1).otherwise(0)).cast("bigint")
+
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """Adds ``__tw_size`` (words of the text) and ``__tw_quality``; the text is split once."""
+    found = with_words(docs, "__tw_words")
+    words = F.col("__tw_words")
+    return found.withColumns({"__tw_size": F.size(words).cast("bigint"), "__tw_quality": text_quality(words, F.col("text"))}).drop("__tw_words")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -49,66 +65,97 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     )
 
 
-def mix_sources(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 0) -> DataFrame:
-    """Adds size, quality, source_size, target and times (how often the mix takes the row) to every document.
-
-    ``docs`` needs doc_id, text and source; existing columns of the added names are replaced. Null sources form one
-    source. Null and empty texts have size 0 and weight nothing. Rows with equal doc_id, text and source have equal
-    keys and are taken or left together. An empty table gives an empty result. The last document of the sample is
-    taken if that brings the sum nearer to the target. Only sums a (source, key step) and the rows of one key step
-    a source are shuffled before the join with one row a source, so a source with most of the rows is no hot spot.
+def _boundary(narrow: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
+    """(source, shift, prefix, start, budget): the step in which each source's budget ends, of at most ``rows`` rows or
+    of one code; start is the sum before it. Sources whose budget lies beyond their last row are left out."""
+    shift = _CODE_BITS - _STEP_BITS
+    now = targets.select("source", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("start"), "budget")
+    done = None
+    while True:
+        held = broadcast_if_small(now.withColumnRenamed("source", "__s"), 100_000)
+        inside = F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("code", shift + _STEP_BITS) == F.col("prefix"))
+        met = narrow.select("source", "code", "size").join(held, inside)
+        steps = met.groupBy("source", F.shiftright("code", shift).alias("step")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("start").alias("start"), F.first("budget").alias("budget"))
+        upto = F.col("start") + F.sum("n").over(Window.partitionBy("source").orderBy("step"))  # 4,096 rows a source at most
+        ends = steps.withColumn("upto", upto).filter((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget")))
+        found = materialize(ends.select("source", F.lit(shift).alias("shift"), F.col("step").alias("prefix"), (F.col("upto") - F.col("n")).alias("start"), "budget", "rows"), "steps")
+        fits = (F.col("rows") <= rows) if shift else F.lit(True)
+        part = found.filter(fits).drop("rows")
+        done = part if done is None else done.unionByName(part)
+        now = found.filter(~fits).select("source", "prefix", "start", "budget")
+        if not shift or not now.limit(1).count():
+            return done
+        shift -= _STEP_BITS
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, sorted_rows: int = SORTED_ROWS, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds __tw_size, __tw_quality, __tw_source_size, __tw_target and __tw_times (how often the mix takes the row).
+
+    ``docs`` needs doc_id, text and source; other columns may have any name that does not begin with __tw_. Columns
+    in ``drop`` are left out of the result. Null sources form one source. Null and empty texts have size 0 and weight
+    0.02. Rows with equal doc_id, text and source have equal keys and are taken or left together. An empty table gives
+    an empty result. The last document of the sample is taken if that brings the sum nearer to the target.
+
+    Sizes, weights and keys are worked out once and written. Each source's boundary is found by summing steps of its
+    keys, of 4,096 a pass, until the step where the budget ends is small enough to sort; so a source with most of the
+    rows is no hot spot, whatever its weights. Only those sums and steps are shuffled; one row a source meets the rows.
     """
-    docs = docs.drop("size", "quality", "source_size", "target", "times")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
-    keyed = docs.withColumn("size", size).withColumn("quality", quality).withColumn("__tw_d", digest)
+    keyed = with_sizes(docs).withColumn("__tw_d", digest).drop(*drop)
     u = (F.conv(F.substring("__tw_d", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    keyed = keyed.withColumn("__tw_k", -F.log(u) / F.col("quality"))
-    step = F.least(F.lit(KEY_STEPS - 1), F.floor((1 - F.exp(-F.col("__tw_k"))) * KEY_STEPS)).cast("int")
-    narrow = materialize(keyed.select("source", "size", F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d")).withColumn("step", F.least(F.lit(KEY_STEPS - 1), F.floor((1 - F.exp(-F.col("k"))) * KEY_STEPS)).cast("int")), "keys")
+    keyed = materialize(keyed.withColumn("__tw_k", -F.log(u) / F.col("__tw_quality")), "keyed")
+    # keys lie between exp(-37) and exp(8), so the logarithm plus 64 fits seven bits before the point
+    code = F.floor((F.log("__tw_k") + 64) * float(1 << (_CODE_BITS - 7)))
+    narrow = keyed.select("source", F.col("__tw_size").alias("size"), F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d"), code.alias("code"))
 
-    steps = narrow.groupBy("source", "step").agg(F.sum("size").alias("n"))
-    targets = source_targets(steps.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("int"))
-    targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = materialize(targets, "targets")
-    small = broadcast_if_small(targets, 10_000)
-
-    running = Window.partitionBy("source").orderBy("step")
-    spans = steps.withColumn("upto", F.sum("n").over(running)).withColumn("start", F.col("upto") - F.col("n"))
-    spans = spans.alias("s").join(small.select("source", "budget").alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).filter("upto > budget and start <= budget")
-    cuts = materialize(spans.select("s.source", "step", "start", "budget"), "cuts")  # one row a source at most
-    at_cut = narrow.alias("d").join(broadcast_if_small(cuts, 10_000).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.step") == F.col("c.step")))
-    alike = at_cut.groupBy("d.source", "k", "d", "start", "budget").agg(F.sum("size").alias("n"))
+    targets = materialize(targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+
+    cuts = materialize(_boundary(narrow, targets, sorted_rows), "cuts")  # one row a source at most
+    c = broadcast_if_small(cuts.select([F.col(x).alias(f"c_{x}") for x in cuts.columns]), 100_000)
+    at_cut = narrow.join(c, F.col("source").eqNullSafe(F.col("c_source")) & (F.call_function("shiftright", "code", "c_shift") == F.col("c_prefix")))
+    alike = at_cut.groupBy("source", "k", "d", F.col("c_start").alias("start"), F.col("c_budget").alias("budget")).agg(F.sum("size").alias("n"))
     order = Window.partitionBy("source").orderBy("k", "d")
     taken = alike.withColumn("upto", F.col("start") + F.sum("n").over(order)).filter(2 * F.col("upto") - F.col("n") <= 2 * F.col("budget"))
     last = taken.groupBy("source").agg(F.max(F.struct("k", "d")).alias("last"))
-    plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-    plan = plan.select("t.*", F.coalesce(F.col("step"), F.lit(KEY_STEPS)).alias("step")).alias("p")
+    plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", "shift", "prefix").alias("p")
     plan = plan.join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "last")
-    plan = materialize(plan, "plan").select([F.col(c).alias(f"__tw_{c}") for c in plan.columns])
+    plan = materialize(plan, "plan").select([F.col(x).alias(f"__tw_{x}") for x in plan.columns])
 
-    joined = keyed.withColumn("__tw_s", step).join(broadcast_if_small(plan, 10_000), F.col("source").eqNullSafe(F.col("__tw_source")))
-    chosen = (F.col("__tw_s") < F.col("__tw_step")) | F.coalesce((F.col("__tw_s") == F.col("__tw_step")) & (F.struct(F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d")) <= F.col("__tw_last")), F.lit(False))
-    added = {"source_size": F.col("__tw_source_size"), "target": F.col("__tw_target"), "times": F.col("__tw_epochs") + chosen.cast("int")}
-    return joined.withColumns(added).drop("__tw_d", "__tw_k", "__tw_s", *[c for c in plan.columns])
+    code = F.floor((F.log("__tw_k") + 64) * float(1 << (_CODE_BITS - 7)))
+    joined = keyed.join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__tw_source"))).withColumn("__tw_step", F.call_function("shiftright", code, F.col("__tw_shift")))
+    at = (F.col("__tw_step") == F.col("__tw_prefix")) & (F.struct(F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d")) <= F.col("__tw_last"))
+    chosen = F.col("__tw_prefix").isNull() | (F.col("__tw_step") < F.col("__tw_prefix")) | F.coalesce(at, F.lit(False))
+    mixed = joined.withColumn("__tw_times", F.col("__tw_epochs") + chosen.cast("int"))
+    added = ["__tw_size", "__tw_quality", "__tw_source_size", "__tw_target", "__tw_times"]
+    return mixed.select(*[F.col(f"`{x}`") for x in docs.columns if x not in drop], *added)
 
 
 def take_mix(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, without the columns that ``mix_sources`` added."""
-    repeated = mixed.filter("times > 0").withColumn("__tw_e", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.drop("__tw_e", "size", "quality", "source_size", "target", "times")
+    """The mix itself: each row as often as it is taken, without the columns that ``mix_sources`` added.
+
+    Rows that are not taken are left out; an empty table gives an empty result.
+    """
+    own = [F.col(f"`{x}`") for x in mixed.columns if not x.startswith("__tw_")]
+    return mixed.filter("__tw_times > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("__tw_times"))).alias("__tw_e")).select(own)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes; null texts have no words and are counted in their source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    mixed = mix_sources(docs, word_count(F.col("text")), text_quality(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    mixed = mix_sources(docs, drop=("text",))
+    return mixed.select(
+        "doc_id", F.col("__tw_size").alias("size"), F.col("__tw_source_size").alias("source_size"), F.col("__tw_target").alias("target"), (F.col("__tw_size") * F.col("__tw_times")).alias("taken")
+    )
 
 
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    coalesce(greatest(0.05, length(regexp_replace(text, '[\x21-\x40\x5B-\x60\x7B-\x7E]', '', 'g'))::DOUBLE / nullif(length(text), 0)), 0.05) AS q,
+    length(regexp_replace(text, '[\x21-\x40\x5B-\x60\x7B-\x7E]', '', 'g'))::DOUBLE / nullif(length(text), 0)::DOUBLE AS p,
+    least(1.0, 1.25 * len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::DOUBLE / nullif(size, 0)::DOUBLE) AS v,
+    CASE WHEN size > 0 THEN greatest(0.02, p * p * p * p * p * p * v * v) ELSE 0.02 END AS q,
     md5(concat_ws('|', '0', doc_id::VARCHAR, md5(coalesce(text, '')))) AS dg
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
