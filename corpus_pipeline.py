@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on every document its predecessor kept: poor documents go, one
 document of each near-duplicate class stays, documents with benchmark passages go, sources are mixed to their target
 weights (documents of sources with a high target repeat), and the rows are dealt to shards.
+
+In every stage null ids, texts, languages and sources are ordinary values, null and empty texts alike count as texts
+without words, repeated rows are treated alike, an empty table gives an empty result, and further columns, whatever
+their names (save those that begin with ``__tw_``), are kept as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.decontamination import drop_contaminated
-from tracewell.llm.mixing import mix_sources, take_mix, text_quality, word_count
+from tracewell.llm.mixing import mix_sources, take_mix
 from tracewell.llm.near_duplicates import drop_near_duplicates
 from tracewell.llm.quality_classifier import LEAST_SCORE, learn_quality, score_quality, training_labels
 from tracewell.llm.sharding import shard_rows
@@ -25,29 +29,41 @@ def _own(docs: DataFrame) -> list:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of ids whose checksum is not 0 mod 5; documents that score below 0.3 go."""
+    """Learns from the labels of ids whose checksum is not 0 mod 5; documents that score below 0.3 go.
+
+    Null and empty texts get one and the same score, and are kept or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = learn_quality(docs, training_labels(labels))
     return score_quality(docs, model, "__tw_score").filter(F.col("__tw_score") >= LEAST_SCORE).select(_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class stays."""
+    """The document with the least id of each class stays (nulls last); rows equal in every column are one document.
+
+    Texts without words are one class.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item, or a whole shorter item, go."""
+    """Documents that hold a window of ten words of a benchmark item, or a whole shorter item, go.
+
+    Texts without words stay.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 5, 2, 1, repeating; a document comes as often as the mix takes it, three times at most."""
-    return take_mix(mix_sources(docs, word_count(F.col("text")), text_quality(F.col("text")))).select(_own(docs))
+    """Sources weigh 5, 2, 1, repeating; a document comes as often as the mix takes it, three times at most.
+
+    Null sources are one source, the last. Rows equal in id, text and source are taken or left together.
+    """
+    return take_mix(mix_sources(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds row_number, shard (0 to 39) and slot."""
+    """Adds row_number, shard (0 to 39) and slot; columns that have these names are replaced."""
     return shard_rows(docs, SHARDS)
 
 
