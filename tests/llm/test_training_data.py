@@ -76,6 +76,17 @@ def test_shards_do_not_depend_on_layout_or_columns(spark, odd, none):
     assert sharding.shard_rows(none, 4).count() == 0
 
 
+def test_shard_query(spark, sf, tmp_path):
+    spark.createDataFrame(ODD, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (sf, str(tmp_path)):
+        docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+        rows = sharding.op1_sharding(spark, d).collect()
+        part = lambda x: "-" if x is None else hashlib.md5(str(x).encode()).hexdigest()
+        order = sorted(docs, key=lambda r: hashlib.md5((part(r.doc_id) + part(r.text)).encode()).hexdigest())
+        want = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()), "rows", *sharding.locate(i, len(docs), 40), None) for i, r in enumerate(order)]
+        assert [(*r,)[:7] for r in sorted(rows, key=lambda r: r.row_number)] == want
+
+
 # quality classifier
 
 
@@ -98,6 +109,27 @@ def test_trees_match_a_walk_one_by_one():
     assert ((got > 0.5) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("text", [None, "", " ", "One two.\nTwo two!\n\n#3 | x, y?", "Été ÉTÉ été", _LONG[:3000]])
+def test_text_statistics_match_brute_force(text):
+    got = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics(None if text is None else text.encode()), strict=True))
+    b = (text or "").encode()
+    ws, lines, n = re.findall(rb"[^\x20\x09-\x0D]+", b), b.split(b"\n"), len(b)
+    if not n:
+        assert not any(got.values())
+        return
+    k = max(1, len(ws))
+    share = lambda f: sum(map(f, b)) / n
+    want = {
+        "log_chars": math.log1p(n), "log_words": math.log1p(len(ws)), "word_length": sum(map(len, ws)) / k, "distinct_words": len(set(ws)) / k,
+        "repeats_last": sum(x == y for x, y in zip(ws, ws[1:], strict=False)) / k, "commonest_word": max(collections.Counter(ws).values(), default=0) / k,
+        "upper": share(lambda c: 65 <= c <= 90), "digit": share(lambda c: 48 <= c <= 57), "space": share(lambda c: c in b" \t\n\v\f\r"), "non_ascii": share(lambda c: c > 127),
+        "symbol": share(lambda c: c in b"#*$%&<>@^~_=+\\{}[]"), "exclaim": b.count(b"!") / n, "bar": b.count(b"|") / n, "stop": b.count(b".") / n, "comma": b.count(b",") / n, "line_end": b.count(b"\n") / n,
+        "log_lines": math.log1p(len(lines)), "distinct_lines": len(set(lines)) / len(lines), "ends_marked": sum(x[-1:] in (b".", b"!", b"?", b":") for x in lines) / len(lines),
+        "entropy": -sum(c / n * math.log2(c / n) for c in collections.Counter(b).values()), "last_letter": sum(w[-1] >= 97 or 65 <= w[-1] <= 90 for w in ws) / k,
+    }
+    assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], abs_tol=1e-9) for f in want)
+
+
 def test_quality_on_held_out_and_odd(spark, sf, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r.doc_id: r for r in quality_classifier.op2_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
@@ -130,32 +162,50 @@ def _targets(sizes, weights=(5, 2, 1)):
         capped |= over
 
 
-@pytest.mark.parametrize("table", ["odd", "real"])
-def test_mix_meets_targets(request, table):
+@pytest.mark.parametrize(("table", "rows"), [("odd", 50_000), ("real", 50_000), ("real", 3)])
+def test_mix_meets_targets(request, table, rows):
     docs = request.getfixturevalue(table)
-    mixed = mixing.mix_sources(docs.withColumn("size", F.lit("x")), mixing.word_count(F.col("text")), mixing.text_quality(F.col("text"))).collect()
-    assert len(mixed) == docs.count()
+    mixed = mixing.mix_sources(docs.withColumn("size", F.lit("x")), sorted_rows=rows).collect()
+    assert len(mixed) == docs.count() and {r["size"] for r in mixed} == {"x"}
     sizes, taken, largest = collections.Counter(), collections.Counter(), collections.Counter()
     for r in mixed:
-        assert r["size"] == len(words(r.text)) and 0 <= r.times <= 3
-        sizes[r.source] += r["size"]
-        taken[r.source] += r["size"] * r.times
+        assert r["__tw_size"] == len(words(r.text)) and 0 <= r["__tw_times"] <= 3
+        sizes[r.source] += r["__tw_size"]
+        taken[r.source] += r["__tw_size"] * r["__tw_times"]
         copies = sum(x.text == r.text and x.doc_id == r.doc_id and x.source == r.source for x in mixed) if table == "odd" else 1
-        largest[r.source] = max(largest[r.source], r["size"] * copies)
+        largest[r.source] = max(largest[r.source], r["__tw_size"] * copies)
     want = _targets(sizes)
     for r in mixed:
-        assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], abs_tol=1e-6)
-        assert abs(taken[r.source] - r.target) <= largest[r.source] / 2 + 1e-6
+        assert r["__tw_source_size"] == sizes[r.source] and math.isclose(r["__tw_target"], want[r.source], abs_tol=1e-6)
+        assert abs(taken[r.source] - r["__tw_target"]) <= largest[r.source] / 2 + 1e-6
+
+
+def test_mix_follows_keys(real):
+    """By hand: keys in order, whole epochs first, the last document where it brings the sum nearer."""
+    mixed = mixing.mix_sources(real).collect()
+    by = collections.defaultdict(list)
+    for r in mixed:
+        ws, text = words(r.text), r.text or ""
+        plain = len(re.sub(r"[\x21-\x40\x5B-\x60\x7B-\x7E]", "", text)) / len(text) if text else 0
+        q = max(0.02, plain**6 * min(1, 1.25 * len(set(ws)) / len(ws)) ** 2) if ws else 0.02
+        assert math.isclose(r["__tw_quality"], q, rel_tol=1e-9)
+        digest = hashlib.md5("|".join(["0", *([] if r.doc_id is None else [str(r.doc_id)]), hashlib.md5(text.encode()).hexdigest()]).encode()).hexdigest()
+        by[r.source].append((-math.log((int(digest[:13], 16) + 0.5) / 2**52) / q, digest, r))
+    for rows in by.values():
+        first = rows[0][2]
+        epochs = int(first["__tw_target"] // max(1, first["__tw_source_size"]))
+        budget, upto = first["__tw_target"] - epochs * first["__tw_source_size"], 0
+        for _, _, r in sorted(rows, key=lambda x: x[:2]):
+            upto += r["__tw_size"]
+            assert r["__tw_times"] == epochs + (2 * upto - r["__tw_size"] <= 2 * budget)
 
 
 def test_mix_repeats_and_agrees(spark, odd, none):
-    args = (mixing.word_count(F.col("text")), mixing.text_quality(F.col("text")))
-    a, b = (sorted((str(r.doc_id), str(r.text)[:40], r.times) for r in mixing.mix_sources(d, *args).collect()) for d in (odd, odd.repartition(6)))
+    a, b = (sorted((str(r.doc_id), str(r.text)[:40], r["__tw_times"]) for r in mixing.mix_sources(d).collect()) for d in (odd, odd.repartition(6)))
     assert a == b
-    mixed = mixing.mix_sources(odd, *args)
-    kept = mixing.take_mix(mixed)
+    kept = mixing.take_mix(mixing.mix_sources(odd))
     assert kept.columns == odd.columns and kept.count() == sum(t for *_, t in a)
-    assert mixing.mix_sources(none, *args).count() == 0
+    assert mixing.mix_sources(none).count() == 0 and mixing.take_mix(mixing.mix_sources(none)).count() == 0
 
 
 # decontamination
@@ -295,6 +345,7 @@ def test_urls_match_brute_force(spark, sf):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y", "http://www.example.com/en/", "https://com/", "http://x.net/es/1#f", "http://x.net/fr", "http://netx/fr/", "x://y://z.net/fr/", "http://www.spam.org/a/", "http://spam.org/a", "http://spam.org/b", "http://a.b.c.d.e.com/", "http://example.com?q=/en/", "ftp://exAmple.com/en/é"] * 2
     rules = [*url_filter.RULES, ("d.e.com", "", "block")]
     listed = ["spam.org /a", "x y"]
+    urls += ["http://" + "a." * 20_000 + "net/fr/" + "x" * 60_000, "http://spam.org/" + "b/" * 30_000, "http://d.e.com/" + "y" * 50_000]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, key int")
     got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(k,) for k in listed], "key string")).collect()
     assert len(got) == len(urls)
@@ -305,10 +356,24 @@ def test_urls_match_brute_force(spark, sf):
 
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    bloom = url_filter.bloom_filter(keys)
-    assert url_filter.may_be_listed(keys, bloom).count() == 3000
+    blocks = url_filter.filter_blocks(3000)
+    bloom = url_filter.bloom_filter(keys, blocks)
+    assert url_filter.may_be_listed(keys, bloom, "key", blocks).count() == 3000
     others = spark.range(20000).select(F.concat(F.lit("other"), "id").alias("key"))
-    assert url_filter.may_be_listed(others, bloom).count() < 200
+    assert url_filter.may_be_listed(others, bloom, "key", blocks).count() < 200
+    assert url_filter.filter_blocks(0) >= 1 and url_filter.filter_blocks(10_000_000) * 256 == 160_000_000
+
+
+def test_the_listed_url_alone_changes_a_verdict(spark, tmp_path):
+    """Two pages of one canonical URL: the second is blocked by the list only, not by anything of its own."""
+    good, junk = "<p>Plain words of a fine page.</p>", "<b>" + "buy! *** $$$ " * 30 + "</b>"
+    rows = [(1, "http://www.shop.org/a/", junk), (2, "https://shop.org/a?x=1", good), (3, "https://shop.org/b", good), (4, "http://m.shop.org/c", None), (5, None, junk), (6, "http://shop.net/fr/", junk), (7, "http://shop.com/z", junk)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in url_filter.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow"}
+    spark.createDataFrame([r for r in rows if r[0] != 1], "page_id long, url string, html string").write.parquet(f"{tmp_path}/less/pages.parquet")
+    got = {r.page_id: r.verdict for r in url_filter.op7_url_filter(spark, f"{tmp_path}/less").collect()}
+    assert got[2] == "allow"
 
 
 # language
@@ -329,6 +394,41 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify_languages(odd, language_id.learn_languages(none)).collect()} == {"und"}
 
 
+def test_kernel_matches_brute_force():
+    """Presence kernel by sets, the Nystroem map and the ridge solution by dense algebra."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 90))) for a in ("abcd ef", "efgh ij", "klm abn") for _ in range(25)]
+    langs = [x for x in ("x", "y", "z") for _ in range(25)]
+    grams = [language_id.ngrams(t) for t in texts]
+    for t, g in zip(texts, grams, strict=True):  # as many buckets as distinct n-grams, but for rare collisions
+        padded = " " + re.sub(" +", " ", t).strip() + " " if t.strip() else t
+        assert len({padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}) - len(g) <= 3
+    model = language_id.fit_kernel(grams, langs, 12)
+    size = lambda i: len(grams[i])
+    turns = [sorted((i for i, y in enumerate(langs) if y == x), key=lambda i: (-min(size(i), 400), i)) for x in ("x", "y", "z")]
+    marks = [t[k] for k in range(4) for t in turns]
+    kernel = lambda i, j: len(set(grams[i]) & set(grams[j])) / math.sqrt(size(i) * size(j))
+    k = np.array([[kernel(i, j) for j in marks] for i in range(len(texts))])
+    assert np.allclose(model.kernel(grams), k, atol=1e-5)
+    # ridge in the map's feature space, every language weighing the same
+    values, vectors = np.linalg.eigh(k[marks])
+    keep = values > 1e-6 * values.max()
+    x = k @ (vectors[:, keep] / np.sqrt(values[keep]))
+    y = np.where(np.array(langs)[:, None] == np.array(["x", "y", "z"])[None], 1.0, -1.0)
+    xc, yc, s = x - x.mean(0), y - y.mean(0), 1 / 25
+    w = np.linalg.solve(s * xc.T @ xc + 1e-3 * np.eye(x.shape[1]), s * xc.T @ yc)
+    want = xc @ w + y.mean(0)
+    got = model.kernel(grams) @ model.weights + model.bias
+    assert np.allclose(got, want, atol=1e-3)
+    assert model.predict(texts)[0] == [("x", "y", "z")[i] for i in want.argmax(1)]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 7 * lang)}{chr(0x4E00 + 7 * lang + 1)} " * 9, f"l{lang:03}") for i, lang in enumerate(x for x in range(300) for _ in range(3))]
+    model = language_id.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=450)
+    assert len(model.languages) == 300
+
+
 # language model
 
 
@@ -349,20 +449,24 @@ def test_gradients_match_differences():
 
 
 def test_state_is_carried_and_lanes_do_not_matter():
+    assert gated_lm.score(gated_lm.new_model(np.ones(9)), []).tolist() == []
     p = gated_lm.new_model(1 / np.arange(1, 131), 3)
     rng = np.random.default_rng(2)
     texts = [np.r_[rng.integers(2, 130, n), 0] for n in (0, 1, 5, 200, 33, 64, 7)]
     alone = np.array([gated_lm.score(p, [t], 1, 1000)[0] for t in texts])
     assert np.allclose(gated_lm.score(p, texts, 3, 8), alone, rtol=1e-4) and np.allclose(gated_lm.score(p, texts, 99, 32), alone, rtol=1e-4)
-    assert np.isclose(np.exp(gated_lm._log_softmax(np.ones((1, 5)))).sum(), 1)
+    wide = np.array([[0.0, 1.0, -500.0], [-900.0, -901.0, -950.0], [5.0, 5.0, 5.0]])
+    logp, every = gated_lm._softmax_terms(wide.copy(), np.array([1, 0, 2]))
+    assert np.allclose(every.sum(1), 1) and np.allclose(logp, [r[k] - r.max() - np.log(np.exp(r - r.max()).sum()) for r, k in zip(wide, (1, 0, 2), strict=True)])
 
 
 @pytest.mark.parametrize("head", [3, 1 << 17])
 def test_base_scores_match_brute_force(spark, odd, none, head):
     held = crc_id() % 7 == 2
     vocabulary, counts = lm_scoring.learn_vocabulary(odd.filter(~held), head)
-    model = lm_scoring.train_model(odd.filter(~held), vocabulary)
-    got = lm_scoring.score_documents(odd.withColumn("base", F.lit("x")), vocabulary, counts, model).collect()
+    encoded = lm_scoring.encode_documents(odd.withColumn("base", F.lit("x")).withColumn("place", F.lit("y")), vocabulary, ~held)
+    model = lm_scoring.train_model(encoded, vocabulary)
+    got = lm_scoring.score_documents(encoded, vocabulary, counts, model).collect()
     split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     c = collections.Counter(w for d, t, *_ in ODD if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for w in split(t))
     n, v = sum(c.values()), len(c)
@@ -371,7 +475,40 @@ def test_base_scores_match_brute_force(spark, odd, none, head):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
     nothing, counts = lm_scoring.learn_vocabulary(none)
-    assert lm_scoring.score_documents(odd, nothing, counts, lm_scoring.train_model(none, nothing)).count() == len(ODD)
+    encoded = lm_scoring.encode_documents(odd, nothing, F.lit(False))
+    assert lm_scoring.score_documents(encoded, nothing, counts, lm_scoring.train_model(encoded, nothing)).count() == len(ODD)
+    encoded = lm_scoring.encode_documents(none, nothing)
+    assert lm_scoring.score_documents(encoded, nothing, counts, lm_scoring.train_model(encoded, nothing)).count() == 0
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    """Over every next token: each known word, the end, and the mass of the words never seen."""
+    texts = [" ".join(f"w{int(4000 * random.Random(i * 1000 + j).random() ** 3)}" for j in range(300)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary, counts = lm_scoring.learn_vocabulary(docs, 3000)
+    encoded = lm_scoring.encode_documents(docs, vocabulary)
+    model = lm_scoring.train_model(encoded, vocabulary)
+    known = [r.word for r in counts.collect()]
+    assert len(known) > lm_scoring.MODEL_WORDS > 2000 and not all(r["head"] for r in counts.collect())
+    start = "w1 w2 w3"
+    probes = spark.createDataFrame([(i, f"{start} {w}") for i, w in enumerate([*known, "neverseen"])] + [(-1, start), (-2, start + " w1 w1")], "doc_id long, text string")
+    scored = {r.doc_id: r for r in lm_scoring.score_documents(lm_scoring.encode_documents(probes, vocabulary), vocabulary, counts, model).collect()}
+    assert all(math.isfinite(r.score) for r in scored.values())
+    # by hand: the model's probability of each id after the start, shared out for words without one
+    place = {w: i for i, w in enumerate(vocabulary.words)}
+    ids = lambda text: np.array([place[w] + 2 if place.get(w, lm_scoring.MODEL_WORDS) < lm_scoring.MODEL_WORDS else 1 for w in text.split()])
+    prefix = gated_lm.score(model, [ids(start)])[0]  # no end: the start alone
+    after = np.array([10 ** (gated_lm.score(model, [np.r_[ids(start), y]])[0] - prefix) for y in range(lm_scoring.MODEL_WORDS + 2)])
+    assert math.isclose(after.sum(), 1, rel_tol=1e-4)
+    c = {r.word: r.c for r in counts.collect()}
+    total = vocabulary.n + vocabulary.v + 1.0
+    others = [w for w in known if place.get(w, lm_scoring.MODEL_WORDS) >= lm_scoring.MODEL_WORDS]
+    shares = sum((c[w] + 1) / total for w in others) + 1 / total  # of each other word, and of all that were never seen
+    assert math.isclose(shares, vocabulary.other_share(), rel_tol=1e-9)
+    for i, w in list(enumerate(known))[::97]:
+        extra = math.log10((c[w] + 1) / total / vocabulary.other_share()) if w in others else 0.0
+        want = gated_lm.score(model, [np.r_[ids(f"{start} {w}"), gated_lm.END]])[0] + extra
+        assert math.isclose(scored[i].score, want, rel_tol=1e-4)
 
 
 def test_model_beats_counts(spark):
@@ -385,7 +522,7 @@ def test_every_training_token_reaches_the_model(spark, monkeypatch, texts):
     seen, averaged = [], lm_scoring._averaged
     monkeypatch.setattr(lm_scoring, "_averaged", lambda parts: seen.append(parts.filter("k = 0").agg(F.sum("weight")).first()[0]) or averaged(parts))
     vocabulary, _ = lm_scoring.learn_vocabulary(docs)
-    lm_scoring.train_model(docs, vocabulary)
+    lm_scoring.train_model(lm_scoring.encode_documents(docs, vocabulary), vocabulary)
     assert vocabulary.n == texts * 1000 == sum(seen) and min(seen) > vocabulary.n / 6
 
 
@@ -455,6 +592,28 @@ def test_every_ring_finds_all_links(spark, n):
     assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values()))
 
 
+@pytest.mark.parametrize("run", [1, 7, 40, 1 << 15])
+def test_runs_cut_into_blocks_lose_no_link(spark, run):
+    rng = random.Random(9)
+    x = rng.getrandbits(64)
+    fps = {x}
+    while len(fps) < 260:  # one crowd of near fingerprints, and some others
+        y = rng.choice(sorted(fps))
+        for k in rng.sample(range(64), rng.randrange(1, 4)):
+            y ^= 1 << k
+        fps.add(y)
+    fps |= {rng.getrandbits(64) for _ in range(40)}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    written = near_duplicates.materialize(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), "fps")
+    root = {r.node: r.root for r in near_duplicates.connected_components(near_duplicates.link_fingerprints(written, len(fps), run)).collect()}
+    want = _components([(s, f) for f, s in signed.items()])
+    a, b = collections.defaultdict(set), collections.defaultdict(set)
+    for f, s in signed.items():
+        a[want[f]].add(s)
+        b[root.get(s, s)].add(s)
+    assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values())) and max(map(len, a.values())) >= 260
+
+
 def test_no_documents(none):
     assert near_duplicates.near_duplicate_classes(none).count() == 0 and near_duplicates.drop_near_duplicates(none).count() == 0
 
