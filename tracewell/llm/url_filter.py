@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter of listed entries, then an exact hash join.
 
 Listed entries are rules (host and path prefix, which fit the host and its subdomains) and canonical URLs (which fit
-one page). Every page's host suffixes and path prefixes are looked up in the filter, whose size is fixed; the few
-survivors meet the list in an exact join, which removes the false positives.
+one page). Every page's canonical URL and host suffixes are looked up in the filter, whose size follows the list's; the
+few survivors meet the list in an exact join, which removes the false positives.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import LOWER, UPPER
 from tracewell.session import broadcast_if_small, materialize
 
-#: Blocks of 256 bits; the filter's table has one row a block at most (5 MB here), whatever the list's size.
-BLOCKS = 1 << 16
-_BITS = 8
+#: Bits of a block, and bits set by a key.
+_BLOCK_BITS, _BITS = 256, 8
+#: Bits of filter a listed key, and the largest filter that is broadcast (80 MB). A larger list fills it more densely, so
+#: more false positives reach the exact join; none is missed.
+_KEY_BITS, _MOST_BLOCKS = 16, 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -47,13 +49,18 @@ def _masks(key: Column) -> list[Column]:
     return [reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.floor(a / 64) == w, b).otherwise(F.lit(0).cast("bigint")) for a, b in zip(at, bit, strict=True)]) for w in range(4)]
 
 
-def bloom_filter(keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(block, w0..w3) of a table with a string column ``key``."""
+def filter_blocks(n: int) -> int:
+    """Blocks of a filter of ``n`` keys."""
+    return min(_MOST_BLOCKS, max(1024, -(-n * _KEY_BITS // _BLOCK_BITS)))
+
+
+def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
+    """(block, w0..w3) of a table with a string column ``key``: one row a block at most."""
     masked = keys.select(_block(F.col("key"), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
     return masked.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
-def may_be_listed(rows: DataFrame, bloom: DataFrame, key: str = "key", blocks: int = BLOCKS) -> DataFrame:
+def may_be_listed(rows: DataFrame, bloom: DataFrame, key: str, blocks: int) -> DataFrame:
     """The rows whose key may be in the filter: all that are, and few others."""
     named = bloom.select(F.col("block").alias("__tw_block"), *[F.col(f"w{i}").alias(f"__tw_w{i}") for i in range(4)])
     masked = rows.withColumns({"__tw_block": _block(F.col(key), blocks)} | {f"__tw_m{i}": m for i, m in enumerate(_masks(F.col(key)))})
@@ -64,57 +71,77 @@ def may_be_listed(rows: DataFrame, bloom: DataFrame, key: str = "key", blocks: i
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """Adds host, path, rule and verdict to every page; existing columns of these names are replaced.
 
-    ``rules``: host, path, verdict (a later duplicate does not matter: the lesser verdict wins); ``listed``: canonical
-    URLs in a column ``key``. The longest rule that fits wins, then the listed URLs block, then the page is allowed.
-    Null URLs and those without :// have an empty host and path, which fit no rule with a host.
-    Distinct host and path pairs are judged once, so a URL that fills the table is no hot spot.
+    ``rules``: host, path, verdict (of repeated rules the lesser verdict wins); ``listed``: canonical URLs in a column
+    ``key``. The longest rule that fits wins, then the listed URLs block, then the page is allowed. Null URLs and those
+    without :// have an empty host and path, which fit no rule with a host. An empty table gives an empty result.
+
+    Distinct host and path pairs are judged once, so a URL that fills the table is no hot spot. A host is looked up by
+    as many of its last labels as any rule has, and its path by the lengths of that host's rules only, so neither long
+    URLs nor long lists multiply the lookups.
     """
     rules = materialize(rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")), "rules")
+    labels = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first().n or 1
     entries = rules.select(F.concat(F.lit("r "), "host", F.lit(" "), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length(F.concat("host", "path")).alias("rank"))
     exact = listed.select(F.concat(F.lit("u "), "key").alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("rank"))
     entries = materialize(entries.unionByName(exact), "entries")
-    bloom = bloom_filter(entries.select("key"))
-    shapes = [(r.n, r.k) for r in rules.select(F.size(F.split("host", r"\.")).alias("n"), F.char_length("path").alias("k")).distinct().collect()]
+    by_host = rules.groupBy(F.concat(F.lit("h "), "host").alias("key")).agg(F.collect_set(F.char_length("path")).alias("lengths"))
+    index = materialize(by_host.unionByName(entries.filter("rank < 0").select("key", F.lit(None).cast("array<int>").alias("lengths"))), "index")
+    blocks = filter_blocks(index.count())
+    bloom = bloom_filter(index.select("key"), blocks)
 
     seen = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    labels = F.size(F.split("host", r"\."))
-    tries = [
-        F.when((labels >= n) & (F.char_length("path") >= k), F.concat(F.lit("r "), F.substring_index("host", ".", -n), F.lit(" "), F.substring("path", 1, k))) for n, k in sorted(shapes)
-    ]
-    keys = F.array_compact(F.array(*tries, F.concat(F.lit("u "), canonical(F.col("host"), F.col("path")))))
-    urls = seen.select("host", "path").distinct().withColumn("key", F.explode(keys))
-    hits = may_be_listed(urls, bloom).join(broadcast_if_small(entries, 200_000), "key")
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, pages.count() // _TASK_URLS)
+    # dealt out by a stated number: their bytes are few, but each is looked up many times
+    urls = seen.select("host", "path").distinct().repartition(tasks, "host", "path")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.", labels + 1)), F.lit(labels))), lambda n: F.concat(F.lit("h "), F.call_function("substring_index", "host", F.lit("."), -n)))
+    urls = urls.withColumn("key", F.explode(F.concat(F.array(F.concat(F.lit("u "), canonical(F.col("host"), F.col("path")))), ends)))
+    met = may_be_listed(urls, bloom, "key", blocks).join(broadcast_if_small(index, 200_000), "key")
+    fitting = F.filter("lengths", lambda k: k <= F.char_length("path"))
+    prefixed = F.transform(fitting, lambda k: F.concat(F.lit("r "), F.call_function("substr", "key", F.lit(3)), F.lit(" "), F.call_function("substr", "path", F.lit(1), k)))
+    asked = met.select("host", "path", F.explode(F.coalesce(prefixed, F.array("key"))).alias("key"))
+    hits = asked.join(broadcast_if_small(entries, 200_000), "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("b"))
-    verdicts = materialize(best.select(F.col("host").alias("__tw_host"), F.col("path").alias("__tw_path"), "b.rule", "b.verdict"), "verdicts")
-    joined = seen.join(broadcast_if_small(verdicts, 100_000), (F.col("host") == F.col("__tw_host")) & (F.col("path") == F.col("__tw_path")), "left")
+    verdicts = best.select(F.col("host").alias("__tw_host"), F.col("path").alias("__tw_path"), "b.rule", "b.verdict")
+    # as many verdicts as there may be URLs: joined by shuffle at every size
+    joined = seen.join(materialize(verdicts, "verdicts").hint("shuffle_merge"), (F.col("host") == F.col("__tw_host")) & (F.col("path") == F.col("__tw_path")), "left")
     return joined.drop("__tw_host", "__tw_path").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
+#: Distinct URLs that a task looks up, on average.
+_TASK_URLS = 500_000
 #: Fixed by the query's contract: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: A host label with one of these words puts a page on the list.
-_SPAM = r"(^|\.)[^.]*(spam|pills|casino|phish)"
+#: Signs of junk, and the share of a page's visible characters above which its URL is listed.
+_JUNK, MOST_JUNK = "!*#|$%", 0.03
+
+
+def junk_urls(pages: DataFrame, most: float = MOST_JUNK) -> DataFrame:
+    """(key): canonical URLs of pages whose visible text (html without tags) has more than ``most`` signs of junk.
+
+    Pages without html or without visible text are not listed.
+    """
+    shown = F.regexp_replace("html", r"<[^>]*>", "")
+    counted = pages.select("url", shown.alias("shown")).select("url", F.char_length("shown").alias("n"), (F.char_length("shown") - F.char_length(F.translate("shown", _JUNK, ""))).alias("junk"))
+    return counted.filter(F.col("junk") > most * F.col("n")).select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
-    """All pages; listed are the canonical URLs of pages whose host names spam."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    listed = pages.filter(host.rlike(_SPAM)).select(canonical(host, path).alias("key"))
+    """All pages; listed are the canonical URLs under which any page serves junk, whatever its host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     fixed = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])
     rules = spark.range(1).select(F.inline(fixed))
-    return judge_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages.select("page_id", "url"), rules, junk_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP7_SQL = r"""
-WITH p AS (SELECT page_id, url,
+WITH p AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', '', 'g') AS shown,
   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r(h, pre, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 m AS (SELECT host, path, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS verdict
   FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY host, path),
 c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || ' ' || regexp_replace(path, '/+$', '') AS key FROM p),
-b AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '(^|\.)[^.]*(spam|pills|casino|phish)'))
+b AS (SELECT DISTINCT key FROM c WHERE length(shown) - length(regexp_replace(shown, '[!*#|$%]', '', 'g')) > 0.03 * length(shown))
 SELECT page_id, c.host, c.path, rule, coalesce(verdict, CASE WHEN b.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN m ON c.host = m.host AND c.path = m.path LEFT JOIN b ON c.key = b.key
 """
