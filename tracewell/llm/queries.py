@@ -6,6 +6,7 @@ from tracewell.llm.language_id import op8_language_id
 from tracewell.llm.lm_scoring import op9_lm_scoring
 from tracewell.llm.mixing import OP3_SQL, op3_mixing
 from tracewell.llm.near_duplicates import op10_near_duplicates
+from tracewell.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from tracewell.llm.quality_classifier import op2_quality_classifier
 from tracewell.llm.quality_rules import op5_quality_rules
 from tracewell.llm.sharding import OP1_SQL, op1_sharding
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_prefix_trie": op11_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_sharding": OP1_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op11_prefix_trie": OP11_SQL}
