@@ -88,13 +88,33 @@ def _boundary(narrow: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
         shift -= _STEP_BITS
 
 
+def _first_rows(narrow: DataFrame, partly: DataFrame) -> DataFrame:
+    """(source, some, upto): of the equal rows of each source's key in ``partly`` the first ``taken``, in the order of
+    the rows' numbers, are those up to ``upto``.
+
+    A number's upper bits are the task that wrote the row. Tasks' counts are summed; only the rows of the one task in
+    which the count is reached are ordered.
+    """
+    held = broadcast_if_small(partly.select([F.col(c).alias(f"__{c}") for c in partly.columns]), 100_000)  # one row a source
+    same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("k") == F.col("__k")) & (F.col("d") == F.col("__d"))
+    rows = narrow.join(held, same).select("source", "k", "d", "at", F.shiftright("at", 33).alias("task"), F.col("__taken").alias("taken"))
+    tasks = rows.groupBy("source", "task", "taken").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = tasks.withColumn("before", before).filter("before < taken and taken <= before + n").select(F.col("source").alias("__s"), F.col("task").alias("__t"), (F.col("taken") - F.col("before")).alias("left"))
+    ends = broadcast_if_small(materialize(ends, "ends"), 100_000)
+    inside = rows.join(ends, F.col("source").eqNullSafe(F.col("__s")) & (F.col("task") == F.col("__t")))
+    numbered = inside.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("at"))).filter("i = left")
+    return numbered.select("source", F.struct("k", "d").alias("some"), F.col("at").alias("upto"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, sorted_rows: int = SORTED_ROWS, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds __tw_size, __tw_quality, __tw_source_size, __tw_target and __tw_times (how often the mix takes the row).
 
     ``docs`` needs doc_id, text and source; other columns may have any name that does not begin with __tw_. Columns
     in ``drop`` are left out of the result. Null sources form one source. Null and empty texts have size 0 and weight
-    0.02. Rows with equal doc_id, text and source have equal keys and are taken or left together. An empty table gives
-    an empty result. The last document of the sample is taken if that brings the sum nearer to the target.
+    0.02; texts of any length are one row and count whole. Rows with equal doc_id, text and source have equal keys; where
+    a budget ends among them, as many of them are taken as it has room for. An empty table gives an empty result. The last
+    document of the sample is taken if that brings the sum nearer to the target.
 
     Sizes, weights and keys are worked out once and written. Each source's boundary is found by summing steps of its
     keys, of 4,096 a pass, until the step where the budget ends is small enough to sort; so a source with most of the
@@ -103,10 +123,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
     keyed = with_sizes(docs).withColumn("__tw_d", digest).drop(*drop)
     u = (F.conv(F.substring("__tw_d", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    keyed = materialize(keyed.withColumn("__tw_k", -F.log(u) / F.col("__tw_quality")), "keyed")
+    # the rows' numbers are written with them, so that equal rows can be told apart later
+    keyed = materialize(keyed.withColumn("__tw_k", -F.log(u) / F.col("__tw_quality")).withColumn("__tw_at", F.monotonically_increasing_id()), "keyed")
     # keys lie between exp(-37) and exp(8), so the logarithm plus 64 fits seven bits before the point
     code = F.floor((F.log("__tw_k") + 64) * float(1 << (_CODE_BITS - 7)))
-    narrow = keyed.select("source", F.col("__tw_size").alias("size"), F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d"), code.alias("code"))
+    narrow = keyed.select("source", F.col("__tw_size").alias("size"), F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d"), F.col("__tw_at").alias("at"), code.alias("code"))
 
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("int"))
@@ -115,17 +136,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     cuts = materialize(_boundary(narrow, targets, sorted_rows), "cuts")  # one row a source at most
     c = broadcast_if_small(cuts.select([F.col(x).alias(f"c_{x}") for x in cuts.columns]), 100_000)
     at_cut = narrow.join(c, F.col("source").eqNullSafe(F.col("c_source")) & (F.call_function("shiftright", "code", "c_shift") == F.col("c_prefix")))
-    alike = at_cut.groupBy("source", "k", "d", F.col("c_start").alias("start"), F.col("c_budget").alias("budget")).agg(F.sum("size").alias("n"))
-    order = Window.partitionBy("source").orderBy("k", "d")
-    taken = alike.withColumn("upto", F.col("start") + F.sum("n").over(order)).filter(2 * F.col("upto") - F.col("n") <= 2 * F.col("budget"))
-    last = taken.groupBy("source").agg(F.max(F.struct("k", "d")).alias("last"))
+    alike = at_cut.groupBy("source", "k", "d", "size", F.col("c_start").alias("start"), F.col("c_budget").alias("budget")).agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy("source").orderBy("k", "d").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum(F.col("copies") * F.col("size")).over(order), F.lit(0))
+    room = F.when(F.col("size") > 0, F.floor((2 * (F.col("budget") - before) + F.col("size")) / (2 * F.col("size")))).when(before <= F.col("budget"), F.col("copies")).otherwise(0)
+    taken = alike.withColumn("taken", F.least(F.col("copies"), room)).filter("taken > 0")
+    last = taken.filter("taken = copies").groupBy("source").agg(F.max(F.struct("k", "d")).alias("last"))
+    some = _first_rows(narrow, materialize(taken.filter("taken < copies").select("source", "k", "d", "taken"), "partly"))
     plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", "shift", "prefix").alias("p")
-    plan = plan.join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "last")
+    plan = plan.join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "last").alias("q")
+    plan = plan.join(some.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")), "left").select("q.*", "some", "upto")
     plan = materialize(plan, "plan").select([F.col(x).alias(f"__tw_{x}") for x in plan.columns])
 
     code = F.floor((F.log("__tw_k") + 64) * float(1 << (_CODE_BITS - 7)))
     joined = keyed.join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__tw_source"))).withColumn("__tw_step", F.call_function("shiftright", code, F.col("__tw_shift")))
-    at = (F.col("__tw_step") == F.col("__tw_prefix")) & (F.struct(F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d")) <= F.col("__tw_last"))
+    key = F.struct(F.col("__tw_k").alias("k"), F.col("__tw_d").alias("d"))
+    partly = (key == F.col("__tw_some")) & (F.col("__tw_at") <= F.col("__tw_upto"))
+    at = (F.col("__tw_step") == F.col("__tw_prefix")) & (F.coalesce(key <= F.col("__tw_last"), F.lit(False)) | F.coalesce(partly, F.lit(False)))
     chosen = F.col("__tw_prefix").isNull() | (F.col("__tw_step") < F.col("__tw_prefix")) | F.coalesce(at, F.lit(False))
     mixed = joined.withColumn("__tw_times", F.col("__tw_epochs") + chosen.cast("int"))
     added = ["__tw_size", "__tw_quality", "__tw_source_size", "__tw_target", "__tw_times"]
