@@ -172,14 +172,28 @@ def test_mix_meets_targets(request, table, rows):
         assert r["__tw_size"] == len(words(r.text)) and 0 <= r["__tw_times"] <= 3
         sizes[r.source] += r["__tw_size"]
         taken[r.source] += r["__tw_size"] * r["__tw_times"]
-        copies = sum(x.text == r.text and x.doc_id == r.doc_id and x.source == r.source for x in mixed) if table == "odd" else 1
-        largest[r.source] = max(largest[r.source], r["__tw_size"] * copies)
+        largest[r.source] = max(largest[r.source], r["__tw_size"])
     want = _targets(sizes)
     for r in mixed:
         assert r["__tw_source_size"] == sizes[r.source] and math.isclose(r["__tw_target"], want[r.source], abs_tol=1e-6)
         assert abs(taken[r.source] - r["__tw_target"]) <= largest[r.source] / 2 + 1e-6
 
 
+@pytest.mark.parametrize("rows", [50_000, 7])
+def test_equal_rows_are_taken_in_part(spark, rows):
+    """One row repeated many times, over many tasks: as many are taken as the budget has room for."""
+    same = spark.range(0, 300, 1, 7).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("w " * 10).alias("text"), F.when(F.col("id") < 100, "a").when(F.col("id") < 200, "c").alias("source"))
+    others = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("v" * 3), "id", F.lit(" v" * 9)).alias("text"), F.lit("b").alias("source"))
+    mixed = mixing.mix_sources(same.union(others), sorted_rows=rows).collect()
+    taken, targets, times = collections.Counter(), {}, collections.defaultdict(set)
+    for r in mixed:
+        taken[r.source] += r["__tw_size"] * r["__tw_times"]
+        targets[r.source] = r["__tw_target"]
+        times[r.source].add(r["__tw_times"])
+    assert all(abs(taken[s] - targets[s]) <= 5 + 1e-6 for s in targets) and len(targets) == 4
+    assert len(times["a"]) == 2 and max(times["a"]) - min(times["a"]) == 1
+
+
 def test_mix_follows_keys(real):
     """By hand: keys in order, whole epochs first, the last document where it brings the sum nearer."""
     mixed = mixing.mix_sources(real).collect()
@@ -337,17 +351,23 @@ def _judge(url, rules, listed):
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    key = re.sub(r"^(www|m)\.", "", host) + " " + re.sub(r"/+$", "", path)
-    return host, path, None, "block" if key in listed else "allow"
+    return host, path, None, "block" if listed & set(_keys(host, path)) else "allow"
+
+
+def _keys(host, path):
+    """Page, directory, host."""
+    bare = re.sub(r"^(www|m)\.", "", host)
+    return bare + " " + re.sub(r"/+$", "", path), bare + " " + re.match(r"/?[^/]*", path)[0] + "?", bare + " ?"
 
 
 def test_urls_match_brute_force(spark, sf):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y", "http://www.example.com/en/", "https://com/", "http://x.net/es/1#f", "http://x.net/fr", "http://netx/fr/", "x://y://z.net/fr/", "http://www.spam.org/a/", "http://spam.org/a", "http://spam.org/b", "http://a.b.c.d.e.com/", "http://example.com?q=/en/", "ftp://exAmple.com/en/é"] * 2
     rules = [*url_filter.RULES, ("d.e.com", "", "block")]
-    listed = ["spam.org /a", "x y"]
+    listed = {"spam.org /a", "x y", "dirs.org /x?", "all.org ?", "dirs.org /"}
+    urls += ["http://m.dirs.org/x/1", "http://dirs.org/x", "http://dirs.org/xy/1", "http://dirs.org/x//", "http://all.org", "http://www.all.org/q/r?s", "http://sub.all.org/"]
     urls += ["http://" + "a." * 20_000 + "net/fr/" + "x" * 60_000, "http://spam.org/" + "b/" * 30_000, "http://d.e.com/" + "y" * 50_000]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, key int")
-    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(k,) for k in listed], "key string")).collect()
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(k,) for k in sorted(listed)], "key string")).collect()
     assert len(got) == len(urls)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == _judge(r.url, rules, listed), r.url
@@ -364,16 +384,41 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert url_filter.filter_blocks(0) >= 1 and url_filter.filter_blocks(10_000_000) * 256 == 160_000_000
 
 
-def test_the_listed_url_alone_changes_a_verdict(spark, tmp_path):
-    """Two pages of one canonical URL: the second is blocked by the list only, not by anything of its own."""
-    good, junk = "<p>Plain words of a fine page.</p>", "<b>" + "buy! *** $$$ " * 30 + "</b>"
-    rows = [(1, "http://www.shop.org/a/", junk), (2, "https://shop.org/a?x=1", good), (3, "https://shop.org/b", good), (4, "http://m.shop.org/c", None), (5, None, junk), (6, "http://shop.net/fr/", junk), (7, "http://shop.com/z", junk)]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+def _pages_list(rows, trusted):
+    """By hand: (bad, listed) from rows (page_id, url, html), ids told by place."""
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+    shown = [[bucket(w) for w in words(re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ", r[2] or "")))] for r in rows]
+    raw, good = collections.Counter(b for s in shown for b in s), collections.Counter(bucket(w) for t in trusted for w in words(t))
+    ratio = {b: round(1e6 * (math.log((good[b] + 1) / (sum(good.values()) + 65536)) - math.log((raw[b] + 1) / (sum(raw.values()) + 65536)))) for b in raw}
+    bad = [bool(s) and bool(good) and sum(ratio[b] for b in s) < -750_000 * len(s) for s in shown]
+    seen = collections.defaultdict(list)
+    for (_, url, _), b in zip(rows, bad, strict=True):
+        host, path, *_ = _judge(url, [], set())
+        for key, least in zip(_keys(host, path), (1, 2, 3), strict=True):
+            seen[key, least].append(b)
+    return bad, {key for (key, least), v in seen.items() if sum(v) >= least and 2 * sum(v) >= len(v)}
+
+
+def test_lists_alone_change_verdicts(spark, sf, tmp_path):
+    """Good pages are blocked by what their URL, their directory or their host mostly serves."""
+    fine, junk = "<p>Plain words of a fine page.</p>", "<script>Plain words</script><b>" + "buy! *** $$$ " * 30 + "</b>"
+    rows = [
+        (1, "http://www.shop.org/a/", junk), (2, "https://shop.org/a?x=1", fine), (3, "https://shop.org/b", fine), (4, "http://m.shop.org/c", None), (5, None, fine), (6, "http://shop.net/fr/", junk), (7, "http://shop.com/z", junk),
+        (10, "http://d.org/en/1", junk), (11, "http://d.org/en/2", junk), (12, "http://m.d.org/en/3", fine), (13, "http://d.org/en/4?q", fine), (14, "http://d.org/de/1", fine), (15, "http://d.org/de/2", fine),
+        (20, "http://h.org/1", junk), (21, "http://h.org/2/x", junk), (22, "http://www.h.org/3", junk), (23, "http://h.org/4", fine), (23, "http://h.org/4", fine), (24, "http://h.org/", fine),
+    ]
+    docs = [(1, "Plain words of a fine page. " * 5), (2, "buy! *** $$$"), (3, None), (None, "x")]
+    spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 1, None), (2, 0, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bad, listed = _pages_list(rows, [docs[0][1]])
+    assert bad == [r[2] == junk for r in rows]
     got = {r.page_id: r.verdict for r in url_filter.op7_url_filter(spark, str(tmp_path)).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow"}
-    spark.createDataFrame([r for r in rows if r[0] != 1], "page_id long, url string, html string").write.parquet(f"{tmp_path}/less/pages.parquet")
-    got = {r.page_id: r.verdict for r in url_filter.op7_url_filter(spark, f"{tmp_path}/less").collect()}
-    assert got[2] == "allow"
+    assert got == {r[0]: _judge(r[1], url_filter.RULES, listed)[3] for r in rows}
+    blocked = {i for i in got if got[i] == "block"}
+    assert {2, 12, 13, 23, 24} <= blocked and not {3, 4, 5, 7, 14, 15} & blocked
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("url", "html")
+    assert not any(r.bad for r in url_filter.bad_pages(pages, spark.createDataFrame([], "text string")).collect())
 
 
 # language
