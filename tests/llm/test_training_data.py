@@ -659,6 +659,17 @@ def test_runs_cut_into_blocks_lose_no_link(spark, run):
     assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values())) and max(map(len, a.values())) >= 260
 
 
+def test_no_part_of_a_crowd_is_large(spark):
+    """A crowd within three bits of one fingerprint: exact rows and variants alike are cut."""
+    x, run = random.Random(3).getrandbits(63), 500
+    near = [x ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(30) for j in range(i) for k in range(j)] + [x ^ (1 << i) for i in range(63)] + [x]
+    written = near_duplicates.materialize(spark.createDataFrame([(f,) for f in near], "fp long"), "fps")
+    parts = near_duplicates.keys_in_parts(written, len(near), run).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == near_duplicates.MEETS).cast("int")).alias("m")).cache()
+    assert parts.agg(F.max("n")).first()[0] <= 2 * run
+    whole = near_duplicates.keys_in_parts(written, len(near), 1 << 15).groupBy("key").count()
+    assert whole.agg(F.max("count")).first()[0] > 2 * run
+
+
 def test_no_documents(none):
     assert near_duplicates.near_duplicate_classes(none).count() == 0 and near_duplicates.drop_near_duplicates(none).count() == 0
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import row_hash, small_batches
+from tracewell.llm.common import row_digest, small_batches
 from tracewell.session import broadcast_if_small, materialize
 
 DISTANCE = 4
@@ -25,7 +25,8 @@ SHINGLE = 4
 #: need longer keys to keep chance candidates few; each entry is exact at any size.
 _RINGS = ((1 << 21, 5, 2), (1 << 25, 9, 4), (1 << 29, 13, 6), (1 << 63, 17, 8))
 _PAIRS = 1 << 18
-#: Fingerprints of one key that are paired in one task. Runs above it are cut into blocks, whose pairs are dealt out.
+#: Rows of one key that are paired in one task, about. Keys that may have more are cut into blocks of half as many, of
+#: exact rows and of variants, whose pairs are dealt out.
 RUN = 1 << 15
 #: Fingerprints of a class beyond which its id is broadcast.
 _MANY = 1000
@@ -162,44 +163,66 @@ def _links(widths: list[int], chain: int):
     return work
 
 
+def _crowded(dealt: DataFrame, widths: list[int], chain: int, run: int) -> DataFrame:
+    """(key, blocks, others): keys that may have more than ``run`` rows, with the blocks of their exact rows and variants.
+
+    A variant of a key is a fingerprint whose own key lacks one of its bits. So the variants of a key are summed
+    from the counts of exact keys; those below run / (2 x bits) are left out, which miss half a run together.
+    """
+    exact, _ = _chain_keys(F.col("fp"), widths, chain)
+    bits = max(sum(widths[(i + j) % len(widths)] for j in range(chain)) for i in range(len(widths)))
+    counts = dealt.select(F.explode(exact).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.filter(F.col("n") > run / (2 * bits)), "crowded_keys")
+    over = F.array_compact(F.array(*(F.when(F.col("key").bitwiseAND(F.lit(1 << b)) == 0, F.col("key").bitwiseOR(F.lit(1 << b))) for b in range(bits))))
+    variants = counts.select(F.explode(over).alias("key"), F.lit(0).alias("n"), F.col("n").alias("v"))
+    both = counts.select("key", "n", F.lit(0).alias("v")).unionByName(variants).groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    heavy = both.filter((2 * F.col("n") > run) | (F.col("v") > 0))
+    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / run))
+    others = F.ceil((2 * F.col("v") + run) / run)
+    return materialize(heavy.select("key", blocks.cast("int").alias("blocks"), others.cast("int").alias("others")), "heavy_keys")
+
+
 def _in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Cuts the runs of ``heavy`` (key, blocks) into blocks of fingerprints; every pair of blocks becomes a part.
+    """Cuts the rows of ``heavy`` keys into blocks of fingerprints; every pair of blocks becomes a part.
 
-    In the part of blocks i < j, the rows of i are met by those of j; in that of i alone, rows meet the ones before
-    them. One-bit variants go to every block alone.
+    In the part of exact blocks i < j, the rows of i are met by those of j; in that of i alone, rows meet the ones before
+    them. Variants are cut too: in the part of exact block i and variant block j, the rows of i are met by those of j.
     """
     hot = rows.join(broadcast_if_small(heavy.withColumnRenamed("key", "__k"), 1_000_000), F.col("key") == F.col("__k"), "left").drop("__k")
-    mine, every = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    part = lambda i, j: (i * F.col("blocks") + j).cast("int")
+    e, v = F.col("blocks").cast("bigint"), F.col("others").cast("bigint")
+    mine, other = F.pmod(F.xxhash64("fp"), e), F.pmod(F.xxhash64("fp"), v)
     pairs = F.transform(
-        every,
-        lambda j: F.struct(
-            part(F.least(mine, j), F.greatest(mine, j)).alias("part"),
-            F.when(mine == j, PLAIN).when(mine < j, MET).otherwise(MEETS).alias("role"),
-        ),
+        F.sequence(F.lit(0).cast("bigint"), e - 1),
+        lambda j: F.struct((F.least(mine, j) * e + F.greatest(mine, j)).alias("part"), F.when(mine == j, PLAIN).when(mine < j, MET).otherwise(MEETS).alias("role")),
     )
-    alone = F.transform(every, lambda i: F.struct(part(i, i).alias("part"), F.lit(MEETS).alias("role")))
-    own = F.array(F.struct(F.lit(0).alias("part"), F.col("role")))
-    spread = F.when(F.col("blocks").isNull(), own).when(F.col("role") == MEETS, alone).otherwise(pairs)
+    met = F.transform(F.sequence(F.lit(0).cast("bigint"), v - 1), lambda j: F.struct((e * e + mine * v + j).alias("part"), F.lit(MET).alias("role")))
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), e - 1), lambda i: F.struct((e * e + i * v + other).alias("part"), F.lit(MEETS).alias("role")))
+    own = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.col("role")))
+    spread = F.when(F.col("blocks").isNull(), own).when(F.col("role") == MEETS, meets).otherwise(F.concat(pairs, met))
     return hot.withColumn("b", F.explode(spread)).select("key", "b.part", "fp", "b.role")
 
 
-def link_fingerprints(distinct: DataFrame, n: int, run: int = RUN) -> DataFrame:
-    """Links (u, v) that connect all fingerprints within the distance; ``distinct`` (written) has each fp once.
-
-    ``n`` chooses the ring, any of which is exact. Keys with more than ``run`` fingerprints are counted first and cut into blocks, so no task holds more than two
-    blocks of them and their variants.
-    """
+def keys_in_parts(distinct: DataFrame, n: int, run: int = RUN) -> DataFrame:
+    """(key, part, fp, role): every fingerprint under its chain keys and their one-bit variants, in parts of about
+    ``run`` rows at most."""
     widths, chain = ring(n)
     exact, variants = _chain_keys(F.col("fp"), widths, chain)
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() * 5 * len(widths) // _TASK_KEYS)
     dealt = distinct.select("fp").repartition(tasks, "fp")  # a few files would make a few tasks of many keys
-    heavy = dealt.select(F.explode(exact).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run)
-    heavy = materialize(heavy.select("key", F.ceil(F.col("n") / run).cast("int").alias("blocks")), "heavy_keys")
+    heavy = _crowded(dealt, widths, chain, run)
     keys = F.concat(F.transform(exact, lambda k: F.struct(k.alias("key"), F.lit(PLAIN).alias("role"))), F.transform(variants, lambda k: F.struct(k.alias("key"), F.lit(MEETS).alias("role"))))
-    rows = dealt.select("fp", F.explode(keys).alias("k")).select("k.key", F.lit(0).alias("part"), "fp", "k.role")
-    if heavy.limit(1).count():
-        rows = _in_blocks(rows, heavy)
+    rows = dealt.select("fp", F.explode(keys).alias("k")).select("k.key", F.lit(0).cast("bigint").alias("part"), "fp", "k.role")
+    return _in_blocks(rows, heavy) if heavy.limit(1).count() else rows
+
+
+def link_fingerprints(distinct: DataFrame, n: int, run: int = RUN) -> DataFrame:
+    """Links (u, v) that connect all fingerprints within the distance; ``distinct`` (written) has each fp once.
+
+    ``n`` chooses the ring, any of which is exact. Keys that may have more than ``run`` rows, exact or variants, are
+    found first and cut into blocks, so a task holds about ``run`` rows of a key whatever the crowd.
+    """
+    widths, chain = ring(n)
+    rows = keys_in_parts(distinct, n, run)
     # roles by (is MEETS): those that are met stand first
     met = rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", F.col("role") == MEETS)
     return met.mapInArrow(_links(widths, chain), "u long, v long")
@@ -233,14 +256,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, row_key (hash of the whole row), fp (signed) and component_id.
+    """One row a document: doc_id, row_key (128-bit digest of the whole row), fp (signed) and component_id.
 
     component_id is the smallest doc_id whose document is reachable over links of at most four differing bits; null
-    ids count only where a class has no other. Null and empty texts have fingerprint 0. Copies, however many, share
+    ids count only where a class has no other. Null and empty texts have fingerprint 0; texts of any length are read
+    whole. Copies, however many, share
     one fingerprint and are linked once. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    table = materialize(docs.select("doc_id", row_hash(docs).alias("row_key"), _fingerprints("text").alias("fp")), "fingerprints")
+    table = materialize(docs.select("doc_id", row_digest(docs).alias("row_key"), _fingerprints("text").alias("fp")), "fingerprints")
     distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = connected_components(link_fingerprints(distinct.select("fp"), distinct.count()))
     rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -254,7 +278,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one with the least doc_id (nulls last), then the least row hash.
+    """One document of each class: the one with the least doc_id (nulls last), then the least row digest.
 
     Rows that are equal in every column are one document.
     """
@@ -266,7 +290,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = materialize(rows.groupBy(*group).agg(F.min(F.struct(ranked.alias("r"), "copies")).alias("b")).select(F.col("b.r.row_key").alias("__tw_h"), F.col("b.copies").alias("__tw_n")), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # as many rows as documents stay: joined by shuffle at every size, against hash tables of keys, so texts are not sorted
-    chosen = docs.withColumn("__tw_h", row_hash(docs)).join(kept.hint("shuffle_hash"), "__tw_h")
+    chosen = docs.withColumn("__tw_h", row_digest(docs)).join(kept.hint("shuffle_hash"), "__tw_h")
     if not kept.filter("__tw_n > 1").limit(1).count():
         return chosen.select(columns)
     once = chosen.filter("__tw_n > 1").dropDuplicates(["__tw_h"])
