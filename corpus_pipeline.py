@@ -5,7 +5,7 @@ document of each near-duplicate class stays, documents with benchmark passages g
 weights (documents of sources with a high target repeat), and the rows are dealt to shards.
 
 In every stage null ids, texts, languages and sources are ordinary values, null and empty texts alike count as texts
-without words, repeated rows are treated alike, an empty table gives an empty result, and further columns, whatever
+without words, texts of any length are read whole, repeated rows are treated alike, an empty table gives an empty result, and further columns, whatever
 their names (save those that begin with ``__tw_``), are kept as they are.
 """
 
@@ -57,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating; a document comes as often as the mix takes it, three times at most.
 
-    Null sources are one source, the last. Rows equal in id, text and source are taken or left together.
+    Null sources are one source, the last. Of rows equal in id, text and source as many are taken as the budget has room for.
     """
     return take_mix(mix_sources(docs))
 
