@@ -1,6 +1,5 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-import corpus_pipeline
 from tracewell.llm.decontamination import OP4_SQL, op4_decontamination
 from tracewell.llm.language_id import op8_language_id
 from tracewell.llm.lm_scoring import op9_lm_scoring
@@ -29,6 +28,5 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_warc": op12_warc,
     "op13_periodic_runs": op13_periodic_runs,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_sharding": OP1_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL}
