@@ -24,11 +24,14 @@ def cells(spark, *traces):
 # every query against its SQL twin
 
 
+SF = "/root/testdata/sf0.01"  # the size at which the driver compares
+
+
 @pytest.fixture(scope="module")
-def duck(sf):
+def duck():
     con = duckdb.connect()
     for t in ("nation", "customer", "orders", "lineitem", "events", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
 
@@ -41,8 +44,8 @@ def _plain(df):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_its_sql(spark, sf, duck, name):
-    got, want = _plain(QUERIES[name](spark, sf).toPandas()), _plain(duck.execute(ORACLES[name]).df())
+def test_query_equals_its_sql(spark, duck, name):
+    got, want = _plain(QUERIES[name](spark, SF).toPandas()), _plain(duck.execute(ORACLES[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 

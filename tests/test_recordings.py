@@ -115,6 +115,42 @@ def test_anova(spark):
     assert populations.two_way_anova(spark.createDataFrame([], "c string, a int, b int, v double"), "a", "b", "v", "c").filter("f is not null").count() == 0
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_anova_of_many_units(spark, swap):
+    """Unbalanced, with null levels and non-finite values; either factor may be the larger."""
+    rng = random.Random(4)
+    rows = [("x", a, f"u{b}" if b else None, a + b % 5 + rng.gauss(0, 1)) for b in range(400) for a in range(4) if rng.random() < 0.7] + [("x", 1, "u9", math.nan), ("x", 2, "u9", math.inf), ("x", 2, "u9", None)]
+    df = spark.createDataFrame(rows, "c string, a int, b string, v double")
+    names = ("b", "a") if swap else ("a", "b")
+    got = {r.term: r for r in populations.two_way_anova(df, *names, "v").collect()}
+    means = {}
+    for _, a, b, v in rows:
+        if v is not None and math.isfinite(v):
+            means.setdefault((a, b), []).append(v)
+    y = np.array([np.mean(v) for v in means.values()])
+    dummies = lambda k: np.array([[float(x[k] == level) for level in sorted({z[k] for z in means}, key=str)[1:]] for x in means])
+
+    def left(*parts):
+        x = np.concatenate([np.ones((len(y), 1)), *parts], 1)
+        return np.square(y - x @ np.linalg.lstsq(x, y, rcond=None)[0]).sum()
+
+    a, b = (dummies(1), dummies(0)) if swap else (dummies(0), dummies(1))
+    full = left(a, b)
+    assert math.isclose(got["a"].sum_sq, left(b) - full, rel_tol=1e-8) and math.isclose(got["b"].sum_sq, left(a) - full, rel_tol=1e-8)
+    assert math.isclose(got["error"].sum_sq, full, rel_tol=1e-8) and got["error"].df == len(y) - 1 - a.shape[1] - b.shape[1]
+
+
+def test_p_values_are_those_of_the_distributions():
+    """Closed forms: t with 1, 2 and 4 degrees of freedom, F with 2 and any."""
+    rs = np.linspace(-0.999, 0.999, 41)
+    t = lambda r, n: abs(r) * math.sqrt((n - 2) / (1 - r * r))
+    assert np.allclose(numeric.spearman_p(rs, 3), [1 - 2 / math.pi * math.atan(t(r, 3)) for r in rs])
+    assert np.allclose(numeric.spearman_p(rs, 4), [1 - t(r, 4) / math.sqrt(2 + t(r, 4) ** 2) for r in rs])
+    assert np.isnan(numeric.spearman_p(np.array([0.5, np.nan]), np.array([2, 9]))).all() and (numeric.spearman_p(np.array([1.0, -1.0]), 9) == 0).all()
+    assert all(math.isclose(numeric.f_p(f, 2, m), (1 + 2 * f / m) ** (-m / 2), rel_tol=1e-9) for f in (0.1, 1.0, 7.5) for m in (1, 6, 500))
+    assert np.allclose(numeric._log_gamma(np.array([0.5, 1, 3.3, 14.9, 150.5])), [math.lgamma(x) for x in (0.5, 1, 3.3, 14.9, 150.5)], rtol=1e-13, atol=1e-13)
+
+
 def _bursts(x, block, width, top, gap):
     d = np.diff(x)
     peaks = np.flatnonzero((d[:-1] > 0) & (d[1:] < 0))
@@ -158,6 +194,28 @@ def test_exact_quantiles(spark, values):
     assert voxels.normalise_intensity(df, "v", 0.1, 0.9).count() == len(values) + 1
 
 
+def test_quantiles_of_odd_values(spark):
+    """Infinities are the ends, NaN and nulls do not count; values over all magnitudes narrow down too."""
+    run = lambda values, shares: signals.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", shares, bins=16, few=5)
+    nan, inf = math.nan, math.inf
+    assert run([*map(float, range(100)), inf], [0, 0.5, 0.9, 1]) == [0.0, 50.0, 90.0, inf]
+    assert run([-inf, *map(float, range(99)), inf], [0, 0.5, 1]) == [-inf, 49.0, inf]
+    assert np.allclose(run([*map(float, range(101)), nan, None, nan], [0.5, 0.9]), [50, 90])
+    assert run([nan, None], [0.5]) == [None] and run([inf, inf, inf], [0.2]) == [inf]
+    wide = [2.0**k for k in range(-1000, 1000, 5)] + [-(2.0**k) for k in range(-1000, 1000, 5)]
+    assert run(wide, [0.25, 0.6, 0.75]) == list(np.quantile(wide, [0.25, 0.6, 0.75]))
+    assert run([-1.7e308, *([3.0] * 50), 1.7e308], [0.0, 0.5, 1.0]) == [-1.7e308, 3.0, 1.7e308]
+
+
+def test_grid_of_odd_values(spark):
+    rows = [("a", v) for v in (0.1, 0.7, 0.3, 0.30000000000000004)] + [("a", math.nan), ("a", math.inf), ("a", None), ("b", 5.0), ("b", 5.0), ("c", math.nan)]
+    got = signals.ecdf_grid(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 7).orderBy("k", "i").collect()
+    assert {r.k for r in got} == {"a", "b"} and all(r.ecdf == 1 for r in got if r.i == 6 or r.k == "b")
+    values = [0.1, 0.7, 0.3, 0.30000000000000004]
+    assert [r.ecdf for r in got if r.k == "a"] == [np.mean(np.array(values) <= r.x) for r in got if r.k == "a"]
+    assert [r.x for r in got if r.k == "a"][-1] == 0.7
+
+
 def test_oxygen_bins_without_clamping(spark):
     cells = spark.createDataFrame([(i, 0, [math.sin(i + t) for t in range(9)]) for i in range(4)], "cell int, rec int, trace array<double>")
     times = spark.createDataFrame([(0, [float(t) for t in range(12)])], "rec int, sec array<double>")
@@ -236,6 +294,24 @@ def test_triggers_and_swim_by_frame(spark):
     want = [sum(above[t - n] for n in range(23) if t >= n) for t in at]
     got = jobs.swim_by_frame(samples, triggers, "k", "i", "s", "b").orderBy("frame").collect()
     assert np.allclose([r.swim for r in got], want)
+    odd = samples.withColumn("s", F.when(F.col("i") == 50, F.lit(math.nan)).otherwise(F.col("s")))
+    again = jobs.swim_by_frame(odd, triggers, "k", "i", "s", "b").orderBy("frame").collect()
+    of = next(j for j, t in enumerate(at) if t - 23 < 50 <= t)
+    assert [j for j, r in enumerate(again) if math.isnan(r.swim)] == [of]
+    one = jobs.swim_by_frame(samples, triggers.filter("frame = 2"), "k", "i", "s", "b").collect()
+    assert len(one) == 1 and math.isclose(one[0].swim, above[: at[2] + 1].sum())
+
+
+def test_a_configured_master_stays(tmp_path):
+    """A session of its own process: what spark-submit sets is not overridden."""
+    import subprocess
+    import sys
+
+    code = "from tracewell.session import get_session; s = get_session(cores='3'); print('MASTER', s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'))"
+    for given, want in (("--master local[2] --conf spark.sql.shuffle.partitions=77", "local[2] 77"), ("", "local[3] 8")):
+        env = {**__import__("os").environ, "PYSPARK_SUBMIT_ARGS": f"{given} pyspark-shell"}
+        out = subprocess.run([sys.executable, "-c", code], env=env, cwd=str(__import__("pathlib").Path(__file__).parent.parent), capture_output=True, text=True, timeout=180)
+        assert f"MASTER {want}" in out.stdout, out.stderr[-500:]
 
 
 def test_bout_bins(spark):

@@ -18,7 +18,7 @@ def main(arguments: list[str] | None = None) -> list[int]:
     parser.add_argument("--all", action="store_true", help="every recording, whatever the range")
     parser.add_argument("--force", action="store_true", help="also those that are finished")
     parser.add_argument("--oxygen-file", help="CSV of sec, value (job oxygen)")
-    parser.add_argument("--cores", default="*")
+    parser.add_argument("--cores", help="local cores, where no master is configured")
     got = parser.parse_args(arguments)
     if got.job == "oxygen" and not got.oxygen_file:
         parser.error("oxygen needs --oxygen-file")

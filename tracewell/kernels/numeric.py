@@ -28,40 +28,61 @@ def rank_correlations(traces: np.ndarray, references: np.ndarray) -> np.ndarray:
         return a @ b.T / scale
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    total = d
+def paired_rank_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spearman correlation of each row of ``a`` with the same row of ``b``; NaN where either is constant."""
+    x, y = average_ranks(a), average_ranks(b)
+    x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, from 15 on."""
+    up = np.zeros_like(x)
+    while (low := x < 15).any():
+        up = np.where(low, up + np.log(np.where(low, x, 1.0)), up)
+        x = np.where(low, x + 1, x)
+    z = 1 / (x * x)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - up
+
+
+def incomplete_beta(a: np.ndarray | float, b: np.ndarray | float, x: np.ndarray | float) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, element by element; a and b are positive."""
+    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    inside = (x > 0) & (x < 1)
+    other = inside & (x > (a + 1) / (a + b + 2))
+    a, b, x0 = np.where(other, b, a), np.where(other, a, b), x
+    x = np.where(inside, np.where(other, 1 - x, x), 0.5)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny, c = 1e-300, np.ones_like(x)
+    d = 1 / np.maximum(1 - (a + b) * x / (a + 1), tiny)
+    total = d.copy()
     for m in range(1, 400):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + term * d
             c = 1 + term / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            total *= c * d
-        if abs(c * d - 1) < 1e-15:
+            d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+            c = np.where(np.abs(c) > tiny, c, tiny)
+            total = total * c * d
+        if np.all(np.abs(c * d - 1) < 1e-15):
             break
-    return front * total
+    value = front * total
+    return np.where(inside, np.where(other, 1 - value, value), (x0 >= 1).astype(float))
 
 
-def spearman_p(r: float, n: int) -> float:
-    """Two-sided p-value of a rank correlation over n pairs (t distribution, n - 2 degrees of freedom)."""
-    if n < 3 or not math.isfinite(r):
-        return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    t2 = r * r * (n - 2) / (1 - r * r)
-    return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+def spearman_p(r: np.ndarray | float, n: np.ndarray | float) -> np.ndarray:
+    """Two-sided p-values of rank correlations over n pairs (t distribution, n - 2 degrees of freedom); NaN below 3 pairs."""
+    r, n = np.broadcast_arrays(np.asarray(r, float), np.asarray(n, float))
+    known, whole = (n >= 3) & np.isfinite(r), np.abs(r) >= 1
+    free, inside = np.where(known, n - 2, 1.0), np.where(known & ~whole, r, 0.0)
+    t2 = inside * inside * free / (1 - inside * inside)
+    return np.where(known, np.where(whole, 0.0, incomplete_beta(free / 2, 0.5, free / (free + t2))), np.nan)
 
 
 def f_p(f: float, df1: float, df2: float) -> float:
     """Upper tail of the F distribution."""
-    return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f)) if f > 0 else 1.0
+    return float(incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))) if f > 0 else 1.0
 
 
 def lag_matrix(signal: np.ndarray, lags: int) -> np.ndarray:

@@ -7,25 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators import scans
+from tracewell.session import materialize
+
 
 def _over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def find_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column) -> DataFrame:
+def _numbered_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, block: int | None) -> DataFrame:
+    """Adds ``__s`` (the state), ``__i`` (the row's number from 0) and ``run`` (the number of its run from 1)."""
+    if block is None:
+        w = _over(keys, order)
+        marked = df.withColumns({"__s": state, "__i": F.row_number().over(w) - 1})
+        changed = marked.withColumn("__c", F.when(F.lag("__s").over(w).eqNullSafe(F.col("__s")) & (F.col("__i") > 0), 0).otherwise(1))
+        return changed.withColumn("run", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = scans.number_rows(df.withColumn("__s", state), keys, order, "__i")
+    changed = scans.over_frame(placed, keys, "__i", 1, 0, {"__c": lambda w: F.when(F.lag("__s").over(w).eqNullSafe(F.col("__s")) & (F.col("__i") > 0), 0).otherwise(1)}, block)
+    return scans.running(changed, keys, "__i", {"run": ("sum", F.col("__c"))}, block)
+
+
+def find_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, block: int | None = None) -> DataFrame:
     """(keys, run, state, start, end, length): maximal runs of equal state, places counted from 0."""
-    w = _over(keys, order)
-    marked = df.withColumns({"__s": state, "__i": F.row_number().over(w) - 1})
-    changed = marked.withColumn("__c", F.when(F.lag("__s").over(w).eqNullSafe(F.col("__s")) & (F.col("__i") > 0), 0).otherwise(1))
-    runs = changed.withColumn("run", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = _numbered_runs(df, keys, order, state, block)
     return runs.groupBy(*keys, "run").agg(
         F.first("__s").alias("state"), F.min("__i").alias("start"), F.max("__i").alias("end"), F.count(F.lit(1)).alias("length")
     )
 
 
-def fill_short_gaps(runs: DataFrame, keys: Sequence[str], shortest: int) -> DataFrame:
+def fill_short_gaps(runs: DataFrame, keys: Sequence[str], shortest: int, block: int | None = None) -> DataFrame:
     """(keys, bout, start, end): active runs joined over inactive ones shorter than ``shortest`` samples."""
     active = runs.filter("state")
+    if block is not None:
+        placed = scans.number_rows(active.select(*keys, "start", "end"), keys, ["start"], "__i")
+        near = lambda w: F.when(F.coalesce(F.col("start") - F.lag("end").over(w) - 1 < shortest, F.lit(False)), 0).otherwise(1)
+        opened = scans.over_frame(placed, keys, "__i", 1, 0, {"__new": near}, block)
+        numbered = scans.running(opened, keys, "__i", {"bout": ("sum", F.col("__new"))}, block)
+        return numbered.groupBy(*keys, "bout").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     w = _over(keys, ["start"])
     gap = F.col("start") - F.lag("end").over(w) - 1
     new = active.withColumn("__new", F.when(F.coalesce(gap < shortest, F.lit(False)), 0).otherwise(1))
@@ -33,26 +51,33 @@ def fill_short_gaps(runs: DataFrame, keys: Sequence[str], shortest: int) -> Data
     return numbered.groupBy(*keys, "bout").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def bout_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, shortest_gap: int = 2, rate: float = 1.0) -> DataFrame:
+def bout_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, shortest_gap: int = 2, rate: float = 1.0, block: int | None = None) -> DataFrame:
     """(keys, bout, start, end, duration, initiation_gap, gap_before) of bouts that touch neither end of the signal."""
-    runs = find_runs(df, keys, order, active)
+    runs = find_runs(df, keys, order, active, block)
+    if block is not None:
+        runs = materialize(runs, "runs")
     ends = runs.groupBy(*keys).agg(F.max("end").alias("__last"))
-    whole = fill_short_gaps(runs, keys, shortest_gap).join(ends, list(keys)).filter("start > 0 and end < __last").drop("__last")
-    w = _over(keys, ["start"])
-    return whole.withColumns(
-        {
-            "duration": (F.col("end") - F.col("start") + 1) / rate,
-            "initiation_gap": (F.col("start") - F.lag("start").over(w)) / rate,
-            "gap_before": (F.col("start") - F.lag("end").over(w) - 1) / rate,
-        }
-    )
-
-
-def sessions(df: DataFrame, keys: Sequence[str], time: str, tie: str, gap: float) -> DataFrame:
+    met = fill_short_gaps(runs, keys, shortest_gap, block)
+    whole = (met.join(ends, list(keys)) if keys else met.crossJoin(F.broadcast(ends))).filter("start > 0 and end < __last").drop("__last")  # one row a signal
+    gaps = {
+        "duration": lambda w: (F.col("end") - F.col("start") + 1) / rate,
+        "initiation_gap": lambda w: (F.col("start") - F.lag("start").over(w)) / rate,
+        "gap_before": lambda w: (F.col("start") - F.lag("end").over(w) - 1) / rate,
+    }
+    if block is not None:
+        return scans.over_frame(scans.number_rows(whole, keys, ["start"], "__i"), keys, "__i", 1, 0, gaps, block).drop("__i")
+    return whole.withColumns({name: f(_over(keys, ["start"])) for name, f in gaps.items()})
+
+
+def sessions(df: DataFrame, keys: Sequence[str], time: str, tie: str, gap: float, block: int | None = None) -> DataFrame:
     """(keys, session, start, end, n): a new session where the gap exceeds ``gap``; those of one event are dropped."""
-    w = _over(keys, [time, tie])
-    new = F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0)
-    numbered = df.withColumn("__n", new).withColumn("session", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = lambda w: F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0)
+    if block is None:
+        w = _over(keys, [time, tie])
+        numbered = df.withColumn("__n", new(w)).withColumn("session", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        opened = scans.over_frame(scans.number_rows(df, keys, [time, tie], "__i"), keys, "__i", 1, 0, {"__n": new}, block)
+        numbered = scans.running(opened, keys, "__i", {"session": ("sum", F.col("__n"))}, block)
     grouped = numbered.groupBy(*keys, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("n"))
     return grouped.filter("start <> end")
 
@@ -104,13 +129,10 @@ def epoch_means(trials: DataFrame, epoch: str, offset: str, value: str, baseline
     return means.join(F.broadcast(early), epoch, "left").withColumn("mean", F.col("mean") - F.coalesce("__base", F.lit(0.0))).drop("__base")
 
 
-def run_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, state: Column) -> DataFrame:
+def run_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, state: Column, block: int | None = None) -> DataFrame:
     """(keys, run, state, span): the time from the first to the last row of each run of equal state."""
-    w = _over(keys, order)
-    marked = df.withColumn("state", state)
-    changed = F.when(F.lag("state").over(w).eqNullSafe(F.col("state")) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = marked.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w))
-    return numbered.groupBy(*keys, "run").agg(F.first("state").alias("state"), (F.max(time) - F.min(time)).alias("span"))
+    numbered = _numbered_runs(df, keys, order, state, block)
+    return numbered.groupBy(*keys, "run").agg(F.first("__s").alias("state"), (F.max(time) - F.min(time)).alias("span"))
 
 
 def swim_trials(turns: DataFrame, keys: Sequence[str], position: str, normal: tuple[float, float], hypoxia: tuple[float, float], least_gap: float = 10, drop_last: int = 2) -> DataFrame:
@@ -131,17 +153,23 @@ def swim_trials(turns: DataFrame, keys: Sequence[str], position: str, normal: tu
     return kept_trials.withColumn("epoch", F.when(inside(normal), 1).when(inside(hypoxia), 2).otherwise(0))
 
 
-def burst_bouts(df: DataFrame, keys: Sequence[str], position: str, value: str, block: int = 6000, width: float = 1e-5, top: float = 0.1, multiplier: float = 2.5, gap: float = 600) -> DataFrame:
+def burst_bouts(df: DataFrame, keys: Sequence[str], position: str, value: str, block: int = 6000, width: float = 1e-5, top: float = 0.1, multiplier: float = 2.5, gap: float = 600, rows: int | None = None) -> DataFrame:
     """(keys, bout, start, end): bursts of swimming in a filtered signal with positions 0, 1, 2, ...
 
     Peaks up to each block's end are counted in bins of ``width`` up to ``top``; the first fullest bin is the mode, and
     the floor is the last bin before it with less than 1/200 of its count (else 0). Peaks above mode + multiplier x (mode -
     floor) are bursts; a bout ends where the next burst is more than ``gap`` away, and bouts of one burst are dropped.
-    Positions after the last whole block take its threshold and are not counted.
+    Positions after the last whole block take its threshold and are not counted. With ``rows``, a signal's samples are dealt
+    to tasks by so many; what is counted, a row a block and bin, and the bursts are few.
     """
-    w = _over(keys, [position])
-    n = F.max(position).over(Window.partitionBy(*keys)) + 1
-    steps = df.withColumns({"__1": F.lead(value, 1).over(w), "__2": F.lead(value, 2).over(w), "__n": n})
+    ahead = {"__1": lambda w: F.lead(value, 1).over(w), "__2": lambda w: F.lead(value, 2).over(w)}
+    if rows is None:
+        w = _over(keys, [position])
+        steps = df.withColumns({name: f(w) for name, f in ahead.items()} | {"__n": F.max(position).over(Window.partitionBy(*keys)) + 1})
+    else:
+        ends = F.broadcast(df.groupBy(*keys).agg((F.max(position) + 1).alias("__n")))  # one row a signal
+        looked = scans.over_frame(df, keys, position, 0, 2, ahead, rows)
+        steps = looked.join(ends, list(keys)) if keys else looked.crossJoin(ends)
     # a block's threshold reaches one sample into the next, which overwrites all but the last
     blocks = F.greatest(F.ceil((F.col("__n") - block) / block), F.lit(1)) - 1
     peaks = steps.filter((F.col("__1") > F.col(value)) & (F.col("__2") < F.col("__1")))
@@ -160,4 +188,4 @@ def burst_bouts(df: DataFrame, keys: Sequence[str], position: str, value: str, b
     floors = joined.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
     levels = modes.select(*keys, "__b", "mode").distinct().join(floors, [*keys, "__b"], "left").withColumn("floor", F.greatest(F.col("mode") - 1 - F.coalesce("__c", F.lit(0)), F.lit(0)))
     high_peaks = peaks.join(levels, [*keys, "__b"]).filter(F.col(value) > burst_threshold(F.col("mode") * width, F.col("floor") * width, multiplier))
-    return sessions(high_peaks.select(*keys, position), keys, position, position, gap).select(*keys, F.col("session").alias("bout"), "start", "end")
+    return sessions(high_peaks.select(*keys, position), keys, position, position, gap, rows).select(*keys, F.col("session").alias("bout"), "start", "end")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.kernels import numeric
 from tracewell.operators.signals import let, rank_correlation, to_frames
+from tracewell.session import materialize
 
 
 def label_means(cells: DataFrame, label: str, value: str = "z", least: int = 1) -> DataFrame:
@@ -129,43 +131,83 @@ def summarise_runs(fits: DataFrame, keys: Sequence[str], values: Sequence[str] =
     return fits.groupBy(*keys).agg(F.count(F.lit(1)).alias("fits"), *made)
 
 
+def anova_sums(means: DataFrame, condition: str, small: str, large: str, value: str, levels: Sequence) -> DataFrame:
+    """(condition, part, i, j, v): the sums of an additive model's normal equations, the larger factor eliminated.
+
+    ``means`` has one row a (condition, small, large); ``levels`` are those of the smaller factor. Parts: ``c`` (i, j), the
+    Schur complement diag(n) - N diag(1 / n_large) N'; ``q`` (i), its right side; ``t`` and ``n`` (i), sums and counts by
+    level; ``r``, the sum over the larger factor's levels of sum^2 / count; ``y``, of squares; ``m`` rows, ``k`` levels of the
+    larger factor. Tasks add up whole batches of the larger factor's levels, so only these sums are shuffled.
+    """
+    k, level = len(levels), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    place = F.create_map(*[x for i, level in enumerate(levels) for x in (F.lit(str(level)), F.lit(i))])
+    rows = means.groupBy(condition, large).agg(F.collect_list(F.struct(F.element_at(place, level(small)).alias("i"), F.col(value).cast("double").alias("y"))).alias("cells"))
+    rows = rows.select(condition, F.col("cells.i").alias("i"), F.col("cells.y").alias("y"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            at, y = batch.column(1), batch.column(2)
+            row = np.repeat(np.arange(len(names)), np.diff(at.offsets.to_numpy()))
+            one, held = np.zeros((len(names), k)), np.zeros((len(names), k))
+            one[row, at.flatten().to_numpy()] = 1.0
+            held[row, at.flatten().to_numpy()] = y.flatten().to_numpy()
+            for name in set(names):
+                of = np.array([x == name for x in names])
+                m, v = one[of], held[of]
+                n, t = m.sum(1), v.sum(1)
+                made = [np.diag(m.sum(0)) - (m / n[:, None]).T @ m, v.sum(0) - m.T @ (t / n), v.sum(0), m.sum(0), np.array([(t * t / n).sum(), (v * v).sum(), n.sum(), float(of.sum())])]
+                sums[name] = [a + b for a, b in zip(sums[name], made, strict=True)] if name in sums else made
+        out = [[], [], [], [], []]
+        for name, (c, q, t, n, rest) in sums.items():
+            for part, i, j, v in [
+                *(("c", i, j, c[i, j]) for i in range(k) for j in range(k)), *(("q", i, 0, q[i]) for i in range(k)), *(("t", i, 0, t[i]) for i in range(k)), *(("n", i, 0, n[i]) for i in range(k)),
+                *((p, 0, 0, x) for p, x in zip("rymk", rest, strict=True)),
+            ]:
+                for held, x in zip(out, (name, part, i, j, float(v)), strict=True):
+                    held.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.float64())], ["condition", "part", "i", "j", "v"])
+
+    pieces = rows.withColumn(condition, F.col(condition).cast("string")).mapInArrow(work, "condition string, part string, i int, j int, v double")
+    return pieces.groupBy("condition", "part", "i", "j").agg(F.sum("v").alias("v"))
+
+
 def two_way_anova(df: DataFrame, a: str, b: str, value: str, condition: str | None = None) -> DataFrame:
     """(condition, term, sum_sq, df, f, p): additive two-way ANOVA, type II, on the means of (condition, a, b).
 
     One table a condition and one of all conditions' means, named ``combined``. Cells may be missing: each term's sum is
-    what the fit without it leaves more than the full fit. Only the means, one a combination of levels, reach the driver.
+    what the fit without it leaves more than the full fit. The factor with fewer levels is solved for; the other one, of
+    any number of levels, is eliminated in sums (``anova_sums``), so the driver gets the square of the fewer levels.
+    Non-finite values are left out; a table without any has no rows.
     """
     spark = df.sparkSession
-    keys = [condition, a, b] if condition else [a, b]
-    means = df.groupBy(*keys).agg(F.avg(finite(value)).alias("m")).filter("m is not null").collect()
-    tables: dict[str, list[tuple]] = {}
-    for r in means:
-        if condition:
-            tables.setdefault(str(r[condition]), []).append((r[a], r[b], r.m))
-    both: dict[tuple, list[float]] = {}
-    for r in means:
-        both.setdefault((r[a], r[b]), []).append(r.m)
-    tables["combined"] = [(*k, float(np.mean(v))) for k, v in both.items()]
-
-    def dummies(levels: list) -> np.ndarray:
-        names = sorted(set(levels), key=str)
-        return np.array([[float(x == n) for n in names[1:]] for x in levels]).reshape(len(levels), max(0, len(names) - 1))
+    named = df.withColumn("__c", F.coalesce(F.col(condition).cast("string"), F.lit("None")) if condition else F.lit("combined"))
+    each = named.groupBy("__c", a, b).agg(F.avg(finite(value)).alias("__m")).filter("__m is not null")
+    each = materialize(each, "means") if condition else each
+    both = each.groupBy(a, b).agg(F.avg("__m").alias("__m")).select(F.lit("combined").alias("__c"), a, b, "__m")
+    means = materialize(each.unionByName(both) if condition else both, "cells")
+    size = means.agg(F.count_distinct(F.struct(a)), F.count_distinct(F.struct(b)), F.avg("__m")).first()  # nulls are a level
+    if not size[0] or not size[1]:
+        return spark.createDataFrame([], "condition string, term string, sum_sq double, df double, f double, p double")
+    small, large = (a, b) if size[0] <= size[1] else (b, a)
+    levels = sorted((r[0] for r in means.select(F.coalesce(F.col(small).cast("string"), F.lit("None"))).distinct().collect()), key=str)  # the fewer
+    sums: dict[str, dict] = {}
+    for r in anova_sums(means.withColumn("__m", F.col("__m") - size[2]), "__c", small, large, "__m", levels).collect():
+        sums.setdefault(r.condition, {})[r.part, r.i, r.j] = r.v
 
     rows = []
-    for name, table in sorted(tables.items()):
-        y, one = np.array([m for *_, m in table]), np.ones((len(table), 1))
-        parts = {"a": dummies([x for x, *_ in table]), "b": dummies([x for _, x, _ in table])}
-
-        def left(*terms: str, y=y, one=one, parts=parts) -> float:
-            x = np.concatenate([one, *[parts[t] for t in terms]], 1)
-            return float(np.square(y - x @ np.linalg.lstsq(x, y, rcond=None)[0]).sum())
-
-        full = left("a", "b")
-        free = len(y) - 1 - parts["a"].shape[1] - parts["b"].shape[1]
-        for term, other in (("a", "b"), ("b", "a")):
-            k = parts[term].shape[1]
-            ss = left(other) - full
-            f = (ss / k) / (full / free) if k and free > 0 and full > 0 else None
-            rows.append((name, term, ss, float(k), f, None if f is None else numeric.f_p(f, k, free)))
+    for name, of in sorted(sums.items()):
+        c = np.array([[of["c", i, j] for j in range(len(levels))] for i in range(len(levels))])
+        q, t, n = (np.array([of[p, i, 0] for i in range(len(levels))]) for p in "qtn")
+        adjusted = float(q @ np.linalg.lstsq(c, q, rcond=1e-10)[0])  # of the smaller factor, given the larger
+        alone = float((t[n > 0] ** 2 / n[n > 0]).sum())
+        terms = {small: (adjusted, (n > 0).sum() - 1), large: (of["r", 0, 0] + adjusted - alone, of["k", 0, 0] - 1)}
+        full = max(0.0, of["y", 0, 0] - of["r", 0, 0] - adjusted)
+        free = of["m", 0, 0] - 1 - sum(k for _, k in terms.values())
+        for term, column in (("a", a), ("b", b)):
+            ss, k = terms[column]
+            f = float((ss / k) / (full / free)) if k and free > 0 and full > 0 else None
+            rows.append((name, term, float(ss), float(k), f, None if f is None else numeric.f_p(f, k, free)))
         rows.append((name, "error", full, float(free), None, None))
     return spark.createDataFrame(rows, "condition string, term string, sum_sq double, df double, f double, p double")

@@ -5,21 +5,31 @@ Windows are always partitioned by the signal's keys; per-cell statistics on arra
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.kernels import numeric
+from tracewell.operators import scans
 
 
 def _over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int, columns: Mapping[str, Callable[[WindowSpec], Column]], block: int | None) -> DataFrame:
+    """Adds window columns that look ``before`` rows back and ``after`` ahead, a signal a task or (``block``) a block a task."""
+    if block is None:
+        w = _over(keys, order)
+        return df.withColumns({name: f(w) for name, f in columns.items()})
+    return scans.over_frame(scans.number_rows(df, keys, order, "__place"), keys, "__place", before, after, columns, block).drop("__place")
+
+
 # validity and thresholds
 
 
@@ -109,14 +119,18 @@ def rank_correlation(cells: DataFrame, references: np.ndarray, trace: str = "tra
 def paired_rank_correlation(rows: DataFrame, left: str, right: str, name: str = "r") -> DataFrame:
     """Adds the Spearman correlation of two arrays of each row; null where undefined or of unequal lengths."""
 
+    def values(lists: pa.Array, at: np.ndarray, n: int) -> np.ndarray:
+        """The lists of length n at these places, as a matrix; null elements are NaN."""
+        return np.asarray(pc.list_flatten(lists.take(pa.array(at))).to_numpy(zero_copy_only=False), float).reshape(len(at), n)
+
     def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            out = []
-            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-                known = x and y and len(x) == len(y)
-                r = float(numeric.rank_correlations(np.array([x], float), np.array([y], float))[0, 0]) if known else np.nan
-                out.append(r if np.isfinite(r) else None)
-            yield pa.array(out, pa.float64())
+            sizes = [np.asarray(pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False)) for x in (a, b)]
+            out = np.full(len(a), np.nan)
+            for n in np.unique(sizes[0][(sizes[0] == sizes[1]) & (sizes[0] > 0)]):  # rows of one length at a time
+                at = np.flatnonzero((sizes[0] == n) & (sizes[1] == n))
+                out[at] = numeric.paired_rank_correlations(values(a, at, n), values(b, at, n))
+            yield pa.array(np.where(np.isfinite(out), out, np.nan), pa.float64(), mask=~np.isfinite(out))
 
     return rows.withColumn(name, F.arrow_udf(work, T.DoubleType())(left, right))
 
@@ -129,51 +143,57 @@ def vector(frames: DataFrame, value: str) -> np.ndarray:
 @F.arrow_udf(T.DoubleType())
 def spearman_p(r: pa.Array, n: pa.Array) -> pa.Array:
     """Two-sided p-value of a rank correlation over n pairs."""
-    return pa.array([None if x is None or m is None else numeric.spearman_p(x, m) for x, m in zip(r.to_pylist(), n.to_pylist(), strict=True)], pa.float64())
+    unknown = pc.or_(pc.is_null(r), pc.is_null(n)).to_numpy(zero_copy_only=False)
+    p = numeric.spearman_p(pc.fill_null(r, 0.0).to_numpy(zero_copy_only=False), pc.fill_null(n, 0).to_numpy(zero_copy_only=False))
+    return pa.array(p, pa.float64(), mask=unknown)
 
 
 # windows over rows
 
 
-def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, span: int, quantile: float | None = None) -> DataFrame:
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, span: int, quantile: float | None = None, block: int | None = None) -> DataFrame:
     """Adds roll_mean and roll_std (sample), or roll_quantile, of a centred span; an even span looks one row less ahead."""
-    w = _over(keys, order).rowsBetween(-(span // 2), span - span // 2 - 1)
+    before, after = span // 2, span - span // 2 - 1
+    frame = lambda w: w.rowsBetween(-before, after)
     if quantile is not None:
-        return df.withColumn("roll_quantile", F.percentile(value, quantile).over(w))
-    return df.withColumns({"roll_mean": F.avg(value).over(w), "roll_std": F.stddev_samp(value).over(w)})
+        return _framed(df, keys, order, before, after, {"roll_quantile": lambda w: F.percentile(value, quantile).over(frame(w))}, block)
+    return _framed(df, keys, order, before, after, {"roll_mean": lambda w: F.avg(value).over(frame(w)), "roll_std": lambda w: F.stddev_samp(value).over(frame(w))}, block)
 
 
-def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "trailing") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(_over(keys, order).rowsBetween(-(length - 1), 0)))
+def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int, name: str = "trailing", block: int | None = None) -> DataFrame:
+    return _framed(df, keys, order, length - 1, 0, {name: lambda w: F.sum(value).over(w.rowsBetween(-(length - 1), 0))}, block)
 
 
-def lag_design(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lags: int) -> DataFrame:
+def lag_design(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lags: int, block: int | None = None) -> DataFrame:
     """Adds lag_0 .. lag_{lags-1}, zero before the start."""
-    w = _over(keys, order)
-    return df.withColumns({f"lag_{k}": F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) if k else F.col(value) for k in range(lags)})
+    lagged = {f"lag_{k}": (lambda w, k=k: F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) if k else F.col(value)) for k in range(lags)}
+    return _framed(df, keys, order, lags - 1, 0, lagged, block)
 
 
-def rising_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, level: float = 3.8) -> DataFrame:
+def rising_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, level: float = 3.8, block: int | None = None) -> DataFrame:
     """Rows above the level whose predecessor is below it, both strictly."""
-    before = df.withColumn("__before", F.lag(value).over(_over(keys, order)))
+    before = _framed(df, keys, order, 1, 0, {"__before": lambda w: F.lag(value).over(w)}, block)
     return before.filter((F.col("__before") < level) & (F.col(value) > level)).drop("__before")
 
 
-def local_maxima(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def local_maxima(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: int | None = None) -> DataFrame:
     """The row before each peak: the next step rises and the one after it falls."""
-    w = _over(keys, order)
-    ahead = df.withColumns({"__1": F.lead(value, 1).over(w), "__2": F.lead(value, 2).over(w)})
+    ahead = _framed(df, keys, order, 0, 2, {"__1": lambda w: F.lead(value, 1).over(w), "__2": lambda w: F.lead(value, 2).over(w)}, block)
     return ahead.filter((F.col("__1") > F.col(value)) & (F.col("__2") < F.col("__1"))).drop("__1", "__2")
 
 
-def gap_fill(df: DataFrame, keys: Sequence[str], position: str, value: str, name: str = "filled") -> DataFrame:
+def gap_fill(df: DataFrame, keys: Sequence[str], position: str, value: str, name: str = "filled", block: int | None = None) -> DataFrame:
     """Linear interpolation of nulls by position; ends take the nearest value."""
-    w = _over(keys, [position])
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(value).isNotNull(), F.col(position))
-    known = df.withColumns(
-        {"__v0": F.last(value, True).over(back), "__v1": F.first(value, True).over(ahead), "__p0": F.last(at, True).over(back), "__p1": F.first(at, True).over(ahead)}
-    )
+    if block is None:
+        w = _over(keys, [position])
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        known = df.withColumns(
+            {"__v0": F.last(value, True).over(back), "__v1": F.first(value, True).over(ahead), "__p0": F.last(at, True).over(back), "__p1": F.first(at, True).over(ahead)}
+        )
+    else:
+        placed = scans.number_rows(df, keys, [position], "__place")
+        known = scans.running(placed, keys, "__place", {"__v0": ("last", F.col(value)), "__v1": ("next", F.col(value)), "__p0": ("last", at), "__p1": ("next", at)}, block).drop("__place")
     share = F.coalesce(F.try_divide(F.col(position) - F.col("__p0"), F.col("__p1") - F.col("__p0")), F.lit(0.0))
     blend = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * share
     return known.withColumn(name, F.coalesce(blend, "__v0", "__v1")).drop("__v0", "__v1", "__p0", "__p1")
@@ -253,21 +273,22 @@ def swim_power(df: DataFrame, keys: Sequence[str], value: str, percentile: float
 # differences, steps and turns
 
 
-def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "diff") -> DataFrame:
+def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "diff", block: int | None = None) -> DataFrame:
     """Adds the value less its predecessor's; null on the first row."""
-    return df.withColumn(name, F.col(value) - F.lag(value).over(_over(keys, order)))
+    return _framed(df, keys, order, 1, 0, {name: lambda w: F.col(value) - F.lag(value).over(w)}, block)
 
 
-def least_step(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
+def least_step(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, block: int | None = None) -> DataFrame:
     """(keys, least_step): the least distance of neighbouring positions."""
-    return first_difference(df, keys, order, position, "__d").groupBy(*keys).agg(F.min("__d").alias("least_step"))
+    return first_difference(df, keys, order, position, "__d", block).groupBy(*keys).agg(F.min("__d").alias("least_step"))
 
 
-def turns(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def turns(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: int | None = None) -> DataFrame:
     """The rows before a change, with turn: ``on`` from 0 to a positive value, ``off`` from a positive value to 0."""
-    after = F.lead(value).over(_over(keys, order))
+    ahead = _framed(df, keys, order, 0, 1, {"__after": lambda w: F.lead(value).over(w)}, block)
+    after = F.col("__after")
     turn = F.when((F.col(value) == 0) & (after > 0), "on").when((F.col(value) > 0) & (after == 0), "off")
-    return df.withColumn("turn", turn).filter("turn is not null")
+    return ahead.withColumn("turn", turn).filter("turn is not null").drop("__after")
 
 
 def exclude_places(df: DataFrame, keys: Sequence[str], order: Sequence[str], places: DataFrame) -> DataFrame:
@@ -311,14 +332,16 @@ def ecdf_grid(df: DataFrame, keys: Sequence[str], value: str, points: int = 50)
     """(keys, i, x, ecdf): the share of values at most x, on an even grid from the key's least value to its largest.
 
     Each value is counted at the first grid point that is not below it, and the counts of ``points`` rows are summed
-    up; values never meet the whole grid.
+    up; values never meet the whole grid. The last point is the largest value itself. Nulls, NaN and infinities are left
+    out; a key of none but those has no rows.
     """
+    df = df.filter(F.abs(value) < float("inf"))  # NaN is above infinity
     ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    at = lambda i: F.col("__lo") + (F.col("__hi") - F.col("__lo")) * i / (points - 1)
+    at = lambda i: F.when(i < points - 1, F.col("__lo") + (F.col("__hi") - F.col("__lo")) * i / (points - 1)).otherwise(F.col("__hi"))
     guess = F.coalesce(F.ceil(F.try_divide((F.col(value) - F.col("__lo")) * (points - 1), F.col("__hi") - F.col("__lo"))), F.lit(0))
     met = df.join(ends, list(keys)).withColumn("__g", F.least(guess, F.lit(points - 1)))
     first = F.when((F.col("__g") > 0) & (at(F.col("__g") - 1) >= F.col(value)), F.col("__g") - 1).when((F.col("__g") < points - 1) & (at(F.col("__g")) < F.col(value)), F.col("__g") + 1).otherwise(F.col("__g"))
-    counts = met.filter(F.col(value).isNotNull()).groupBy(*keys, first.cast("int").alias("i")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = met.groupBy(*keys, first.cast("int").alias("i")).agg(F.count(F.lit(1)).alias("__n"))
     grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at(F.col("i")))
     w = Window.partitionBy(*keys)
     seen = F.sum(F.coalesce("__n", F.lit(0))).over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -329,20 +352,35 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], bins: in
     """Linear quantiles of a whole column, without gathering it: counted histograms narrow down to the values at a rank.
 
     Each pass counts at most ``bins`` bins and goes on between the least and the largest value of the bin that holds
-    the rank, until ``few`` rows, or copies of one value, are left.
+    the rank, until ``few`` rows, or copies of one value, are left. Where a pass keeps more than half of its rows (values
+    over many orders of magnitude), the next one splits at 64 approximate quantiles. Nulls and NaN are left out;
+    infinities are the least and the largest values.
     """
-    values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    endless = float("inf")
+    bounded = F.when(F.abs("v") < endless, F.col("v"))
+    n, inner, below_all, least, most = values.agg(F.count("v"), F.count(bounded), F.count_if(F.col("v") == -endless), F.min(bounded), F.max(bounded)).first()
 
     def ranked(rank: int) -> float:
-        lo, hi, below, inside = least, most, 0, n
+        if rank < below_all:
+            return -endless
+        if rank >= below_all + inner:
+            return endless
+        rank -= below_all
+        lo, hi, below, inside, by_rank = least, most, 0, inner, False
         while lo < hi:
             held = values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
             if inside <= few:
                 return held.orderBy("v").limit(rank - below + 1).agg(F.max("v")).first()[0]
-            place = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+            if by_rank:
+                cuts = sorted(set(held.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]))
+                place = sum((F.col("v") > c).cast("int") for c in cuts) + sum((F.col("v") >= c).cast("int") for c in cuts)  # a cut's copies by themselves
+            else:
+                width = hi / bins - lo / bins
+                place = F.least(F.floor(F.col("v") / width - lo / width), F.lit(bins - 1)) if width > 0 else (F.col("v") > lo).cast("int")
             for r in held.groupBy(place.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
                 if below + r.n > rank:
+                    by_rank = 2 * r.n > inside
                     lo, hi, inside = r.lo, r.hi, r.n
                     break
                 below += r.n
@@ -359,5 +397,5 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], bins: in
         for k in (low, high):
             if k not in found:
                 found[k] = ranked(k)
-        out.append(found[low] + (found[high] - found[low]) * (at - low))
+        out.append(found[low] if found[low] == found[high] else found[low] + (found[high] - found[low]) * (at - low))
     return out

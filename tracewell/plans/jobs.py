@@ -129,16 +129,20 @@ def camera_triggers(samples: DataFrame, keys: Sequence[str], position: str, valu
 
 def swim_by_frame(samples: DataFrame, triggers: DataFrame, key: str, position: str, signal: str, background: str) -> DataFrame:
     """(key, frame, swim): the signal above its background, at least 0, summed over the last samples up to each trigger, as
-    many as the least distance of two triggers. Positions count up by one."""
+    many as the least distance of two triggers (all up to it, where there is one trigger only).
+
+    Windows do not overlap, so a sample is summed once, in the window it lies in: an equality join on buckets of the
+    window's width, two rows a trigger. A NaN makes its own frame NaN; frames without samples are null.
+    """
     widths = signals.least_step(triggers, [key], ["sample_idx"], "sample_idx").withColumnRenamed("least_step", "__w")
-    above = samples.select(key, position, F.greatest(F.col(signal) - F.col(background), F.lit(0.0)).alias("__a"))
-    w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    total = materialize(above.withColumn("__s", F.sum("__a").over(w)).select(key, position, "__s"), "running")
-    ends = triggers.join(widths, key)
-    upto = ends.join(total.select(key, F.col(position).alias("sample_idx"), F.col("__s").alias("__hi")), [key, "sample_idx"], "left")
-    below = total.select(key, (F.col(position)).alias("__from"), F.col("__s").alias("__lo"))
-    met = upto.withColumn("__from", F.col("sample_idx") - F.col("__w")).join(below, [key, "__from"], "left")
-    return met.select(key, "frame", (F.col("__hi") - F.coalesce("__lo", F.lit(0.0))).alias("swim"))
+    ends = materialize(triggers.join(widths, key).withColumn("__w", F.coalesce("__w", F.col("sample_idx") + 1)).select(key, "frame", "sample_idx", "__w"), "windows")
+    bucket = F.floor(F.col("sample_idx") / F.col("__w"))
+    opened = ends.select(key, "frame", "sample_idx", F.explode(F.array(bucket - 1, bucket)).alias("__b"))
+    above = samples.join(F.broadcast(ends.groupBy(key).agg(F.first("__w").alias("__w"))), key)  # a row a recording
+    above = above.select(key, position, F.greatest(F.col(signal) - F.col(background), F.lit(0.0)).alias("__a"), "__w", F.floor(F.col(position) / F.col("__w")).alias("__b"))
+    inside = (F.col(position) <= F.col("sample_idx")) & (F.col(position) > F.col("sample_idx") - F.col("__w"))
+    sums = above.join(opened, [key, "__b"]).filter(inside).groupBy(key, "frame").agg(F.sum("__a").alias("swim"))
+    return triggers.select(key, "frame").join(sums, [key, "frame"], "left")
 
 
 def bout_bins(bouts: DataFrame, samples: DataFrame, key: str, position: str, values: Sequence[str], width: int, before: int, after: int) -> DataFrame:

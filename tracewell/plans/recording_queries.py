@@ -97,7 +97,7 @@ def normalised_by_window(spark, sf_dir):
 
 
 @_query("""WITH l AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type), g AS (SELECT *, unnest(range(50))::INT AS i FROM l),
-x AS (SELECT event_type, i, lo + (hi - lo) * i / 49 AS x FROM g)
+x AS (SELECT event_type, i, CASE WHEN i = 49 THEN hi ELSE lo + (hi - lo) * i / 49 END AS x FROM g)
 SELECT x.event_type, i, round(any_value(x.x), 6) AS x, round(avg((value <= x.x)::INT), 6) AS ecdf FROM x JOIN events v ON v.event_type = x.event_type GROUP BY x.event_type, i""")
 def ecdf_grid(spark, sf_dir):
     return signals.ecdf_grid(_events(spark, sf_dir), ["event_type"], "value").select("event_type", "i", F.round("x", 6).alias("x"), F.round("ecdf", 6).alias("ecdf"))
@@ -138,6 +138,22 @@ def anova_by_condition(spark, sf_dir):
     return populations.two_way_anova(_table(spark, sf_dir, "lineitem"), "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
 
 
+@_query("""WITH e AS (SELECT l_returnflag AS c, l_linenumber AS a, l_suppkey AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+g AS (SELECT a, row_number() OVER (ORDER BY a::VARCHAR) - 1 AS i FROM (SELECT DISTINCT a FROM e)), m AS (SELECT c, i, b, y FROM e JOIN g USING (a)),
+l AS (SELECT c, b, count(*) AS n, sum(y) AS t FROM m GROUP BY c, b), k AS (SELECT m.c, i, b, y, n, t FROM m JOIN l USING (c, b)), cs AS (SELECT DISTINCT c FROM m), gs AS (SELECT i FROM g),
+o AS (SELECT k.c, k.i, h.i AS j, sum(1.0::DOUBLE / k.n) AS v FROM k JOIN k h ON h.c = k.c AND h.b = k.b GROUP BY ALL),
+r AS (SELECT c AS condition, 'c' AS part, x.i, z.i AS j, CASE WHEN x.i = z.i THEN coalesce((SELECT count(*) FROM m WHERE m.c = cs.c AND m.i = x.i), 0) ELSE 0 END - coalesce((SELECT v FROM o WHERE o.c = cs.c AND o.i = x.i AND o.j = z.i), 0) AS v FROM cs, gs x, gs z
+UNION ALL SELECT c, p, i, 0, CASE p WHEN 'q' THEN sum(y - t / n) WHEN 't' THEN sum(y) ELSE count(*) END FROM k, (SELECT unnest(['q', 't', 'n']) AS p) GROUP BY c, p, i
+UNION ALL SELECT c, p, 0, 0, CASE p WHEN 'r' THEN sum(t * t / n) ELSE count(*) END FROM l, (SELECT unnest(['r', 'k']) AS p) GROUP BY c, p
+UNION ALL SELECT c, p, 0, 0, CASE p WHEN 'y' THEN sum(y * y) ELSE count(*) END FROM m, (SELECT unnest(['y', 'm']) AS p) GROUP BY c, p)
+SELECT condition, part, i::INT AS i, j::INT AS j, round(v, 4) AS v FROM r""")
+def anova_level_sums(spark, sf_dir):
+    """The normal equations of an additive model of quantities by line number and supplier, suppliers eliminated."""
+    li = _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber", "l_suppkey").agg(F.avg("l_quantity").alias("y"))
+    levels = [str(r[0]) for r in li.select("l_linenumber").distinct().collect()]
+    return populations.anova_sums(li, "l_returnflag", "l_linenumber", "l_suppkey", "y", sorted(levels)).withColumn("v", F.round("v", 4))
+
+
 _OXYGEN = """$CELLS, n AS (SELECT cell_id, frame, value, 0.3 + frame * 0.95 AS sec FROM c),
 o AS (SELECT frame + 1 AS sec, value AS v, lead(value) OVER (ORDER BY frame) AS nx FROM c WHERE cell_id = (SELECT min(vec_id) FROM embeddings)),
 x AS (SELECT cell_id, frame, value, greatest(least(sec, 64.0), 1.0) AS t FROM n WHERE sec > 10 AND sec < 60),

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def get_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session with the settings the operators assume: UTC, AQE and Arrow; ANSI stays on."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+def get_session(app: str = "tracewell", cores: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the settings the operators assume: UTC, AQE and Arrow; ANSI stays on.
+
+    What spark-submit or a configuration file sets stays; ``cores``, the driver's memory (8 GB) and ``shuffle_partitions`` (8)
+    are for local sessions that configure none.
+    """
+    os.environ.setdefault("SPARK_DRIVER_MEMORY", "8g")  # yields to files and options
+    SparkContext._ensure_initialized()  # the JVM knows what was configured
+    given = SparkConf()
+    defaults = {"spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
+    if given.get("spark.master", "local[*]") == "local[*]":  # also where nothing is configured
+        defaults |= {"spark.sql.shuffle.partitions": str(shuffle_partitions or 8)}
+        builder = SparkSession.builder.master(f"local[{cores or '*'}]")
+    else:
+        builder = SparkSession.builder
+    for key, value in defaults.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
+    builder = builder.appName(app).config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
