@@ -138,6 +138,49 @@ def anova_by_condition(spark, sf_dir):
     return populations.two_way_anova(_table(spark, sf_dir, "lineitem"), "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
 
 
+#: Rows of a block where all events are one signal.
+_BLOCK = 20_000
+_ONE = "WITH e AS MATERIALIZED (SELECT event_id, epoch_us(ts)::BIGINT AS us, value FROM events)"
+
+
+@_query(_ONE + """, s AS (SELECT us, value > 30 AS state, row_number() OVER w - 1 AS i, lag(value > 30) OVER w AS p FROM e WINDOW w AS (ORDER BY us, event_id)),
+g AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM state AND i > 0 THEN 0 ELSE 1 END) OVER (ORDER BY i) AS run FROM s),
+runs AS (SELECT run, any_value(state) AS state, min(i) AS start, max(i) AS "end" FROM g GROUP BY run),
+a AS (SELECT *, CASE WHEN start - lag("end") OVER (ORDER BY start) - 1 < 3 THEN 0 ELSE 1 END AS nw FROM runs WHERE state),
+b AS (SELECT *, sum(nw) OVER (ORDER BY start) AS bout FROM a), f AS (SELECT bout::BIGINT AS bout, min(start)::BIGINT AS start, max("end")::BIGINT AS "end" FROM b GROUP BY bout),
+k AS (SELECT * FROM f WHERE start > 0 AND "end" < (SELECT count(*) - 1 FROM e))
+SELECT bout, start, "end", ("end" - start + 1)::DOUBLE AS duration, (start - lag(start) OVER w)::DOUBLE AS initiation_gap, (start - lag("end") OVER w - 1)::DOUBLE AS gap_before FROM k WINDOW w AS (ORDER BY start)""")
+def one_signal_bouts(spark, sf_dir):
+    """Bouts of all events as one signal, dealt to tasks in blocks."""
+    return ev.bout_features(_events(spark, sf_dir), [], _ORDER, F.col("value") > 30, 3, block=_BLOCK)
+
+
+@_query(_ONE + """, v AS (SELECT event_id, us, value, row_number() OVER (ORDER BY us, event_id) AS p FROM e)
+SELECT event_id, round(avg(value) OVER w, 6) AS roll_mean, round(stddev_samp(value) OVER w, 6) AS roll_std, round(sum(value) OVER t, 4) AS trailing FROM v WINDOW w AS (ORDER BY p ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING), t AS (ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
+def one_signal_rolling(spark, sf_dir):
+    """Centred and trailing windows of all events as one signal; blocks see a halo of their neighbours."""
+    rolled = signals.rolling(_events(spark, sf_dir), [], _ORDER, "value", 401, block=_BLOCK)
+    both = signals.trailing_sum(rolled, [], _ORDER, "value", 100, block=_BLOCK)
+    return both.select("event_id", F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"), F.round("trailing", 4).alias("trailing"))
+
+
+@_query(_ONE + """, h AS (SELECT event_id, event_id AS p, CASE WHEN event_id % 97 < 60 THEN value END AS v FROM e),
+k AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER b AS p0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER a AS p1
+ FROM h WINDOW b AS (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(coalesce(v0 + (v1 - v0) * coalesce((p - p0)::DOUBLE / nullif(p1 - p0, 0), 0), v0, v1), 6) AS filled FROM k""")
+def one_signal_gap_fill(spark, sf_dir):
+    """Gaps in all events as one signal; known values are carried over whole blocks."""
+    holes = _events(spark, sf_dir).select("event_id", F.col("event_id").alias("p"), F.when(F.pmod("event_id", F.lit(97)) < 60, F.col("value")).alias("v"))
+    return signals.gap_fill(holes, [], "p", "v", block=_BLOCK).select("event_id", F.round("filled", 6).alias("filled"))
+
+
+@_query(_ONE + """, n AS (SELECT *, CASE WHEN us - lag(us) OVER w > 60000000 THEN 1 ELSE 0 END AS g FROM e WINDOW w AS (ORDER BY us, event_id)), s AS (SELECT *, sum(g) OVER (ORDER BY us, event_id) AS session FROM n)
+SELECT session::BIGINT AS session, min(us)::BIGINT AS start, max(us)::BIGINT AS "end", count(*)::BIGINT AS n FROM s GROUP BY session HAVING min(us) <> max(us)""")
+def one_signal_sessions(spark, sf_dir):
+    """Sessions of all events as one stream: a minute without any ends one."""
+    return ev.sessions(_events(spark, sf_dir), [], "us", "event_id", 60_000_000, block=_BLOCK)
+
+
 @_query("""WITH e AS (SELECT l_returnflag AS c, l_linenumber AS a, l_suppkey AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
 g AS (SELECT a, row_number() OVER (ORDER BY a::VARCHAR) - 1 AS i FROM (SELECT DISTINCT a FROM e)), m AS (SELECT c, i, b, y FROM e JOIN g USING (a)),
 l AS (SELECT c, b, count(*) AS n, sum(y) AS t FROM m GROUP BY c, b), k AS (SELECT m.c, i, b, y, n, t FROM m JOIN l USING (c, b)), cs AS (SELECT DISTINCT c FROM m), gs AS (SELECT i FROM g),
