@@ -58,7 +58,7 @@ def test_baseline_clusters_and_refinement_find_groups(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(2, 64))
     rows = cells(spark, *[base[i % 2] + 0.2 * rng.normal(size=64) for i in range(40)])
-    got = jobs.baseline_clusters(rows, "cell_id", 64, k=2, loading=0.6, least_cells=5).collect()
+    got = jobs.baseline_clusters(rows, "cell_id", 64, k=2, loading=0.6, least_cells=5)[0].collect()
     groups = [{r.label for r in got if r.cell_id % 2 == k} for k in (0, 1)]
     assert all(len(g) == 1 for g in groups) and groups[0] != groups[1] and None not in groups[0]
     refined = jobs.hierarchical_labels(rows, "cell_id", 64, k=2, share=0.2, noisy=2.0, factor_rounds=5).collect()

@@ -8,20 +8,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.kernels import numeric
-from tracewell.operators import events, models, populations, signals, voxels
+from tracewell.operators import events, factors, models, populations, signals, voxels
 from tracewell.plans import jobs
 from tracewell.session import broadcast_if_small, materialize
 
 
-@pytest.fixture(scope="module")
-def factors(spark):
+@pytest.fixture(scope="module", name="three")
+def three_factors(spark):
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(160, 3)) * [3, 2, 1]) @ rng.normal(size=(3, 30)) + rng.normal(size=(160, 30)) * 0.5 + 7
     return materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, trace array<double>"), "cells"), x
 
 
-def test_principal_components(factors):
-    cells, x = factors
+def test_principal_components(three):
+    cells, x = three
     rows = sorted(models.principal_components(cells, "cell", 30, 3).collect())
     mean = x.mean(0)
     v = np.linalg.svd(x - mean, full_matrices=False)[2][:3]
@@ -30,8 +30,8 @@ def test_principal_components(factors):
     assert np.allclose(np.abs(np.array([r.scores for r in rows])), np.abs((x - mean) @ v.T), atol=1e-2)
 
 
-def test_factor_model_rebuilds_correlations(factors):
-    cells, x = factors
+def test_factor_model_rebuilds_correlations(three):
+    cells, x = three
     loads, scores = models.factor_model(cells, "cell", 30, 3)
     rows = sorted(loads.collect())
     a, z = np.array([r.loadings for r in rows]), (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
@@ -43,12 +43,88 @@ def test_factor_model_rebuilds_correlations(factors):
     assert np.allclose(got, np.linalg.lstsq(scores.T, x.T, rcond=None)[0].T)
 
 
-def test_rotation_by_passes_equals_that_by_moments(spark, factors, monkeypatch):
+def test_rotation_by_passes_equals_that_by_moments(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    rows = materialize(spark.createDataFrame([(v.tolist(),) for v in rng.normal(size=(90, 4)) * [3, 1, 2, 1]], "loadings array<double>"), "loadings")
-    one = models._varimax(rows, 4, 6)
-    monkeypatch.setattr(models, "_MOMENTS", 0)
-    assert np.allclose(one, models._varimax(rows, 4, 6), atol=1e-8)
+    rows = materialize(spark.createDataFrame([(0, v.tolist()) for v in rng.normal(size=(90, 4)) * [3, 1, 2, 1]], "g int, loadings array<double>"), "loadings")
+    one = factors.varimax(rows, {0: 4})[0]
+    monkeypatch.setattr(factors, "MOMENTS", 0)
+    assert np.allclose(one, factors.varimax(rows, {0: 4})[0], atol=1e-8)
+
+
+def _by_hand(x, k):
+    """Maximum-likelihood loadings of cells (rows) by dense algebra, rotated, the largest positive."""
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    psi = np.ones(len(z))
+    for _ in range(3000):
+        v = np.linalg.eigh((z / psi[:, None]).T @ z)[1][:, ::-1][:, :k]
+        new = np.maximum(1 - np.square(z @ v).sum(1) / z.shape[1], 1e-6)
+        if np.abs(np.log(new / psi)).max() < 1e-9:
+            break
+        psi = new
+    loads = z @ v / np.sqrt(z.shape[1])
+    loads = loads @ numeric.varimax(loads)
+    return loads * np.where(-loads.min(0) > loads.max(0), -1, 1)
+
+
+def _matched(a, b):
+    """The columns of b in the order that fits a best."""
+    return b[:, np.argmax(np.abs(a.T @ b), 1)]
+
+
+@pytest.mark.parametrize("sample", [4096, 200])
+def test_grouped_factors_equal_those_by_hand(spark, monkeypatch, sample):
+    """Three groups in the same passes, each as if it were alone; the sample only says where the passes start."""
+    monkeypatch.setattr(factors, "SAMPLE", sample)
+    monkeypatch.setattr(factors._sampled, "__defaults__", (sample, "cell"))
+    rng = np.random.default_rng(1)
+    data = {g: (rng.normal(size=(n, k)) * [5, 3, 2, 1.5][:k]) @ rng.normal(size=(k, 40)) + rng.normal(size=(n, 40)) for g, n, k in ((3, 900, 3), (7, 500, 2), (9, 60, 1))}
+    rows = [(g, g * 10_000 + i, v.tolist()) for g, x in data.items() for i, v in enumerate(x)]
+    cells = spark.createDataFrame(rows, "label int, cell long, trace array<double>").repartition(4)
+    loads, scores = factors.factor_models(cells, "label", "cell", 40, {3: 3, 7: 2, 9: 1}, 60)
+    got = sorted(loads.collect(), key=lambda r: r.cell)
+    for g, k in ((3, 3), (7, 2), (9, 1)):
+        a, want = np.array([r.loadings for r in got if r.label == g]), _by_hand(data[g], k)
+        assert a.shape == want.shape and np.abs(_matched(want, a) - want).max() < 5e-3
+        z = (data[g] - data[g].mean(1, keepdims=True)) / data[g].std(1, keepdims=True)
+        assert np.allclose(a, z @ scores[g].T / 40, atol=1e-5)
+
+
+def test_baseline_and_subclusters_by_hand(spark):
+    """Seeds, templates, assignment and refined means, recomputed from the components and loadings."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 60))
+    x = np.stack([base[i % 4] * (1 + i % 3) + 0.3 * rng.normal(size=60) for i in range(200)])
+    rows = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "cell long, cluster int, trace array<double>").repartition(3)
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    got, means = jobs.baseline_clusters(rows, "cell", 60, 4, 0.6, 5, 0.5, least_explained=0.5)
+    v = np.linalg.svd(z - z.mean(0), full_matrices=False)[2][:4]
+    v *= np.where(v[range(4), np.abs(v).argmax(1)] < 0, -1, 1)[:, None]
+    scores = (z - z.mean(0)) @ v.T
+    back = scores @ v + z.mean(0)
+    kept = 1 - np.square(back - z).sum(1) / np.square(z).sum(1) > 0.5
+    top, one = np.abs(scores).argmax(1), (np.abs(scores) > 0.6 * np.abs(scores).max(1, keepdims=True)).sum(1) == 1
+    side = 2 * top + (scores[range(200), top] > 0)
+    templates = [back[kept & one & (side == s)].mean(0) for s in range(8) if (kept & one & (side == s)).sum() > 5]
+    r = numeric.rank_correlations(back, np.stack(templates))
+    want = np.where(kept & (r.max(1) >= 0.5), r.argmax(1), -1)
+    found = {q.cell: -1 if q.label is None else q.label for q in got.collect()}
+    assert len(templates) > 1 and [found[i] for i in range(200)] == want.tolist()
+    for q in means.collect():
+        assert q.n == (want == q.label).sum() and np.allclose(q["mean"], back[want == q.label].mean(0), atol=1e-5)
+
+    sub = {q.cell: q.sub for q in jobs.factor_subclusters(rows, "cluster", "cell", 60, 2, 0.3, 5, 0.4).collect()}
+    loads, _ = factors.factor_models(rows, "cluster", "cell", 60, {0: 2, 1: 2})
+    by = {q.cell: np.array(q.loadings) for q in loads.collect()}
+    offset = 0
+    for g in (0, 1):
+        of = np.arange(g, 200, 2)
+        a = np.stack([by[i] for i in of])
+        sides = [a[:, c] * s > 0.3 for c in range(2) for s in (-1, 1)]
+        own = numeric.rank_correlations(z[of], np.stack([z[of][m].mean(0) for m in sides if m.sum() > 5]))
+        local = np.where(own.max(1) < 0.4, -1, own.argmax(1))
+        local = local + (local.min() < 0)
+        assert [sub[i] for i in of] == (local + offset).tolist()
+        offset += local.max() + 1
 
 
 def _labels(loads, least_cells, least_weight, large):

@@ -213,17 +213,15 @@ def sliding_rank(x: np.ndarray, size: int, percentile: float, step: int = 1) ->
     return low[k] + (low[k + 1] - low[k]) * (at - k * step) / step
 
 
-def varimax(loadings: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:
+def varimax(loadings: np.ndarray, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
     """Rotation (k x k) that maximises the variance of squared loadings (cells x k)."""
-    n, k = loadings.shape
-    turn, before = np.eye(k), 0.0
+    turn = np.eye(loadings.shape[1])
     for _ in range(rounds):
         x = loadings @ turn
-        u, s, v = np.linalg.svd(loadings.T @ (x**3 - x * (x * x).mean(0)))
-        turn = u @ v
-        if s.sum() <= before * (1 + tol):
+        u, _, v = np.linalg.svd(loadings.T @ (x**3 - x * (x * x).mean(0)))
+        moved, turn = np.abs(u @ v - turn).max(), u @ v
+        if moved < tol:
             break
-        before = s.sum()
     return turn
 
 

@@ -6,7 +6,6 @@ Python function on an expression that holds a lambda.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from tracewell.kernels import numeric
 from tracewell.operators import populations
+from tracewell.operators.factors import SAMPLE, factor_models, matrix, summed
 from tracewell.session import materialize
 
 LAGS = tuple(range(6, 61, 2))
@@ -148,7 +148,7 @@ def _large_fits(spread: DataFrame, groups: list[tuple[int, float, int]], rounds:
                     out[g, -1] += np.sum(np.abs(p - y) >= 1e-6)
             return out
 
-        return _summed(spread, ["__g", "__x", "__y"], work, (len(beta), width * width + width + 2))
+        return summed(spread, ["__g", "__x", "__y"], work, (len(beta), width * width + width + 2))
 
     usable = live.copy()
     for _ in range(rounds):
@@ -206,84 +206,34 @@ def band_pass(cells: DataFrame, low: float, high: float, order: int = 5, trace:
     return _filtered(cells, trace, name, lambda x: numeric.zero_phase_band_pass(x, low, high, order))
 
 
-def _standard(rows: list, frames: int) -> np.ndarray:
-    x = np.array(rows, float).reshape(-1, frames)
-    x = x - x.mean(1, keepdims=True)
-    return x / np.maximum(x.std(1, keepdims=True), 1e-12)
-
-
-def _summed(rows: DataFrame, columns: Sequence[str], work, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all tasks of the array that ``work`` makes of a task's batches.
-
-    Arrays travel in pieces of 32 KB, each of which one executor sums over the tasks; one array reaches the driver.
-    """
-    piece = 1 << 12
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.asarray(work(batches), float).ravel()
-        cuts = [flat[at : at + piece].tobytes() for at in range(0, len(flat), piece)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.binary())], ["i", "cut"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x) for x in table.column("cut").to_pylist()], axis=0)
-        return pa.table({"i": table.column("i")[:1], "cut": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "i int, cut binary"
-    got = sorted((r.i, bytes(r.cut)) for r in rows.select(*columns).mapInArrow(parts, kind).groupBy("i").applyInArrow(add, kind).collect())
-    return np.concatenate([np.frombuffer(p) for _, p in got]).reshape(shape) if got else np.zeros(shape)
-
-
-def _scaled_products(cells: DataFrame, trace: str, weight: str, q: np.ndarray) -> np.ndarray:
-    """Sum of z (z'q) / weight over cells (z: standardised): frames x columns of q, never frames x frames."""
-    shared = cells.sparkSession.sparkContext.broadcast(q)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(shared.value.shape)
-        for b in batches:
-            x = _standard(b.column(0).to_pylist(), len(total))
-            total += (x / b.column(1).to_numpy()[:, None]).T @ (x @ shared.value)
-        return total
-
-    return _summed(cells, [trace, weight], work, q.shape)
-
-
-def _leading(cells: DataFrame, trace: str, weight: str, frames: int, k: int, start: np.ndarray | None, passes: int, tol: float = 1e-7) -> np.ndarray:
-    """An orthonormal basis (frames x k) of the leading eigenvectors of the sum of z z' / weight, the largest first.
+def principal_components(cells: DataFrame, cell: str, frames: int, k: int = 20, trace: str = "trace", passes: int = 15, rebuilt: bool = False) -> DataFrame:
+    """(cell, scores, explained): scores on the first k principal components of the frames over all cells, and the share
+    of each cell's own sum of squares that they and the mean trace reproduce; with ``rebuilt``, also that reproduction.
+    k is at most the number of frames.
 
-    Subspace iteration with eight spare directions; each pass over the cells is one product with the basis. It ends when the
-    leading directions stand still, or after ``passes``.
+    The passes over all cells start from the components of a bounded, hashed sample, and end when the leading directions
+    stand still.
     """
-    wide = min(frames, k + 8)
-    q = np.random.default_rng(0).normal(size=(frames, wide)) if start is None else start
-    q, before = np.linalg.qr(q)[0], None
-    for _ in range(passes):
-        y = _scaled_products(cells, trace, weight, q)
-        values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-        order = np.argsort(values)[::-1]
-        ritz, q = q @ turn[:, order], np.linalg.qr(y @ turn[:, order])[0]
-        if before is not None and np.linalg.svd(ritz[:, :k].T @ before[:, :k])[1].min() > 1 - tol:
-            return ritz
-        before = ritz
-        if wide == frames:
-            return ritz  # all directions: exact at once
-    return before
-
-
-def principal_components(cells: DataFrame, cell: str, frames: int, k: int = 20, trace: str = "trace", passes: int = 15) -> DataFrame:
-    """(cell, scores, explained): scores on the first k principal components of the frames over all cells, and the share
-    of each cell's own sum of squares that they and the mean trace reproduce. k is at most the number of frames."""
     k = min(k, frames)
-    n = cells.count()
 
     def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(frames)
+        out = np.zeros(1 + frames)
         for b in batches:
-            out += np.array(b.column(0).to_pylist(), float).reshape(-1, frames).sum(0)
+            out += np.r_[b.num_rows, matrix(b.column(0), frames).sum(0)]
         return out
 
-    mean = _summed(cells, [trace], total, (frames,)) / max(1, n)
-    q = np.linalg.qr(np.random.default_rng(0).normal(size=(frames, min(frames, k + 8))))[0]
-    before = None
+    sums = summed(cells, [trace], total, (1 + frames,))
+    n, mean = sums[0], sums[1:] / max(1, sums[0])
+    wide = min(frames, k + 8)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [matrix(b.column(0), frames) - mean for b in batches]
+        _, _, v = np.linalg.svd(np.concatenate(rows) if rows else np.zeros((0, frames)), full_matrices=True)
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v[:wide].T).tobytes()], pa.binary())], ["q"])
+
+    some = cells.filter(F.pmod(F.xxhash64(cell), F.lit(int(n) // SAMPLE + 1)) == 0)
+    q = np.frombuffer(bytes(some.select(trace).coalesce(1).mapInArrow(begin, "q binary").first().q)).reshape(frames, wide)
+    before = q
     for _ in range(passes):
         shared = cells.sparkSession.sparkContext.broadcast((q, mean))
 
@@ -291,150 +241,45 @@ def principal_components(cells: DataFrame, cell: str, frames: int, k: int = 20,
             basis, middle = shared.value
             out = np.zeros(basis.shape)
             for b in batches:
-                x = np.array(b.column(0).to_pylist(), float).reshape(-1, frames) - middle
+                x = matrix(b.column(0), frames) - middle
                 out += x.T @ (x @ basis)
             return out
 
-        y = _summed(cells, [trace], product, q.shape)
+        y = summed(cells, [trace], product, q.shape)
         values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
         ritz = q @ turn[:, np.argsort(values)[::-1]]
-        settled = q.shape[1] == frames or (before is not None and np.linalg.svd(ritz[:, :k].T @ before[:, :k])[1].min() > 1 - 1e-7)
+        settled = q.shape[1] == frames or np.linalg.svd(ritz[:, :k].T @ before[:, :k])[1].min() > 1 - 1e-7
         before, q = ritz, np.linalg.qr(y)[0]
         if settled:
             break
     axes = before[:, :k]
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(k)] < 0, -1, 1)
     shared = cells.sparkSession.sparkContext.broadcast((axes, mean))
-    kind = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("explained", T.DoubleType())])
+    numbers = T.ArrayType(T.DoubleType())
+    kind = T.StructType([T.StructField("scores", numbers), T.StructField("explained", T.DoubleType()), *([T.StructField("rebuilt", numbers)] if rebuilt else [])])
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             basis, middle = shared.value
-            x = np.array(batch.to_pylist(), float).reshape(-1, len(middle))
+            x = matrix(batch, len(middle))
             scores = (x - middle) @ basis
-            rest = np.square(scores @ basis.T + middle - x).sum(1)
-            explained = 1 - rest / np.maximum(np.square(x).sum(1), np.finfo(float).eps)
-            yield pa.StructArray.from_arrays([pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(explained)], ["scores", "explained"])
+            again = scores @ basis.T + middle
+            explained = 1 - np.square(again - x).sum(1) / np.maximum(np.square(x).sum(1), np.finfo(float).eps)
+            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (scores, again)]
+            yield pa.StructArray.from_arrays([lists[0], pa.array(explained), *lists[1 : 1 + rebuilt]], [f.name for f in kind.fields])
 
     return cells.select(cell, F.arrow_udf(work, kind)(trace).alias("f")).select(cell, "f.*")
 
 
-#: How far (one less a canonical correlation) scores may still turn in a round.
-_SETTLED = 1e-5
-#: Most factors whose rotation is found from their fourth moments, taken in one pass.
-_MOMENTS = 32
-
-
-def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 40, trace: str = "trace") -> DataFrame:
+def factor_loadings(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 20, trace: str = "trace") -> DataFrame:
     """(cell, loadings, noise) of ``factor_model``."""
     return factor_model(cells, cell, frames, k, rounds, trace)[0]
 
 
-def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 40, trace: str = "trace") -> tuple[DataFrame, np.ndarray]:
-    """((cell, loadings, noise), scores [k x frames]): maximum-likelihood factors of cells (features) over frames (samples), varimax-rotated.
-
-    Traces are standardised on the way. Rounds alternate between the leading directions of the noise-scaled cells, which
-    need products with a frames x k basis only, and each cell's own noise, until the scores stand still; if they do not
-    within ``rounds``, a warning says how far they still moved. Rotation and signs (the largest loading is positive)
-    come from sums over all cells. k is at most the number of frames.
-    """
-    k = min(k, frames)
-    start = cells.withColumn("noise", F.lit(1.0))
-    kind = T.StructType([T.StructField("loadings", T.ArrayType(T.DoubleType())), T.StructField("noise", T.DoubleType())])
-
-    def loader(scores: np.ndarray):
-        shared = cells.sparkSession.sparkContext.broadcast(scores)
-
-        def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                s = shared.value
-                x = _standard(batch.to_pylist(), s.shape[1])
-                loads = x @ s.T / s.shape[1]
-                noise = np.maximum((x * x).mean(1) - (loads * loads).sum(1), 1e-6)
-                yield pa.StructArray.from_arrays([pa.array(loads.tolist(), pa.list_(pa.float64())), pa.array(noise)], ["loadings", "noise"])
-
-        return F.arrow_udf(work, kind)
-
-    scores, basis, moved = None, None, 1.0
-    for i in range(rounds):
-        basis = _leading(start, trace, "noise", frames, k, basis, 12 if i == 0 else 2)
-        new = basis[:, :k].T * np.sqrt(frames)  # orthogonal scores of unit variance
-        moved = 1.0 if scores is None else float(np.abs(np.linalg.svd(new @ scores.T / frames)[1] - 1).max())
-        scores = new
-        start = cells.withColumn("__f", loader(scores)(trace)).withColumn("noise", F.col("__f.noise")).drop("__f")
-        if moved < _SETTLED:
-            break
-    if moved >= _SETTLED:
-        warnings.warn(f"factors still moved by {moved:.1e} after {rounds} rounds", stacklevel=2)
-    fitted = materialize(cells.select(cell, loader(scores)(trace).alias("f")).select(cell, "f.*"), "loadings")
-    turn = _varimax(fitted, k)
-    columns = F.array(*[sum((F.get("loadings", F.lit(j)) * float(turn[j, i]) for j in range(k)), F.lit(0.0)) for i in range(k)])
-    return fitted.select(cell, columns.alias("loadings"), "noise"), turn.T @ scores
-
-
-def _varimax(fitted: DataFrame, k: int, rounds: int = 100, tol: float = 1e-9) -> np.ndarray:
-    """The rotation (k x k) of all cells' loadings that maximises the variance of their squares, the largest positive.
-
-    One pass sums products of pairs of loadings, and the fourth moments that every step needs if k is at most
-    ``_MOMENTS``; with more factors each step is a pass whose sums are k x k. Loadings stay where they are.
-    """
-    iu, ju = np.triu_indices(k)
-    m = len(iu) if k <= _MOMENTS else 0
-
-    def loads(b: pa.RecordBatch) -> np.ndarray:
-        return np.array(b.column(0).to_pylist(), float).reshape(-1, k)
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        count, cross, fourth = 0, np.zeros((k, k)), np.zeros((m, m))
-        for b in batches:
-            x = loads(b)
-            count, cross = count + len(x), cross + x.T @ x
-            if m:
-                pairs = x[:, iu] * x[:, ju]
-                fourth += pairs.T @ pairs
-        return np.concatenate([[count], cross.ravel(), fourth.ravel()])
-
-    sums = _summed(fitted, ["loadings"], moments, (1 + k * k + m * m,))
-    n, cross, fourth = sums[0], sums[1 : 1 + k * k].reshape(k, k), sums[1 + k * k :].reshape(m, m)
-    place = np.zeros((k, k), int)
-    place[iu, ju] = place[ju, iu] = np.arange(len(iu))
-    twice = np.where(iu == ju, 1, 2)
-
-    def cubes(turn: np.ndarray) -> np.ndarray:
-        """Sum of each loading times the cube of each rotated one."""
-        if m:
-            return np.stack([(fourth @ (twice * t[iu] * t[ju]))[place] @ t for t in turn.T], 1)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            out = np.zeros((k, k))
-            for b in batches:
-                x = loads(b)
-                out += x.T @ (x @ turn) ** 3
-            return out
-
-        return _summed(fitted, ["loadings"], work, (k, k))
-
-    turn, before = np.eye(k), 0.0
-    for _ in range(rounds if k > 1 and n >= k else 0):
-        spread = np.diag(turn.T @ cross @ turn) / n
-        u, s, v = np.linalg.svd(cubes(turn) - cross @ turn * spread)
-        turn = u @ v
-        if s.sum() <= before * (1 + tol):
-            break
-        before = s.sum()
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.zeros(k), np.zeros(k)
-        for b in batches:
-            y = loads(b) @ turn
-            low, high = np.minimum(low, y.min(0, initial=0)), np.maximum(high, y.max(0, initial=0))
-        yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64()))], ["low", "high"])
-
-    parts = fitted.select("loadings").mapInArrow(ends, "low array<double>, high array<double>")
-    # one row a task, of 2 k numbers
-    got = parts.agg(*[f(F.get(c, F.lit(i))) for i in range(k) for c, f in (("low", F.min), ("high", F.max))]).first()
-    low, high = np.array(got[0::2], float), np.array(got[1::2], float)
-    return turn * np.where(-low > high, -1, 1)
+def factor_model(cells: DataFrame, cell: str, frames: int, k: int, rounds: int = 20, trace: str = "trace") -> tuple[DataFrame, np.ndarray]:
+    """((cell, loadings, noise), scores [k x frames]) of all cells as one group of ``factors.factor_models``."""
+    loads, scores = factor_models(cells.withColumn("__g", F.lit(0)), "__g", cell, frames, {0: k}, rounds, trace)
+    return loads.drop("__g"), scores.get(0, np.zeros((0, frames)))
 
 
 def least_squares_scores(loadings: DataFrame, cells: DataFrame, cell: str, frames: int, k: int, trace: str = "trace") -> np.ndarray:
@@ -444,12 +289,12 @@ def least_squares_scores(loadings: DataFrame, cells: DataFrame, cell: str, frame
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros((k, k + frames))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float).reshape(-1, k)
+            x = matrix(b.column(0), k)
             out[:, :k] += x.T @ x
-            out[:, k:] += x.T @ np.array(b.column(1).to_pylist(), float).reshape(-1, frames)
+            out[:, k:] += x.T @ matrix(b.column(1), frames)
         return out
 
-    sums = _summed(both, ["loadings", trace], work, (k, k + frames))
+    sums = summed(both, ["loadings", trace], work, (k, k + frames))
     return np.linalg.lstsq(sums[:, :k], sums[:, k:], rcond=None)[0]
 
 

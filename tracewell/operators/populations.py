@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.kernels import numeric
 from tracewell.operators.signals import let, rank_correlation, to_frames
@@ -62,6 +63,27 @@ def d_prime(frames: DataFrame, keys: Sequence[str], frame: str, value: str, firs
     return stats.select(*keys, F.try_divide(F.col("m1") - F.col("m2"), F.sqrt((F.col("v1") + F.col("v2")) / 2)).alias("d_prime"))
 
 
+def best_of_group(cells: DataFrame, templates: Mapping[int, Sequence[Sequence[float]]], group: str, trace: str) -> DataFrame:
+    """Adds best_r and best: the largest rank correlation with the templates of the cell's group, and its place (the first
+    on ties; an undefined one counts as the least); null without templates. Templates are few and travel to the cells."""
+    shared = cells.sparkSession.sparkContext.broadcast({g: np.array(t, float) for g, t in templates.items()})
+
+    def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for groups, traces in batches:
+            of = np.array([-1 if g not in shared.value else g for g in groups.to_pylist()])
+            r, at = np.full(len(of), np.nan), np.zeros(len(of), np.int64)
+            for g in np.unique(of[of >= 0]).tolist():
+                rows = np.flatnonzero(of == g)
+                x = np.asarray(traces.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
+                scored = np.nan_to_num(numeric.rank_correlations(x, shared.value[g]), nan=-np.inf)
+                at[rows], r[rows] = scored.argmax(1), np.maximum(scored.max(1), -1.0)
+            none = of < 0
+            yield pa.StructArray.from_arrays([pa.array(r, mask=none), pa.array(at.astype(np.int32), mask=none)], ["best_r", "best"])
+
+    kind = T.StructType([T.StructField("best_r", T.DoubleType()), T.StructField("best", T.IntegerType())])
+    return cells.withColumn("__b", F.arrow_udf(work, kind)(group, trace)).select(*cells.columns, "__b.*")
+
+
 # model-run summaries
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import events, models, populations, signals, voxels
+from tracewell.operators import events, factors, models, populations, signals, voxels
 from tracewell.session import materialize
 
 #: The share of negatives kept: that of a standard normal above 0.5.
@@ -168,20 +168,36 @@ def guard_edges(bouts: DataFrame, keys: Sequence[str], start: str, end: str, bef
     return roomy.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(start)))).filter("__k > 1").drop("__k")
 
 
-def baseline_clusters(cells: DataFrame, cell: str, frames: int, k: int = 20, loading: float = 0.4, least_cells: int = 100, assign: float = 0.4, trace: str = "trace") -> DataFrame:
-    """(cell, label, best_r): factors give seed groups, their mean traces are templates, cells join the best one.
+def baseline_clusters(cells: DataFrame, cell: str, frames: int, k: int = 20, loading: float = 0.4, least_cells: int = 100, assign: float = 0.4, trace: str = "trace", least_explained: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """((cell, label, best_r, explained), (label, n, mean by frame)): principal components give seed groups, their mean traces
+    are templates, cells join the best one.
 
-    Seeds are cells with one dominant loading; a (component, sign) group needs more than ``least_cells`` of them.
-    Unassigned cells have a null label.
+    Traces are z-scored, constant ones left out; everything after goes by what the first ``k`` components rebuild of them.
+    A seed is a cell with one score above ``loading`` of its largest; a (component, sign) group needs more than
+    ``least_cells`` of them. Labels number the groups by component, the negative side first. Cells whose best rank
+    correlation is below ``assign``, and those of which no more than ``least_explained`` is explained, have none. The second
+    table has the refined means: of all members of each label.
     """
-    loads = materialize(models.factor_loadings(cells, cell, frames, k, trace=trace), "loadings")
-    seeds = populations.seed_groups(loads, "loadings", loading).filter("seed").select(cell, (F.col("component") * F.col("sign") + F.when(F.col("sign") < 0, -1).otherwise(0)).alias("group"))
+    z = materialize(signals.zscore(cells.select(cell, trace), trace, "z").filter(~signals.has_nan("z")).select(cell, F.col("z").alias(trace)), "z")
+    parts = materialize(models.principal_components(z, cell, frames, k, trace, rebuilt=True), "components")
+    kept = parts if least_explained is None else parts.filter(F.col("explained") > least_explained)
+    seeds = populations.seed_groups(kept, "scores", loading).filter("seed").withColumn("group", 2 * F.col("component") + (F.col("sign") > 0).cast("int"))
     big = seeds.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least_cells).select("group")
-    members = signals.zscore(cells.join(seeds.join(F.broadcast(big), "group"), cell), trace)  # at most 2k groups
-    labels, traces = populations.templates(populations.label_means(members, "group"), "group")
+    members = seeds.join(F.broadcast(big), "group")  # at most 2k groups
+    labels, traces = populations.templates(populations.label_means(members, "group", "rebuilt"), "group")
+    none = parts.select(cell, F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("best_r"), "explained")
     if not labels:
-        return cells.select(cell, F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("best_r"))
-    return populations.assign_templates(cells, labels, traces, assign, trace, "label").select(cell, "label", "best_r")
+        return none, none.select("label", F.lit(0).cast("bigint").alias("n"), F.array().cast("array<double>").alias("mean")).limit(0)
+    scored = populations.assign_templates(kept, list(range(len(labels))), traces, assign, "rebuilt", "label")
+    assigned = materialize(scored.select(cell, "label", "best_r", "explained", "rebuilt"), "assigned")
+    refined = populations.label_means(assigned.filter("label is not null"), "label", "rebuilt")
+    _, means = populations.templates(refined, "label")
+    of = [r.label for r in refined.select("label").distinct().orderBy("label").collect()]  # a row a label
+    sizes = assigned.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    table = cells.sparkSession.createDataFrame([(int(i), m.tolist()) for i, m in zip(of, means, strict=True)], "label int, mean array<double>")
+    rest = none if least_explained is None else none.join(kept.select(cell), cell, "left_anti")
+    whole = assigned.drop("rebuilt") if least_explained is None else assigned.drop("rebuilt").unionByName(rest)
+    return whole, table.join(sizes, "label").select("label", "n", "mean")
 
 
 def subclusters(cells: DataFrame, cluster: str, cell: str, k: int, assign: float = 0.4, trace: str = "trace") -> DataFrame:
@@ -193,19 +209,50 @@ def subclusters(cells: DataFrame, cluster: str, cell: str, k: int, assign: float
     return inner.join(F.broadcast(offsets), cluster).select(cluster, cell, (F.col("sub") + F.col("__o")).cast("int").alias("sub"))
 
 
-def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100, share: float = 0.05, settled: float = 0.9, noisy: float = 0.3, floor: float = 0.2, rounds: int = 100, factor_rounds: int = 40, trace: str = "trace") -> DataFrame:
+def factor_subclusters(cells: DataFrame, cluster: str, cell: str, frames: int, k: int = 20, loading: float = 0.1, least_cells: int = 100, assign: float = 0.4, trace: str = "trace", rounds: int = 20) -> DataFrame:
+    """(cluster, cell, sub): subclusters of every cluster (integers) by factors of its own cells, all clusters in the same passes.
+
+    Cells whose loading lies beyond ``loading`` on a side of a factor are that side's seeds; sides with more than
+    ``least_cells`` give a template each, the mean of their z-scored traces. Cells join the template of the best rank
+    correlation (the first on ties). Where a cluster has cells below ``assign``, these become its first subcluster. Numbers
+    run on over the clusters; cells of clusters without a template are -1.
+    """
+    z = materialize(signals.zscore(cells.select(F.col(cluster).cast("int").alias("g"), cell, trace), trace, "z").filter(~signals.has_nan("z")).select("g", cell, "z"), "z")
+    found = [r.g for r in z.filter("g is not null").select("g").distinct().collect()]  # a row a cluster
+    loads, _ = factors.factor_models(z, "g", cell, frames, dict.fromkeys(found, k), rounds, "z")
+    sides = F.flatten(F.transform("loadings", lambda x, i: F.when(x < -loading, F.array(2 * i)).when(x > loading, F.array(2 * i + 1)).otherwise(F.array().cast("array<int>"))))
+    seeds = materialize(loads.select("g", cell, F.explode(sides).alias("side")), "seeds")
+    big = seeds.groupBy("g", "side").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least_cells).select("g", "side")
+    members = seeds.join(F.broadcast(big), ["g", "side"]).join(z, ["g", cell])  # at most 2k sides a cluster
+    means = signals.to_frames(members, "z", "v", "g", "side").groupBy("g", "side", "frame").agg(F.avg("v").alias("v"))
+    rows = means.groupBy("g", "side").agg(F.sort_array(F.collect_list(F.struct("frame", "v"))).alias("f")).select("g", "side", F.col("f.v").alias("t")).orderBy("g", "side").collect()
+    templates: dict[int, list] = {}
+    for r in rows:  # at most 2k a cluster, each as long as the frames
+        templates.setdefault(r.g, []).append(r.t)
+    best = materialize(populations.best_of_group(z, templates, "g", "z"), "best")
+    local = F.when(F.col("best_r") < assign, F.lit(-1)).otherwise(F.col("best"))
+    placed = best.filter("best is not null").withColumn("local", local)
+    spans = placed.groupBy("g").agg(F.min("local").alias("low"), F.max("local").alias("high"))
+    shifted = spans.select("g", F.when(F.col("low") < 0, 1).otherwise(0).alias("shift"), "high")
+    before = Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row a cluster
+    offsets = shifted.select("g", (F.col("shift") + F.coalesce(F.sum(F.col("high") + F.col("shift") + 1).over(before), F.lit(0))).alias("shift"))
+    sub = best.withColumn("local", local).join(F.broadcast(offsets), "g", "left")
+    return sub.select(F.col("g").alias(cluster), cell, F.coalesce(F.when(F.col("best").isNotNull(), F.col("local") + F.col("shift")), F.lit(-1)).cast("int").alias("sub"))
+
+
+def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100, share: float = 0.05, settled: float = 0.9, noisy: float = 0.3, floor: float = 0.2, rounds: int = 100, factor_rounds: int = 20, trace: str = "trace") -> DataFrame:
     """(cell, label): factor labels, refined until every cluster has under ``share`` of the cells or is settled.
 
-    A larger cluster (at most 1 / share of them at a time) is factored again over its own cells; members with a positive
-    new label move to new ids after the current largest. It is settled, with its parts, if over ``settled`` of its members
+    A larger cluster (at most 1 / share of them at a time) is factored again over its own cells, all of a round in the same
+    passes; members with a positive new label move to new ids after the current largest. It is settled, with its parts, if over ``settled`` of its members
     stay or over that share moves. Factors whose scores lose ``noisy`` of their energy to a low-pass do not count. Every
     round splits or settles each large cluster, so the loop ends; one that does not within ``rounds`` is an error.
     Every round is a written table.
     """
     k = min(k, frames)
+    quiet = lambda scores: [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
     loads, scores = models.factor_model(cells, cell, frames, k, factor_rounds, trace)
-    quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
-    labels = models.loading_labels(loads, cell, floor, quiet).select(cell, "label")
+    labels = models.loading_labels(loads, cell, floor, quiet(scores)).select(cell, "label")
     labels, done, most = materialize(labels, "labels"), set(), k
     for _ in range(rounds):
         counts = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cluster
@@ -214,20 +261,19 @@ def hierarchical_labels(cells: DataFrame, cell: str, frames: int, k: int = 100,
         if not big:
             return labels
         top = max(x for x in counts if x is not None) + 1
-        changes, found = None, []
+        parts = {x: min(most, frames, max(1, counts[x] // 1000)) for x in big}
+        firsts = dict(zip(big, (top + np.r_[0, np.cumsum([parts[x] for x in big])[:-1]]).tolist(), strict=True))
+        members = cells.join(labels.filter(F.col("label").isin(big)), cell)
+        inner, scores = factors.factor_models(members, "label", cell, frames, parts, factor_rounds, trace)
+        keep = F.create_map(*[c for x in big for c in (F.lit(x), F.array(*map(F.lit, quiet(scores[x]))).cast("array<int>"))])[F.col("label")]
+        audible = inner.withColumn("loadings", F.transform("loadings", lambda x, i: F.when(F.array_contains(keep, i), x).otherwise(F.lit(0.0)))).withColumnRenamed("label", "__of").drop("noise")
+        own = models.loading_labels(audible.withColumn("__first", F.create_map(*[F.lit(int(v)) for x in firsts.items() for v in x])[F.col("__of")]), cell, floor)
+        moved = materialize(own.filter("label >= 0").select(cell, "__of", (F.col("label") + F.col("__first")).cast("int").alias("new")), "moved")
+        went = {r["__of"]: r.n for r in moved.groupBy("__of").agg(F.count(F.lit(1)).alias("n")).collect()}
         for x in big:
-            members = materialize(cells.join(labels.filter(F.col("label") == x).select(cell), cell), "members")
-            parts = min(most, frames, max(1, counts[x] // 1000))
-            inner, scores = models.factor_model(members, cell, frames, parts, factor_rounds, trace)
-            quiet = [int(i) for i in np.flatnonzero(models.noise_ratios(scores) < noisy)]
-            moved = models.loading_labels(inner, cell, floor, quiet).filter("label >= 0").select(cell, (F.col("label") + top).alias("new"))
-            moved = materialize(moved, "moved")
-            n = moved.count()
-            found.append(parts)
-            top += parts
+            n = went.get(x, 0)
             if counts[x] - n > settled * counts[x] or n > settled * counts[x]:
-                done |= {x} | {top - parts + i for i in range(parts)}
-            changes = moved if changes is None else changes.unionByName(moved)
-        labels = materialize(labels.join(changes, cell, "left").select(cell, F.coalesce("new", "label").alias("label")), "labels")
-        most = max(int(np.mean(found)) + 5, 20)
+                done |= {x} | {firsts[x] + i for i in range(parts[x])}
+        labels = materialize(labels.join(moved.drop("__of"), cell, "left").select(cell, F.coalesce("new", "label").alias("label")), "labels")
+        most = max(int(np.mean(list(parts.values()))) + 5, 20)
     raise RuntimeError(f"clusters did not settle in {rounds} rounds")

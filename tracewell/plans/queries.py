@@ -511,7 +511,13 @@ def pop_mean_p_values(spark, sf_dir):
 
 @_query()
 def baseline_clusters(spark, sf_dir):
-    return jobs.baseline_clusters(_cells(spark, sf_dir), "cell_id", 64, k=8, loading=0.8, least_cells=3, assign=0.2)
+    return jobs.baseline_clusters(_cells(spark, sf_dir), "cell_id", 64, k=8, loading=0.8, least_cells=3, assign=0.2)[0]
+
+
+@_query()
+def factor_subclusters(spark, sf_dir):
+    """Subclusters by factors within each label, all labels in the same passes."""
+    return jobs.factor_subclusters(_cells(spark, sf_dir), "label", "cell_id", 64, k=4, loading=0.3, least_cells=5)
 
 
 @_query()

@@ -93,12 +93,12 @@ def cluster_job(spark: SparkSession, catalog: str, out: str, first: int | None =
 
     def job(root: str) -> DataFrame:
         valid = _read(spark, root, "flags").filter(~F.col("invalid")).select("cell")
-        cells = materialize(signals.zscore(_read(spark, root, "cells").join(valid, "cell"), name="trace").filter(~signals.has_nan("trace")), "valid")
+        cells = materialize(_read(spark, root, "cells").join(valid, "cell").filter(~signals.has_nan("trace")), "valid")
         n = cells.select(F.size("trace")).first()
         if n is None:
             return cells.select("cell", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("best_r"))
-        explained = models.principal_components(cells, "cell", n[0], k).filter(F.col("explained") > least_explained).select("cell")
-        return jobs.baseline_clusters(materialize(cells.join(explained, "cell"), "explained"), "cell", n[0], k, **settings)
+        labelled = jobs.baseline_clusters(cells, "cell", n[0], k, least_explained=least_explained, **settings)[0]
+        return labelled.filter(F.col("explained") > least_explained).select("cell", "label", "best_r")
 
     return for_each_recording(spark, catalog, out, "clusters", job, first, last, force)
 
