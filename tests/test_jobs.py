@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tracewell.kernels import numeric
 from tracewell.operators import models, signals
 from tracewell.plans import jobs
 from tracewell.plans.queries import QUERIES
@@ -54,6 +55,59 @@ def test_edge_guard_drops_the_last_bout(spark):
     assert sorted(r.s for r in jobs.guard_edges(bouts, ["k"], "s", "e", 8, 8, 100).collect()) == [30]
 
 
+def _model_bins(spark, n=260):
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(3):
+        o2, swim = rng.normal(size=n), rng.normal(size=n)
+        for i in range(n):
+            y = rng.random() < 1 / (1 + np.exp(-(o2[i - 1] - swim[i - 2]))) if f < 2 else i % 26 == 5  # the last fish has ten positives
+            rows.append((f, "h" if i % 2 else "n", i, float(o2[i]), float(swim[i]) if f < 2 else float(i % 26 == 4), bool(y)))
+    return spark.createDataFrame(rows, "fish int, cond string, i int, o2 double, swim double, y boolean"), rows
+
+
+_SPECS = [{"o2": 2}, {"swim": 1}, {"o2": 1, "swim": 3}]
+
+
+def test_model_runs_by_hand(spark):
+    """Each fit redone alone from its own draw; separated ones used all their tries; large groups give the same form."""
+    df, rows = _model_bins(spark)
+    got = jobs.model_runs(df.repartition(5), "fish", "cond", ["i"], "y", {"o2": "o2", "swim": "swim"}, _SPECS, 4, 7, 3, ["fish", "i"], ["o2"]).collect()
+    ids = {(r.fish, r.i): r.h for r in df.select("fish", "i", F.xxhash64("fish", "i").alias("h")).collect()}
+    assert len(got) == 3 * 4 * 3 * 2 and len({(r.spec_idx, r.run_idx, r.fish, r.cond) for r in got}) == len(got)
+    series = {f: {i: (o, s) for g, _, i, o, s, _ in rows if g == f} for f in range(3)}
+    for r in got:
+        spec, x, y, h = _SPECS[r.spec_idx], [], [], []
+        for f, c, i, *_, out in rows:
+            back = max(max(spec.values()), 0)
+            if f != r.fish or c != r.cond or any(i - k < 0 for k in spec.values()):
+                continue
+            assert back >= 0
+            x.append([1.0, *[series[f][i - j][0] for j in range(spec.get("o2", 0), -1, -1) if "o2" in spec], *[series[f][i - j][1] for j in range(spec.get("swim", 0), 0, -1)]])
+            y.append(float(out))
+            h.append(ids[f, i])
+        x, y, h = np.array(x), np.array(y), np.array(h, np.int64)
+        keep = (y > 0) | (jobs._uniform(h, 7, r.run_idx, r.tries - 1) < jobs.NEGATIVES)
+        if 0 < y[keep].sum() < keep.sum():
+            want = numeric.logistic_fit(x[keep], y[keep])
+            assert r.n == keep.sum() and r.separated == want["separated"]
+            if not want["separated"]:
+                assert np.allclose(r.params, want["params"], atol=1e-4) and math.isclose(r.llf, want["llf"], rel_tol=1e-6)
+        else:
+            assert r.llf is None and r.params is None
+        assert r.tries == 3 if r.separated else 1 <= r.tries <= 3
+    forced = [r for r in got if r.fish == 2 and "swim" in _SPECS[r.spec_idx] and r.cond == "h"]  # a bin of swimming comes before every positive
+    assert forced and all(r.separated and r.tries == 3 for r in forced)
+    some = jobs.model_runs(df, "fish", "cond", ["i"], "y", {"o2": "o2", "swim": "swim"}, _SPECS[:1], 2, 7, 2, ["fish", "i"], ["o2"], most=100).collect()
+    assert len(some) == 2 * 3 * 2 and all(r.tries == (2 if r.separated else r.tries) for r in some)
+
+
+def test_bouts_are_selected(spark):
+    rows = [(1, 5.0, 9.0, 0.0), (2, 5.1, 9.0, 0.0), (3, 19.9, 3.0, 0.0), (4, 35.0, 3.1, 0.009), (5, 35.0, 4.0, 0.01), (6, 25.0, 9.0, 0.0), (7, 10.0, None, 0.0), (8, 39.0, 9.0, None)]
+    got = jobs.select_bouts(spark.createDataFrame(rows, "bout int, onset double, gap_before double, oxygen_before double")).collect()
+    assert {(r.bout, r.condition) for r in got} == {(2, "normal"), (4, "hypoxia")}
+
+
 def test_baseline_clusters_and_refinement_find_groups(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(2, 64))

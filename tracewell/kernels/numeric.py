@@ -121,6 +121,50 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, tol: float = 1
     return {"params": beta, "llf": llf, "r2": 1 - math.exp(min(0.0, 2 * (null - llf) / n)), "aic": 2 * x.shape[1] - 2 * llf, "separated": separated}
 
 
+def logistic_fits(x: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> dict[str, np.ndarray]:
+    """``logistic_fit`` of several subsets of the same rows at once: ``chosen`` (fits x rows) says which rows a fit has.
+
+    Every step solves all fits' k x k systems together; a fit that is done or separated stays as it is. Fits whose rows
+    have one outcome only are NaN.
+    """
+    m, k = len(chosen), x.shape[1]
+    c = chosen.astype(float)
+    n, ones = c.sum(1), c @ y
+    beta, separated = np.zeros((m, k)), np.zeros(m, bool)
+    live = (ones > 0) & (ones < n)
+    known = live.copy()
+    products = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
+    for _ in range(rounds):
+        at = np.flatnonzero(live)
+        if not len(at):
+            break
+        eta = np.clip(beta[at] @ x.T, -30, 30)
+        p = 1 / (1 + np.exp(-eta))
+        apart = np.where(c[at] > 0, np.abs(p - y) < 1e-6, True).all(1)
+        separated[at[apart]], live[at[apart]] = True, False
+        at, eta, p = at[~apart], eta[~apart], p[~apart]
+        w = np.maximum(p * (1 - p), 1e-12)
+        left = ((c[at] * w) @ products).reshape(-1, k, k)
+        right = (c[at] * (w * eta + (y - p))) @ x
+        try:
+            new = np.linalg.solve(left, right[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            new = np.full_like(right, np.nan)
+        odd = ~(np.abs(new).max(1) < 1e8)  # dependent columns: the shortest solution
+        if odd.any():
+            new[odd] = (np.linalg.pinv(left[odd], rcond=1e-13, hermitian=True) @ right[odd][:, :, None])[:, :, 0]
+        live[at[np.abs(new - beta[at]).max(1) < tol]] = False
+        beta[at] = new
+    p = np.clip(1 / (1 + np.exp(-np.clip(beta @ x.T, -30, 30))), 1e-15, 1 - 1e-15)
+    llf = (c * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = ones / n
+        null = np.where(known, n * (share * np.log(share) + (1 - share) * np.log(1 - share)), np.nan)
+        r2 = 1 - np.exp(np.minimum(0.0, 2 * (null - llf) / n))
+    gone = np.where(known, 0.0, np.nan)
+    return {"n": n, "params": beta + gone[:, None], "llf": llf + gone, "r2": r2 + gone, "aic": 2 * k - 2 * llf + gone, "separated": separated}
+
+
 def butterworth_low(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
     """(b, a) of a digital low-pass; ``cutoff`` is a share of the Nyquist frequency."""
     warped = 4 * math.tan(math.pi * cutoff / 2)

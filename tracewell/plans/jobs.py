@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.kernels import numeric
 from tracewell.operators import events, factors, models, populations, signals, voxels
 from tracewell.session import materialize
 
@@ -91,6 +93,104 @@ def behaviour_runs(rows: DataFrame, fish: str, condition: str, outcome: str, run
     return models.logistic_fits(kept, ["spec_idx", "spec_label", "run_idx", fish, condition], "x", outcome)
 
 
+def select_bouts(bouts: DataFrame, onset: str = "onset", gap: str = "gap_before", oxygen: str = "oxygen_before", normal: tuple[float, float] = (5, 20), hypoxia: tuple[float, float] = (30, 40), least_gap: float = 3, most_oxygen: float = 0.01) -> DataFrame:
+    """The bouts that a behaviour model is fitted to, with their condition: onsets (minutes) strictly inside ``normal`` or
+    ``hypoxia``, after a gap (seconds) above ``least_gap``, with normalised oxygen before the onset below ``most_oxygen``.
+
+    Bouts without a gap before them, or with unknown oxygen, are left out.
+    """
+    inside = lambda span: (F.col(onset) > span[0]) & (F.col(onset) < span[1])
+    named = bouts.withColumn("condition", F.when(inside(normal), "normal").when(inside(hypoxia), "hypoxia"))
+    return named.filter(F.col("condition").isNotNull() & (F.col(gap) > least_gap) & (F.col(oxygen) < most_oxygen))
+
+
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in [0, 1) from row hashes and a salt, the same wherever the rows lie."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.uint64)
+        for x in salt:
+            h = (h ^ np.uint64(x + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return (h >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def model_runs(
+    bins: DataFrame, fish: str, condition: str, order: Sequence[str], outcome: str, signals_by_name: Mapping[str, str], specs: Sequence[Mapping[str, int]], runs: int = 20,
+    seed: int = 0, tries: int = 1, identity: Sequence[str] = (), inclusive: Sequence[str] = (), most: int = models.FIT_ROWS,
+) -> DataFrame:
+    """(spec_idx, spec_label, run_idx, fish, condition, tries, n, r2, aic, llf, separated, params): logistic fits of an outcome on
+    the history of named signals.
+
+    A fit takes all positives of a fish and condition, and its run's own draw of the negatives. A separated fit is drawn
+    again, with a new seed, until it holds or ``tries`` draws are used; the others keep theirs. A spec's lag k takes the k
+    bins before a bin, oldest first, and the bin itself for the signals in ``inclusive``; bins without whole history are
+    left out. Fits of one outcome only have null metrics.
+
+    Rows are shuffled once by fish and condition, and specs, runs and draws are formed inside the group, so nothing is
+    copied. A draw depends on the row's identity, run, try and seed only. Groups above ``most`` rows, of which there are few,
+    are fitted by sums over all tasks, run by run, with their draws made by Spark.
+    """
+    w = Window.partitionBy(fish).orderBy(*order)
+    lags = {name: max(s.get(name, 0) for s in specs) for name in signals_by_name}
+    history = {f"__{n}": F.array(*[F.lag(c, j).over(w).cast("double") for j in range(lags[n], 0, -1)], *([F.col(c).cast("double")] if n in inclusive else [])) for n, c in signals_by_name.items()}
+    rows = bins.withColumns(history).withColumn("__h", F.xxhash64(*identity)).withColumn("__y", F.col(outcome).cast("double"))
+    rows = materialize(rows.select(fish, condition, "__h", "__y", *history).filter("__y is not null"), "histories")
+    kinds = f"spec_idx int, spec_label string, run_idx int, {fish} {rows.schema[fish].dataType.simpleString()}, {condition} {rows.schema[condition].dataType.simpleString()}"
+    schema = f"{kinds}, tries int, n long, r2 double, aic double, llf double, separated boolean, params array<double>"
+    labels = [", ".join(f"{n}:{k}" for n, k in spec.items()) for spec in specs]
+
+    def fit(table: pa.Table) -> pa.Table:
+        y, ids = table.column("__y").to_numpy(), table.column("__h").to_numpy()
+        order = np.lexsort((y, ids))  # as it comes, a group's order is no one's
+        y, ids = y[order], ids[order]
+        past = {n: np.asarray(table.column(f"__{n}").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), -1)[order] for n in signals_by_name}
+        out: list[tuple] = []
+        for i, spec in enumerate(specs):
+            parts = [past[n][:, lags[n] - spec[n] :] for n in spec if spec[n] or n in inclusive]
+            x = np.column_stack([np.ones(len(y)), *parts])
+            whole = ~np.isnan(x).any(1)
+            x, z, own = x[whole], y[whole], ids[whole]
+            left, tried, got = np.arange(runs), np.ones(runs, int), {}
+            for attempt in range(tries):
+                chosen = np.stack([(z > 0) | (_uniform(own, seed, r, attempt) < NEGATIVES) for r in left]) if len(z) else np.zeros((len(left), 0), bool)
+                new = numeric.logistic_fits(x, z, chosen)
+                for key, v in new.items():
+                    got.setdefault(key, np.zeros((runs, *v.shape[1:]), v.dtype))[left] = v
+                tried[left] = attempt + 1
+                left = left[new["separated"]]
+                if not len(left):
+                    break
+            known = np.isfinite(got["llf"])
+            out += [(i, labels[i], r, int(tried[r]), int(got["n"][r]), *(float(got[c][r]) if known[r] else None for c in ("r2", "aic", "llf")), bool(got["separated"][r]), got["params"][r].tolist() if known[r] else None) for r in range(runs)]
+        columns = list(zip(*out, strict=True))
+        first = [table.column(c)[:1].to_pylist() * len(out) for c in (fish, condition)]
+        names = ["spec_idx", "spec_label", "run_idx", fish, condition, "tries", "n", "r2", "aic", "llf", "separated", "params"]
+        types = [pa.int32(), pa.string(), pa.int32(), table.schema.field(fish).type, table.schema.field(condition).type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.float64())]
+        return pa.table([pa.array(c, t) for c, t in zip([*columns[:3], *first, *columns[3:]], types, strict=True)], names=names)
+
+    large = rows.groupBy(fish, condition).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    if not large.limit(1).count():
+        return rows.groupBy(fish, condition).applyInArrow(fit, schema)
+    large = materialize(large.drop("__n"), "large")
+    small = rows.join(F.broadcast(large), [fish, condition], "left_anti").groupBy(fish, condition).applyInArrow(fit, schema)
+    made = [F.struct(F.lit(i).alias("spec_idx"), F.lit(labels[i]).alias("spec_label"), F.concat(*[F.slice(f"__{n}", lags[n] - k + 1, k + (n in inclusive)) for n, k in spec.items() if k or n in inclusive]).alias("x")) for i, spec in enumerate(specs)]
+    spread = rows.join(F.broadcast(large), [fish, condition]).select(fish, condition, "__h", "__y", F.explode(F.array(*made)).alias("s")).select(fish, condition, "__h", "__y", "s.*")
+    left = spread.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    whole = small
+    for attempt in range(tries):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(attempt), "run_idx", "__h"), F.lit(1 << 30)) / float(1 << 30)
+        drawn = left.filter((F.col("__y") > 0) | (u < NEGATIVES))
+        fits = materialize(models.logistic_fits(drawn, ["spec_idx", "spec_label", "run_idx", fish, condition], "x", "__y", most).withColumn("tries", F.lit(attempt + 1)), "fits")
+        again = fits.filter("separated") if attempt + 1 < tries else fits.limit(0)
+        whole = whole.unionByName(fits.join(again.select("spec_idx", "run_idx", fish, condition), ["spec_idx", "run_idx", fish, condition], "left_anti").select(whole.columns))
+        if not again.limit(1).count():
+            break
+        left = left.join(F.broadcast(again.select("spec_idx", "run_idx", fish, condition)), ["spec_idx", "run_idx", fish, condition])
+    return whole
+
+
 def oxygen_correlations(cells: DataFrame, times: DataFrame, curve: DataFrame, cell: str, recording: str, start: float, end: float, clamp: bool = True, trace: str = "trace") -> DataFrame:
     """Adds r and p, the rank correlation of each trace with the oxygen curve at the frames with start < time < end.
 

@@ -493,13 +493,12 @@ def beta_ratio_map(spark, sf_dir):
 
 @_query()
 def behaviour_model_runs(spark, sf_dir):
-    """Four lag specs, three runs, every user in both conditions."""
+    """Four lag specs, twenty runs, every user in both conditions; separated fits are flagged, not drawn again (``tries`` is 1 by default)."""
     bins = _events(spark, sf_dir).withColumns(
         {"o2": F.col("value") / 500, "swim": (F.col("value") > 60).cast("double"), "y": F.col("event_type") == "purchase", "condition": F.when(F.col("us") % 2 == 0, "normal").otherwise("hypoxia")}
     )
     specs = [{"o2": 2}, {"swim": 2}, {"o2": 2, "swim": 2}, {"o2": 4, "swim": 3}]
-    rows = jobs.lag_specs(bins, _KEY, _ORDER, {"o2": "o2", "swim": "swim"}, specs)
-    return jobs.behaviour_runs(rows, "user_id", "condition", "y", 3, identity=["event_id"])
+    return jobs.model_runs(bins, "user_id", "condition", _ORDER, "y", {"o2": "o2", "swim": "swim"}, specs, 20, identity=["event_id"])
 
 
 @_query()
