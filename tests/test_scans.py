@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,26 @@ def test_blocks_equal_whole_windows(rows, name, keys, block):
     _same(CASES[name](df, keys, block), CASES[name](df, keys, None))
 
 
+@pytest.mark.parametrize("block", [None, 7])
+def test_interpolation_between_any_knots(spark, block):
+    """Against numpy, with uneven knots, equal times, one knot, none, and every way beyond the ends."""
+    rnd = random.Random(2)
+    ts = sorted(rnd.choice([rnd.random(), 50 + rnd.random() * 1e-3, rnd.random() * 100]) for _ in range(60))
+    vs = [rnd.random() for _ in ts]
+    curve = spark.createDataFrame([("a", t, v) for t, v in zip(ts, vs, strict=True)] + [("a", ts[3], vs[3] - 1), ("b", 5.0, 2.0), ("a", None, 1.0), ("a", 1.0, None)], "k string, t double, v double")
+    at = [-3.0, ts[0], ts[3], ts[-1], 120.0, *[rnd.random() * 100 for _ in range(80)]]
+    rows = [("a", i, t) for i, t in enumerate(at)] + [("b", 900, 1.0), ("b", 901, 5.0), ("c", 902, 1.0), ("a", 903, None)]
+    df = spark.createDataFrame(rows, "k string, t int, at double").repartition(3)
+    run = lambda how: {r.t: r.curve for r in signals.interpolate_at(df, ["k"], "at", curve, beyond=how, block=block).collect()}
+    held, left, on = run("clamp"), run("leave"), run("extrapolate")
+    assert len(held) == len(rows) and held[900] == held[901] == 2.0 == on[900] and held[902] is None is held[903]
+    assert all(abs(held[i] - float(np.interp(t, ts, vs))) < 1e-9 for i, t in enumerate(at))
+    assert set(left) == {i for i, t in enumerate(at) if ts[0] <= t <= ts[-1]} | {901} and all(left[i] == held[i] for i in left)
+    assert abs(on[0] - (vs[0] + (vs[1] - vs[0]) / (ts[1] - ts[0]) * (-3 - ts[0]))) < 1e-6 and abs(on[4] - (vs[-1] + (vs[-1] - vs[-2]) / (ts[-1] - ts[-2]) * (120 - ts[-1]))) < 1e-6
+    with pytest.raises(Exception, match="beyond the curve"):
+        run("error")
+
+
 def test_one_long_signal_is_dealt_out(spark):
     """A million rows: blocks and halos are what is asked for, and sums that whole windows would give."""
     n, block = 1_000_000, 50_000

@@ -249,6 +249,44 @@ def interpolate_curve(df: DataFrame, time: str, curve: DataFrame, name: str = "c
     return met.withColumn(name, value).drop("__lo", "__hi", "__t", "sec", "__v", "__next")
 
 
+def interpolate_at(df: DataFrame, keys: Sequence[str], time: str, curve: DataFrame, knot: str = "t", value: str = "v", name: str = "curve", beyond: str = "clamp", block: int | None = None) -> DataFrame:
+    """Adds the linear value, at each row's time, of its key's curve with knots (keys, ``knot``, ``value``) at any times.
+
+    Beyond a curve's ends rows take the end's value (``clamp``), are left out (``leave``), go on along the end's segment
+    (``extrapolate``) or are an error (``error``). Of knots at one time the largest value counts; rows of keys without knots,
+    and of null times, have none. Rows and knots are put in one order and the knots before and behind are carried to
+    the rows, so nothing is multiplied however unevenly knots lie; with ``block`` one key may be of any length.
+    """
+    if beyond not in ("clamp", "leave", "extrapolate", "error"):
+        raise ValueError(f"beyond {beyond!r}: clamp, leave, extrapolate or error")
+    w = _over(keys, ["__t"])
+    knots = curve.filter(F.col(knot).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, F.col(knot).cast("double").alias("__t")).agg(F.max(F.col(value).cast("double")).alias("__v"))
+    rise = lambda t0, v0, t1, v1: F.try_divide(v1 - v0, t1 - t0)
+    sloped = knots.withColumns({"__up": rise(F.col("__t"), F.col("__v"), F.lead("__t").over(w), F.lead("__v").over(w)), "__down": rise(F.lag("__t").over(w), F.lag("__v").over(w), F.col("__t"), F.col("__v"))})
+    packed = sloped.select(*keys, "__t", F.lit(0).alias("__row"), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"), F.col("__up").alias("up"), F.col("__down").alias("down")).alias("__knot"))
+    rows = df.select(*keys, F.col(time).cast("double").alias("__t"), F.lit(1).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"))
+    both = packed.unionByName(rows, allowMissingColumns=True)
+    if block is None:
+        order = _over(keys, ["__t", "__row"])
+        met = both.withColumns({"__a": F.last("__knot", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__knot", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    else:
+        met = scans.running(scans.number_rows(both, keys, ["__t", "__row"], "__place"), keys, "__place", {"__a": ("last", F.col("__knot")), "__b": ("next", F.col("__knot"))}, block)
+    met = met.filter("__row = 1")
+    t, a, b = F.col("__t"), F.col("__a"), F.col("__b")
+    inside = a.isNotNull() & (b.isNotNull() | (a["t"] == t)) & t.isNotNull()
+    before, behind = t.isNotNull() & a.isNull() & b.isNotNull(), t.isNotNull() & a.isNotNull() & b.isNull() & (a["t"] < t)
+    line = a["v"] + F.coalesce(a["up"] * (t - a["t"]), F.lit(0.0))
+    if beyond == "leave":
+        met, found = met.filter(inside), line
+    elif beyond == "error":
+        found = F.when(inside, line).when(before | behind, F.raise_error(F.concat(F.lit("beyond the curve: "), t.cast("string"))).cast("double"))
+    elif beyond == "clamp":
+        found = F.when(inside, line).when(before, b["v"]).when(behind, a["v"])
+    else:
+        found = F.when(inside, line).when(before, b["v"] + F.coalesce(b["up"], F.lit(0.0)) * (t - b["t"])).when(behind, a["v"] + F.coalesce(a["down"], F.lit(0.0)) * (t - a["t"]))
+    return met.select("__own.*", found.alias(name))
+
+
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, name: str = "ecdf") -> DataFrame:
     """Adds the share of the key's rows that are at most this row's value."""
     return df.withColumn(name, F.cume_dist().over(_over(keys, [value])))

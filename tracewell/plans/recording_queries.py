@@ -174,6 +174,17 @@ def one_signal_gap_fill(spark, sf_dir):
     return signals.gap_fill(holes, [], "p", "v", block=_BLOCK).select("event_id", F.round("filled", 6).alias("filled"))
 
 
+@_query("""WITH $EVENTS, k AS (SELECT event_type, us AS t, max(value) AS v FROM e WHERE event_id % 7 = 0 GROUP BY ALL), s AS (SELECT *, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM k WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+o AS (SELECT event_id, event_type, us FROM e WHERE event_id % 7 <> 0), f AS (SELECT event_type, arg_min(v, t) AS v FROM k GROUP BY event_type)
+SELECT event_id, round(CASE WHEN s.t IS NULL THEN f.v ELSE s.v + coalesce((s.v1 - s.v) / (s.t1 - s.t)::DOUBLE * (o.us - s.t), 0) END, 4) AS curve FROM o ASOF LEFT JOIN s ON o.event_type = s.event_type AND o.us >= s.t LEFT JOIN f ON f.event_type = o.event_type""")
+def interpolated_between_events(spark, sf_dir):
+    """Every seventh event of a type is a knot, at its own time; the others take the value between, ends are held."""
+    e = _events(spark, sf_dir)
+    knots = e.filter(F.pmod("event_id", F.lit(7)) == 0).select("event_type", F.col("us").alias("t"), F.col("value").alias("v"))
+    others = e.filter(F.pmod("event_id", F.lit(7)) != 0).select("event_id", "event_type", "us")
+    return signals.interpolate_at(others, ["event_type"], "us", knots, block=_BLOCK).select("event_id", F.round("curve", 4).alias("curve"))
+
+
 @_query(_ONE + """, n AS (SELECT *, CASE WHEN us - lag(us) OVER w > 60000000 THEN 1 ELSE 0 END AS g FROM e WINDOW w AS (ORDER BY us, event_id)), s AS (SELECT *, sum(g) OVER (ORDER BY us, event_id) AS session FROM n)
 SELECT session::BIGINT AS session, min(us)::BIGINT AS start, max(us)::BIGINT AS "end", count(*)::BIGINT AS n FROM s GROUP BY session HAVING min(us) <> max(us)""")
 def one_signal_sessions(spark, sf_dir):
