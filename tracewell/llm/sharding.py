@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import row_digest
+from tracewell.session import materialize
 
 _PRIME = 2_147_483_647
 _ROUNDS = 6
@@ -82,8 +83,9 @@ def with_position(df: DataFrame, n_rows: int, seed: int = 0, number: str = "row_
     return first.withColumn(name, F.when(y < n_rows, y).otherwise(walk))
 
 
-def number_rows(docs: DataFrame, n_rows: int, name: str = "row_number") -> DataFrame:
-    """Adds contiguous global row numbers from 0, in the order of the rows' digests.
+def number_rows(docs: DataFrame, n_rows: int, name: str = "row_number", digest: str | None = None) -> DataFrame:
+    """Adds contiguous global row numbers from 0, in the order of the rows' digests, or of those in a column ``digest``,
+    which goes: so rows may be numbered without what is long in them.
 
     Ranges of the digest's first 32 bits are the buckets, so neither a common id nor a common text makes one large;
     bucket sizes are counted first, and their running sum is each bucket's offset. Only the numbering window moves the
@@ -92,7 +94,7 @@ def number_rows(docs: DataFrame, n_rows: int, name: str = "row_number") -> DataF
     """
     rows = docs.drop(name)
     buckets = max(_MIN_BUCKETS, -(-n_rows // _BUCKET_ROWS))
-    hashed = rows.withColumn("__tw_h", row_digest(rows))
+    hashed = rows.withColumn("__tw_h", F.col(digest) if digest else row_digest(rows)).drop(*([digest] if digest else []))
     first = F.conv(F.hex(F.substring("__tw_h", 1, 4)), 16, 10).cast("bigint")
     hashed = hashed.withColumn("__tw_b", F.shiftright(first * buckets, 32))
     sizes = hashed.groupBy("__tw_b").agg(F.count(F.lit(1)).alias("__tw_n"))
@@ -105,14 +107,14 @@ def number_rows(docs: DataFrame, n_rows: int, name: str = "row_number") -> DataF
     return numbered.withColumn(name, F.col("__tw_before") + F.col("__tw_i") - 1).drop("__tw_b", "__tw_h", "__tw_i", "__tw_before")
 
 
-def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 0) -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = 40, seed: int = 0, digest: str | None = None) -> DataFrame:
     """Adds row_number, shard and slot (all bigint but shard int); existing columns of these names are replaced.
 
-    Every row gets a place, whatever its values: nulls, empty texts and repeated rows count like any other.
+    Every row gets a place, whatever its values: nulls, empty and very long texts and repeated rows count like any other.
     An empty table gives an empty result. Shard counts differ by one at most and slots are gapless from 0.
     """
     n = docs.count()
-    placed = with_position(number_rows(docs.drop("shard", "slot"), n), max(n, 1), seed, name="__tw_p")
+    placed = with_position(number_rows(docs.drop("shard", "slot"), n, digest=digest), max(n, 1), seed, name="__tw_p")
     p = F.col("__tw_p")
     return placed.withColumn("shard", (p % n_shards).cast("int")).withColumn("slot", _div(p, n_shards)).drop("__tw_p")
 
@@ -121,16 +123,9 @@ def op1_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 by the law ``rows``; null texts have size 16 and the checksum of no bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return shard_rows(docs, 40).select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-        "row_number",
-    )
+    # texts are read once, for what is asked of them and the digest that numbers the rows; they are not moved
+    sized = docs.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), row_digest(docs).alias("digest"))
+    return shard_rows(materialize(sized, "sized"), 40, digest="digest").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
 def _sql(n_shards: int = 40, seed: int = 0) -> str:
