@@ -102,6 +102,35 @@ def test_model_runs_by_hand(spark):
     assert len(some) == 2 * 3 * 2 and all(r.tries == (2 if r.separated else r.tries) for r in some)
 
 
+def test_cluster_activity_and_places(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 12)) + 5
+    label = [0] * 12 + [1] * 3 + [2] * 12 + [-1, -1, None]
+    traces = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell int, trace array<double>").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(label)), "cell int, label int")
+    centers = spark.createDataFrame([(i, float(i), 1.0, 2.0) for i in range(29)], "cell int, z double, x double, y double")
+    activity, places = jobs.cluster_activity(traces, labels, "cell", centers, 10)
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    got = {r.label: r for r in activity.collect()}
+    assert set(got) == {0, 2} and all(r.n == 12 for r in got.values())
+    assert all(np.allclose(got[c].activity, z[[i for i in range(30) if label[i] == c]].mean(0)) for c in got)
+    assert {(r.label, r.cell, r.z) for r in places.collect()} == {(label[i], i, float(i)) for i in range(30) if label[i] in (0, 2)}
+
+
+def test_ratio_maps_are_written_with_their_settings(spark, tmp_path):
+    fits = spark.createDataFrame([(i, s, False, b, 0.5) for i in range(6) for s, b in (("a", 1.0), ("b", 2.0 if i < 4 else 0.5))], "cell int, state string, skipped boolean, beta double, r2 double")
+    centers = spark.createDataFrame([(i, i % 2, 3.0, 3.0, 3.0) for i in range(6)], "cell int, fish int, z double, x double, y double")
+    raw = jobs.beta_ratios(fits, "cell", "a", "b", mode="raw")
+    assert sorted(r.ratio for r in raw.collect()) == [0.5, 0.5, 2.0, 2.0, 2.0, 2.0]
+    logged = jobs.beta_ratios(fits, "cell", "a", "b")
+    jobs.export_ratio_map(logged, centers, ["cell"], str(tmp_path), (8, 8, 8), (1, 1, 1), 2, "positive", animal="fish")
+    (made,) = spark.read.parquet(f"{tmp_path}/provenance").collect()
+    assert (made.cells, made.animals, made.sign, made["mode"], made.least, made.radius, made.least_r2) == (4, 2, "positive", "log2", 2, [1, 1, 1], None)
+    rows = spark.read.parquet(f"{tmp_path}/map").collect()
+    whole = jobs.ratio_map(logged, centers, ["cell"], (8, 8, 8), (1, 1, 1), 2, "positive").collect()
+    assert rows and sorted(rows) == sorted(whole)
+
+
 def test_bouts_are_selected(spark):
     rows = [(1, 5.0, 9.0, 0.0), (2, 5.1, 9.0, 0.0), (3, 19.9, 3.0, 0.0), (4, 35.0, 3.1, 0.009), (5, 35.0, 4.0, 0.01), (6, 25.0, 9.0, 0.0), (7, 10.0, None, 0.0), (8, 39.0, 9.0, None)]
     got = jobs.select_bouts(spark.createDataFrame(rows, "bout int, onset double, gap_before double, oxygen_before double")).collect()

@@ -50,13 +50,16 @@ def swim_fits(cells: DataFrame, cell: str, signal: np.ndarray, states: Mapping[s
     return out
 
 
-def beta_ratios(fits: DataFrame, cell: str, first: str, second: str, least_r2: float | None = None) -> DataFrame:
-    """(cell, ratio): log2 of the second state's beta over the first's, where both are finite and the first positive."""
+def beta_ratios(fits: DataFrame, cell: str, first: str, second: str, least_r2: float | None = None, mode: str = "log2") -> DataFrame:
+    """(cell, ratio): the second state's beta over the first's (``raw``), or its log2, where both are finite and positive."""
+    if mode not in ("log2", "raw"):
+        raise ValueError(f"mode {mode!r}: log2 or raw")
     wide = fits.filter("not skipped").groupBy(cell).agg(*[F.max(F.when(F.col("state") == s, populations.finite(c))).alias(f"{c}_{n}") for n, s in (("a", first), ("b", second)) for c in ("beta", "r2")])
     kept = wide.filter((F.col("beta_a") > 0) & (F.col("beta_b") > 0))
     if least_r2 is not None:
         kept = kept.filter((F.col("r2_a") >= least_r2) & (F.col("r2_b") >= least_r2))
-    return kept.select(cell, F.log2(F.col("beta_b") / F.col("beta_a")).alias("ratio"))
+    ratio = F.col("beta_b") / F.col("beta_a")
+    return kept.select(cell, (F.log2(ratio) if mode == "log2" else ratio).alias("ratio"))
 
 
 def ratio_map(ratios: DataFrame, centers: DataFrame, cell: Sequence[str], size: Sequence[int], radius: Sequence[int] = (5, 5, 5), least: int = 10, sign: str = "all") -> DataFrame:
@@ -67,6 +70,37 @@ def ratio_map(ratios: DataFrame, centers: DataFrame, cell: Sequence[str], size:
     return voxels.box_map(points, ["z", "x", "y"], "ratio", radius, size, least)
 
 
+def export_ratio_map(ratios: DataFrame, centers: DataFrame, cell: Sequence[str], path: str, size: Sequence[int], radius: Sequence[int] = (5, 5, 5), least: int = 10, sign: str = "all", mode: str = "log2", least_r2: float | None = None, animal: str | None = None) -> None:
+    """Writes a ratio map below ``path``: ``map`` (its voxels), ``cells`` (the rows that it is made of), and ``provenance``, one row
+    with the settings and the number of animals (null without an ``animal`` column), so a map tells how it was made."""
+    if sign not in ("all", "positive", "negative"):
+        raise ValueError(f"sign {sign!r}: all, positive or negative")
+    points = ratios.join(centers, list(cell))
+    if sign != "all":
+        points = points.filter(F.col("ratio") > 0 if sign == "positive" else F.col("ratio") < 0)
+    points.write.mode("overwrite").parquet(f"{path}/cells")
+    held = ratios.sparkSession.read.parquet(f"{path}/cells")
+    voxels.box_map(held, ["z", "x", "y"], "ratio", radius, size, least).write.mode("overwrite").parquet(f"{path}/map")
+    animals = F.count_distinct(animal) if animal else F.lit(None).cast("bigint")
+    made = held.agg(F.count(F.lit(1)).alias("cells"), animals.alias("animals"))
+    stated = {"mode": F.lit(mode), "sign": F.lit(sign), "least_r2": F.lit(least_r2).cast("double"), "least": F.lit(least), "radius": F.array(*map(F.lit, radius)), "size": F.array(*map(F.lit, size))}
+    made.withColumns(stated).write.mode("overwrite").parquet(f"{path}/provenance")
+
+
+def cluster_activity(cells: DataFrame, labels: DataFrame, cell: str, centers: DataFrame | None = None, least: int = 50, trace: str = "trace") -> tuple[DataFrame, DataFrame | None]:
+    """((label, n, activity), (label, cell, z, x, y)): the mean z-scored trace of every label with at least ``least`` cells, and
+    the coordinates of these labels' members.
+
+    Cells without a label, negative labels and constant traces are left out; a cell without a center has no coordinates.
+    """
+    sizes = labels.filter("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    members = materialize(labels.select(cell, "label").join(F.broadcast(sizes), "label"), "members")  # a row a label
+    z = signals.zscore(cells.join(members, cell), trace, "z").filter(~signals.has_nan("z"))
+    means = populations.label_means(z, "label", "z").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("frame", "mean"))).alias("f"))
+    activity = means.join(sizes, "label").select("label", "n", F.col("f.mean").alias("activity"))
+    return activity, None if centers is None else members.join(centers, cell).select("label", cell, "z", "x", "y")
+
+
 def lag_specs(bins: DataFrame, keys: Sequence[str], order: Sequence[str], signals_by_name: Mapping[str, str], specs: Sequence[Mapping[str, int]]) -> DataFrame:
     """Rows of (spec_idx, spec_label, x): the lagged values that each spec asks of each named signal, oldest first."""
     w = Window.partitionBy(*keys).orderBy(*order)
