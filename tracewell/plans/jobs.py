@@ -204,11 +204,15 @@ def model_runs(
         types = [pa.int32(), pa.string(), pa.int32(), table.schema.field(fish).type, table.schema.field(condition).type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.float64())]
         return pa.table([pa.array(c, t) for c, t in zip([*columns[:3], *first, *columns[3:]], types, strict=True)], names=names)
 
+    spark = bins.sparkSession
+    # by a stated number: few bytes, which AQE would put together, take many fits
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda df: df.repartition(tasks, fish, condition).groupBy(fish, condition).applyInArrow(fit, schema)
     large = rows.groupBy(fish, condition).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
     if not large.limit(1).count():
-        return rows.groupBy(fish, condition).applyInArrow(fit, schema)
+        return dealt(rows)
     large = materialize(large.drop("__n"), "large")
-    small = rows.join(F.broadcast(large), [fish, condition], "left_anti").groupBy(fish, condition).applyInArrow(fit, schema)
+    small = dealt(rows.join(F.broadcast(large), [fish, condition], "left_anti"))
     made = [F.struct(F.lit(i).alias("spec_idx"), F.lit(labels[i]).alias("spec_label"), F.concat(*[F.slice(f"__{n}", lags[n] - k + 1, k + (n in inclusive)) for n, k in spec.items() if k or n in inclusive]).alias("x")) for i, spec in enumerate(specs)]
     spread = rows.join(F.broadcast(large), [fish, condition]).select(fish, condition, "__h", "__y", F.explode(F.array(*made)).alias("s")).select(fish, condition, "__h", "__y", "s.*")
     left = spread.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
