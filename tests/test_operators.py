@@ -97,6 +97,40 @@ def test_ward_finds_separate_clouds():
     assert len(set(numeric.ward_labels(x, 60))) == 60
 
 
+def _ward_one_by_one(x, k):
+    """The dearest way: every pair's growth of the sum of squares, one merge at a time."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        means, sizes = np.array([x[g].mean(0) for g in groups]), np.array([len(g) for g in groups])
+        cost = np.square(means[:, None] - means).sum(2) * sizes[:, None] * sizes / (sizes[:, None] + sizes)
+        cost[np.tril_indices(len(groups))] = np.inf
+        i, j = divmod(int(cost.argmin()), len(groups))
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    labels = np.zeros(len(x), int)
+    for at, g in enumerate(sorted(groups)):
+        labels[g] = at + 1
+    return labels
+
+
+@pytest.mark.parametrize(("n", "t", "k"), [(1, 3, 1), (2, 3, 5), (90, 5, 7), (70, 200, 4), (120, 2, 1)])
+def test_ward_equals_one_merge_at_a_time(n, t, k):
+    x = np.random.default_rng(n).normal(size=(n, t))
+    assert numeric.ward_labels(x, k).tolist() == _ward_one_by_one(x, k).tolist()
+
+
+def test_ward_of_correlation_rows_equals_that_of_the_matrix():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 40))[rng.integers(0, 6, 150)] + rng.normal(size=(150, 40))
+    x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True) / np.sqrt(40)
+    points = numeric.correlation_rows(x)
+    whole = x @ x.T
+    gaps = lambda a: np.square(a[:, None] - a).sum(2)
+    assert points.shape == (150, 40) and np.allclose(gaps(points), gaps(whole))
+    assert numeric.ward_labels(points, 6).tolist() == _ward_one_by_one(whole, 6).tolist()
+    same = np.repeat(points[:3], 20, 0)  # equal rows
+    assert [len(set(numeric.ward_labels(same, 3)[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1]
+
+
 def test_logistic_fit_equals_grouped_odds():
     x = np.column_stack([np.ones(8), [0, 0, 0, 0, 1, 1, 1, 1]])
     got = numeric.logistic_fit(x, np.array([0, 0, 0, 1, 0, 1, 1, 1.0]))

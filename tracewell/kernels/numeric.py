@@ -269,41 +269,81 @@ def varimax(loadings: np.ndarray, rounds: int = 1000, tol: float = 1e-10) -> np.
     return turn
 
 
+def correlation_rows(ranks: np.ndarray) -> np.ndarray:
+    """Points of as many columns as ``ranks`` (standardised rows r) whose distances are those of the rows of ``r @ r.T``.
+
+    |R (r_i - r_j)|^2 is a quadratic form in R'R, so R (R'R)^(1/2) has the same distances without an n x n matrix.
+    """
+    weights, axes = np.linalg.eigh(ranks.T @ ranks)
+    return ranks @ (axes * np.sqrt(np.maximum(weights, 0)))
+
+
+def _nearest(points: np.ndarray, square: np.ndarray, size: np.ndarray, rows: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """(growth of the sum of squares, place) of the cheapest partner of each of ``rows``, some ``cells`` distances at a time."""
+    least, near = np.empty(len(rows)), np.empty(len(rows), int)
+    step = max(1, cells // max(1, len(points)))
+    for a in range(0, len(rows), step):
+        own = rows[a : a + step]
+        d = points[own] @ points.T
+        d *= -2
+        d += square[own, None]
+        d += square
+        np.maximum(d, 0, out=d)
+        d *= size
+        d *= size[own, None]
+        d /= size[own, None] + size
+        d[np.arange(len(own)), own] = np.inf
+        near[a : a + step] = d.argmin(1)
+        least[a : a + step] = d[np.arange(len(own)), near[a : a + step]]
+    return least, near
+
+
 def ward_labels(points: np.ndarray, k: int) -> np.ndarray:
-    """Labels 1..k of Ward's clustering, merging the nearest pair (least growth of the sum of squares) until k are left.
+    """Labels 1..k of Ward's clustering (merging what adds least to the sum of squares), in the order of each one's first row.
 
-    Distances are one n x n matrix by the Gram identity. Each cluster keeps its nearest neighbour, so a merge costs a
-    pass over one row, and a row is searched again only when its neighbour has gone or moved away.
+    All pairs that are each other's nearest are merged in a round. A merged cluster is no nearer to a third than its nearer
+    part was, so only clusters whose partner went, and the merged ones, look again, by matrix products over blocks. The
+    tree is that of one merge at a time; its cheapest n - k merges count. Memory is that of the points and a block.
     """
     n = len(points)
+    if not n:
+        return np.zeros(0, int)
     points = points - points.mean(0)
-    d = points @ points.T
-    square = np.diag(d).copy()
-    d *= -2
-    d += square[:, None]
-    d += square
-    np.maximum(d, 0, out=d)
-    np.fill_diagonal(d, np.inf)
-    size, alive, member = np.ones(n), np.ones(n, bool), np.arange(n)
-    near = d.argmin(1) if n else np.zeros(0, int)
-    least = d[np.arange(n), near]
-    for _ in range(n - max(1, k)):
-        i = int(least.argmin())
-        i, j = min(i, int(near[i])), max(i, int(near[i]))
-        with np.errstate(invalid="ignore"):
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        new[~alive] = np.inf
-        new[[i, j]] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        member[member == j] = i
-        least[j] = np.inf
-        closer = (new < least) | ((new == least) & (i < near))
-        stale = np.flatnonzero(alive & ~closer & ((near == i) | (near == j)))
-        near[closer], least[closer] = i, new[closer]
-        for row in {i, *stale.tolist()}:
-            near[row] = d[row].argmin()
-            least[row] = d[row, near[row]]
-    return np.unique(member, return_inverse=True)[1] + 1
+    root, size = np.arange(n), np.ones(n)  # of each cluster: its first row, its rows
+    square = np.square(points).sum(1)
+    least, near = _nearest(points, square, size, np.arange(n))
+    merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(points) > 1:
+        at = np.arange(len(points))
+        left = np.flatnonzero((near[near] == at) & (at < near))
+        if not len(left):  # ties that rounding set in a circle
+            left = np.array([least.argmin()])
+        right = near[left]
+        merges.append((least[left], root[left], root[right]))
+        total = size[left] + size[right]
+        points[left] = (points[left] * size[left, None] + points[right] * size[right, None]) / total[:, None]
+        size[left], root[left] = total, np.minimum(root[left], root[right])
+        square[left] = np.square(points[left]).sum(1)
+        gone = np.zeros(len(points), bool)
+        gone[right] = True
+        moved = gone.copy()
+        moved[left] = True
+        stale = (moved | moved[near])[~gone]
+        place = np.cumsum(~gone) - 1
+        points, size, square, root, least, near = points[~gone], size[~gone], square[~gone], root[~gone], least[~gone], place[near[~gone]]
+        again = np.flatnonzero(stale)
+        least[again], near[again] = _nearest(points, square, size, again)
+    parent = np.arange(n)
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    if merges:
+        cost, a, b = (np.concatenate(x) for x in zip(*merges, strict=True))
+        for m in np.argsort(cost, kind="stable")[: n - max(1, k)]:
+            i, j = top(int(a[m])), top(int(b[m]))
+            parent[max(i, j)] = min(i, j)
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1] + 1

@@ -370,11 +370,13 @@ def loading_labels(loadings: DataFrame, cell: str, floor: float = 0.2, keep: Seq
     return at.withColumn("label", F.when(F.col("__t.a") >= floor, F.when(F.col("__t.x") >= 0, place).otherwise(-place - 1))).drop("__t")
 
 
-def ward_groups(cells: DataFrame, group: str, cell: str, trace: str = "z", most: int = 9000, k: int | None = None) -> DataFrame:
-    """(group, cell, sub): Ward clusters on the rows of each group's rank-correlation matrix.
+def ward_groups(cells: DataFrame, group: str, cell: str, trace: str = "z", most: int = 30_000, k: int | None = None, least: int = 1) -> DataFrame:
+    """(group, cell, sub): Ward clusters on the rows of each group's rank-correlation matrix; groups under ``least`` cells stay
+    whole.
 
-    A group gives at most ``most`` cells, chosen by a hash, to the clustering, whose cost is quadratic. If it is larger,
-    all its cells then take the sub-cluster whose mean over those has the best rank correlation, wherever they lie.
+    The matrix is not made: the clustering holds a group's ranks (cells x frames) and blocks of distances, and its time is
+    quadratic. So a group gives about ``most`` cells, chosen by a hash, to it. If it is larger, all its cells then take
+    the sub-cluster whose mean over those has the best rank correlation, wherever they lie.
     """
     sizes = cells.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).collect()  # the large groups
     step, is_large = F.lit(1), F.lit(False)
@@ -388,11 +390,15 @@ def ward_groups(cells: DataFrame, group: str, cell: str, trace: str = "z", most:
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.sort_by(cell)
-        ranks = numeric.average_ranks(np.array(table.column(trace).to_pylist(), float))
+        traces = table.column(trace).combine_chunks()
+        flat, lengths = traces.flatten().to_numpy(zero_copy_only=False).astype(float), traces.value_lengths().to_numpy(zero_copy_only=False)
+        if len(set(lengths.tolist())) > 1:
+            raise ValueError(f"traces of group {table.column(group)[0]} differ in length")
+        ranks = numeric.average_ranks(flat.reshape(len(traces), -1))
         ranks -= ranks.mean(1, keepdims=True)
         ranks /= np.maximum(np.sqrt(np.square(ranks).sum(1, keepdims=True)), 1e-12)
-        count = k or int(min(10, 2 * (len(ranks) // 1000 + 1)))
-        sub = numeric.ward_labels(ranks @ ranks.T, min(count, len(ranks)))
+        count = 1 if len(ranks) < least else k or int(min(10, 2 * (len(ranks) // 1000 + 1)))
+        sub = numeric.ward_labels(numeric.correlation_rows(ranks), min(count, len(ranks)))
         return pa.table({group: table.column(group), cell: table.column(cell), trace: table.column(trace), "sub": pa.array(sub, pa.int32())})
 
     some = cells.filter(F.pmod(F.xxhash64(cell), step) == 0)
