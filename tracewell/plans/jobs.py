@@ -273,12 +273,12 @@ def swim_by_frame(samples: DataFrame, triggers: DataFrame, key: str, position: s
     window's width, two rows a trigger. A NaN makes its own frame NaN; frames without samples are null.
     """
     widths = signals.least_step(triggers, [key], ["sample_idx"], "sample_idx").withColumnRenamed("least_step", "__w")
-    ends = materialize(triggers.join(widths, key).withColumn("__w", F.coalesce("__w", F.col("sample_idx") + 1)).select(key, "frame", "sample_idx", "__w"), "windows")
-    bucket = F.floor(F.col("sample_idx") / F.col("__w"))
-    opened = ends.select(key, "frame", "sample_idx", F.explode(F.array(bucket - 1, bucket)).alias("__b"))
+    ends = materialize(triggers.join(widths, key).withColumn("__w", F.coalesce("__w", F.col("sample_idx") + 1)).select(key, "frame", F.col("sample_idx").alias("__end"), "__w"), "windows")
+    bucket = F.floor(F.col("__end") / F.col("__w"))
+    opened = ends.select(key, "frame", "__end", F.explode(F.array(bucket - 1, bucket)).alias("__b"))
     above = samples.join(F.broadcast(ends.groupBy(key).agg(F.first("__w").alias("__w"))), key)  # a row a recording
     above = above.select(key, position, F.greatest(F.col(signal) - F.col(background), F.lit(0.0)).alias("__a"), "__w", F.floor(F.col(position) / F.col("__w")).alias("__b"))
-    inside = (F.col(position) <= F.col("sample_idx")) & (F.col(position) > F.col("sample_idx") - F.col("__w"))
+    inside = (F.col(position) <= F.col("__end")) & (F.col(position) > F.col("__end") - F.col("__w"))
     sums = above.join(opened, [key, "__b"]).filter(inside).groupBy(key, "frame").agg(F.sum("__a").alias("swim"))
     return triggers.select(key, "frame").join(sums, [key, "frame"], "left")
 
@@ -338,9 +338,10 @@ def baseline_clusters(cells: DataFrame, cell: str, frames: int, k: int = 20, loa
     return whole, table.join(sizes, "label").select("label", "n", "mean")
 
 
-def subclusters(cells: DataFrame, cluster: str, cell: str, k: int, assign: float = 0.4, trace: str = "trace") -> DataFrame:
-    """(cluster, cell, sub): Ward clusters within each cluster, numbered through by a running offset over clusters."""
-    inner = materialize(models.ward_groups(cells, cluster, cell, trace, k=k), "inner")
+def subclusters(cells: DataFrame, cluster: str, cell: str, k: int | None, assign: float = 0.4, trace: str = "trace", least: int = 1, most: int = 30_000) -> DataFrame:
+    """(cluster, cell, sub): Ward clusters within each cluster, numbered through by a running offset over clusters; clusters
+    under ``least`` cells stay whole."""
+    inner = materialize(models.ward_groups(cells, cluster, cell, trace, most, k, least), "inner")
     sizes = inner.groupBy(cluster).agg(F.max("sub").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy(cluster).rowsBetween(Window.unboundedPreceding, -1)  # one row a cluster
     offsets = sizes.select(cluster, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))

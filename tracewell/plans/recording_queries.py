@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.operators import events as ev
-from tracewell.operators import models, populations, signals, voxels
+from tracewell.operators import layout, models, populations, signals, voxels
 from tracewell.plans import jobs
 from tracewell.plans.queries import _KEY, ORACLES, QUERIES, _ORDER, _cells, _cents, _events, _query, _table
 
@@ -326,3 +326,11 @@ def panel_projection(spark, sf_dir):
 @_query("""SELECT l_orderkey, l_linenumber, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
 def best_fit_per_cell(spark, sf_dir):
     return voxels.best_per_cell(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_discount", "l_linenumber").select("l_orderkey", "l_linenumber", "l_discount")
+
+
+@_query("SELECT (i - 1)::BIGINT AS cell, vec_id AS frame, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id IS NOT NULL) WHERE embedding[i] IS NOT NULL")
+def cell_major_traces(spark, sf_dir):
+    """Each vector as a frame of a movie with a cell a place, turned into a trace a cell."""
+    movie = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    long = layout.frames_to_cells(movie, "vec_id", "embedding").select("cell", F.posexplode("trace").alias("frame", "value"))
+    return long.filter(~F.isnan("value")).select("cell", F.col("frame").cast("long").alias("frame"), "value")
