@@ -29,6 +29,8 @@ ROUNDS = 3
 #: What a task trains on in a round, on average. Long enough that the longest texts do not leave most lanes empty.
 _TASK_TOKENS = 2_000_000
 _BLOCK_TOKENS = 2_000_000
+#: Lanes that a task trains side by side, whatever it holds; fewer where it has fewer texts.
+LANES = 256
 
 
 @dataclass
@@ -174,7 +176,7 @@ def train_model(encoded: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> di
             adam, weight, held, size = None, 0, [], 0
 
             def step(adam):
-                return gated_lm.train(p, held, adam, count=max(32, min(256, size // 4000)))
+                return gated_lm.train(p, held, adam, count=LANES)
 
             for b in batches:
                 new = [np.frombuffer(x, np.int16) for x in b.column("ids").to_pylist()]
