@@ -101,6 +101,10 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark) -> None:
-    """Bounds the texts that one Arrow batch carries to Python, by rows and by bytes."""
+    """Bounds the texts that one Arrow batch carries to Python, by rows and by bytes.
+
+    These two settings of the session stay as set: results are lazy, and the limits are read when they run. A caller who needs
+    others sets them again after the result has been written.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -106,8 +106,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Adds hit_spans (array<struct<pos, end>>, word positions) and hit_items (array<string>), both empty where clean.
 
     ``docs`` needs a text column; null and empty texts are clean, and so is everything if the benchmark has no words.
-    Existing columns of the added names are replaced; repeated rows are judged alike; an empty table gives an empty
-    result.
+    Existing columns of the added names are replaced; repeated rows are judged alike; texts of any length are
+    searched whole; an empty table gives an empty result.
     """
     marked = _marked(docs.drop("hit_spans", "hit_items"), benchmark, window, max_broadcast_windows)
     return marked.withColumnsRenamed({"__tw_spans": "hit_spans", "__tw_items": "hit_items"})
@@ -116,7 +116,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Only the documents without a hit, with their own columns, whatever their names; null and empty texts stay.
 
-    An empty table gives an empty result, an empty benchmark drops nothing.
+    Texts of any length are searched whole. An empty table gives an empty result, an empty benchmark drops nothing.
     """
     return _marked(docs, benchmark, window).filter(F.size("__tw_spans") == 0).select([F.col(f"`{c}`") for c in docs.columns])
 

@@ -153,7 +153,8 @@ def learn_languages(docs: DataFrame, per_language: int = 300, max_rows: int = 30
 def identify_languages(docs: DataFrame, model: KernelModel) -> DataFrame:
     """Adds lang_pred (``und`` for null texts, texts without a letter, or a model that learned nothing) and score.
 
-    Existing columns of these names are replaced; equal texts are judged alike; an empty table gives an empty result.
+    Existing columns of these names are replaced; equal texts are judged alike, whole at any length; an empty table gives an
+    empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x landmarks at most

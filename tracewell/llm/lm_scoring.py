@@ -206,7 +206,7 @@ def train_model(encoded: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> di
 def score_documents(encoded: DataFrame, vocabulary: Vocabulary, counts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, training, n_tokens, n_known, base_score, score) of every encoded document, in log10.
 
-    Null texts have the end only. Repeated rows and ids stay rows of their own. Base scores add-one smooth the counts;
+    Null texts have the end only; texts of any length are scored whole. Repeated rows and ids stay rows of their own. Base scores add-one smooth the counts;
     scores are the model's. An empty table gives an empty result.
     """
     spark = encoded.sparkSession

@@ -115,7 +115,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def apply_quality_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """Adds the statistics, base_failed, ratio (mean log ratio of the text's n-grams; 0 without any), and kept.
 
-    Null texts count as empty and fail the base rules. Existing columns of the added names are replaced. An empty table
+    Null texts count as empty and fail the base rules; texts of any length count whole. Existing columns of the added names are replaced. An empty table
     gives an empty result. Ratios are kept by text, so equal texts are judged alike however many they are.
     """
     weights = F.broadcast(log_ratios(docs, trusted))  # BUCKETS rows at most
@@ -128,7 +128,8 @@ def apply_quality_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Trusted are the documents labelled good and not toxic."""
+    """Trusted are the documents labelled good and not toxic. Null, empty, long and repeated texts: as in
+    ``apply_quality_rules``; an empty table gives an empty result; further columns are ignored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = apply_quality_rules(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id"))
