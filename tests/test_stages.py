@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.__main__ import main
+from tracewell.kernels import numeric
 from tracewell.operators import layout, signals
 from tracewell.plans import stages
 from tracewell.plans.stages import Stage
@@ -114,7 +115,7 @@ def test_from_movie_to_map_by_one_command(spark, tmp_path):
     (tmp_path / "o2.csv").write_text("sec,value\n" + "\n".join(f"{t},{np.sin(t / 40 - 0.025)}" for t in range(1, 303)) + "\n")
     sets = {"frames.rate": 60, "cells.window": 60, "cells.step": 2, "baseline_clusters.components": 2, "baseline_clusters.least_cells": 1, "oxygen.start": 0, "oxygen.end": 400, "flags.most_p": 0.01,
             "swim_fits.states": '{"normoxia": [10, 140], "hypoxia": [150, 290]}', "swim_fits.lags": "[2, 4]", "map.size": "[16, 16, 16]", "map.least": 1, "clusters.k": 2, "clusters.noisy": 2, "clusters.share": 0.9, "activity.least": 1,
-            "subcluster_activity.least": 1, "subcluster_places.least": 1}
+            "subcluster_activity.least": 1, "subcluster_places.least": 1, "subcluster_oxygen.start": 0, "subcluster_oxygen.end": 280}
     call = ["run", "--catalog", _catalog(tmp_path, 1), "--out", f"{tmp_path}/out", "--oxygen-file", f"{tmp_path}/o2.csv", *[x for k, v in sets.items() for x in ("--set", f"{k}={v}")]]
     first = _states(main(call))
     assert first == dict.fromkeys(stages.GRAPH, "ran")
@@ -134,6 +135,13 @@ def test_from_movie_to_map_by_one_command(spark, tmp_path):
     subs = read("subclusters").collect()
     assert len({(r.cluster, r["sub"]) for r in subs}) == len({r.cluster for r in subs})  # under 200 cells: whole
     assert sum(r.n for r in read("activity").collect()) == len(subs) == read("subcluster_places").count()
+    curve, seconds = np.array([np.sin(t / 40 - 0.025) for t in range(1, 303)]), np.arange(1, frames + 1)
+    inside = (seconds > 0) & (seconds < 280)
+    held = {r.label: np.array(r.activity) for r in read("subcluster_activity").collect()}
+    for r in read("subcluster_oxygen").collect():
+        want = numeric.rank_correlations(held[r.label][None, inside], curve[None, :frames][:, inside])[0, 0]
+        assert np.isclose(r.r, want) and np.isclose(r.p, numeric.spearman_p(want, inside.sum()))
+    assert len(held) == read("subcluster_oxygen").count() > 0
     again = _states(main([*call, "--set", "map.least=2"]))
     assert {s for s, state in again.items() if state == "ran"} == {"map"}
     fewer = _states(main([*call, "--stages", "map", "--set", "flags.mean=1"]))

@@ -47,7 +47,7 @@ def main(arguments: list[str] | None = None) -> list:
     first, last = (None, None) if got.all else (got.start_index, got.max_index)
     common = {"first": first, "last": last, "force": got.force}
     if got.job == "run":
-        settings: dict[str, dict] = {"oxygen": {"curve": got.oxygen_file}} if got.oxygen_file else {}
+        settings: dict[str, dict] = {s: {"curve": got.oxygen_file} for s in ("oxygen", "subcluster_oxygen") if got.oxygen_file}
         for stage, setting, value in got.set:
             settings.setdefault(stage, {})[setting] = value
         return stages.run_catalog(spark, got.catalog, got.out, got.stages.split(",") if got.stages else None, settings, parallel=got.parallel, **common)

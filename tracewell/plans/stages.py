@@ -77,12 +77,22 @@ def _baseline_clusters(cells: DataFrame, components: int, explained: float, **se
     return jobs.baseline_clusters(own, "cell", n, min(components, n), least_explained=explained, **settings)[0]
 
 
-def _oxygen(cells: DataFrame, frames: DataFrame, curve: str, start: float, end: float) -> DataFrame:
-    """(cell, mean, std, r, p) with a CSV curve of sec, value."""
-    own = signals.with_moments(_with_baseline(cells)).withColumn("recording", F.lit(0))
+def _against_oxygen(rows: DataFrame, key: str, frames: DataFrame, curve: str, start: float, end: float) -> DataFrame:
+    """Rows of (key, trace) with r and p against a CSV curve of sec, value."""
+    one = materialize(rows.withColumn("recording", F.lit(0)), "traces")
     times = frames.groupBy(F.lit(0).alias("recording")).agg(F.sort_array(F.collect_list(F.struct("frame", "sec"))).alias("f")).select("recording", F.col("f.sec").alias("sec"))
-    knots = cells.sparkSession.read.schema("sec int, value double").csv(curve, header=True)
-    return jobs.oxygen_correlations(materialize(own, "cells"), times, knots, "cell", "recording", start, end).select("cell", "mean", "std", "r", "p")
+    knots = rows.sparkSession.read.schema("sec int, value double").csv(curve, header=True)
+    return jobs.oxygen_correlations(one, times, knots, key, "recording", start, end)
+
+
+def _oxygen(cells: DataFrame, frames: DataFrame, **settings) -> DataFrame:
+    """(cell, mean, std, r, p) of valid cells."""
+    return _against_oxygen(signals.with_moments(_with_baseline(cells)), "cell", frames, **settings).select("cell", "mean", "std", "r", "p")
+
+
+def _subcluster_oxygen(subcluster_activity: DataFrame, frames: DataFrame, **settings) -> DataFrame:
+    """(label, n, r, p) of the subclusters' mean traces."""
+    return _against_oxygen(subcluster_activity.withColumnRenamed("activity", "trace"), "label", frames, **settings).select("label", "n", "r", "p")
 
 
 def _flags(cells: DataFrame, baseline_clusters: DataFrame, oxygen: DataFrame, explained: float, **least) -> DataFrame:
@@ -138,6 +148,7 @@ GRAPH: dict[str, Stage] = {
     "subclusters": Stage(_subclusters, ("cells", "clusters"), {"least": 200, "most": 30_000}),
     "activity": Stage(lambda cells, clusters, least: _activity(cells, clusters, "label", least), ("cells", "clusters"), {"least": 50}),
     "subcluster_activity": Stage(lambda cells, subclusters, least: _activity(cells, subclusters, "sub", least), ("cells", "subclusters"), {"least": 50}),
+    "subcluster_oxygen": Stage(_subcluster_oxygen, ("subcluster_activity", "frames"), {"curve": None, "start": 600.0, "end": 3600.0}, ("curve",)),
     "subcluster_places": Stage(_places, ("cells", "subclusters", "centers"), {"least": 50}),
 }
 
