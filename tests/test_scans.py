@@ -87,3 +87,20 @@ def test_one_long_signal_is_dealt_out(spark):
     assert total.filter("s <> place + 1").count() == 0
     runs = events.find_runs(df, [], ["t"], F.floor(F.col("t") / 300_000), block=block)
     assert sorted((r.start, r.end) for r in runs.collect()) == [(0, 299_999), (300_000, 599_999), (600_000, 899_999), (900_000, 999_999)]
+
+
+def _frames(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("block", [None, 1 << 16])
+@pytest.mark.parametrize("beyond", ["clamp", "extrapolate"])
+def test_interpolation_of_long_curves_takes_one_pass(spark, block, beyond):
+    """No frame runs to its partition's end, which Spark would work out anew for every row; one key of 40,000 rows and 100 knots."""
+    knots = spark.range(100).select(F.lit("a").alias("k"), (F.col("id") * 400).cast("double").alias("t"), (F.col("id") % 7).cast("double").alias("v"))
+    df = spark.range(40_000).select(F.lit("a").alias("k"), F.col("id"), F.col("id").cast("double").alias("at"))
+    got = signals.interpolate_at(df, ["k"], "at", knots, beyond=beyond, block=block)
+    assert "unboundedfollowing" not in _frames(got)
+    inside = {r.id: r.curve for r in got.filter("id <= 39600").collect()}
+    want = np.interp(np.arange(39_601), np.arange(100) * 400, np.arange(100) % 7)
+    assert len(inside) == 39_601 and max(abs(inside[i] - want[i]) for i in inside) < 1e-9

@@ -65,18 +65,19 @@ def running(df: DataFrame, keys: Sequence[str], place: str, columns: Mapping[str
     from the row on.
 
     Blocks are scanned by themselves; one row a block is scanned for what comes before (behind) it and joined back by
-    block. Rows are shuffled once, by key and block.
+    block. Rows are shuffled once, by key and block. ``next`` is ``last`` in falling order: Spark works a frame that ends
+    with its partition out anew for every row, one that begins with it only once.
     """
     blocked = df.withColumn("__b", F.floor(F.col(place) / block)).withColumns({f"__x_{n}": c for n, (_, c) in columns.items()})
     whole = lambda kind, c: {"sum": F.sum(c), "last": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(place))), "next": F.min_by(c, F.when(F.col(c).isNotNull(), F.col(place)))}[kind]
     totals = blocked.groupBy(*keys, "__b").agg(*[whole(kind, f"__x_{n}").alias(f"__t_{n}") for n, (kind, _) in columns.items()])
-    blocks = Window.partitionBy(*keys).orderBy("__b")
-    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
-    carried = {"sum": lambda c: F.sum(c).over(earlier), "last": lambda c: F.last(c, True).over(earlier), "next": lambda c: F.first(c, True).over(later)}
+    blocks = Window.partitionBy(*keys)
+    earlier, later = (blocks.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__b", F.desc("__b")))
+    carried = {"sum": lambda c: F.sum(c).over(earlier), "last": lambda c: F.last(c, True).over(earlier), "next": lambda c: F.last(c, True).over(later)}
     carries = totals.select(*keys, "__b", *[carried[kind](f"__t_{n}").alias(f"__c_{n}") for n, (kind, _) in columns.items()])
-    rows = Window.partitionBy(*keys, "__b").orderBy(place)
-    back, ahead = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(0, Window.unboundedFollowing)
-    local = {"sum": lambda c: F.sum(c).over(back), "last": lambda c: F.last(c, True).over(back), "next": lambda c: F.first(c, True).over(ahead)}
+    rows = Window.partitionBy(*keys, "__b")
+    back, ahead = (rows.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (place, F.desc(place)))
+    local = {"sum": lambda c: F.sum(c).over(back), "last": lambda c: F.last(c, True).over(back), "next": lambda c: F.last(c, True).over(ahead)}
     scanned = blocked.withColumns({f"__l_{n}": local[kind](f"__x_{n}") for n, (kind, _) in columns.items()})
     met = _meet(scanned, carries, [*keys, "__b"], "left")
 

@@ -259,23 +259,26 @@ def interpolate_at(df: DataFrame, keys: Sequence[str], time: str, curve: DataFra
     """
     if beyond not in ("clamp", "leave", "extrapolate", "error"):
         raise ValueError(f"beyond {beyond!r}: clamp, leave, extrapolate or error")
-    w = _over(keys, ["__t"])
     knots = curve.filter(F.col(knot).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, F.col(knot).cast("double").alias("__t")).agg(F.max(F.col(value).cast("double")).alias("__v"))
     rise = lambda t0, v0, t1, v1: F.try_divide(v1 - v0, t1 - t0)
-    sloped = knots.withColumns({"__up": rise(F.col("__t"), F.col("__v"), F.lead("__t").over(w), F.lead("__v").over(w)), "__down": rise(F.lag("__t").over(w), F.lag("__v").over(w), F.col("__t"), F.col("__v"))})
-    packed = sloped.select(*keys, "__t", F.lit(0).alias("__row"), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"), F.col("__up").alias("up"), F.col("__down").alias("down")).alias("__knot"))
+    parts = {"t": "__t", "v": "__v"}
+    if beyond == "extrapolate":  # the only one that goes on along a segment whose other knot the row does not see
+        up = lambda w: rise(F.col("__t"), F.col("__v"), F.lead("__t").over(w), F.lead("__v").over(w))
+        down = lambda w: rise(F.lag("__t").over(w), F.lag("__v").over(w), F.col("__t"), F.col("__v"))
+        knots, parts = _framed(knots, keys, ["__t"], 1, 1, {"__up": up, "__down": down}, block), parts | {"up": "__up", "down": "__down"}
+    packed = knots.select(*keys, "__t", F.lit(0).alias("__row"), F.struct(*[F.col(c).alias(n) for n, c in parts.items()]).alias("__knot"))
     rows = df.select(*keys, F.col(time).cast("double").alias("__t"), F.lit(1).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"))
     both = packed.unionByName(rows, allowMissingColumns=True)
     if block is None:
-        order = _over(keys, ["__t", "__row"])
-        met = both.withColumns({"__a": F.last("__knot", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__knot", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+        back, ahead = (_over(keys, o).rowsBetween(Window.unboundedPreceding, 0) for o in (["__t", "__row"], [F.desc("__t"), F.desc("__row")]))
+        met = both.withColumns({"__a": F.last("__knot", True).over(back), "__b": F.last("__knot", True).over(ahead)})
     else:
         met = scans.running(scans.number_rows(both, keys, ["__t", "__row"], "__place"), keys, "__place", {"__a": ("last", F.col("__knot")), "__b": ("next", F.col("__knot"))}, block)
     met = met.filter("__row = 1")
     t, a, b = F.col("__t"), F.col("__a"), F.col("__b")
     inside = a.isNotNull() & (b.isNotNull() | (a["t"] == t)) & t.isNotNull()
     before, behind = t.isNotNull() & a.isNull() & b.isNotNull(), t.isNotNull() & a.isNotNull() & b.isNull() & (a["t"] < t)
-    line = a["v"] + F.coalesce(a["up"] * (t - a["t"]), F.lit(0.0))
+    line = a["v"] + F.coalesce(rise(a["t"], a["v"], b["t"], b["v"]) * (t - a["t"]), F.lit(0.0))
     if beyond == "leave":
         met, found = met.filter(inside), line
     elif beyond == "error":
