@@ -104,3 +104,15 @@ def test_interpolation_of_long_curves_takes_one_pass(spark, block, beyond):
     inside = {r.id: r.curve for r in got.filter("id <= 39600").collect()}
     want = np.interp(np.arange(39_601), np.arange(100) * 400, np.arange(100) % 7)
     assert len(inside) == 39_601 and max(abs(inside[i] - want[i]) for i in inside) < 1e-9
+
+
+@pytest.mark.parametrize("block", [None, 1 << 16])
+def test_gap_filling_of_long_signals_takes_one_pass(spark, block):
+    """No frame runs to its partition's end; 40,000 rows, nine of ten unknown, every position twice."""
+    rows = spark.range(40_000).select(F.lit("a").alias("k"), "id", F.floor(F.col("id") / 2).alias("p"), F.when(F.col("id") % 20 == 6, (F.col("id") % 17).cast("double")).alias("v"))
+    got = signals.gap_fill(rows, ["k"], "p", "v", block=block)
+    assert "unboundedfollowing" not in _frames(got)
+    known = [i for i in range(40_000) if i % 20 == 6]
+    filled = {r.id: r.filled for r in got.collect()}
+    want = np.interp(np.arange(40_000) // 2, [i // 2 for i in known], [i % 17 for i in known])
+    assert len(filled) == 40_000 and max(abs(filled[i] - want[i]) for i in filled) < 1e-9

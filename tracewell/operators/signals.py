@@ -186,11 +186,12 @@ def gap_fill(df: DataFrame, keys: Sequence[str], position: str, value: str, name
     """Linear interpolation of nulls by position; ends take the nearest value."""
     at = F.when(F.col(value).isNotNull(), F.col(position))
     if block is None:
-        w = _over(keys, [position])
-        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        known = df.withColumns(
-            {"__v0": F.last(value, True).over(back), "__v1": F.first(value, True).over(ahead), "__p0": F.last(at, True).over(back), "__p1": F.first(at, True).over(ahead)}
-        )
+        # numbered, so that ties stand alike in both orders; a frame up to the signal's end would be worked out anew for every row
+        placed = df.withColumn("__place", F.row_number().over(_over(keys, [position])))
+        back, ahead = (_over(keys, [o]).rowsBetween(Window.unboundedPreceding, 0) for o in ("__place", F.desc("__place")))
+        known = placed.withColumns(
+            {"__v0": F.last(value, True).over(back), "__v1": F.last(value, True).over(ahead), "__p0": F.last(at, True).over(back), "__p1": F.last(at, True).over(ahead)}
+        ).drop("__place")
     else:
         placed = scans.number_rows(df, keys, [position], "__place")
         known = scans.running(placed, keys, "__place", {"__v0": ("last", F.col(value)), "__v1": ("next", F.col(value)), "__p0": ("last", at), "__p1": ("next", at)}, block).drop("__place")
