@@ -505,6 +505,18 @@ def test_state_is_carried_and_lanes_do_not_matter():
     assert np.allclose(every.sum(1), 1) and np.allclose(logp, [r[k] - r.max() - np.log(np.exp(r - r.max()).sum()) for r, k in zip(wide, (1, 0, 2), strict=True)])
 
 
+def test_words_are_counted_before_the_shuffle(spark, monkeypatch):
+    """Against Python, in pieces of a few words; tasks hand on counts, not a row a word."""
+    monkeypatch.setattr(lm_scoring, "_COUNT_WORDS", 5)
+    texts = [None, "", "  ", "A a\tB\x0bb\x0c\r\n É é", "\u00a0 x\u2003y a", *["w%d a" % (i % 4) for i in range(40)]]
+    counted = lm_scoring.count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    want = collections.Counter(w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t)))
+    assert {r.word: r.c for r in counted.collect()} == dict(want)
+
+
 @pytest.mark.parametrize("head", [3, 1 << 17])
 def test_base_scores_match_brute_force(spark, odd, none, head):
     held = crc_id() % 7 == 2

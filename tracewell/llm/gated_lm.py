@@ -97,7 +97,12 @@ def _forward(p: dict, h: np.ndarray, xw: np.ndarray, fresh: np.ndarray, keep: di
         r = np.multiply(gates[:, HIDDEN:], hp)
         c = r @ uc
         c += xc[t]
-        np.tanh(c, out=c)
+        c *= 2  # tanh by exp, which numpy does several at a time; past 2c = 88 the reciprocal is 0
+        np.exp(c, out=c)
+        c += 1
+        np.reciprocal(c, out=c)
+        c *= -2
+        c += 1
         step = c - hp
         step *= gates[:, :HIDDEN]
         h = np.add(hp, step, out=out[t])
@@ -106,8 +111,9 @@ def _forward(p: dict, h: np.ndarray, xw: np.ndarray, fresh: np.ndarray, keep: di
     return out, h.copy()
 
 
-def _softmax_terms(a: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of the chosen column of each row, all probabilities); ``a`` is overwritten by the latter."""
+def _softmax_terms(a: np.ndarray, chosen: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of the chosen column of each row, all probabilities); ``a`` is overwritten by the latter, which are
+    left without their common divisor unless ``every`` is asked for."""
     at = np.arange(len(a)) * a.shape[1] + chosen
     if len(a):
         a -= a.max()  # of all rows: far cheaper than row by row
@@ -117,7 +123,8 @@ def _softmax_terms(a: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.nd
     picked = a.ravel().take(at).astype(np.float64)
     np.exp(a, out=a)
     total = a @ np.ones(a.shape[1], a.dtype)
-    a /= total[:, None]
+    if every:
+        a /= total[:, None]
     return picked - np.log(total), a
 
 
@@ -140,11 +147,11 @@ def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None =
     starts = np.flatnonzero(np.r_[True, np.diff(kind) != 0]) if len(y) else np.zeros(0, np.int64)
     parts = [(int(kind[s]), slice(int(s), int(e))) for s, e in zip(starts, np.r_[starts[1:], len(y)], strict=True)]
     wc, ww = np.vstack([p["wc"], p["bc"]]), np.concatenate([p["ww"], p["bw"][:, None]], 1)
-    first, d1 = _softmax_terms(h @ wc, kind)
+    first, d1 = _softmax_terms(h @ wc, kind, grad is not None)
     inner = np.empty((len(y), CLASS), h.dtype)
     for k, at in parts:
         np.matmul(h[at], ww[k], out=inner[at])
-    second, d2 = _softmax_terms(inner, word)
+    second, d2 = _softmax_terms(inner, word, grad is not None)
     logp = np.empty(len(y))
     logp[order] = first + second
     if grad is None:
@@ -221,9 +228,19 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], adam: dict | None =
             g *= scale
             np.clip(g, -0.1, 0.1, out=g)
             m, v = adam["m"][k], adam["v"][k]
-            m += kind.type(0.1) * (g - m)
-            v += kind.type(0.001) * (g * g - v)
-            p[k] -= kind.type(rate / slow) * m / (np.sqrt(v / kind.type(fast)) + kind.type(1e-8))
+            part = g - m
+            part *= kind.type(0.1)
+            m += part
+            g *= g
+            g -= v
+            g *= kind.type(0.001)
+            v += g
+            np.divide(v, kind.type(fast), out=g)
+            np.sqrt(g, out=g)
+            g += kind.type(1e-8)
+            np.multiply(m, kind.type(rate / slow), out=part)
+            part /= g
+            p[k] -= part
     return adam
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import gated_lm
-from tracewell.llm.common import SPACE, ascii_lower, crc_id, small_batches
+from tracewell.llm.common import crc_id, small_batches
 from tracewell.session import materialize
 
 #: Words whose counts are broadcast (a few MB); the rest is joined.
@@ -29,6 +29,8 @@ ROUNDS = 3
 #: What a task trains on in a round, on average. Long enough that the longest texts do not leave most lanes empty.
 _TASK_TOKENS = 2_000_000
 _BLOCK_TOKENS = 2_000_000
+#: Words that a task counts at a time.
+_COUNT_WORDS = 1_000_000
 #: Lanes that a task trains side by side, whatever it holds; fewer where it has fewer texts.
 LANES = 256
 
@@ -56,9 +58,8 @@ class Vocabulary:
 
         Rare are the words outside the head, whose part of both scores follows by join.
         """
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
-        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        flat = split.flatten()
+        flat, pieces = _words(texts)
+        owner = np.repeat(np.arange(len(texts)), pieces)
         full = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False))  # empty pieces stand at the ends
         flat, owner = flat.take(pa.array(full)), owner[full]
         place = pc.fill_null(pc.index_in(flat, pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False)
@@ -78,11 +79,32 @@ class Vocabulary:
         return [(x, *y, words[at[i] : at[i + 1]]) for i, (x, *y) in enumerate(zip(np.split(ids, cut), base.tolist(), more.tolist(), known.tolist(), strict=True))]
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and how many pieces each text splits into (empty ones stand at the ends)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+    return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all texts, A-Z lower-cased; sums are made in each task before the shuffle."""
-    # the outer form: the inner one would have Catalyst split each text twice
-    words = docs.select(F.explode_outer(F.split(ascii_lower(F.coalesce("text", F.lit(""))), SPACE)).alias("word"))
-    return words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    """(word, c) over all texts, A-Z lower-cased; tasks count some ``_COUNT_WORDS`` words at a time, Spark sums the counts."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(_words(b.column(0))[0])
+            size += len(held[-1])
+            if size >= _COUNT_WORDS:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list) -> pa.RecordBatch:
+        found = pa.chunked_array(held, pa.string()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
+
+    return docs.select("text").mapInArrow(work, "word string, c long").filter("word <> ''").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def learn_vocabulary(training: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
