@@ -1,6 +1,7 @@
 """Operators on signals, populations, events, voxels, files and streams: closed forms, quirks and SQL twins."""
 
 import math
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -73,6 +74,15 @@ def test_rank_correlation_ignores_monotone_maps_and_flat_traces():
     assert np.isnan(numeric.rank_correlations(np.ones(5), np.arange(5.0))).all()
 
 
+def test_rank_correlations_on_a_threshold_are_on_it():
+    """Without ties the correlation is rational: the nearest double to it, for every length, never beyond -1 or 1."""
+    rnd = np.random.default_rng(4)
+    for n in range(3, 120):
+        a, b = np.stack([np.arange(n), np.arange(n)[::-1], *[rnd.permutation(n) for _ in range(4)]]).astype(float), np.arange(n, dtype=float)[None]
+        want = [1 - Fraction(6 * int(((x - b[0]) ** 2).sum()), n * (n * n - 1)) for x in a]
+        assert numeric.rank_correlations(a, b)[:, 0].tolist() == [float(w) for w in want]
+
+
 def test_p_values_of_known_points():
     assert math.isclose(numeric.incomplete_beta(2, 3, 0.5), 0.6875) and math.isclose(numeric.incomplete_beta(0.5, 0.5, 0.5), 0.5)
     assert math.isclose(numeric.spearman_p(0.0, 20), 1.0) and numeric.spearman_p(1.0, 20) == 0.0

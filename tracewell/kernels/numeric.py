@@ -20,10 +20,14 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
 
 
 def rank_correlations(traces: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Spearman correlation of each trace with each reference; NaN where either is constant."""
+    """Spearman correlation of each trace with each reference; NaN where either is constant.
+
+    Sums of ranks are exact, and one root of the product keeps a rational correlation the double next to it, so that
+    one on a threshold is on it (a product of two roots may lie below and push it across).
+    """
     a, b = average_ranks(traces), average_ranks(references)
     a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-    scale = np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
+    scale = np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1)))
     with np.errstate(divide="ignore", invalid="ignore"):
         return a @ b.T / scale
 
