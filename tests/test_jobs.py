@@ -69,6 +69,28 @@ def _model_bins(spark, n=260):
 _SPECS = [{"o2": 2}, {"swim": 1}, {"o2": 1, "swim": 3}]
 
 
+def test_fits_of_many_groups_together_equal_single_ones():
+    """Groups of uneven sizes, one without rows, one with dependent columns, one separated, filled up to the largest."""
+    rnd = np.random.default_rng(5)
+    sizes = np.array([40, 0, 33, 60, 25, 41])
+    x, y, chosen = np.zeros((6, 60, 3)), np.zeros((6, 60)), np.zeros((6, 5, 60), bool)
+    for g, n in enumerate(sizes):
+        x[g, :n] = np.column_stack([np.ones(n), rnd.normal(size=(n, 2))])
+        y[g, :n] = rnd.random(n) < 0.4
+        chosen[g, :, :n] = rnd.random((5, n)) < 0.8
+    x[2, :, 2] = x[2, :, 1]
+    y[4, :25] = x[4, :25, 1] > 0
+    got = numeric.grouped_logistic_fits(x, y, chosen)
+    for g in (0, 2, 3, 4, 5):
+        for r in range(5):
+            one = numeric.logistic_fit(x[g][chosen[g, r]], y[g][chosen[g, r]])
+            assert abs(got["llf"][g, r] - one["llf"]) < 1e-6 and got["separated"][g, r] == one["separated"] and got["n"][g, r] == chosen[g, r].sum()
+            assert one["separated"] or np.allclose(x[g] @ got["params"][g, r], x[g] @ one["params"], atol=1e-5)
+    assert np.isnan(got["llf"][1]).all() and got["separated"][4].all()
+    pieces = jobs._alike(sizes, 90)
+    assert sorted(np.concatenate(pieces).tolist()) == list(range(6)) and all(len(p) == 1 or len(p) * sizes[p].max() <= 90 for p in pieces)
+
+
 def test_model_runs_by_hand(spark):
     """Each fit redone alone from its own draw; separated ones used all their tries; large groups give the same form."""
     df, rows = _model_bins(spark)

@@ -126,47 +126,81 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, tol: float = 1
 
 
 def logistic_fits(x: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> dict[str, np.ndarray]:
-    """``logistic_fit`` of several subsets of the same rows at once: ``chosen`` (fits x rows) says which rows a fit has.
+    """``logistic_fit`` of several subsets of the same rows at once: ``chosen`` (fits x rows) says which rows a fit has."""
+    return {k: v[0] for k, v in grouped_logistic_fits(x[None], y[None], chosen[None], rounds, tol).items()}
 
-    Every step solves all fits' k x k systems together; a fit that is done or separated stays as it is. Fits whose rows
-    have one outcome only are NaN.
+
+def grouped_logistic_fits(x: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> dict[str, np.ndarray]:
+    """``logistic_fit`` of several subsets of the rows of many groups at once: x (groups x rows x k), y (groups x rows), chosen
+    (groups x fits x rows); rows that only fill a group up are in no fit.
+
+    Every step solves all fits' k x k systems together; a fit that is done or separated stays as it is. Groups without
+    unfinished fits are left out, and where few fits go on, each is carried on by itself. Fits whose rows have one
+    outcome only are NaN.
     """
-    m, k = len(chosen), x.shape[1]
+    k = x.shape[2]
     c = chosen.astype(float)
-    n, ones = c.sum(1), c @ y
-    beta, separated = np.zeros((m, k)), np.zeros(m, bool)
+    n, ones = c.sum(2), (c @ y[:, :, None])[:, :, 0]
+    beta, separated = np.zeros((*n.shape, k)), np.zeros(n.shape, bool)
     live = (ones > 0) & (ones < n)
     known = live.copy()
-    products = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
-    for _ in range(rounds):
-        at = np.flatnonzero(live)
-        if not len(at):
-            break
-        eta = np.clip(beta[at] @ x.T, -30, 30)
-        p = 1 / (1 + np.exp(-eta))
-        apart = np.where(c[at] > 0, np.abs(p - y) < 1e-6, True).all(1)
-        separated[at[apart]], live[at[apart]] = True, False
-        at, eta, p = at[~apart], eta[~apart], p[~apart]
-        w = np.maximum(p * (1 - p), 1e-12)
-        left = ((c[at] * w) @ products).reshape(-1, k, k)
-        right = (c[at] * (w * eta + (y - p))) @ x
+
+    def solved(left: np.ndarray, right: np.ndarray, of: np.ndarray) -> np.ndarray:
+        new = np.full_like(right, np.nan)
         try:
             new = np.linalg.solve(left, right[:, :, None])[:, :, 0]
-        except np.linalg.LinAlgError:
-            new = np.full_like(right, np.nan)
+        except np.linalg.LinAlgError:  # some are singular: their groups' columns depend on each other
+            fine = ~np.isin(of, of[np.linalg.slogdet(left)[0] == 0])
+            if fine.any():
+                new[fine] = np.linalg.solve(left[fine], right[fine][:, :, None])[:, :, 0]
         odd = ~(np.abs(new).max(1) < 1e8)  # dependent columns: the shortest solution
         if odd.any():
             new[odd] = (np.linalg.pinv(left[odd], rcond=1e-13, hermitian=True) @ right[odd][:, :, None])[:, :, 0]
-        live[at[np.abs(new - beta[at]).max(1) < tol]] = False
-        beta[at] = new
-    p = np.clip(1 / (1 + np.exp(-np.clip(beta @ x.T, -30, 30))), 1e-15, 1 - 1e-15)
-    llf = (c * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum(1)
+        return new
+
+    def go_on(x: np.ndarray, y: np.ndarray, c: np.ndarray, beta: np.ndarray, live: np.ndarray, separated: np.ndarray, of: np.ndarray, rounds: int, apart: bool) -> int:
+        """Steps in place until all are done, or (unless ``apart``) few fits of the groups at work are left; the steps taken."""
+        held = None
+        for step in range(rounds):
+            at = np.flatnonzero(live.any(1))
+            if not len(at) or (not apart and 4 * live.sum() < live[at].size):
+                return step
+            if held is None or len(at) < len(held[0]):
+                held = at, x[at], y[at][:, None], c[at], (x[at][:, :, :, None] * x[at][:, :, None, :]).reshape(len(at), x.shape[1], k * k)
+            _, xa, ya, ca, products = held
+            eta = np.clip(beta[at] @ xa.transpose(0, 2, 1), -30, 30)
+            p = 1 / (1 + np.exp(-eta))
+            gone = ~((np.abs(p - ya) >= 1e-6) & (ca > 0)).any(2) & live[at]
+            separated[at] |= gone
+            going = live[at] & ~gone
+            w = np.maximum(p * (1 - p), 1e-12)
+            left = ((ca * w) @ products)[going].reshape(-1, k, k)
+            right = ((ca * (w * eta + (ya - p))) @ xa)[going]
+            new = solved(left, right, of[at[np.nonzero(going)[0]]]) if len(left) else right
+            old = beta[at]
+            done = np.abs(new - old[going]).max(1) < tol if len(new) else np.zeros(0, bool)
+            old[going] = new
+            beta[at] = old
+            going[going] = ~done
+            live[at] = going
+        return rounds
+
+    taken = go_on(x, y, c, beta, live, separated, np.arange(len(x)), rounds, False)
+    g, f = np.nonzero(live)
+    for at in range(0, len(g), 256):
+        i, j = g[at : at + 256], f[at : at + 256]
+        own, apart = beta[i, j][:, None], np.zeros((len(i), 1), bool)
+        rows = np.argsort(c[i, j] == 0, axis=1, kind="stable")[:, : int(n[i, j].max())]  # those that the fits have
+        go_on(x[i[:, None], rows], y[i[:, None], rows], np.take_along_axis(c[i, j], rows, 1)[:, None], own, np.ones((len(i), 1), bool), apart, i, rounds - taken, True)
+        beta[i, j], separated[i, j] = own[:, 0], apart[:, 0]
+    p = np.clip(1 / (1 + np.exp(-np.clip(beta @ x.transpose(0, 2, 1), -30, 30))), 1e-15, 1 - 1e-15)
+    llf = (c * (y[:, None] * np.log(p) + (1 - y[:, None]) * np.log1p(-p))).sum(2)
     with np.errstate(divide="ignore", invalid="ignore"):
         share = ones / n
         null = np.where(known, n * (share * np.log(share) + (1 - share) * np.log(1 - share)), np.nan)
         r2 = 1 - np.exp(np.minimum(0.0, 2 * (null - llf) / n))
     gone = np.where(known, 0.0, np.nan)
-    return {"n": n, "params": beta + gone[:, None], "llf": llf + gone, "r2": r2 + gone, "aic": 2 * k - 2 * llf + gone, "separated": separated}
+    return {"n": n, "params": beta + gone[:, :, None], "llf": llf + gone, "r2": r2 + gone, "aic": 2 * k - 2 * llf + gone, "separated": separated}
 
 
 def butterworth_low(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:

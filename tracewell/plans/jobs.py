@@ -150,6 +150,21 @@ def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
+#: Rows of a bucket of groups, on average, and rows (filled up) that are fitted together; a larger group stands alone.
+_BUCKET, _FILLED = 2048, 16_384
+
+
+def _alike(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Groups by rising size, in pieces of at most ``most`` rows when all are filled up to the piece's largest."""
+    pieces: list[list[int]] = []
+    for g in np.argsort(sizes, kind="stable").tolist():
+        if pieces and (len(pieces[-1]) + 1) * int(sizes[g]) <= most:
+            pieces[-1].append(g)
+        else:
+            pieces.append([g])
+    return [np.array(p) for p in pieces]
+
+
 def model_runs(
     bins: DataFrame, fish: str, condition: str, order: Sequence[str], outcome: str, signals_by_name: Mapping[str, str], specs: Sequence[Mapping[str, int]], runs: int = 20,
     seed: int = 0, tries: int = 1, identity: Sequence[str] = (), inclusive: Sequence[str] = (), most: int = models.FIT_ROWS,
@@ -162,8 +177,8 @@ def model_runs(
     bins before a bin, oldest first, and the bin itself for the signals in ``inclusive``; bins without whole history are
     left out. Fits of one outcome only have null metrics.
 
-    Rows are shuffled once by fish and condition, and specs, runs and draws are formed inside the group, so nothing is
-    copied. A draw depends on the row's identity, run, try and seed only. Groups above ``most`` rows, of which there are few,
+    Rows are shuffled once, by buckets of about ``_BUCKET`` rows that hold whole groups of a fish and condition; specs, runs and
+    draws are formed inside the bucket, so nothing is copied, and small groups are fitted many at a time. A draw depends on the row's identity, run, try and seed only. Groups above ``most`` rows, of which there are few,
     are fitted by sums over all tasks, run by run, with their draws made by Spark.
     """
     w = Window.partitionBy(fish).orderBy(*order)
@@ -176,38 +191,58 @@ def model_runs(
     labels = [", ".join(f"{n}:{k}" for n, k in spec.items()) for spec in specs]
 
     def fit(table: pa.Table) -> pa.Table:
+        """All fits of a bucket's groups, groups of like sizes together."""
+        codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in (fish, condition)]
+        of = codes[0].indices.to_numpy().astype(np.int64) * len(codes[1].dictionary) + codes[1].indices.to_numpy()
         y, ids = table.column("__y").to_numpy(), table.column("__h").to_numpy()
-        order = np.lexsort((y, ids))  # as it comes, a group's order is no one's
+        order = np.lexsort((y, ids, of))  # as it comes, a group's order is no one's
         y, ids = y[order], ids[order]
+        first, of = np.unique(of[order], return_index=True, return_inverse=True)[1:]
         past = {n: np.asarray(table.column(f"__{n}").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), -1)[order] for n in signals_by_name}
+        drawn: dict[int, np.ndarray] = {}
         out: list[tuple] = []
         for i, spec in enumerate(specs):
             parts = [past[n][:, lags[n] - spec[n] :] for n in spec if spec[n] or n in inclusive]
             x = np.column_stack([np.ones(len(y)), *parts])
-            whole = ~np.isnan(x).any(1)
-            x, z, own = x[whole], y[whole], ids[whole]
-            left, tried, got = np.arange(runs), np.ones(runs, int), {}
-            for attempt in range(tries):
-                chosen = np.stack([(z > 0) | (_uniform(own, seed, r, attempt) < NEGATIVES) for r in left]) if len(z) else np.zeros((len(left), 0), bool)
-                new = numeric.logistic_fits(x, z, chosen)
-                for key, v in new.items():
-                    got.setdefault(key, np.zeros((runs, *v.shape[1:]), v.dtype))[left] = v
-                tried[left] = attempt + 1
-                left = left[new["separated"]]
-                if not len(left):
-                    break
-            known = np.isfinite(got["llf"])
-            out += [(i, labels[i], r, int(tried[r]), int(got["n"][r]), *(float(got[c][r]) if known[r] else None for c in ("r2", "aic", "llf")), bool(got["separated"][r]), got["params"][r].tolist() if known[r] else None) for r in range(runs)]
+            whole = np.flatnonzero(~np.isnan(x).any(1))
+            sizes = np.bincount(of[whole], minlength=len(first))
+            starts = np.cumsum(sizes) - sizes
+            for some in _alike(sizes, _FILLED):
+                width = max(1, int(sizes[some].max()))
+                filled = np.arange(width) < sizes[some][:, None]
+                at = whole[np.where(filled, starts[some][:, None] + np.arange(width), 0)] if len(whole) else np.zeros(filled.shape, np.int64)
+                xs, ys = np.where(filled[:, :, None], x[at], 0.0), np.where(filled, y[at], 0.0)
+                left, tried, got = np.ones((len(some), runs), bool), np.ones((len(some), runs), int), {}
+                for attempt in range(tries):
+                    if attempt not in drawn:
+                        drawn[attempt] = np.stack([_uniform(ids, seed, r, attempt) < NEGATIVES for r in range(runs)])
+                    go = np.flatnonzero(left.any(1))
+                    chosen = (drawn[attempt][:, at[go]].transpose(1, 0, 2) | (ys[go] > 0)[:, None]) & filled[go][:, None] & left[go][:, :, None]
+                    new = numeric.grouped_logistic_fits(xs[go], ys[go], chosen)
+                    for key, v in new.items():
+                        held = got.setdefault(key, np.zeros((len(some), *v.shape[1:]), v.dtype))
+                        held[go] = np.where(left[go].reshape(*left[go].shape, *[1] * (v.ndim - 2)), v, held[go])
+                    tried[left] = attempt + 1
+                    again = np.zeros_like(left)
+                    again[go] = new["separated"]
+                    left &= again
+                    if not left.any():
+                        break
+                known = np.isfinite(got["llf"])
+                keys = [table.column(c).take(pa.array(order[first[some]])).to_pylist() for c in (fish, condition)]
+                for j in range(len(some)):
+                    out += [(i, labels[i], r, keys[0][j], keys[1][j], int(tried[j, r]), int(got["n"][j, r]), *(float(got[c][j, r]) if known[j, r] else None for c in ("r2", "aic", "llf")), bool(got["separated"][j, r]), got["params"][j, r].tolist() if known[j, r] else None) for r in range(runs)]
         columns = list(zip(*out, strict=True))
-        first = [table.column(c)[:1].to_pylist() * len(out) for c in (fish, condition)]
         names = ["spec_idx", "spec_label", "run_idx", fish, condition, "tries", "n", "r2", "aic", "llf", "separated", "params"]
         types = [pa.int32(), pa.string(), pa.int32(), table.schema.field(fish).type, table.schema.field(condition).type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.float64())]
-        return pa.table([pa.array(c, t) for c, t in zip([*columns[:3], *first, *columns[3:]], types, strict=True)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     spark = bins.sparkSession
     # by a stated number: few bytes, which AQE would put together, take many fits
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lambda df: df.repartition(tasks, fish, condition).groupBy(fish, condition).applyInArrow(fit, schema)
+    buckets = max(tasks, rows.count() // _BUCKET)
+    bucketed = lambda df: df.withColumn("__bucket", F.pmod(F.xxhash64(fish, condition), F.lit(buckets)))
+    dealt = lambda df: bucketed(df).repartition(tasks, "__bucket").groupBy("__bucket").applyInArrow(fit, schema)
     large = rows.groupBy(fish, condition).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
     if not large.limit(1).count():
         return dealt(rows)
